@@ -1,48 +1,67 @@
 """Ordered scans and rankings that stay distributed when one group holds most of the rows.
 
-A plain ``Window.partitionBy(key).orderBy(t)`` sends a whole group to one task. Here a group with
-more rows than ``spark.tracegrain.rowsPerChunk`` is cut into consecutive ranges of its order column
-(quantile cut points), each range is scanned on its own, and what crosses a boundary (counts, sums,
-maxima, last values) is carried over from a table with one row per range. Groups below the limit
-keep the single-window plan.
+A plain ``Window.partitionBy(key).orderBy(t)`` sends a whole group to one task. ``plan_scan`` counts rows per
+group first (a map-side combined count of the key columns). Where no group exceeds
+``spark.tracegrain.rowsPerChunk`` the scan is that plain window, and chained scans over the same groups share its
+one shuffle and sort. Larger groups are cut into consecutive ranges of the order column (quantile cut points); each
+range is scanned on its own, and what crosses a boundary (counts, sums, maxima, last values) comes from a table with
+one row per range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracegrain.session import rows_per_chunk
+from tracegrain.session import cut_lineage, rows_per_chunk
 
 CHUNK = "__chunk"
 MAX_SPLITS = 2048
 _FAN = 32
 
 
-def _hot_splits(df: DataFrame, keys: Sequence[str], lead: str, limit: int) -> DataFrame:
-    """Cut points of every group above the limit.
+@dataclass(frozen=True)
+class ScanPlan:
+    """The groups that must be split, with their cut points; ``splits`` is None when there are none."""
 
-    At most 2 * rows / limit cut points exist in total, so the table is safe to broadcast.
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+    splits: DataFrame | None
+
+
+def plan_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> ScanPlan:
+    """Find groups too large for one task. Runs one counting job, and a quantile job only when such groups exist.
+
+    The table of cut points has at most 2 * rows / rowsPerChunk entries in total, so broadcasting it is safe.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+    keys, lead, limit = list(keys), order[0], rows_per_chunk(df.sparkSession)
+    df = df.select(*keys, lead)
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+    if not keys:
+        large = df.agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+    if large.isEmpty():
+        return ScanPlan(tuple(keys), tuple(order), None)
+    if not keys:
+        keys, df, large = ["__all"], df.withColumn("__all", F.lit(0)), large.withColumn("__all", F.lit(0))
     quantiles = F.array(*[F.lit(i / MAX_SPLITS) for i in range(1, MAX_SPLITS)])
-    hot = df.join(F.broadcast(counts), list(keys)).groupBy(*keys).agg(
+    found = df.join(F.broadcast(large), keys).groupBy(*keys).agg(
         F.first("__n").alias("__n"), F.percentile_approx(lead, quantiles, F.lit(20000)).alias("__q"))
     pieces = F.least(F.lit(MAX_SPLITS), F.ceil(F.col("__n") / F.lit(limit)).cast("int"))
     cuts = F.array_distinct(F.transform(
         F.sequence(F.lit(1), pieces - 1),
         lambda i: F.element_at("__q", F.greatest(F.lit(1), F.floor(i * MAX_SPLITS / pieces).cast("int")))))
-    hot = hot.select(*keys, cuts.alias("__cuts"))
-    every = F.filter("__cuts", lambda x, i: (i + 1) % _FAN == 0)
-    return hot.withColumn("__coarse", every)
+    splits = found.select(*keys, cuts.alias("__cuts"))
+    splits = splits.withColumn("__coarse", F.filter("__cuts", lambda x, i: (i + 1) % _FAN == 0))
+    return ScanPlan(tuple(keys), tuple(order), cut_lineage(splits))
 
 
 def _range_of(value: Column) -> Column:
     """Index of the range holding ``value``: two short searches instead of one long one."""
     coarse = F.size(F.filter("__coarse", lambda c: c < value))
-    fine = F.size(F.filter(F.slice("__cuts", coarse * _FAN + 1, _FAN - 1), lambda c: c < value))
-    return F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(coarse * _FAN + fine)
+    fine = F.size(F.filter(F.slice("__cuts", coarse * _FAN + 1, F.lit(_FAN - 1)), lambda c: c < value))
+    return coarse * _FAN + fine
 
 
 def scan(
@@ -50,113 +69,122 @@ def scan(
     keys: Sequence[str],
     order: Sequence[str],
     *,
+    plan: ScanPlan | None = None,
     prev: Mapping[str, Column] | None = None,
     next: Mapping[str, Column] | None = None,
     fill: Mapping[str, Column] | None = None,
     backfill: Mapping[str, Column] | None = None,
     run_sum: Mapping[str, Column] | None = None,
     run_max: Mapping[str, Column] | None = None,
-    before_sum: Mapping[str, Column] | None = None,
     before_max: Mapping[str, Column] | None = None,
     row_number: str | None = None,
     total: str | None = None,
 ) -> DataFrame:
     """Add ordered-scan columns to ``df``. Keys must not be null; ``order`` must be a total order.
 
-    prev / next: the neighbouring row's value. fill / backfill: nearest non-null value strictly before /
-    after. run_*: running aggregate including the row; before_*: excluding it. row_number: 1-based.
-    total: rows in the group. The first order column must be numeric or a timestamp.
+    prev / next: the neighbouring row's value. fill / backfill: nearest non-null value strictly before / after.
+    run_sum, run_max: running aggregate including the row; before_max: excluding it. row_number: 1-based.
+    total: rows in the group. The first order column must be numeric or a timestamp. ``plan`` is shared by scans over
+    the same rows; its keys may be a subset of ``keys``.
     """
-    prev, next, fill, backfill = dict(prev or {}), dict(next or {}), dict(fill or {}), dict(backfill or {})
-    run_sum, run_max = dict(run_sum or {}), dict(run_max or {})
-    before_sum, before_max = dict(before_sum or {}), dict(before_max or {})
+    groups = {"prev": prev, "next": next, "fill": fill, "backfill": backfill, "run_sum": run_sum, "run_max": run_max, "before_max": before_max}
+    wanted = [(kind, name, expr) for kind, columns in groups.items() for name, expr in (columns or {}).items()]
     keys, order = list(keys), list(order)
-    if not keys:
-        keys, df = ["__all"], df.withColumn("__all", F.lit(0))
-    inputs = {}
-    for group in (prev, next, fill, backfill, run_sum, run_max, before_sum, before_max):
-        for name, expr in group.items():
-            inputs[f"__in_{name}"] = expr
-    splits = _hot_splits(df.select(*keys, order[0]), keys, order[0], rows_per_chunk(df.sparkSession))
-    base = df.withColumns(inputs)
-
-    rows = base.join(F.broadcast(splits), keys, "left").withColumn(CHUNK, _range_of(F.col(order[0]))).drop("__cuts", "__coarse")
-    part = [*keys, CHUNK]
+    plan = plan or plan_scan(df, keys, order)
+    added = [name for _, name, _ in wanted] + [n for n in (row_number, total) if n]
+    keep = [c for c in df.columns if c not in added]
+    rows = df.select("*", *[expr.alias(f"__in_{name}") for _, name, expr in wanted])
+    if plan.splits is None:
+        out = _whole(rows, keys, order, wanted, row_number, total)
+        return out.select(*keep, *[F.col(f"__out_{n}").alias(n) for n in added])
+    if "__all" in plan.keys:
+        rows, keys = rows.withColumn("__all", F.lit(0)), ["__all", *keys]
+    small = _whole(rows.join(F.broadcast(plan.splits), list(plan.keys), "left_anti"), keys, order, wanted, row_number, total)
+    large = rows.join(F.broadcast(plan.splits), list(plan.keys)).withColumn(CHUNK, _range_of(F.col(order[0]))).drop("__cuts", "__coarse")
+    large = _split(large, keys, order, wanted, row_number, total)
+    columns = [*keep, *[F.col(f"__out_{n}").alias(n) for n in added]]
+    return small.select(*columns).unionByName(large.select(*columns))
+
+
+def _windows(part: list[str], order: list[str]):
     forward = Window.partitionBy(*part).orderBy(*[F.col(c).asc() for c in order])
-    back = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
-    upto = forward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = forward.rowsBetween(Window.unboundedPreceding, -1)
-    after = back.rowsBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
+    return forward, backward
+
+
+def _over(kind: str, name: str, forward, backward) -> Column:
+    x = F.col(f"__in_{name}")
+    if kind == "prev":
+        return F.lag(x).over(forward)
+    if kind == "next":
+        return F.lead(x).over(forward)
+    if kind == "fill":
+        return F.last(x, ignorenulls=True).over(forward.rowsBetween(Window.unboundedPreceding, -1))
+    if kind == "backfill":  # in reverse order, as a frame open towards the end would be rescanned for every row
+        return F.last(x, ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, -1))
+    if kind == "before_max":
+        return F.max(x).over(forward.rowsBetween(Window.unboundedPreceding, -1))
+    return (F.sum if kind == "run_sum" else F.max)(x).over(forward.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def _whole(rows: DataFrame, keys: list[str], order: list[str], wanted: list, row_number: str | None, total: str | None) -> DataFrame:
+    forward, backward = _windows(keys, order)
+    out = {f"__out_{name}": _over(kind, name, forward, backward) for kind, name, _ in wanted}
+    if row_number:
+        out[f"__out_{row_number}"] = F.row_number().over(forward).cast("long")
+    if total:
+        out[f"__out_{total}"] = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return rows.withColumns(out)
+
+
+def _split(rows: DataFrame, keys: list[str], order: list[str], wanted: list, row_number: str | None, total: str | None) -> DataFrame:
+    part = [*keys, CHUNK]
+    forward, backward = _windows(part, order)
     local: dict[str, Column] = {}
-    for n in prev:
-        local[f"__l_{n}"] = F.lag(F.struct(F.col(f"__in_{n}").alias("v"))).over(forward)
-    for n in next:
-        local[f"__l_{n}"] = F.lead(F.struct(F.col(f"__in_{n}").alias("v"))).over(forward)
-    for n in fill:
-        local[f"__l_{n}"] = F.last(F.col(f"__in_{n}"), ignorenulls=True).over(before)
-    for n in backfill:
-        local[f"__l_{n}"] = F.last(F.col(f"__in_{n}"), ignorenulls=True).over(after)
-    for n in run_sum:
-        local[f"__l_{n}"] = F.sum(f"__in_{n}").over(upto)
-    for n in before_sum:
-        local[f"__l_{n}"] = F.sum(f"__in_{n}").over(before)
-    for n in run_max:
-        local[f"__l_{n}"] = F.max(f"__in_{n}").over(upto)
-    for n in before_max:
-        local[f"__l_{n}"] = F.max(f"__in_{n}").over(before)
+    for kind, name, _ in wanted:
+        if kind in ("prev", "next"):  # a struct tells a null neighbour from no neighbour
+            x = F.struct(F.col(f"__in_{name}").alias("v"))
+            local[f"__l_{name}"] = (F.lag if kind == "prev" else F.lead)(x).over(forward)
+        else:
+            local[f"__l_{name}"] = _over(kind, name, forward, backward)
     if row_number:
         local["__l_rn"] = F.row_number().over(forward)
-    if total:
-        local["__l_n"] = F.count(F.lit(1)).over(Window.partitionBy(*part))
-    rows = rows.withColumns(local)
+    rows = cut_lineage(rows.withColumns(local))  # read twice below
 
-    # One row per range of the split groups only: empty when no group is split.
     rank = F.struct(*order)
-    summary = (
-        base.join(F.broadcast(splits), keys)
-        .withColumn(CHUNK, _range_of(F.col(order[0])))
-        .groupBy(*part)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            *[F.max_by(F.struct(F.col(f"__in_{n}").alias("v")), rank).alias(f"__s_{n}") for n in prev],
-            *[F.min_by(F.struct(F.col(f"__in_{n}").alias("v")), rank).alias(f"__s_{n}") for n in next],
-            *[F.max_by(F.col(f"__in_{n}"), F.when(F.col(f"__in_{n}").isNotNull(), rank)).alias(f"__s_{n}") for n in fill],
-            *[F.min_by(F.col(f"__in_{n}"), F.when(F.col(f"__in_{n}").isNotNull(), rank)).alias(f"__s_{n}") for n in backfill],
-            *[F.sum(f"__in_{n}").alias(f"__s_{n}") for n in (*run_sum, *before_sum)],
-            *[F.max(f"__in_{n}").alias(f"__s_{n}") for n in (*run_max, *before_max)],
-        )
-    )
-    chunks = Window.partitionBy(*keys).orderBy(F.col(CHUNK).asc())
-    chunks_back = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc())
-    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    later = chunks_back.rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
-        *part,
-        F.sum("__n").over(earlier).alias("__c_before"),
-        F.sum("__n").over(Window.partitionBy(*keys)).alias("__c_total"),
-        *[F.last(f"__s_{n}", ignorenulls=True).over(earlier).alias(f"__c_{n}") for n in (*prev, *fill)],
-        *[F.last(f"__s_{n}", ignorenulls=True).over(later).alias(f"__c_{n}") for n in (*next, *backfill)],
-        *[F.sum(f"__s_{n}").over(earlier).alias(f"__c_{n}") for n in (*run_sum, *before_sum)],
-        *[F.max(f"__s_{n}").over(earlier).alias(f"__c_{n}") for n in (*run_max, *before_max)],
-    )
-    joined = rows.join(carry, part, "left")
+    parts = [F.count(F.lit(1)).alias("__n")]
+    for kind, name, _ in wanted:
+        x = F.col(f"__in_{name}")
+        known = F.when(x.isNotNull(), rank)
+        parts.append({
+            "prev": lambda: F.max_by(F.struct(x.alias("v")), rank), "next": lambda: F.min_by(F.struct(x.alias("v")), rank),
+            "fill": lambda: F.max_by(x, known), "backfill": lambda: F.min_by(x, known),
+            "run_sum": lambda: F.sum(x), "run_max": lambda: F.max(x), "before_max": lambda: F.max(x)}[kind]().alias(f"__s_{name}"))
+    summary = rows.groupBy(*part).agg(*parts)  # one row per range
+    ahead = Window.partitionBy(*keys).orderBy(F.col(CHUNK).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.sum("__n").over(ahead).alias("__c_before"), F.sum("__n").over(Window.partitionBy(*keys)).alias("__c_total")]
+    for kind, name, _ in wanted:
+        x = F.col(f"__s_{name}")
+        carried.append({
+            "prev": lambda: F.last(x, ignorenulls=True).over(ahead), "fill": lambda: F.last(x, ignorenulls=True).over(ahead),
+            "next": lambda: F.last(x, ignorenulls=True).over(behind), "backfill": lambda: F.last(x, ignorenulls=True).over(behind),
+            "run_sum": lambda: F.sum(x).over(ahead), "run_max": lambda: F.max(x).over(ahead),
+            "before_max": lambda: F.max(x).over(ahead)}[kind]().alias(f"__c_{name}"))
+    joined = rows.join(summary.select(*part, *carried), part)
 
     out: dict[str, Column] = {}
-    for n in (*prev, *next):
-        out[n] = F.coalesce(f"__l_{n}", f"__c_{n}")["v"]
-    for n in (*fill, *backfill):
-        out[n] = F.coalesce(f"__l_{n}", f"__c_{n}")
-    for n in (*run_sum, *before_sum):
-        l, c = F.col(f"__l_{n}"), F.col(f"__c_{n}")
-        out[n] = F.when(l.isNull(), c).when(c.isNull(), l).otherwise(l + c)
-    for n in (*run_max, *before_max):
-        out[n] = F.greatest(f"__l_{n}", f"__c_{n}")
+    for kind, name, _ in wanted:
+        l, c = F.col(f"__l_{name}"), F.col(f"__c_{name}")
+        out[f"__out_{name}"] = {
+            "prev": lambda: F.coalesce(l, c)["v"], "next": lambda: F.coalesce(l, c)["v"], "fill": lambda: F.coalesce(l, c),
+            "backfill": lambda: F.coalesce(l, c), "run_sum": lambda: F.when(l.isNull(), c).when(c.isNull(), l).otherwise(l + c),
+            "run_max": lambda: F.greatest(l, c), "before_max": lambda: F.greatest(l, c)}[kind]()
     if row_number:
-        out[row_number] = (F.col("__l_rn") + F.coalesce("__c_before", F.lit(0))).cast("long")
+        out[f"__out_{row_number}"] = (F.col("__l_rn") + F.coalesce("__c_before", F.lit(0))).cast("long")
     if total:
-        out[total] = F.coalesce("__c_total", "__l_n").cast("long")
-    keep = [c for c in df.columns if c not in out and c != "__all"]
-    return joined.select(*keep, *[e.alias(n) for n, e in out.items()])
+        out[f"__out_{total}"] = F.col("__c_total")
+    return joined.withColumns(out)
 
 
 _PUSHED_LIMIT = 999  # Spark prunes ranked rows before the shuffle up to this many per group

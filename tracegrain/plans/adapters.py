@@ -10,8 +10,8 @@ from tracegrain.plans.registry import table
 def micros(ts: str) -> Column:
     """Microseconds since the epoch of a wall-clock timestamp, whatever the session's zone."""
     c = F.col(ts)
-    return (F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + F.hour(c) * 3_600_000_000
-            + F.minute(c) * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long"))
+    return (F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + F.hour(c).cast("long") * 3_600_000_000
+            + F.minute(c).cast("long") * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long"))
 
 
 def cents(col: str) -> Column:
