@@ -199,11 +199,12 @@ edges AS (
   SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS src, 'n' || CAST(n_nationkey AS VARCHAR) AS dst FROM nation
   UNION ALL SELECT 'n' || CAST(c_nationkey AS VARCHAR), 'c' || CAST(c_custkey AS VARCHAR) FROM customer
   UNION ALL SELECT 'c' || CAST(o_custkey AS VARCHAR), 'o' || CAST(o_orderkey AS VARCHAR) FROM orders
-  UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), 'n' || CAST(o_custkey % 25 AS VARCHAR) FROM orders WHERE o_custkey % 97 = 0)"""
+  UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), 'n' || CAST(o_custkey % 25 AS VARCHAR) FROM orders WHERE o_custkey % 89 = 0
+  UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), 'c' || CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey % 97 = 0)"""
 
 
 def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(roots, nodes, edges): regions own nations own customers own orders; some orders point back to a nation."""
+    """(roots, nodes, edges): regions own nations own customers own orders; some orders point back to a nation or to their customer."""
     region, nation = table(spark, folder, "region"), table(spark, folder, "nation")
     customer, orders = table(spark, folder, "customer"), table(spark, folder, "orders")
 
@@ -223,7 +224,8 @@ def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataF
     edges = (edge(nation, name("r", "n_regionkey"), name("n", "n_nationkey"))
              .unionByName(edge(customer, name("n", "c_nationkey"), name("c", "c_custkey")))
              .unionByName(edge(orders, name("c", "o_custkey"), name("o", "o_orderkey")))
-             .unionByName(edge(orders.where(F.col("o_custkey") % 97 == 0), name("o", "o_orderkey"), name("n", F.col("o_custkey") % 25))))
+             .unionByName(edge(orders.where(F.col("o_custkey") % 89 == 0), name("o", "o_orderkey"), name("n", F.col("o_custkey") % 25)))
+             .unionByName(edge(orders.where(F.col("o_custkey") % 97 == 0), name("o", "o_orderkey"), name("c", "o_custkey"))))
     roots = region.select(F.lit("all").alias("run_id"), name("r", "r_regionkey").alias("node"), name("r", "r_regionkey").alias("label"))
     return roots, nodes, edges
 
