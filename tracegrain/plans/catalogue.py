@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tracegrain.plans import queries_events, queries_records, queries_series, queries_stacks  # noqa: F401
+from tracegrain.plans import queries_compare, queries_events, queries_records, queries_series, queries_stacks  # noqa: F401
 from tracegrain.plans.registry import ORACLES, QUERIES  # noqa: F401
