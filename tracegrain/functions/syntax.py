@@ -6,7 +6,7 @@ import ast
 import warnings
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 
 _KID = ("struct<field:string,idx:int,node:int,kind:string,name:string,dotted:string,const:string,text:string,callee:string,n_args:int,n_elts:int,"
         "line:int,col:int,end_line:int,end_col:int>")
@@ -156,21 +156,20 @@ def _step(n: ast.AST, i: int, field: str, k: int, c: dict) -> dict:
     return d
 
 
-def parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``mapInPandas`` body: (path, text) to syntax rows, one output batch per file."""
-    names = [c.strip().split(" ")[0] for c in _top_level(SYNTAX)]
-    for batch in batches:
-        for path, text in zip(batch["path"], batch["text"]):
-            rows = syntax_rows(path, text)
-            if rows:
-                yield pd.DataFrame.from_records(rows, columns=names)
-
-
-def _top_level(ddl: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, ch in enumerate(ddl):
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            out.append(ddl[start:i])
-            start = i + 1
-    return [*out, ddl[start:]]
+ROWS_PER_BATCH = 20_000
+
+
+def parser(schema: pa.Schema):
+    """A ``mapInArrow`` body from (path, text) to syntax rows."""
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for path, text in zip(batch.column("path"), batch.column("text")):
+                rows += syntax_rows(path.as_py(), text.as_py())
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return parse

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Fixed-point text of the exact binary value; only an exact tie rounds up (format_string rounds the shortest decimal instead)."""
+    scaled = x * float(2 ** (digits + 1))
+    tie = (scaled == F.floor(scaled)) & (F.floor(scaled) % 2 == 1)
+    return F.when(tie, F.format_string(f"%.{digits}f", x)).otherwise(F.replace(F.format_number(x, digits), F.lit(","), F.lit("")))
+
+
 def mb_text(x: Column) -> Column:
-    return F.when(x >= 100, F.format_string("%.0f MB", x)).otherwise(F.format_string("%.1f MB", x))
+    return F.concat(F.when(x >= 100, fixed(x, 0)).otherwise(fixed(x, 1)), F.lit(" MB"))
 
 
 def seconds_text(x: Column) -> Column:
-    return F.when(x >= 10, F.format_string("%.1f s", x)).otherwise(F.format_string("%.2f s", x))
+    return F.concat(F.when(x >= 10, fixed(x, 1)).otherwise(fixed(x, 2)), F.lit(" s"))
 
 
 def percent_text(x: Column) -> Column:
-    return F.when(x >= 0.1, F.format_string("%.0f%%", x * 100)).otherwise(F.format_string("%.1f%%", x * 100))
+    return F.concat(F.when(x >= 0.1, fixed(x * 100, 0)).otherwise(fixed(x * 100, 1)), F.lit("%"))
 
 
 def time_split(total: Column, python_s: Column, native_s: Column, system_s: Column) -> Column:

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracegrain.functions import rule_tables as rt
-from tracegrain.functions.syntax import SYNTAX, parse_batches
+from tracegrain.functions.syntax import SYNTAX, parser
 from tracegrain.functions.text import render_message, subject_prefix
 from tracegrain.operators.scan import scan, top_k
 from tracegrain.session import cut_lineage
@@ -26,7 +27,8 @@ LOCAL = "<local>"
 
 def parse(sources: DataFrame) -> DataFrame:
     """Syntax rows of (path, text). Files are spread by path hash, so work follows the files and not their arrival order."""
-    return sources.select("path", "text").repartition("path").mapInPandas(parse_batches, SYNTAX)
+    schema = T.StructType.fromDDL(SYNTAX)
+    return sources.select("path", "text").repartition("path").mapInArrow(parser(to_arrow_schema(schema)), schema)
 
 
 # ---- small expressions over a row's children
