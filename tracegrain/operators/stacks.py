@@ -56,19 +56,22 @@ def display_path(path: Column, view: str = "all", inverted: bool = False) -> Col
     if view == "mine":
         path = F.filter(path, lambda f: f["user"])
 
-    def frame_id(f: Column) -> Column:
-        return function_key(f) if inverted else F.to_json(f)
+    def facts(f: Column) -> Column:  # named once, so the origin rules are not repeated in the plan
+        return F.struct((function_key(f) if inverted else F.to_json(f)).alias("id"), shown_name(f).alias("name"),
+                        frame_origin(f["file"], f["user"], f["line"]).alias("origin"))
 
-    def one(f: Column) -> Column:
-        return _step(frame_id(f), shown_name(f), frame_origin(f["file"], f["user"], f["line"])["kind"], F.array(frame_id(f)))
+    known = F.transform(path, facts)
 
-    steps = F.transform(path, one)
+    def one(k: Column) -> Column:
+        return _step(k["id"], k["name"], k["origin"]["kind"], F.array(k["id"]))
+
+    steps = F.transform(known, one)
     if view == "grouped":
-        def tag(f: Column) -> Column:
-            o = frame_origin(f["file"], f["user"], f["line"])
-            return F.when(o["kind"] == "user", one(f)).otherwise(
-                _step(F.concat(F.lit("group:"), o["kind"], F.lit("|"), o["label"]), o["label"], o["kind"], F.array(frame_id(f))))
-        tagged = F.transform(path, tag)
+        def tag(k: Column) -> Column:
+            o = k["origin"]
+            return F.when(o["kind"] == "user", one(k)).otherwise(
+                _step(F.concat(F.lit("group:"), o["kind"], F.lit("|"), o["label"]), o["label"], o["kind"], F.array(k["id"])))
+        tagged = F.transform(known, tag)
         empty = F.slice(tagged, F.lit(1), F.lit(0))
 
         def fold(done: Column, step: Column) -> Column:
