@@ -70,9 +70,8 @@ def stream_first_events(spark, folder):
     return drain(monitors.first_events(_events(spark, folder).select(half.alias("run_id"), F.col("event_id").alias("seq")), 2000))
 
 
-@query("stream_lost_updates")
+@query("stream_lost_updates", f"WITH {qe._PAIRS} SELECT key, actor, other_actor, read_id, write_id, other_read_id, other_write_id FROM lost")
 def stream_lost_updates(spark, folder):
-    """Pairs whose events the watermark has passed; the last few wait for later data, so there is no SQL twin."""
     e = _events(spark, folder).where(F.col("event_type").isin("view", "click")).withColumn("k", _k())
     lock = F.when(F.col("k") >= 80, F.concat(F.lit("L"), (F.col("k") % 10).cast("string"), F.lit("#"), F.col("user_id").cast("string"))).otherwise(F.lit(""))
     e = e.select(F.concat(F.lit("k"), (F.col("k") % 10).cast("string")).alias("key"), F.col("event_id").alias("id"), ad.micros("ts").alias("t"),
