@@ -11,7 +11,7 @@ sys.path.insert(0, ROOT)
 def spark(tmp_path_factory):
     from tracegrain.session import build_session
 
-    session = build_session("tests", "local[4]", 4)
+    session = build_session("tests", "local[8]", 2)
     session.sparkContext.setLogLevel("OFF")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield session

@@ -135,7 +135,7 @@ def repeated_copy(spark, folder):
     return ops.repeated_copies(_checkpoints(spark, folder), cap=50).drop("run_id")
 
 
-@query("label_totals", f"""WITH {_CHECKPOINTS} SELECT label, count(*) AS requests, CAST(sum(footprint) AS BIGINT) AS requested_payload_bytes, CAST((SELECT count(DISTINCT label) FROM cp) - 50 AS BIGINT) AS dropped_labels
+@query("label_totals", f"""WITH {_CHECKPOINTS} SELECT label, count(*) AS requests, CAST(sum(footprint) AS BIGINT) AS requested_payload_bytes, greatest(0, CAST((SELECT count(DISTINCT label) FROM cp) - 50 AS BIGINT)) AS dropped_labels
 FROM cp WHERE label IN (SELECT label FROM lab) GROUP BY label""")
 def label_totals(spark, folder):
     return ops.label_totals(_checkpoints(spark, folder).withColumnRenamed("footprint", "bytes"), ["t", "id"], 50).drop("run_id")
@@ -172,8 +172,8 @@ def _sites(spark, folder):
 
 @query("alloc_sites", f"""WITH {_SITES}, r AS (SELECT *, row_number() OVER (ORDER BY f, thread_id, site) AS rk FROM sites)
 SELECT thread_id, site, requested_bytes, allocation_count, f AS first_event_sequence, l AS last_event_sequence,
-CAST((SELECT sum(requested_bytes) FROM r WHERE rk > 2048) AS BIGINT) AS omitted_bytes, CAST((SELECT sum(allocation_count) FROM r WHERE rk > 2048) AS BIGINT) AS omitted_allocations,
-(SELECT count(*) FROM r WHERE rk > 2048) AS omitted_sites, false AS summary_complete FROM r WHERE rk <= 2048""")
+CAST((SELECT coalesce(sum(requested_bytes), 0) FROM r WHERE rk > 2048) AS BIGINT) AS omitted_bytes, CAST((SELECT coalesce(sum(allocation_count), 0) FROM r WHERE rk > 2048) AS BIGINT) AS omitted_allocations,
+(SELECT count(*) FROM r WHERE rk > 2048) AS omitted_sites, (SELECT count(*) FROM r) <= 2048 AS summary_complete FROM r WHERE rk <= 2048""")
 def alloc_sites(spark, folder):
     return alloc.capped_sites(_sites(spark, folder), _KEYS).drop("run_id")
 
@@ -202,8 +202,8 @@ def alloc_outstanding(spark, folder):
 
 @query("alloc_budget", f"""WITH {_SITES},
 u AS (SELECT *, sum(60 + length(CAST(site AS VARCHAR))) OVER (ORDER BY requested_bytes DESC, thread_id, site) AS used FROM sites)
-SELECT thread_id, site, requested_bytes, allocation_count, CAST((SELECT sum(requested_bytes) FROM u WHERE used > 100000) AS BIGINT) AS omitted_bytes,
-CAST((SELECT sum(allocation_count) FROM u WHERE used > 100000) AS BIGINT) AS omitted_allocations FROM u WHERE used <= 100000""")
+SELECT thread_id, site, requested_bytes, allocation_count, CAST((SELECT coalesce(sum(requested_bytes), 0) FROM u WHERE used > 100000) AS BIGINT) AS omitted_bytes,
+CAST((SELECT coalesce(sum(allocation_count), 0) FROM u WHERE used > 100000) AS BIGINT) AS omitted_allocations FROM u WHERE used <= 100000""")
 def alloc_budget(spark, folder):
     s = _sites(spark, folder).drop("first_event_sequence", "last_event_sequence")
     return alloc.within_budget(s, ["thread_id", "site"], 100_000, row_bytes=60 + F.length(F.col("site").cast("string"))).drop("run_id")

@@ -9,8 +9,8 @@ from tracegrain.functions.paths import text_hash
 
 def scan_sources(spark: SparkSession, root: str) -> DataFrame:
     """(path, text, sha1) of the Python files below a folder; hidden folders and node_modules are left out."""
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,pyw}")
-             .text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,pyw}")
+             .text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     below = F.regexp_replace("path", F.lit("^.*?" + root.rstrip("/").replace(".", r"\.") + "/"), F.lit(""))
     hidden = below.rlike(r"(^|/)(\.[^/]+|node_modules)/")
     return files.where(~hidden).withColumn("sha1", text_hash(F.col("text")))

@@ -11,7 +11,7 @@ CORRUPT = "_corrupt"
 
 def read_profiles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per run document, version 2 or 3, with ``run_id`` from its path and the raw text kept for checks."""
-    texts = spark.read.option("wholetext", True).text(paths).select(
+    texts = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     return parse_profiles(texts)
 
