@@ -78,7 +78,6 @@ def test_overhead_is_incomplete_without_memory(spark):
 
 def test_gate(spark):
     cases = spark.createDataFrame([("a:1", "passed"), ("b:1", "failed"), ("c:1", "skipped"), ("c:2", "passed")], "id string, status string")
-    selectors = spark.createDataFrame([(1, "a:", False), (2, "b:", False), (3, "c:", False), (4, "d:", False), (5, "a:", True)], "criterion int, selector string, limited boolean")
-    got = checks.criteria(cases, selectors)
-    assert {r["criterion"]: r["status"] for r in got.collect()} == {1: "pass", 2: "fail", 3: "partial", 4: "unsupported", 5: "partial"}
+    got = checks.criteria(cases, {"1": ["a:"], "2": ["b:", "x"], "3": ["c:"], "4": ["d:"], "5": ["a:"]}, ["5"])
+    assert {r["criterion"]: r["status"] for r in got.collect()} == {"1": "pass", "2": "fail", "3": "partial", "4": "unsupported", "5": "partial"}
     assert checks.gate(got).first()["gate"] == 1 and checks.case_counts(cases).first()["passed"] == 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,7 +22,7 @@ def _ok(c: Column) -> Column:
 
 
 def _number(c: Column) -> Column:
-    return _ok((c >= 0) & ~F.isnan(c.cast("double")) & (c.cast("double") < F.lit(float("inf"))))
+    return _ok((c >= 0) & (c < F.lit(float("inf"))))  # NaN is above every number
 
 
 def _optional(c: Column) -> Column:
@@ -102,7 +103,7 @@ def allocation_backend_valid(a: Column) -> Column:
 
 def validate_profiles(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, rejected) run documents. A rejected document keeps every reason it was refused for."""
-    checked = profiles.withColumn("__v", F.try_parse_json("raw"))
+    checked = profiles.withColumn("__v", F.explode(F.array(F.try_parse_json("raw"))))
 
     def type_of(path: str) -> Column:
         return F.schema_of_variant(F.try_variant_get("__v", path, "variant"))
@@ -234,7 +235,7 @@ def validate_profiles(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
         ("memory_guard", c("memory_guard").isNull() | _ok(guard_consistent(c("memory_guard")))),
     ]
     reasons = F.array_compact(F.array(*[F.when(~rule, F.lit(name)) for name, rule in rules]))
-    out = checked.withColumn("reasons", reasons).drop("__v")
+    out = checked.withColumn("reasons", F.explode(F.array(reasons))).drop("__v")  # evaluated once, not again in the filters
     return out.where(F.size("reasons") == 0).drop("reasons", CORRUPT), out.where(F.size("reasons") > 0)
 
 
@@ -277,20 +278,18 @@ def overhead_report(runs: DataFrame, thresholds: DataFrame, baseline: str = "bas
                     F.when(same & wall_pass & rss_pass, "pass").when(complete | failed, "fail").otherwise("incomplete").alias("status"))
 
 
-def criteria(cases: DataFrame, selectors: DataFrame) -> DataFrame:
+def criteria(cases: DataFrame, selectors: dict[str, Sequence[str]], limited: Sequence[str] = ()) -> DataFrame:
     """Status of each criterion from the cases its selectors name.
 
-    ``cases``: id, status (passed, failed, skipped, unsupported). ``selectors``: criterion, selector, limited; a case belongs to a
-    criterion when its id contains one of the selectors. The selector list is a fixed configuration, so each case is
-    matched against it as one literal-sized array, not by a join.
+    ``cases``: id, status (passed, failed, skipped, unsupported). ``selectors``: criterion to the texts a case's id may contain, a fixed
+    configuration; ``limited``: criteria that can pass only in part.
     """
-    listed = selectors.groupBy(F.lit(1).alias("__k")).agg(F.collect_list(F.struct("criterion", "selector")).alias("__s"))
-    matched = cases.withColumn("__k", F.lit(1)).join(F.broadcast(listed), "__k").select(
-        "status", F.explode(F.array_distinct(F.transform(F.filter("__s", lambda s: F.col("id").contains(s["selector"])), lambda s: s["criterion"]))).alias("criterion"))
-    counts = matched.groupBy("criterion").agg(
+    named = F.array_compact(F.array(*[
+        F.when(reduce(lambda a, b: a | b, [F.col("id").contains(t) for t in texts], F.lit(False)), F.lit(name)) for name, texts in selectors.items()]))
+    counts = cases.select("status", F.explode(named).alias("criterion")).groupBy("criterion").agg(
         F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(F.col("status") == "failed").alias("failed"),
         F.count_if(F.col("status").isin("skipped", "unsupported")).alias("incomplete"))
-    every = selectors.groupBy("criterion").agg(F.bool_or("limited").alias("limited"))
+    every = cases.sparkSession.createDataFrame([(n, n in limited) for n in selectors], "criterion string, limited boolean")
     out = every.join(counts, "criterion", "left").na.fill(0, ["passed", "failed", "incomplete"])
     status = (F.when(F.col("passed") + F.col("failed") + F.col("incomplete") == 0, "unsupported").when(F.col("failed") > 0, "fail")
               .when(F.col("incomplete") > 0, F.when(F.col("passed") > 0, "partial").otherwise("unsupported")).when(F.col("limited"), "partial").otherwise("pass"))

@@ -188,7 +188,6 @@ def _split(rows: DataFrame, keys: list[str], order: list[str], wanted: list, row
 
 
 _PUSHED_LIMIT = 999  # Spark prunes ranked rows before the shuffle up to this many per group
-_SALTS = 64
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -199,7 +198,8 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     """
     keys = list(keys)
     if k > _PUSHED_LIMIT:
-        slice_of = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t]), F.lit(_SALTS))
+        slices = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slice_of = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t]), F.lit(slices))
         inner = Window.partitionBy(*keys, "__slice").orderBy(*order)
         df = df.withColumn("__slice", slice_of).withColumn("__r", F.row_number().over(inner))
         df = df.where(F.col("__r") <= k).drop("__slice", "__r")

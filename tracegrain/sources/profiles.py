@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracegrain.schemas import PROFILE
+from tracegrain.session import cut_lineage
 
 CORRUPT = "_corrupt"
 
@@ -19,7 +20,8 @@ def read_profiles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def parse_profiles(texts: DataFrame) -> DataFrame:
     """Parse documents given as (path, raw)."""
     doc = F.from_json("raw", PROFILE + f", {CORRUPT} STRING", {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"})
-    return texts.withColumn("__d", doc).select(F.sha2("path", 256).alias("run_id"), "path", "raw", "__d.*")
+    # The one-element explode keeps the optimizer from repeating the parse in every expression that reads a field.
+    return texts.withColumn("__d", F.explode(F.array(doc))).select(F.sha2("path", 256).alias("run_id"), "path", "raw", "__d.*")
 
 
 _RUN_COLUMNS = (
@@ -157,6 +159,7 @@ def remap_profiles(profiles: DataFrame, mappings: list[tuple[str, str]]) -> Data
 
 def write_tables(profiles: DataFrame, folder: str) -> None:
     """All tables as Parquet below ``folder``, partitioned by the day a run started."""
+    profiles = cut_lineage(profiles)  # parsed once, read by every table
     day = profiles.select("run_id", F.coalesce(F.to_date(F.try_to_timestamp(F.col("run.started_at"))), F.lit("1970-01-01").cast("date")).alias("run_date"))
     for name, build in TABLES.items():
         df = build(profiles)
