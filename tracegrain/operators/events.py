@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracegrain.operators.scan import plan_scan, scan, top_k, top_k_with_rest
+from tracegrain.operators.scan import parts, plan_scan, scan, top_k, top_k_with_rest
 
 LEAST_BYTES = 65536
 MAX_LABELS = 256
@@ -85,11 +86,13 @@ def retained_after_cleanup(watches: DataFrame, cleanups: DataFrame, order: Seque
     rows = watches.select("run_id", "label", *order, F.lit(1).alias("__watch"), "object_id", F.lit(None).cast("boolean").alias("alive")).unionByName(
         cleanups.select("run_id", "label", *order, F.lit(0).alias("__watch"), F.lit(None).cast(watches.schema["object_id"].dataType).alias("object_id"), "alive"))
     keys = ["run_id", "label"]
-    plan = plan_scan(rows, keys, order)
-    s = scan(rows, keys, order, plan=plan, run_sum={"__no": F.col("__watch")}, fill={"__object": F.col("object_id")})
-    s = s.where((F.col("__no") > 0) & (F.col("__watch") == 0) & F.col("alive"))
-    s = scan(s, [*keys, "__no"], order, plan=plan, row_number="retention_observations")
-    return s.select(*keys, *order, F.col("__object").alias("object_id"), "retention_observations")
+    done = []
+    for part, plan in parts(rows, plan_scan(rows, keys, order)):
+        s = scan(part, keys, order, plan=plan, run_sum={"__no": F.col("__watch")}, fill={"__object": F.col("object_id")})
+        s = s.where((F.col("__no") > 0) & (F.col("__watch") == 0) & F.col("alive"))
+        s = scan(s, [*keys, "__no"], order, plan=plan, row_number="retention_observations")
+        done.append(s.select(*keys, *order, F.col("__object").alias("object_id"), "retention_observations"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def costly_structures(structures: DataFrame, dicts: int = 1000, dict_bytes: int = 100_000) -> DataFrame:

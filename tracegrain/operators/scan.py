@@ -11,7 +11,7 @@ one row per range.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -24,11 +24,24 @@ _FAN = 32
 
 @dataclass(frozen=True)
 class ScanPlan:
-    """The groups that must be split, with their cut points; ``splits`` is None when there are none."""
+    """The groups that must be split, with their cut points; ``splits`` is None when there are none.
+
+    ``all_split`` says that the rows hold only such groups.
+    """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
     splits: DataFrame | None
+    all_split: bool = False
+
+
+def parts(df: DataFrame, plan: ScanPlan) -> list[tuple[DataFrame, ScanPlan]]:
+    """The rows of whole and of split groups with a plan for each, so a chain of scans separates them once."""
+    if plan.splits is None:
+        return [(df, plan)]
+    large = F.broadcast(plan.splits.select(*plan.keys))
+    return [(df.join(large, list(plan.keys), "left_anti"), replace(plan, splits=None)),
+            (df.join(large, list(plan.keys), "left_semi"), replace(plan, all_split=True))]
 
 
 def plan_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> ScanPlan:
@@ -45,7 +58,7 @@ def plan_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> ScanP
         return ScanPlan(tuple(keys), tuple(order), None)
     if not keys:
         keys, df, large = ["__all"], df.withColumn("__all", F.lit(0)), large.withColumn("__all", F.lit(0))
-    quantiles = F.array(*[F.lit(i / MAX_SPLITS) for i in range(1, MAX_SPLITS)])
+    quantiles = F.expr("array(" + ",".join(f"{i / MAX_SPLITS}D" for i in range(1, MAX_SPLITS)) + ")")
     found = df.join(F.broadcast(large), keys).groupBy(*keys).agg(
         F.first("__n").alias("__n"), F.percentile_approx(lead, quantiles, F.lit(20000)).alias("__q"))
     pieces = F.least(F.lit(MAX_SPLITS), F.ceil(F.col("__n") / F.lit(limit)).cast("int"))
@@ -99,10 +112,12 @@ def scan(
         return out.select(*keep, *[F.col(f"__out_{n}").alias(n) for n in added])
     if "__all" in plan.keys:
         rows, keys = rows.withColumn("__all", F.lit(0)), ["__all", *keys]
-    small = _whole(rows.join(F.broadcast(plan.splits), list(plan.keys), "left_anti"), keys, order, wanted, row_number, total)
     large = rows.join(F.broadcast(plan.splits), list(plan.keys)).withColumn(CHUNK, _range_of(F.col(order[0]))).drop("__cuts", "__coarse")
     large = _split(large, keys, order, wanted, row_number, total)
     columns = [*keep, *[F.col(f"__out_{n}").alias(n) for n in added]]
+    if plan.all_split:
+        return large.select(*columns)
+    small = _whole(rows.join(F.broadcast(plan.splits), list(plan.keys), "left_anti"), keys, order, wanted, row_number, total)
     return small.select(*columns).unionByName(large.select(*columns))
 
 

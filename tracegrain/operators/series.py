@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracegrain.operators.scan import ScanPlan, plan_scan, scan
+from tracegrain.operators.scan import ScanPlan, parts, plan_scan, scan
 
 BRIDGE = 2  # points without a path at the depth that do not end a phase
 MIB = 1 << 20
@@ -40,7 +41,7 @@ def phases(points: DataFrame, depth: int | Sequence[int], keys: Sequence[str] =
     depths = [depth] if isinstance(depth, int) else list(depth)
     plan = plan_scan(points, keys, order)
     p = points.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths])))
-    return _islands(p, [*keys, "depth"], order, traced, rss, start_rss, plan)
+    return _in_parts(p, plan, lambda rows, part: _islands(rows, [*keys, "depth"], order, traced, rss, start_rss, part))
 
 
 def phases_all_depths(points: DataFrame, keys: Sequence[str] = ("run_id",), order: Sequence[str] = ("t", "seq"), traced: str = "traced",
@@ -49,7 +50,11 @@ def phases_all_depths(points: DataFrame, keys: Sequence[str] = ("run_id",), orde
     plan = plan_scan(points, keys, order)
     deepest = points.groupBy(*keys).agg(F.greatest(F.lit(0), F.max(F.size("path")) - 1).alias("__max"))
     p = points.join(deepest, list(keys)).withColumn("depth", F.explode(F.sequence(F.lit(0), F.col("__max")))).drop("__max")
-    return _islands(p, [*keys, "depth"], order, traced, rss, start_rss, plan)
+    return _in_parts(p, plan, lambda rows, part: _islands(rows, [*keys, "depth"], order, traced, rss, start_rss, part))
+
+
+def _in_parts(df: DataFrame, plan: ScanPlan, run) -> DataFrame:
+    return reduce(DataFrame.unionByName, [run(rows, part) for rows, part in parts(df, plan)])
 
 
 def _islands(p: DataFrame, keys: list[str], order: Sequence[str], traced: str, rss: str, start_rss: str | None, plan: ScanPlan) -> DataFrame:
@@ -105,8 +110,10 @@ def spikes(points: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     without a new high (1% over the running maximum) while still within 10% of it. doubling: the running maximum passes
     twice the power-of-two multiple of ``high`` it last passed.
     """
-    v = F.col(value)
-    plan = plan_scan(points, keys, order)
+    return _in_parts(points, plan_scan(points, keys, order), lambda rows, part: _alerts(rows, keys, order, F.col(value), jump, high, part))
+
+
+def _alerts(points: DataFrame, keys: Sequence[str], order: Sequence[str], v: Column, jump: int, high: int, plan: ScanPlan) -> DataFrame:
     s = scan(points, keys, order, plan=plan, prev={"__prev": v}, before_max={"__high": v}, row_number="__i")
     raised = F.col("__high").isNull() | (v > F.col("__high") * 1.01)
     s = s.withColumns({"__raised": raised, "__top": F.greatest(v, F.col("__high"))})
