@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracegrain.session import shared_folder
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -15,17 +16,16 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's checkpoint folder (a private one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tracegrain-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def job_folder(spark: SparkSession) -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Process everything available into Parquet files and return them as a table."""
     spark = stream.sparkSession
     use_rocksdb(spark)
-    folder = folder or shared_folder(spark)
+    folder = folder or job_folder(spark)
     query = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
              .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
