@@ -20,6 +20,7 @@ def build_session(app: str = "tracegrain", master: str | None = None, shuffle_pa
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.maxPlanStringLength", "100000")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call-site capture per column costs more than small plans
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
