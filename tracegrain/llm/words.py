@@ -16,6 +16,9 @@ import pyarrow as pa
 PIECE_BYTES = 2_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+# Breaks for normalised words: white space and ASCII punctuation.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BYTE_BASE, _WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)  # odd, so they have inverses modulo 2**64
@@ -128,20 +131,20 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def column_words(column: pa.Array, fold: bool = False) -> Iterator[Words]:
-    """The words of a text column, a few megabytes of text at a time. fold lower-cases A-Z."""
+def column_words(column: pa.Array, fold: bool = False, breaks: np.ndarray = _SPACE) -> Iterator[Words]:
+    """The words of a text column, a few megabytes of text at a time. fold lower-cases A-Z; breaks says which bytes are not in words."""
     offsets, body = column_buffers(column)
     for i, j in pieces(offsets):
         data = body[offsets[i] : offsets[j]]
         if fold:
             data = _FOLD[data]
         text_at = offsets[i : j + 1] - offsets[i]
-        yield Words(i, data, text_at, *bounds(data, text_at))
+        yield Words(i, data, text_at, *bounds(data, text_at, breaks))
 
 
-def bounds(data: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bounds(data: np.ndarray, text_at: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the first word of each text. A text's end ends a word."""
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     edge = np.zeros(len(data), bool)
     edge[text_at[:-1][text_at[:-1] < len(data)]] = True
     begins = inside.copy()
