@@ -28,3 +28,38 @@ h AS (SELECT source, bool_or((f.f + mean * strength) / (f.n + strength) > 0.5) A
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, host_failed
 FROM j JOIN h ON j.source IS NOT DISTINCT FROM h.source
 """
+
+NEAREST = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64),
+u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d) WHERE rank <= 10
+"""
+
+SUBSTRINGS = rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS words FROM documents),
+pos AS (SELECT rid, doc_id, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50),
+win AS (SELECT p.rid, p.doc_id, p.i, md5(array_to_string(words[p.i:p.i + 49], ' ')) AS h FROM pos p JOIN w USING (rid)),
+least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM win JOIN least USING (h), range(0, 50) r(k) WHERE m < doc_id),
+lists AS (SELECT rid, list(i) AS gone FROM gone GROUP BY rid),
+k AS (SELECT doc_id, words, coalesce(gone, []) AS gone FROM w LEFT JOIN lists USING (rid))
+SELECT doc_id, len(words)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM k
+"""
+
+NGRAM_JOIN = r"""
+WITH RECURSIVE w AS (SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') END AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS t FROM (SELECT doc_id, words, unnest(range(1, len(words) - 2)) AS i FROM w WHERE len(words) >= 4)
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id
+"""
