@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating star contraction.
 
-Each round hangs every node's larger neighbours on its least neighbour, then its smaller ones. A node's least neighbour is a partial
-aggregate; it is written out before it meets the edges again, so that a join on a hot node can be split. Rounds grow with the logarithm of the
-longest chain, and each is one checkpoint.
+Each round hangs every node's larger neighbours on its least neighbour, then its smaller ones, until only stars are left. A node's least
+neighbour is a partial aggregate; it is written out before it meets the edges again, so that a join on a hot node can be split. Rounds
+grow with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -16,16 +16,18 @@ from tracegrain.session import cut_lineage
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of (a, b): component is the least node reachable. Nulls and loops are left out."""
     e = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    before = None
-    while True:
+    while not _stars(e):
         e = cut_lineage(_small(_large(e)))
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node hangs on one other or is hung upon, not both: then each star is a component, named by its centre, the least."""
+    ends = e.select(F.col("b").alias("n"), F.lit(1).alias("hung")).unionByName(e.select(F.col("a").alias("n"), F.lit(0).alias("hung")))
+    node = ends.groupBy("n").agg(F.sum("hung").alias("hung"), F.min("hung").alias("least"))
+    return not node.where("hung > 1 or hung > 0 and least = 0").limit(1).count()
+
+
 def _large(e: DataFrame) -> DataFrame:
     """Every node's larger neighbours hang on the least of itself and its neighbours."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

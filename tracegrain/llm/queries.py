@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tracegrain.llm import binpack, neighbours, ngram_join, pieces, quality, sharding, statements, substrings, token_rows
+from tracegrain.llm import binpack, lines, neighbours, ngram_join, pieces, quality, sharding, statements, substrings, token_rows, toxicity
 from tracegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -54,3 +54,15 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_token_rows")
 def op9_token_rows(spark: SparkSession, folder: str) -> DataFrame:
     return token_rows.pack(table(spark, folder, "documents"))
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.digest(table(spark, folder, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Fitted on a sample of the labelled documents; every document is scored."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
