@@ -40,7 +40,7 @@ def test_shared_state_without_a_finding(spark):
     assert [(r["key"], r["event_ids"]) for r in got] == [("a", [1, 2])]
 
 
-def brute(rows, lookback):
+def brute(rows):
     reads, writes, out = {}, {}, set()
     for r in sorted(rows, key=lambda r: (r[2], r[1])):
         _, i, t, key, actor, category, _, value, locks, _, _ = r
@@ -52,7 +52,7 @@ def brute(rows, lookback):
             for oa, oread, owrite, olocks in writes.get(key, []):
                 if (oa != actor and read[2] < owrite[2] and oread[2] < t and read[7] == oread[7] and value == owrite[7] and value != read[7] and not mine & olocks):
                     out.add((i, owrite[1]))
-            writes[key] = [*writes.get(key, []), (actor, read, r, mine)][-lookback:]
+            writes[key] = [*writes.get(key, []), (actor, read, r, mine)]
     return out
 
 
@@ -61,8 +61,8 @@ def test_hot_key_against_brute_force(spark, small_chunks):
     rng = random.Random(5)
     rows = [access(i, i, rng.randrange(6), rng.choice(["shared_read", "shared_write"]), str(rng.randrange(2)),
                    [("L", rng.randrange(3))] if rng.random() < 0.3 else [], key="hot" if rng.random() < 0.8 else f"k{rng.randrange(5)}") for i in range(600)]
-    got = [(r["write_id"], r["other_write_id"]) for r in hazards.lost_updates(frame(spark, rows), lookback=7, block=10).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(rows, 7) and got
+    got = [(r["write_id"], r["other_write_id"]) for r in hazards.lost_updates(frame(spark, rows), block=10).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and got
 
 
 def test_collector_pairs(spark):
@@ -77,6 +77,7 @@ def test_label_cap_counts_the_rest(spark):
     df = spark.range(300).select(F.lit("r").alias("run_id"), F.concat(F.lit("l"), "id").alias("label"), F.col("id").alias("t"), F.col("id"), F.lit(5).alias("bytes"))
     got = ev.label_totals(df, ["t", "id"], 256).collect()
     assert len(got) == 256 and got[0]["dropped_labels"] == 44
+    assert ev.label_totals(df, ["t", "id"]).count() == 300
 
 
 def test_cleanup_counts_restart_with_a_new_watch(spark, small_chunks):

@@ -10,8 +10,6 @@ from tracegrain.functions.paths import allocator_domain, enclosing_name, shown_n
 from tracegrain.operators.scan import scan, top_k, top_k_with_rest
 
 SITE = ("run_id", "thread_id", "allocator", "stack_id", "native_stack_id", "native_segment_generation")
-MAX_SITES = 2048
-SUMMARY_BYTES = 4 << 20
 
 
 def classify(records: DataFrame, root: str, profiler_prefixes: Sequence[str] = ()) -> DataFrame:
@@ -30,8 +28,8 @@ def sites(requests: DataFrame, keys: Sequence[str] = SITE, carry: Sequence[str]
         F.min(sequence).alias("first_event_sequence"), F.max(sequence).alias("last_event_sequence"))
 
 
-def capped_sites(all_sites: DataFrame, keys: Sequence[str] = SITE, cap: int = MAX_SITES, group: Sequence[str] = ("run_id",)) -> DataFrame:
-    """The first ``cap`` sites to appear in each run; the others only add to the omitted totals on every kept row."""
+def capped_sites(all_sites: DataFrame, keys: Sequence[str] = SITE, cap: int | None = None, group: Sequence[str] = ("run_id",)) -> DataFrame:
+    """The first ``cap`` sites to appear in each run (all without one); the others only add to the omitted totals on every kept row."""
     order = [F.col("first_event_sequence").asc(), *[F.col(k).asc() for k in keys if k not in group]]
     out = top_k_with_rest(all_sites, group, order, cap, {"omitted_bytes": "requested_bytes", "omitted_allocations": "allocation_count"})
     return out.withColumnRenamed("omitted_rows", "omitted_sites").drop("rank").withColumn("summary_complete", F.col("omitted_sites") == 0)
@@ -51,12 +49,14 @@ def outstanding(left: DataFrame, kept: DataFrame, keys: Sequence[str] = SITE, si
     return out.withColumns({"site_kept": F.col("__d").isNotNull(), "domain": F.coalesce("__d", "domain"), "scope": F.coalesce("__s", "scope")}).drop("__d", "__s")
 
 
-def within_budget(all_sites: DataFrame, ties: Sequence[str], budget: int = SUMMARY_BYTES, group: Sequence[str] = ("run_id",),
+def within_budget(all_sites: DataFrame, ties: Sequence[str], budget: int | None = None, group: Sequence[str] = ("run_id",),
                   row_bytes: Column | None = None) -> DataFrame:
-    """The largest sites whose JSON fits the byte budget, stopping at the first that does not; the rest as omitted totals.
+    """The largest sites whose JSON fits the byte budget (all without one), stopping at the first that does not; the rest as omitted totals.
 
     Row sizes are positive, so the kept prefix is exactly the rows whose running size is within the budget.
     """
+    if budget is None:
+        return all_sites.withColumns({"omitted_bytes": F.lit(0).cast("long"), "omitted_allocations": F.lit(0).cast("long")})
     size = row_bytes if row_bytes is not None else F.octet_length(F.to_json(F.struct(*[F.col(c) for c in all_sites.columns]))) + 2
     s = all_sites.withColumns({"__down": -F.col("requested_bytes"), "__size": size})
     s = scan(s, group, ["__down", *ties], run_sum={"__used": F.col("__size")})
@@ -80,15 +80,15 @@ def innermost_sites(stacks: DataFrame, keys: Sequence[str] = ("run_id", "which")
         F.min(F.col("f")["first_line"]).alias("line"), F.sum("bytes").alias("bytes"))
 
 
-def snapshot_tables(stacks: DataFrame, functions: int = 15, top: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The largest sites and the largest stacks of every snapshot."""
+def snapshot_tables(stacks: DataFrame, functions: int | None = None, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The largest sites and the largest stacks of every snapshot; all of them without a number."""
     by_function = top_k(innermost_sites(stacks), ["run_id", "which"], [F.col("bytes").desc(), F.col("file").asc(), F.col("name").asc()], functions)
     text = F.to_json("path")
     return by_function, top_k(stacks.withColumn("__t", text), ["run_id", "which"], [F.col("bytes").desc(), F.col("__t").asc()], top).drop("__t")
 
 
-def memory_tables(by_stack: DataFrame, cap: int = 20_000) -> DataFrame:
-    """The ``cap`` largest stacks of a snapshot, the rest summed as other bytes; stacks start at their outermost user frame."""
+def memory_tables(by_stack: DataFrame, cap: int | None = None) -> DataFrame:
+    """The ``cap`` largest stacks of a snapshot (all without one), the rest summed as other bytes; stacks start at their outermost user frame."""
     users = F.transform("path", lambda f: f["user"])
     first = F.greatest(F.array_position(users, True), F.lit(1)).cast("int")
     s = by_stack.withColumn("path", F.slice("path", first, F.size("path"))).withColumn("__t", F.to_json("path"))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracegrain.operators.scan import parts, plan_scan, scan, top_k, top_k_with_rest
 
 LEAST_BYTES = 65536
-MAX_LABELS = 256
 
 
 def gc_pairs(events: DataFrame, order: Sequence[str] = ("t", "seq")) -> DataFrame:
@@ -24,32 +23,34 @@ def gc_pairs(events: DataFrame, order: Sequence[str] = ("t", "seq")) -> DataFram
     return stops.withColumn("duration", F.col(order[0]) - F.col("__before")["t"]).drop("__before", "phase")
 
 
-def gc_totals(pairs: DataFrame, cap: int = 2048) -> DataFrame:
-    """Collections, pause and object counts of each run; events past ``cap`` are counted as dropped but still summed."""
+def gc_totals(pairs: DataFrame, cap: int | None = None) -> DataFrame:
+    """Collections, pause and object counts of each run; events past ``cap``, where one is given, are counted as dropped but still summed."""
     out = pairs.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("total_collections"), F.sum("duration").alias("total_pause"),
         F.sum("collected").alias("collected"), F.sum("uncollectable").alias("uncollectable"))
-    return out.withColumn("dropped_events", F.greatest(F.lit(0), F.col("total_collections") - cap))
+    return out.withColumn("dropped_events", F.greatest(F.lit(0), F.col("total_collections") - cap) if cap is not None else F.lit(0).cast("long"))
 
 
-def first_events(events: DataFrame, order: Sequence[str], cap: int = 20_000) -> DataFrame:
-    """The first ``cap`` events of each run, with the number dropped."""
+def first_events(events: DataFrame, order: Sequence[str], cap: int | None = None) -> DataFrame:
+    """The first ``cap`` events of each run (all without one), with the number dropped."""
     out = top_k_with_rest(events, ["run_id"], [F.col(c).asc() for c in order], cap, {})
     return out.withColumnRenamed("omitted_rows", "dropped_events").drop("rank")
 
 
-def known_labels(events: DataFrame, order: Sequence[str], cap: int = MAX_LABELS) -> DataFrame:
-    """The first ``cap`` labels of each run in order of appearance, with how many were not admitted."""
+def known_labels(events: DataFrame, order: Sequence[str], cap: int | None = None) -> DataFrame:
+    """The first ``cap`` labels of each run in order of appearance (all without one), with how many were not admitted."""
     seen = events.groupBy("run_id", "label").agg(F.min(F.struct(*order)).alias("__first"))
     out = top_k_with_rest(seen, ["run_id"], [F.col("__first").asc(), F.col("label").asc()], cap, {})
     return out.select("run_id", "label", F.col("omitted_rows").alias("dropped_labels"))
 
 
-def _admitted(events: DataFrame, order: Sequence[str], cap: int) -> DataFrame:
+def _admitted(events: DataFrame, order: Sequence[str], cap: int | None) -> DataFrame:
+    if cap is None:
+        return events
     return events.join(known_labels(events, order, cap), ["run_id", "label"])
 
 
-def checkpoint_growth(checkpoints: DataFrame, order: Sequence[str] = ("t", "id"), budget: Column | None = None, cap: int = MAX_LABELS) -> DataFrame:
+def checkpoint_growth(checkpoints: DataFrame, order: Sequence[str] = ("t", "id"), budget: Column | None = None, cap: int | None = None) -> DataFrame:
     """Checkpoints whose owner graph grew by 64 KiB or more since the same label's previous one.
 
     With ``budget`` also whether the new size passes the declared memory budget (a projected risk, not an observed one).
@@ -68,7 +69,7 @@ def checkpoint_cycles(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.where(F.size("cycles") > 0).withColumn("severity", F.lit("information"))
 
 
-def repeated_copies(copies: DataFrame, order: Sequence[str] = ("t", "id"), cap: int = MAX_LABELS) -> DataFrame:
+def repeated_copies(copies: DataFrame, order: Sequence[str] = ("t", "id"), cap: int | None = None) -> DataFrame:
     """Labels whose first two copies were both distinct objects, the second of at least 64 KiB."""
     two = top_k(_admitted(copies, order, cap), ["run_id", "label"], [F.col(c).asc() for c in order], 2)
     per = two.groupBy("run_id", "label").agg(
@@ -112,8 +113,10 @@ def collection_confirmed(watched: DataFrame) -> DataFrame:
     return watched.withColumn("collected_confirmed", F.col("gc_registry_available") & ~F.col("weak_reference_alive") & ~F.col("gc_object_present"))
 
 
-def label_totals(requests: DataFrame, order: Sequence[str], cap: int = MAX_LABELS) -> DataFrame:
-    """Requests and payload bytes per label; labels past the cap are only counted."""
+def label_totals(requests: DataFrame, order: Sequence[str], cap: int | None = None) -> DataFrame:
+    """Requests and payload bytes per label; labels past the cap, where one is given, are only counted."""
+    if cap is None:
+        return requests.groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("requests"), F.sum("bytes").alias("requested_payload_bytes"), F.lit(0).cast("long").alias("dropped_labels"))
     known = known_labels(requests, order, cap)
     sums = requests.groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("requests"), F.sum("bytes").alias("requested_payload_bytes"))
     return sums.join(known, ["run_id", "label"])

@@ -1,16 +1,15 @@
-"""Owner graphs as node and edge tables: bounded breadth-first reachability, cycles, owner paths, footprint."""
+"""Owner graphs as node and edge tables: breadth-first reachability, cycles, owner paths, footprint."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
 from tracegrain.operators.scan import top_k
 from tracegrain.session import cut_lineage
 
-MAX_DEPTH = 12
-
 
 @dataclass(frozen=True)
 class Reach:
@@ -20,20 +19,20 @@ class Reach:
     complete: DataFrame
 
 
-def reach(roots: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int | None = None) -> Reach:
+def reach(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_nodes: int | None = None) -> Reach:
     """Nodes reachable from the roots, each once with the first path that finds it, level by level.
 
     A level is one join of the frontier with the edges, one reduction to the first path per new node and one anti-join with
     the nodes seen; each level is checkpointed, so lineage does not grow and the loop ends when a level is empty.
-    First means: fewest steps, then smallest path. A run is complete when nothing lay beyond the depth limit, nor past
-    ``max_nodes`` nodes in that order (the nodes past it are dropped only when it is given).
+    First means: fewest steps, then smallest path. All levels are walked unless ``max_depth`` is
+    given. A run is complete when nothing lay beyond it, nor past ``max_nodes`` nodes in that order (dropped only when that is given).
     """
     first = F.min(F.struct("path", "ancestors")).alias("best")
     frontier = roots.select("run_id", "node", F.col("label").alias("path"), F.array().cast("array<string>").alias("ancestors"))
     frontier = frontier.groupBy("run_id", "node").agg(first).select("run_id", "node", F.lit(0).alias("depth"), "best.*")
     frontier = cut_lineage(frontier)
     seen, levels = frontier.select("run_id", "node"), [frontier]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         steps = frontier.select("run_id", F.col("node").alias("src"), "path", F.array_append("ancestors", F.col("node")).alias("ancestors"))
         found = steps.join(edges, ["run_id", "src"]).select("run_id", F.col("dst").alias("node"), F.concat_ws(".", "path", "label").alias("path"), "ancestors")
         fresh = found.groupBy("run_id", "node").agg(first).join(seen, ["run_id", "node"], "left_anti")
@@ -45,7 +44,7 @@ def reach(roots: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, max_no
     nodes = levels[0]
     for level in levels[1:]:
         nodes = nodes.unionByName(level)
-    beyond = nodes.where(F.col("depth") == max_depth).join(
+    beyond = nodes.where(F.col("depth") == max_depth if max_depth is not None else F.lit(False)).join(
         edges.select("run_id", F.col("src").alias("node")), ["run_id", "node"], "left_semi").select("run_id").distinct().withColumn("__cut", F.lit(True))
     counts = nodes.groupBy("run_id").agg(F.count(F.lit(1)).alias("object_count")).join(beyond, "run_id", "left")
     fits = F.col("object_count") <= max_nodes if max_nodes is not None else F.lit(True)
@@ -55,8 +54,8 @@ def reach(roots: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, max_no
     return Reach(nodes, complete)
 
 
-def cycles(nodes: DataFrame, edges: DataFrame, shown: int = 100) -> DataFrame:
-    """Edges that lead back to an ancestor of their source (or to itself): the first ``shown`` of each run with the total.
+def cycles(nodes: DataFrame, edges: DataFrame, shown: int | None = None) -> DataFrame:
+    """Edges that lead back to an ancestor of their source (or to itself): the first ``shown`` of each run (all without one) with the total.
 
     A cycle is informational; it is not a leak.
     """

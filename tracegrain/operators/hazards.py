@@ -6,12 +6,12 @@ synchronization (array of lock_id, acquisition_id), expected, observed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tracegrain.operators.scan import scan, top_k
+from tracegrain.session import cut_lineage
 
-LOOKBACK = 100       # paired writes of a key that a new one is compared with
-BLOCK = 10_000       # consecutive paired writes compared in one task
+BLOCK = 1024  # consecutive paired writes that meet in one key of the join
 
 
 def paired_writes(accesses: DataFrame) -> DataFrame:
@@ -27,28 +27,28 @@ def paired_writes(accesses: DataFrame) -> DataFrame:
                     F.col("id").alias("write_id"), F.col("t").alias("write_t"), F.col("value").alias("write_value"), held.alias("locks"), literal.alias("literal"))
 
 
-def overlapping_pairs(pairs: DataFrame, lookback: int = LOOKBACK, block: int = BLOCK) -> DataFrame:
+def overlapping_pairs(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Two paired writes of one key by different actors that overlap, read the same and wrote the same changed literal.
 
-    Each write is compared with the ``lookback`` paired writes before it. A key's writes are cut into blocks of
-    consecutive writes, each block also receiving the last ``lookback`` of the block before, so a hot key spreads
-    over many tasks and no pair is lost.
+    The partners of a write are the writes before it that came after its read: with the writes of one key, read value and
+    written value numbered in order, a contiguous run of numbers. Where the run starts is the count of writes up to the read, from
+    one ordered scan. Runs meet the writes by blocks of consecutive numbers, so a hot key spreads over many tasks, and rows that share a
+    block but are not in the run are at most two blocks for each write.
     """
-    numbered = scan(pairs, ["run_id", "key"], ["write_t", "write_id"], row_number="rn")
-    at = F.floor((F.col("rn") - 1) / block).cast("long")
-    tail = (F.col("rn") - 1) % block >= block - lookback
-    spread = numbered.withColumn("__block", F.explode(F.when(tail, F.array(at, at + 1)).otherwise(F.array(at)))).withColumn("__own", F.col("__block") == at)
+    group = ["run_id", "key", "read_value", "write_value"]
+    used = pairs.where(F.col("literal") & (F.col("write_value") != F.col("read_value")))
+    marks = used.select(*group, F.col("write_t").alias("t"), F.lit(0).alias("kind"), "write_id").unionByName(
+        used.select(*group, F.col("read_t").alias("t"), F.lit(1).alias("kind"), "write_id"))
+    counted = scan(marks, group, ["t", "kind", "write_id"], run_sum={"n": 1 - F.col("kind")})
+    places = counted.groupBy(*group, "write_id").agg(F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("rn"), F.max(F.when(F.col("kind") == 1, F.col("n"))).alias("seen"))
     fields = ["actor", "read_id", "read_t", "read_value", "write_id", "write_t", "write_value", "locks", "literal"]
-    earlier = Window.partitionBy("run_id", "key", "__block").orderBy("rn").rowsBetween(-lookback, -1)
-
-    def conflicts(o: Column) -> Column:
-        return ((o["actor"] != F.col("actor")) & (F.col("read_t") < o["write_t"]) & (o["read_t"] < F.col("write_t"))
-                & F.col("literal") & o["literal"] & (o["read_value"] == F.col("read_value")) & (o["write_value"] == F.col("write_value"))
-                & (F.col("write_value") != F.col("read_value")) & ~F.arrays_overlap(o["locks"], F.col("locks")))
-
-    seen = spread.withColumn("__earlier", F.collect_list(F.struct(*fields)).over(earlier)).where("__own")
-    found = seen.withColumn("other", F.explode(F.filter("__earlier", conflicts)))
-    return found.select("run_id", "key", *fields, "other")
+    placed = cut_lineage(used.join(places, [*group, "write_id"]))
+    first, last = F.floor(F.col("seen") / block).cast("long"), F.floor((F.col("rn") - 2) / block).cast("long")
+    after = placed.where(F.col("rn") - F.col("seen") > 1).withColumn("__block", F.explode(F.sequence(first, last)))
+    before = placed.select(*group, F.col("rn").alias("__rn"), F.floor((F.col("rn") - 1) / block).cast("long").alias("__block"), F.struct(*fields).alias("other"))
+    met = after.join(before, [*group, "__block"]).where(
+        (F.col("__rn") > F.col("seen")) & (F.col("__rn") < F.col("rn")) & (F.col("other.actor") != F.col("actor")) & ~F.arrays_overlap("other.locks", "locks"))
+    return met.select("run_id", "key", *fields, "other")
 
 
 def last_outcomes(accesses: DataFrame) -> DataFrame:
@@ -57,9 +57,9 @@ def last_outcomes(accesses: DataFrame) -> DataFrame:
     return o.groupBy("run_id", "key").agg(F.max_by(F.struct("id", "expected", "observed"), F.struct("t", "id")).alias("outcome"))
 
 
-def lost_updates(accesses: DataFrame, lookback: int = LOOKBACK, block: int = BLOCK) -> DataFrame:
+def lost_updates(accesses: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per conflicting pair: confirmed where the key's last outcome differs from the expected one, else potential."""
-    found = overlapping_pairs(paired_writes(accesses), lookback, block)
+    found = overlapping_pairs(paired_writes(accesses), block)
     out = found.join(last_outcomes(accesses), ["run_id", "key"], "left")
     wrong = F.col("outcome").isNotNull() & ~F.col("outcome")["observed"].eqNullSafe(F.col("outcome")["expected"])
     ids = F.array(F.col("read_id"), F.col("other")["read_id"], F.col("other")["write_id"], F.col("write_id"))
@@ -70,7 +70,7 @@ def lost_updates(accesses: DataFrame, lookback: int = LOOKBACK, block: int = BLO
         F.when(wrong, F.concat(ids, F.array(F.col("outcome")["id"]))).otherwise(ids).alias("event_ids"))
 
 
-def shared_hazards(accesses: DataFrame, found: DataFrame, shown: int = 20) -> DataFrame:
+def shared_hazards(accesses: DataFrame, found: DataFrame, shown: int | None = None) -> DataFrame:
     """Keys with two or more actors and a write, no lost update found, and an access outside any critical section."""
     used = accesses.where(F.col("category").isin("shared_read", "shared_write"))
     shared = used.groupBy("run_id", "key").agg(
@@ -79,5 +79,5 @@ def shared_hazards(accesses: DataFrame, found: DataFrame, shown: int = 20) -> Da
     open_keys = shared.join(found.select("run_id", "key").distinct(), ["run_id", "key"], "left_anti")
     unprotected = used.where(F.size("synchronization") == 0).select("run_id", "key", "t", "id")
     first = top_k(unprotected, ["run_id", "key"], [F.col("t").asc(), F.col("id").asc()], shown)
-    events = first.groupBy("run_id", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("event_ids"))
+    events = first.groupBy("run_id", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "id"))), lambda x: x["id"]).alias("event_ids"))
     return events.join(open_keys, ["run_id", "key"], "left_semi").withColumn("status", F.lit("potential"))

@@ -57,8 +57,8 @@ def threads(samples: DataFrame, order: Sequence[str]) -> DataFrame:
     return samples.groupBy("run_id", "thread").agg(F.max_by("thread_name", F.struct(*order)).alias("thread_name"))
 
 
-def line_events(events: DataFrame, order: str, cap: int = 50_000) -> DataFrame:
-    """Executed-line counts; the first ``cap`` locations seen keep a row, the others are summed as dropped."""
+def line_events(events: DataFrame, order: str, cap: int | None = None) -> DataFrame:
+    """Executed-line counts; the first ``cap`` locations (all without one) seen keep a row, the others are summed as dropped."""
     counts = events.groupBy("run_id", "file", "line").agg(F.count(F.lit(1)).alias("line_events"), F.min(order).alias("__first"))
     kept = top_k_with_rest(counts, ["run_id"], [F.col("__first").asc(), F.col("file").asc(), F.col("line").asc()], cap,
                            {"dropped_events": "line_events"})

@@ -446,7 +446,7 @@ def lists_used_once(s: DataFrame) -> DataFrame:
     return _finding(m, "memory-swell.list-once", **_at(F.col("v")), subject=F.col("word"), args={"name": F.col("word"), "call": call, "use": F.col("use")})
 
 
-def function_work(s: DataFrame, calls: DataFrame, max_hops: int = 64) -> DataFrame:
+def function_work(s: DataFrame, calls: DataFrame) -> DataFrame:
     """Per function: does it loop over its input in Python, and does it or anything it calls in the file do I/O or native work?"""
     f, q = _kid("func"), F.coalesce("qual", F.lit(""))
     begins = lambda prefixes: q.rlike("^(" + "|".join(p.replace(".", r"\.") for p in prefixes) + ")")
@@ -456,7 +456,7 @@ def function_work(s: DataFrame, calls: DataFrame, max_hops: int = 64) -> DataFra
     # Functions that reach a busy one: walk the calls backwards, level by level.
     busy = cut_lineage(own.where("busy").select("path", "fn"))
     seen = busy
-    for _ in range(max_hops):
+    while True:
         step = busy.join(edges, ["path", "fn"]).select("path", F.col("caller").alias("fn")).distinct().join(seen, ["path", "fn"], "left_anti")
         busy = cut_lineage(step)
         if busy.isEmpty():
@@ -545,8 +545,8 @@ def rule_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("path").alias("files"))
 
 
-def symbols(sources: DataFrame) -> DataFrame:
-    """Per line: enclosing scope, assigned names, up to four called names, and the end line of a function that starts there."""
+def symbols(sources: DataFrame, most_calls: int | None = None) -> DataFrame:
+    """Per line: enclosing scope, assigned names, called names (the first ``most_calls`` where that is given), and the end line of a function that starts there."""
     s = cut_lineage(parse(sources)) if "kids" not in sources.columns else sources
     on_line = s.where(F.col("line").isNotNull())
     scope = on_line.groupBy("path", "line").agg(F.max_by("label", "node").alias("scope"))
@@ -565,7 +565,7 @@ def symbols(sources: DataFrame) -> DataFrame:
     decorators = s.where(F.col("field") == "decorator_list").groupBy("path", F.col("parent").alias("node")).agg(F.min("line").alias("__first"))
     ends = s.where(_is(FUNCTION_KINDS)).join(decorators, list(AT), "left").groupBy("path", F.least(F.col("line"), F.coalesce("__first", "line")).alias("line")).agg(
         F.max_by("end_line", "node").alias("function_end"))
-    out = scope.join(listed(assigned.unionByName(items), "assigns"), ["path", "line"], "left").join(listed(called, "calls", 4), ["path", "line"], "left")
+    out = scope.join(listed(assigned.unionByName(items), "assigns"), ["path", "line"], "left").join(listed(called, "calls", most_calls), ["path", "line"], "left")
     return out.join(ends, ["path", "line"], "left")
 
 

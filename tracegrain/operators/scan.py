@@ -205,13 +205,15 @@ def _split(rows: DataFrame, keys: list[str], order: list[str], wanted: list, row
 _PUSHED_LIMIT = 999  # Spark prunes ranked rows before the shuffle up to this many per group
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each group by a total order, with their 1-based rank.
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each group by a total order, with their 1-based rank; all rows, unranked, without a ``k``.
 
     Small k relies on Spark's group limit below the shuffle; larger k first ranks inside hash slices
     of the group, so no task orders a whole large group.
     """
     keys = list(keys)
+    if k is None:
+        return df
     if k > _PUSHED_LIMIT:
         slices = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         slice_of = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t]), F.lit(slices))
@@ -222,12 +224,16 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(outer)).where(F.col(rank) <= k)
 
 
-def top_k_with_rest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, measures: Mapping[str, str]) -> DataFrame:
-    """``top_k`` plus, on every kept row, the count and sums of what was left out of its group.
+def top_k_with_rest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, measures: Mapping[str, str]) -> DataFrame:
+    """``top_k`` plus, on every kept row, the count and sums of what was left out of its group: nothing without a ``k``.
 
     The remainder is the group total minus the kept rows, so the full group is never ranked.
     """
     keys = list(keys)
+    if k is None:
+        types = dict(df.dtypes)
+        zero = {name: F.lit(0).cast("double" if types[src] in ("double", "float") else "long") for name, src in measures.items()}
+        return df.withColumns({"omitted_rows": F.lit(0).cast("long"), **zero})
     kept = top_k(df, keys, order, k)
     totals = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__rows"), *[F.sum(src).alias(f"__t_{name}") for name, src in measures.items()])

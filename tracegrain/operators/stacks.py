@@ -26,8 +26,8 @@ def resolve_frames(ids: Column, frames: Column) -> Column:
     return F.transform(ids, lambda i: F.get(frames, i))
 
 
-def stack_totals(samples: DataFrame, order: Sequence[str], cap: int = 50_000, measure: str = "weight") -> DataFrame:
-    """Totals per (thread, name, stack): the first ``cap`` stacks seen are kept, the rest summed as dropped."""
+def stack_totals(samples: DataFrame, order: Sequence[str], cap: int | None = None, measure: str = "weight") -> DataFrame:
+    """Totals per (thread, name, stack): the first ``cap`` stacks seen are kept (all without one), the rest summed as dropped."""
     totals = samples.groupBy("run_id", "thread", "thread_name", "path").agg(
         F.sum(measure).alias(measure), F.count(F.lit(1)).alias("samples"), F.min(F.struct(*order)).alias("__first"))
     kept = top_k_with_rest(totals, ["run_id"], [F.col("__first").asc(), F.to_json("path").asc(), F.col("thread").asc()], cap,
@@ -103,8 +103,8 @@ def call_tree(samples: DataFrame, view: str = "all", inverted: bool = False, thr
     return out.withColumn("parent", F.when(F.col("depth") > 0, F.slice("node", F.lit(1), F.col("depth") - 1)))
 
 
-def group_members(samples: DataFrame, view: str = "grouped", thread: str | None = None, shown: int = 8) -> DataFrame:
-    """Frames each merged step stands for: their count and up to ``shown`` names."""
+def group_members(samples: DataFrame, view: str = "grouped", thread: str | None = None, shown: int | None = None) -> DataFrame:
+    """Frames each merged step stands for: their count and names, the first ``shown`` where that is given."""
     s = select_stacks(samples, thread).withColumn("__steps", display_path(F.col("path"), view))
     s = s.withColumn("__keys", F.transform("__steps", lambda x: x["key"]))
     d = s.select("run_id", "__keys", F.posexplode("__steps").alias("depth", "step"))
@@ -117,11 +117,13 @@ def group_members(samples: DataFrame, view: str = "grouped", thread: str | None
     return counts.join(names, ["run_id", "node"])
 
 
-def limit_tree(tree: DataFrame, limit: int = 25_000) -> DataFrame:
-    """The ``limit`` largest nodes; a cut child's value is shown as ``omitted`` on its kept parent.
+def limit_tree(tree: DataFrame, limit: int | None = None) -> DataFrame:
+    """The ``limit`` largest nodes (all without one); a cut child's value is shown as ``omitted`` on its kept parent.
 
     Ranked by value, then depth, so every kept node's ancestors are kept. value = self + omitted + children.
     """
+    if limit is None:
+        return tree.withColumn("omitted", F.lit(0).cast("long"))
     node_text = F.array_join("node", "\x1f")
     kept = top_k(tree.withColumn("__text", node_text), ["run_id"], [F.col("value").desc(), F.col("depth").asc(), F.col("__text").asc()], limit).drop("__text", "rank")
     keys = kept.select("run_id", "node")
@@ -154,7 +156,7 @@ def _function_paths(samples: DataFrame, thread: str | None, view: str, focus: Co
     return s.withColumn("__fns", fns).withColumn("__keys", F.transform("__fns", lambda x: x["key"])).select("run_id", "weight", "__fns", "__keys")
 
 
-def top_functions(samples: DataFrame, view: str = "all", thread: str | None = None, focus: Column | None = None, limit: int = 200,
+def top_functions(samples: DataFrame, view: str = "all", thread: str | None = None, focus: Column | None = None, limit: int | None = None,
                   functions: DataFrame | None = None) -> DataFrame:
     """Functions by self weight: self, total (once per stack, so recursion is not doubled), distinct callers.
 
@@ -181,7 +183,7 @@ def top_functions(samples: DataFrame, view: str = "all", thread: str | None = No
     return top_k(out, ["run_id"], [F.col("self").desc(), F.col("total").desc(), F.col("key").asc()], limit)
 
 
-def neighbors(samples: DataFrame, focus_key: Column, view: str = "all", thread: str | None = None, limit: int = 20) -> DataFrame:
+def neighbors(samples: DataFrame, focus_key: Column, view: str = "all", thread: str | None = None, limit: int | None = None) -> DataFrame:
     """Rows (role, key, name, value): the function itself, its self weight, its callers and its callees."""
     s = _function_paths(samples, thread, view, None).withColumn("__focus", focus_key)
     s = s.where(F.array_contains("__keys", F.col("__focus")))
@@ -199,5 +201,5 @@ def neighbors(samples: DataFrame, focus_key: Column, view: str = "all", thread:
     own = s.groupBy("run_id").agg(
         F.sum("weight").alias("function"), F.sum(F.when(F.get("__keys", n - 1) == F.col("__focus"), F.col("weight")).otherwise(F.lit(0))).alias("self"),
         F.first("__focus").alias("key"), F.min(shown_name(F.filter("__fns", lambda x: x["key"] == F.col("__focus"))[0]["frame"])).alias("name"))
-    own = own.unpivot(["run_id", "key", "name"], ["function", "self"], "role", "value").withColumn("rank", F.lit(1))
-    return own.unionByName(linked)
+    own = own.unpivot(["run_id", "key", "name"], ["function", "self"], "role", "value")
+    return (own if limit is None else own.withColumn("rank", F.lit(1))).unionByName(linked)

@@ -17,7 +17,7 @@ pw AS (SELECT key, actor, rid, rt, rv, id AS wid, t AS wt, literal AS wv, coales
 oc AS (SELECT key, arg_max(id, t) AS id, arg_max(expected, t) AS expected, arg_max(observed, t) AS observed FROM accesses WHERE category = 'shared_outcome' GROUP BY key),
 lost AS (SELECT a.key, CASE WHEN oc.expected <> oc.observed THEN 'confirmed' ELSE 'potential' END AS status, a.actor, b.actor AS other_actor, a.rid AS read_id, a.wid AS write_id,
     b.rid AS other_read_id, b.wid AS other_write_id
-  FROM pw a JOIN pw b ON a.key = b.key AND b.rn < a.rn AND a.rn - b.rn <= 100 AND a.actor <> b.actor AND a.rt < b.wt AND b.rt < a.wt AND a.rv = b.rv AND a.wv = b.wv AND a.wv <> a.rv
+  FROM pw a JOIN pw b ON a.key = b.key AND b.rn < a.rn AND a.actor <> b.actor AND a.rt < b.wt AND b.rt < a.wt AND a.rv = b.rv AND a.wv = b.wv AND a.wv <> a.rv
     AND NOT (a.locked AND b.locked) LEFT JOIN oc ON oc.key = a.key)"""
 
 
@@ -32,15 +32,15 @@ def lost_updates(spark, folder):
 
 
 _WIDE = """wide AS (SELECT event_id AS id, epoch_us(ts) AS t, 'u' || CAST(user_id AS VARCHAR) AS key, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 3 AS actor,
-  event_type = 'click' AS w, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) >= 80 AS locked FROM events WHERE event_type IN ('view', 'click') AND user_id % 3 = 0)"""
+  event_type = 'click' AS w, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) >= 80 AS locked FROM events WHERE event_type IN ('view', 'click'))"""
 
 
 @query("shared_hazards", f"""WITH {_WIDE},
 k AS (SELECT key FROM wide GROUP BY key HAVING count(DISTINCT actor) >= 2 AND bool_or(w)),
 u AS (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY t, id) AS rn FROM wide WHERE NOT locked)
-SELECT key, 'potential' AS status, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) AS events FROM u JOIN k USING (key) WHERE rn <= 20 GROUP BY key""")
+SELECT key, 'potential' AS status, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) AS events FROM u JOIN k USING (key) GROUP BY key""")
 def shared_hazards(spark, folder):
-    e = table(spark, folder, "events").where(F.col("event_type").isin("view", "click") & (F.col("user_id") % 3 == 0))
+    e = table(spark, folder, "events").where(F.col("event_type").isin("view", "click"))
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     lock = F.when(k >= 80, F.array(F.struct(F.lit("L").alias("lock_id"), F.col("event_id").alias("acquisition_id")))).otherwise(
         F.expr("cast(array() as array<struct<lock_id:string,acquisition_id:bigint>>)"))
@@ -52,12 +52,12 @@ def shared_hazards(spark, folder):
 
 
 @query("unsupported_confirmations", f"""WITH {_PAIRS},
-f AS (SELECT read_id, write_id, other_read_id, other_write_id, key FROM lost WHERE status = 'confirmed' AND write_id % 2 = 0)
+f AS (SELECT read_id, write_id, other_read_id, other_write_id, key FROM lost WHERE status = 'confirmed')
 SELECT CAST(write_id AS VARCHAR) || '-' || CAST(other_write_id AS VARCHAR) AS finding_id, CAST(CASE WHEN write_id % 4 = 0 THEN 0 ELSE 1 END AS BIGINT) AS "both" FROM f""")
 def unsupported_confirmations(spark, folder):
     """Confirmed rows with one event id taken away must be caught."""
     a = ad.accesses(spark, folder)
-    found = hazards.lost_updates(a).where((F.col("status") == "confirmed") & (F.col("write_id") % 2 == 0))
+    found = hazards.lost_updates(a).where(F.col("status") == "confirmed")
     # Keep one actor's pair, or only the two writes.
     broken = F.when(F.col("write_id") % 4 == 0, F.array("write_id", "other_write_id")).otherwise(F.array("read_id", "write_id"))
     f = found.select("run_id", F.concat_ws("-", "write_id", "other_write_id").alias("id"), "status", "key", broken.alias("event_ids"))
@@ -110,7 +110,7 @@ def first_events(spark, folder):
 
 
 _CHECKPOINTS = """cp AS (SELECT event_id AS id, epoch_us(ts) AS t, 'l' || CAST(user_id % 60 AS VARCHAR) AS label, CAST(floor(value * 1000) AS BIGINT) AS footprint, event_type <> 'error' AS distinct_result FROM events),
-lab AS (SELECT label FROM (SELECT label, row_number() OVER (ORDER BY min(t), label) AS rk FROM cp GROUP BY label) WHERE rk <= 50)"""
+lab AS (SELECT DISTINCT label FROM cp)"""
 
 
 def _checkpoints(spark, folder):
@@ -123,7 +123,7 @@ def _checkpoints(spark, folder):
 x AS (SELECT label, id, footprint, lag(footprint) OVER w AS before_bytes, lag(id) OVER w AS previous_id FROM cp WHERE label IN (SELECT label FROM lab) WINDOW w AS (PARTITION BY label ORDER BY t, id))
 SELECT label, id, previous_id, before_bytes, footprint AS after_bytes, footprint - before_bytes AS growth_bytes, footprint > 200000 AS over_budget FROM x WHERE footprint - before_bytes >= 65536""")
 def checkpoint_growth(spark, folder):
-    out = ops.checkpoint_growth(_checkpoints(spark, folder), budget=F.lit(200000), cap=50)
+    out = ops.checkpoint_growth(_checkpoints(spark, folder), budget=F.lit(200000))
     return out.select("label", "id", "previous_id", "before_bytes", "after_bytes", "growth_bytes", "over_budget")
 
 
@@ -132,13 +132,13 @@ x AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY t, id) AS rk FROM
 SELECT label, max(footprint) FILTER (WHERE rk = 1) AS first_bytes, max(footprint) FILTER (WHERE rk = 2) AS second_bytes, max(id) FILTER (WHERE rk = 2) AS id FROM x WHERE rk <= 2
 GROUP BY label HAVING count(*) = 2 AND bool_and(distinct_result) AND max(footprint) FILTER (WHERE rk = 2) >= 65536""")
 def repeated_copy(spark, folder):
-    return ops.repeated_copies(_checkpoints(spark, folder), cap=50).drop("run_id")
+    return ops.repeated_copies(_checkpoints(spark, folder)).drop("run_id")
 
 
-@query("label_totals", f"""WITH {_CHECKPOINTS} SELECT label, count(*) AS requests, CAST(sum(footprint) AS BIGINT) AS requested_payload_bytes, greatest(0, CAST((SELECT count(DISTINCT label) FROM cp) - 50 AS BIGINT)) AS dropped_labels
+@query("label_totals", f"""WITH {_CHECKPOINTS} SELECT label, count(*) AS requests, CAST(sum(footprint) AS BIGINT) AS requested_payload_bytes, CAST(0 AS BIGINT) AS dropped_labels
 FROM cp WHERE label IN (SELECT label FROM lab) GROUP BY label""")
 def label_totals(spark, folder):
-    return ops.label_totals(_checkpoints(spark, folder).withColumnRenamed("footprint", "bytes"), ["t", "id"], 50).drop("run_id")
+    return ops.label_totals(_checkpoints(spark, folder).withColumnRenamed("footprint", "bytes"), ["t", "id"]).drop("run_id")
 
 
 @query("retained_after_cleanup", """WITH e AS (SELECT event_id AS id, epoch_us(ts) AS t, user_id AS label, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events WHERE event_type IN ('signup', 'purchase')),
@@ -172,8 +172,7 @@ def _sites(spark, folder):
 
 @query("alloc_sites", f"""WITH {_SITES}, r AS (SELECT *, row_number() OVER (ORDER BY f, thread_id, site) AS rk FROM sites)
 SELECT thread_id, site, requested_bytes, allocation_count, f AS first_event_sequence, l AS last_event_sequence,
-CAST((SELECT coalesce(sum(requested_bytes), 0) FROM r WHERE rk > 2048) AS BIGINT) AS omitted_bytes, CAST((SELECT coalesce(sum(allocation_count), 0) FROM r WHERE rk > 2048) AS BIGINT) AS omitted_allocations,
-(SELECT count(*) FROM r WHERE rk > 2048) AS omitted_sites, (SELECT count(*) FROM r) <= 2048 AS summary_complete FROM r WHERE rk <= 2048""")
+CAST(0 AS BIGINT) AS omitted_bytes, CAST(0 AS BIGINT) AS omitted_allocations, CAST(0 AS BIGINT) AS omitted_sites, true AS summary_complete FROM r""")
 def alloc_sites(spark, folder):
     return alloc.capped_sites(_sites(spark, folder), _KEYS).drop("run_id")
 
@@ -188,7 +187,7 @@ def alloc_totals(spark, folder):
 
 @query("alloc_outstanding", f"""WITH {ad.SQL_ALLOCATIONS},
 s AS (SELECT thread_id, site, domain, min(sequence) AS f FROM allocations GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY f, thread_id, site, domain) AS rk FROM s)
-SELECT o.thread_id, o.site, o.domain, CAST(sum(size) AS BIGINT) AS outstanding_bytes, count(*) AS outstanding_blocks, k.rk <= 2048 AS site_kept
+SELECT o.thread_id, o.site, o.domain, CAST(sum(size) AS BIGINT) AS outstanding_bytes, count(*) AS outstanding_blocks, true AS site_kept
 FROM allocations o JOIN k ON o.thread_id = k.thread_id AND o.site = k.site AND o.domain = k.domain WHERE outstanding GROUP BY o.thread_id, o.site, o.domain, k.rk""")
 def alloc_outstanding(spark, folder):
     keys = ("run_id", "thread_id", "site", "domain")
@@ -222,7 +221,7 @@ d AS (SELECT thread AS which, array_to_string(path, '>') AS stack, CAST(sum(weig
 SELECT which, stack, bytes, row_number() OVER (PARTITION BY which ORDER BY bytes DESC) AS rank FROM d QUALIFY rank <= 10""")
 def snapshot_stacks(spark, folder):
     s = ad.stacks(spark, folder).groupBy("run_id", F.col("thread").alias("which"), "path").agg(F.sum("weight").alias("bytes"))
-    _, top = alloc.snapshot_tables(s)
+    _, top = alloc.snapshot_tables(s, top=10)
     return top.select("which", F.array_join(F.transform("path", lambda f: f["name"]), ">").alias("stack"), "bytes", F.col("rank").cast("long").alias("rank"))
 
 
@@ -238,19 +237,19 @@ def _reach(spark, folder):
     return graph_ops.reach(roots, edges), nodes, edges
 
 
-@query("owner_paths", _BFS + " SELECT node, path, CAST(depth AS INTEGER) AS depth FROM first WHERE node LIKE 'o%7' OR node LIKE 'c%'")
+@query("owner_paths", _BFS + " SELECT node, path, CAST(depth AS INTEGER) AS depth FROM first WHERE node LIKE 'o%' OR node LIKE 'c%'")
 def owner_paths(spark, folder):
     reached, nodes, _ = _reach(spark, folder)
-    targets = nodes.where("(type = 'order' and node like 'o%7') or type = 'customer'").select("run_id", "node")
+    targets = nodes.where("type in ('order', 'customer')").select("run_id", "node")
     return graph_ops.owner_paths(reached.nodes, targets).drop("run_id")
 
 
 @query("cycles", _BFS + """, c AS (SELECT e.dst AS object, f.path || '.' || e.dst AS path, f.depth + 1 AS depth FROM first f JOIN edges e ON e.src = f.node
   WHERE f.node LIKE 'o%' AND list_contains(string_split(f.path, '.'), e.dst))
-SELECT object, path, CAST(depth AS INTEGER) AS depth, (SELECT count(*) FROM c) AS cycles FROM c QUALIFY row_number() OVER (ORDER BY depth, path) <= 100""")
+SELECT object, path, CAST(depth AS INTEGER) AS depth, (SELECT count(*) FROM c) AS cycles FROM c""")
 def cycles(spark, folder):
     reached, _, edges = _reach(spark, folder)
-    return graph_ops.cycles(reached.nodes, edges).drop("run_id", "rank")
+    return graph_ops.cycles(reached.nodes, edges).drop("run_id")
 
 
 @query("footprint", _BFS + """ SELECT n.type, count(*) AS objects, CAST(sum(n.bytes) AS BIGINT) AS bytes, true AS complete FROM nodes n JOIN first f USING (node) GROUP BY n.type""")

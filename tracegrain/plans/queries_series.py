@@ -82,11 +82,11 @@ def top_lines(spark, folder):
     return line_ops.top_lines(l).select("run_id", "file", "line", "time_s", F.col("rank").cast("long").alias("rank"))
 
 
-@query("locations", f"""WITH {ad.SQL_SAMPLES} SELECT DISTINCT run_id, file, line FROM samples WHERE weight > 20000
+@query("locations", f"""WITH {ad.SQL_SAMPLES} SELECT DISTINCT run_id, file, line FROM samples WHERE file <> 'error'
 UNION SELECT DISTINCT run_id, file, line + 1000 FROM samples""")
 def locations(spark, folder):
     s = ad.samples(spark, folder)
-    return line_ops.locations(s.where(F.col("weight") > 20000), s.withColumn("line", F.col("line") + 1000))
+    return line_ops.locations(s.where(F.col("file") != "error"), s.withColumn("line", F.col("line") + 1000))
 
 
 @query("inside_function", f"""WITH {ad.SQL_SAMPLES},
@@ -253,7 +253,7 @@ r AS (SELECT s.*, CASE WHEN g.growing THEN 'growing' WHEN e >= 1 THEN 'retained'
 SELECT line, snapshots, rises, releases, CAST(peak AS DOUBLE) AS peak, CAST(e AS DOUBLE) AS "end", status, reaches_end,
 row_number() OVER (ORDER BY CASE status WHEN 'growing' THEN 0 WHEN 'retained' THEN 1 ELSE 2 END, peak DESC, e DESC, line) AS rank FROM r QUALIFY rank <= 200""")
 def retention_window(spark, folder):
-    d = ret.diagnose_window(ad.retention_points(spark, folder), 23960, 23990)
+    d = ret.diagnose_window(ad.retention_points(spark, folder), 23960, 23990, limit=200)
     return d.select("line", "snapshots", "rises", "releases", "peak", "end", "status", "reaches_end", F.col("rank").cast("long").alias("rank"))
 
 
@@ -272,12 +272,12 @@ def peak_snapshot(spark, folder):
 
 @query("holders", f"""WITH {ad.SQL_SAMPLES},
 i AS (SELECT run_id, file, line, 'u' || CAST(thread AS VARCHAR) AS holder FROM samples),
-m AS (SELECT run_id, file, line, holder, count(*) AS matching FROM i WHERE line % 9 = 0 GROUP BY ALL), z AS (SELECT run_id, holder, count(*) AS items FROM i GROUP BY ALL)
+m AS (SELECT run_id, file, line, holder, count(*) AS matching FROM i GROUP BY ALL), z AS (SELECT run_id, holder, count(*) AS items FROM i GROUP BY ALL)
 SELECT run_id, file, line, holder, matching, items, row_number() OVER (PARTITION BY run_id, file, line ORDER BY matching DESC, holder) AS rank FROM m JOIN z USING (run_id, holder) QUALIFY rank <= 3""")
 def holders(spark, folder):
     s = ad.samples(spark, folder)
     items = s.select("run_id", "file", "line", F.concat(F.lit("u"), F.col("thread").cast("string")).alias("holder"), F.lit("list").alias("type"))
-    return ret.holders(items, s.where(F.col("line") % 9 == 0)).drop("type").withColumn("rank", F.col("rank").cast("long"))
+    return ret.holders(items, s, shown=3).drop("type").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("sized_from_sample", """SELECT o_custkey AS holder, count(*) AS items,

@@ -47,7 +47,7 @@ def call_tree(spark, folder):
 
 @query("call_tree_mine", f"""WITH {_DISTINCT}, v AS (SELECT [path[1], path[4]] AS p, sum(w) AS w FROM d GROUP BY 1) {_TREE_SQL}""")
 def call_tree_mine(spark, folder):
-    return _tree(ops.call_tree(ad.stacks(spark, folder), view="mine"))
+    return _tree(ops.call_tree(ad.stacks(spark, folder), view="mine", limit=200))
 
 
 @query("call_tree_grouped", f"""WITH {_DISTINCT},
@@ -76,7 +76,7 @@ def focus_tree(spark, folder):
 @query("group_members", f"""WITH {_DISTINCT},
 m AS (SELECT DISTINCT path[1] AS region, unnest([path[2], path[3]]) AS member FROM d)
 SELECT region || '>geo (installed package)' AS node, count(*) AS members,
-       array_to_string(list_sort(list(member))[1:8], ',') AS names FROM m GROUP BY region""")
+       array_to_string(list_sort(list(member)), ',') AS names FROM m GROUP BY region""")
 def group_members(spark, folder):
     out = ops.group_members(ad.stacks(spark, folder))
     names = F.transform("node", lambda k: F.coalesce(F.get_json_object(k, "$.name"), F.substring_index(k, "|", -1)))
@@ -123,12 +123,12 @@ _TIE = """CASE WHEN x.name IN (SELECT r_name FROM region) THEN '/app/main.py' WH
 
 @query("top_functions", f"WITH {_DISTINCT}, v AS (SELECT path AS p, w FROM d), {_FUNCTIONS.format(tie=_TIE)}")
 def top_functions(spark, folder):
-    return _functions(ops.top_functions(ad.stacks(spark, folder)))
+    return _functions(ops.top_functions(ad.stacks(spark, folder), limit=200))
 
 
 @query("top_functions_mine", f"""WITH {_DISTINCT}, v AS (SELECT [path[1], path[4]] AS p, w FROM d), {_FUNCTIONS.format(tie=_TIE)}""")
 def top_functions_mine(spark, folder):
-    return _functions(ops.top_functions(ad.stacks(spark, folder), view="mine"))
+    return _functions(ops.top_functions(ad.stacks(spark, folder), view="mine", limit=200))
 
 
 def _functions(df):
@@ -139,7 +139,7 @@ def _functions(df):
 f AS (SELECT * FROM d WHERE path[3] = 'BUILDING')
 SELECT 'function' AS role, 'BUILDING' AS name, CAST(sum(w) AS BIGINT) AS value FROM f
 UNION ALL SELECT 'self', 'BUILDING', CAST(0 AS BIGINT)
-UNION ALL SELECT * FROM (SELECT 'caller', path[2], CAST(sum(w) AS BIGINT) AS v FROM f GROUP BY 2 ORDER BY v DESC LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'caller', path[2], CAST(sum(w) AS BIGINT) AS v FROM f GROUP BY 2)
 UNION ALL SELECT 'callee', path[4], CAST(sum(w) AS BIGINT) FROM f GROUP BY 2""")
 def neighbors(spark, folder):
     frame = F.struct(F.lit("/venv/lib/site-packages/geo/mkt.py").alias("file"), F.lit(8).alias("first_line"), F.lit("BUILDING").alias("name"))

@@ -78,4 +78,4 @@ def stream_lost_updates(spark, folder):
                  F.timestamp_micros(ad.micros("ts")).alias("at"), (F.col("user_id") % 5).alias("actor"),
                  F.when(F.col("event_type") == "view", "shared_read").otherwise("shared_write").alias("category"), F.lit("literal").alias("kind"),
                  (F.floor("value").cast("long") % 3).cast("string").alias("value"), lock.alias("locks"))
-    return drain(monitors.lost_updates(e))
+    return drain(monitors.lost_updates(e, "0 seconds"))

@@ -64,25 +64,25 @@ def overview(profiles: DataFrame, runs: DataFrame, lines: DataFrame) -> DataFram
 
 
 def build_report(profiles: DataFrame, metric: str = "elapsed", view: str = "all", inverted: bool = False, thread: str | None = None, focus: Column | None = None,
-                 window: tuple[float, float] | None = None, depth: int | None = None, comparison: DataFrame | None = None) -> DataFrame:
-    """(run_id, report): everything the report shows, bounded per run (25,000 tree nodes, 200 functions, diagnoses and phases)."""
+                 window: tuple[float, float] | None = None, depth: int | None = None, comparison: DataFrame | None = None, rows: int = 200, nodes: int | None = None) -> DataFrame:
+    """(run_id, report): what the report shows. Its tables are top lists of `rows` functions, diagnoses and phases of a run; the tree is whole unless `nodes` is given."""
     profiles = cut_lineage(profiles)  # every section reads the parsed documents
     runs = cut_lineage(run_facts(profiles))
     lines = cut_lineage(line_facts(profiles, runs))
     points, holders = src.retention_points(profiles), src.held_by(profiles)
     if window:
-        found = retention.diagnose_window(points, *window, holders).select("run_id", "file", "line", "status", "end", "peak", "holders", "rank")
+        found = retention.diagnose_window(points, *window, holders, limit=rows).select("run_id", "file", "line", "status", "end", "peak", "holders", "rank")
     else:
-        found = retention.diagnose(lines, runs, points, holders).select("run_id", "file", "line", "status", "end", "peak", "holders", "rank", "evidence", "recommendations")
+        found = retention.diagnose(lines, runs, points, holders, limit=rows).select("run_id", "file", "line", "status", "end", "peak", "holders", "rank", "evidence", "recommendations")
     diagnoses = listed(found, "diagnoses", [F.col("rank")], *[c for c in found.columns if c not in ("run_id", "rank")])
     counts = found.groupBy("run_id").agg(F.count(F.lit(1)).alias("diagnosis_count"), F.count_if(F.col("status") == "growing").alias("growing_count"))
     s = cut_lineage(weighted(profiles, metric))
     full = stacks.call_tree(s, view, inverted, thread, focus)
-    tree = listed(stacks.limit_tree(full), "tree", [F.col("depth"), -F.col("value"), F.array_join("node", ">")], "node", "parent", "depth", "name", "kind", "value", "self", "omitted")
+    tree = listed(stacks.limit_tree(full, nodes), "tree", [F.col("depth"), -F.col("value"), F.array_join("node", ">")], "node", "parent", "depth", "name", "kind", "value", "self", "omitted")
     memory = src.functions(profiles).select("run_id", "file", "first_line", "peak_mb").join(runs.where("precise").select("run_id"), "run_id", "left_semi")
-    fns = stacks.top_functions(s, "mine" if view == "mine" else "all", thread, focus, functions=memory)
+    fns = stacks.top_functions(s, "mine" if view == "mine" else "all", thread, focus, limit=rows, functions=memory)
     functions = listed(fns, "functions", [F.col("rank")], *[c for c in fns.columns if c not in ("run_id", "rank")])
-    ph = top_k(run_phases(profiles, runs, depth), ["run_id"], [F.col("from").asc(), F.col("phase").asc()], 200)
+    ph = top_k(run_phases(profiles, runs, depth), ["run_id"], [F.col("from").asc(), F.col("phase").asc()], rows)
     phases = listed(ph, "phases", [F.col("rank")], "depth", "key", "name", "file", "line", "from", "to", "seconds", "peak_traced_mb", "peak_rss_mb", "new_rss_mb")
     who = listed(threads(src.stack_samples(profiles), ["i"]), "threads", [F.col("thread")], "thread", "thread_name")
     parts = [overview(profiles, runs, lines), diagnoses, counts, tree, functions, phases, who]

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tracegrain.functions.paths import text_hash
 
 
-def scan_sources(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text, sha1) of the Python files below a folder; hidden folders and node_modules are left out."""
-    files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,pyw}")
+def scan_sources(spark: SparkSession, root: str, pattern: str = "*.{py,pyw}") -> DataFrame:
+    """(path, text, sha1) of the source files below a folder, Python's unless told otherwise; hidden folders and node_modules are left out."""
+    files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
              .text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     below = F.regexp_replace("path", F.lit("^.*?" + root.rstrip("/").replace(".", r"\.") + "/"), F.lit(""))
     hidden = below.rlike(r"(^|/)(\.[^/]+|node_modules)/")
@@ -23,6 +23,11 @@ def file_digest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
 
 
 def row_digest(df: DataFrame) -> DataFrame:
-    """Row count and an order-free content hash of a table."""
-    row = F.xxhash64(*[F.col(c) if not isinstance(t.dataType, T.MapType) else F.to_json(c) for c, t in ((f.name, f) for f in df.schema)])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("digest"))
+    """Row count and an order-free content digest of a table: 60 bits of the MD5 of each row's text, summed.
+
+    A row's text is its columns by name, cast to text and joined by the unit separator, null as ``\\N``: any engine can compute it.
+    """
+    columns = [F.to_json(c) if isinstance(t, T.MapType) else F.col(f"`{c}`").cast("string") for c, t in sorted(((f.name, f.dataType) for f in df.schema), key=lambda x: x[0])]
+    text = F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\\N")) for c in columns])
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(number).cast("string").alias("digest"))

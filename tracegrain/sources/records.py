@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tracegrain.schemas import CSV_SUMMARY, RAW, RAW_FIELDS
 
 
-def read_raw(spark: SparkSession, folder: str) -> DataFrame:
+def read_raw(spark: SparkSession, folder: str, files: str = "page-*") -> DataFrame:
     """JSON Lines pages as strings; a malformed line fails the read."""
-    return spark.read.schema(RAW).option("mode", "FAILFAST").option("pathGlobFilter", "page-*").json(folder)
+    return spark.read.schema(RAW).option("mode", "FAILFAST").option("pathGlobFilter", files).json(folder)
 
 
-def read_raw_strict(spark: SparkSession, folder: str) -> DataFrame:
+def read_raw_strict(spark: SparkSession, folder: str, files: str = "page-*") -> DataFrame:
     """As ``read_raw``, and a field outside the schema also fails the read."""
-    lines = spark.read.option("pathGlobFilter", "page-*").text(folder)
+    lines = spark.read.option("pathGlobFilter", files).text(folder)
     return parse_strict(lines, F.col("value"))
 
 

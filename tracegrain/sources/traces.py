@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracegrain.schemas import EVENT
+from tracegrain.schemas import ALLOCATION, EVENT
 
-TRACE_ORDER = ("timestamp_s", "trace_path", "id")
 
 
 def read_event_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -15,9 +14,20 @@ def read_event_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return e.withColumn("payload", F.try_parse_json("payload"))
 
 
+def trace_order() -> list:
+    """Time, file, then the event's number in its process: ids are ``pid:number``, and 9 comes before 10."""
+    number = F.try_element_at(F.split("id", ":"), F.lit(-1)).try_cast("long")
+    return [F.col("timestamp_s"), F.col("trace_path"), F.col("pid"), number, F.col("id")]
+
+
+def read_allocations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Allocation records: JSON Lines, one record per line; a malformed line fails the read."""
+    return spark.read.schema(ALLOCATION).option("mode", "FAILFAST").json(paths)
+
+
 def merge_traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Events of all files in time order; only traces of one host share a clock."""
-    return read_event_traces(spark, paths).orderBy(*TRACE_ORDER)
+    return read_event_traces(spark, paths).orderBy(*trace_order())
 
 
 def accesses(events: DataFrame, run: str = "trace") -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracegrain.operators.events import LEAST_BYTES
-from tracegrain.operators.hazards import LOOKBACK
 
 
 def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
@@ -107,10 +106,10 @@ def gc_pairs(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 
 class _LostUpdates(StatefulProcessor):
-    """Events wait until the watermark has passed them, so they are compared in event order however they arrived."""
+    """Events wait until the watermark has passed them, so they are compared in event order however they arrived.
 
-    def __init__(self, lookback: int):
-        self.lookback = lookback
+    A write is kept only while a read from before it is open: later reads cannot overlap it, so nothing is lost when it is let go.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         event = "id bigint, t bigint, at_ms bigint, actor bigint, category string, kind string, value string, locks string"
@@ -139,8 +138,7 @@ class _LostUpdates(StatefulProcessor):
         out = []
         for e in ready:
             kept = self._step(key, e, kept, out)
-        if kept:
-            self.writes.put(kept)
+        self.writes.put(kept) if kept else self.writes.clear()
         if out:
             yield pd.DataFrame(out, columns=["key", "actor", "other_actor", "read_id", "write_id", "other_read_id", "other_write_id"])
 
@@ -160,23 +158,25 @@ class _LostUpdates(StatefulProcessor):
             if (o[0] != e[3] and overlap and mine[8] and o[8] and o[3] == read[6] and o[6] == e[6] and e[6] != read[6]
                     and not covered & set(filter(None, o[7].split(",")))):
                 out.append((key[0], e[3], o[0], read[0], e[0], o[1], o[4]))
-        return [*kept, mine][-self.lookback:]
+        open_since = min((int(r[1]) for r in self.reads.values()), default=None)
+        return [] if open_since is None else [w for w in (*kept, mine) if w[5] > open_since]
 
     def close(self) -> None:
         pass
 
 
-def lost_updates(events: DataFrame, event_time: str = "at", delay: str = "0 seconds", lookback: int = LOOKBACK) -> DataFrame:
+def lost_updates(events: DataFrame, delay: str, event_time: str = "at") -> DataFrame:
     """Conflicting pairs of paired writes. ``events``: key, id, t, at (timestamp), actor, category, kind, value, locks.
 
-    ``locks`` lists ``lock#acquisition`` joined by commas. Rows later than the watermark are dropped by Spark.
+    ``locks`` lists ``lock#acquisition`` joined by commas. Rows that arrive more than
+    ``delay`` behind the latest event are dropped by Spark.
     """
     from pyspark.sql import functions as F
 
     e = events.where(F.col("category").isin("shared_read", "shared_write")).withWatermark(event_time, delay)
     e = e.withColumn("at_ms", F.unix_millis(F.col(event_time)))
     return e.groupBy("key").transformWithStateInPandas(
-        _LostUpdates(lookback), "key string, actor bigint, other_actor bigint, read_id bigint, write_id bigint, other_read_id bigint, other_write_id bigint", "Append", "EventTime")
+        _LostUpdates(), "key string, actor bigint, other_actor bigint, read_id bigint, write_id bigint, other_read_id bigint, other_write_id bigint", "Append", "EventTime")
 
 
 class _Spikes(StatefulProcessor):
@@ -239,6 +239,6 @@ class _Capped(StatefulProcessor):
         pass
 
 
-def first_events(events: DataFrame, cap: int = 20_000) -> DataFrame:
+def first_events(events: DataFrame, cap: int) -> DataFrame:
     """``events``: run_id, seq. The first ``cap`` events of a run, and counter rows with the number dropped so far."""
     return events.groupBy("run_id").transformWithStateInPandas(_Capped(cap), "run_id string, seq bigint, counter boolean, dropped_events bigint", "Append", "None")
