@@ -72,7 +72,9 @@ def test_symbols_of_lines(spark):
     got = {r["line"]: r for r in rules.symbols(spark.createDataFrame([("a.py", text)], "path string, text string")).collect()}
     assert got[1]["function_end"] == 6 and got[3]["assigns"] == ["r"] and got[3]["scope"] == "f()"
     assert got[4]["assigns"] == ["self.a[…]", "b"] and got[4]["calls"] == ["g", "h"] and got[5]["assigns"] == ["q"]
-    assert got[6]["calls"] == ["a.b", "c", "d", "e"]
+    assert got[6]["calls"] == ["a.b", "c", "d", "e", "k"]
+    few = rules.symbols(spark.createDataFrame([("a.py", text)], "path string, text string"), most_calls=4).where("line = 6").first()
+    assert few["calls"] == ["a.b", "c", "d", "e"]
 
 
 def test_scopes_from_syntax(spark):
