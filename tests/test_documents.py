@@ -32,7 +32,7 @@ def test_summary_and_report(spark, tmp_path):
 def test_annotations(spark):
     rows = report.annotations(frame_of(spark, [("a", profile())])).collect()
     kinds = {(r["line"], r["kind"]): r for r in rows}
-    assert kinds[3, "line"]["hot"] and "suspected growing retention: 60.0 MB held by global rows" in kinds[3, "line"]["text"]
+    assert kinds[3, "line"]["hot"] and "growing: 60.0 MB held by global rows" in kinds[3, "line"]["text"]
     assert (3, "leak") in kinds and (14, "line") in kinds and kinds[8, "function"]["text"].startswith("Σ left(): 1.00 s")
 
 

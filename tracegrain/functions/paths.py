@@ -56,6 +56,14 @@ def function_key(frame: Column) -> Column:
     return F.to_json(F.struct(frame["file"].alias("file"), frame["first_line"].alias("first_line"), frame["name"].alias("name")))
 
 
+# Labels and details of frame origins in the tree's output.
+INTERNALS, BUILT_IN = "Python internals", "built into the interpreter ("
+YOURS = "your code"
+EVALUATED, NO_FILE = "code run with exec() or eval()", "compiled at runtime, so there is no file to open"
+GENERATED, AT_RUNTIME = "generated code", "created at runtime ("
+INSTALLED, STANDARD, OUTSIDE, MODULE = " (installed package)", " (standard library)", " (outside your project)", "module "
+
+
 def frame_origin(file: Column, user: Column, line: Column) -> Column:
     """struct(kind, label, detail): whose code a frame is, judged from its path alone."""
     path = norm_path(file)
@@ -70,22 +78,22 @@ def frame_origin(file: Column, user: Column, line: Column) -> Column:
     def made(kind: str, label: Column, detail: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), label.alias("label"), detail.alias("detail"))
 
-    known_label, known_detail = F.lit("Python internals"), F.concat(F.lit("built into the interpreter ("), frozen, F.lit(")"))
+    known_label, known_detail = F.lit(INTERNALS), F.concat(F.lit(BUILT_IN), frozen, F.lit(")"))
     for name, (label, detail) in FROZEN_MODULES.items():
         known_label = F.when(frozen == name, F.lit(label)).otherwise(known_label)
         known_detail = F.when(frozen == name, F.lit(detail)).otherwise(known_detail)
     nothing = F.lit("")
     return (
-        F.when(user, made("user", F.concat(shown, F.lit(":"), line.cast("string")), F.lit("your code")))
+        F.when(user, made("user", F.concat(shown, F.lit(":"), line.cast("string")), F.lit(YOURS)))
         .when(frozen != "", made("internal", known_label, known_detail))
-        .when(path == "<string>", made("internal", F.lit("code run with exec() or eval()"),
-                                       F.lit("compiled at runtime, so there is no file to open")))
-        .when(path.startswith("<"), made("internal", F.lit("generated code"),
-                                         F.concat(F.lit("created at runtime ("), F.regexp_replace(path, "^<|.$", ""), F.lit(")"))))
-        .when(package != "", made("library", F.concat(F.regexp_replace(package, r"\.py$", ""), F.lit(" (installed package)")), nothing))
-        .when(std != "", made("stdlib", F.concat(top, F.lit(" (standard library)")),
-                              F.when(module == top, nothing).otherwise(F.concat(F.lit("module "), module))))
-        .otherwise(made("library", F.concat(base, F.lit(" (outside your project)")), nothing))
+        .when(path == "<string>", made("internal", F.lit(EVALUATED),
+                                       F.lit(NO_FILE)))
+        .when(path.startswith("<"), made("internal", F.lit(GENERATED),
+                                         F.concat(F.lit(AT_RUNTIME), F.regexp_replace(path, "^<|.$", ""), F.lit(")"))))
+        .when(package != "", made("library", F.concat(F.regexp_replace(package, r"\.py$", ""), F.lit(INSTALLED)), nothing))
+        .when(std != "", made("stdlib", F.concat(top, F.lit(STANDARD)),
+                              F.when(module == top, nothing).otherwise(F.concat(F.lit(MODULE), module))))
+        .otherwise(made("library", F.concat(base, F.lit(OUTSIDE)), nothing))
     )
 
 

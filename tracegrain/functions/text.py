@@ -43,7 +43,7 @@ def line_label(time_s: Column, share: Column, split: Column, precise: Column, pe
     held = F.when(precise & (peak_mb >= 1), F.concat(F.lit("▲ held "), mb_text(peak_mb), into))
     by = F.when(F.size(F.coalesce(holders, F.array().cast("array<string>"))) > 0,
                 F.concat(F.lit(" by "), F.array_join(holders, ", "))).otherwise(F.lit(""))
-    grows = F.when(growing, F.concat(F.lit("⚠ suspected growing retention: "), mb_text(F.coalesce(end_mb, F.lit(0.0))), F.lit(" held"), by))
+    grows = F.when(growing, F.concat(F.lit("⚠ growing: "), mb_text(F.coalesce(end_mb, F.lit(0.0))), F.lit(" held"), by))
     return F.array_join(F.array_compact(F.array(timing, held, grows)), "   ")
 
 
@@ -57,11 +57,11 @@ def function_label(name: Column, time_s: Column, split: Column, held_mb: Column)
 def evidence(heat_of_line: Column, share: Column, memory_mb: Column, growing: Column) -> Column:
     """What a run says about a statically found line."""
     bits = F.array_compact(F.array(
-        F.concat(percent_text(share), F.lit(" of runtime")),
-        F.when(memory_mb >= 1, mb_text(memory_mb)),
-        F.when(growing, F.lit("suspected growing retention"))))
-    return (F.when((heat_of_line == "hot") & share.isNotNull(), F.concat(F.lit("Measured in last profile: "), F.array_join(bits, ", "), F.lit(".")))
-            .when(heat_of_line == "cold", F.lit("No runtime samples recorded here; execution is unconfirmed."))
+        F.concat(F.lit("time "), percent_text(share)),
+        F.when(memory_mb >= 1, F.concat(F.lit("memory "), mb_text(memory_mb))),
+        F.when(growing, F.lit("still growing"))))
+    return (F.when((heat_of_line == "hot") & share.isNotNull(), F.concat(F.lit("hot: "), F.array_join(bits, ", ")))
+            .when(heat_of_line == "cold", F.lit("cold: the sampler never saw this line, which may mean it never ran"))
             .otherwise(F.lit("")))
 
 
@@ -76,12 +76,10 @@ def leak_message(scope: Column, subject: Column, holders: Column, leak_runs: Col
     named = F.transform(holders, lambda h: F.concat(F.lit("`"), h["holder"], F.lit("` ("), h["type"], F.lit(", "), h["items"].cast("string"),
                                                    F.when(h["items"] == 1, F.lit(" item)")).otherwise(F.lit(" items)"))))
     any_holder = F.size(F.coalesce(named, F.array().cast("array<string>"))) > 0
-    held = F.when(any_holder, F.concat(F.lit("is still referenced by "), F.array_join(named, " and "))).otherwise(F.lit("was still held (holder not found)"))
-    advice = F.when(any_holder, F.lit("Bound it, evict old entries, or stop storing per-call data there.")).otherwise(
-        F.lit("Check for containers that only grow (globals, caches without a bound)."))
-    return F.concat(subject_prefix(scope, subject), F.lit("Suspected memory leak: retained allocations grew across "), leak_runs.cast("string"),
-                    F.lit(" trailing snapshot increases, and "), mb_text(F.coalesce(end_mb, F.lit(0.0))), F.lit(" "), held,
-                    F.lit(" when profiling ended. "), advice)
+    held = F.when(any_holder, F.concat(F.lit("Kept by "), F.array_join(named, ", "), F.lit(": give it a limit."))).otherwise(
+        F.lit("Nobody is known to keep it: look for a module-level container that is appended to."))
+    return F.concat(subject_prefix(scope, subject), F.lit("leak? "), mb_text(F.coalesce(end_mb, F.lit(0.0))), F.lit(" left after "), leak_runs.cast("string"),
+                    F.lit(" rises in a row. "), held)
 
 
 def render_message(sized: Column, neutral: Column, facts: Column) -> Column:

@@ -166,10 +166,10 @@ def compare_run(spark, folder):
     return out.select("label", F.round("value.base", 6).alias("base"), F.round("value.cur", 6).alias("cur"), F.round("value.noise", 6).alias("noise"), F.col("value.verdict").alias("verdict"))
 
 
-@query("compare_warnings", """SELECT unnest(['Different script arguments (["base"] vs ["cur"]): the workload may differ.',
-'Different Python versions (3.12.1 vs 3.13.0): sizes, allocation and timing can change on their own.',
-'Different traceback depths (2 vs 6 frames): allocation sites can move to other functions.',
-'Different sampling intervals (0.01 vs 0.02 s): sampled times have different precision.']) AS warning WHERE (SELECT count(DISTINCT ts < TIMESTAMP '2024-01-16') FROM events) = 2""")
+@query("compare_warnings", """SELECT unnest(['argv: ["base"] -> ["cur"]. Input size and code path follow the arguments, so look there first.',
+'python: 3.12.1 -> 3.13.0. An upgrade alone moves object sizes and speed.',
+'frames: 2 -> 6. A deeper traceback credits a block to a caller further out.',
+'interval_s: 0.01 -> 0.02. The coarser run rounds every line to larger steps.']) AS warning WHERE (SELECT count(DISTINCT ts < TIMESTAMP '2024-01-16') FROM events) = 2""")
 def compare_warnings(spark, folder):
     return ops.warnings(_facts(_runs(ad.samples(spark, folder)))).select(F.explode("warnings").alias("warning"))
 
