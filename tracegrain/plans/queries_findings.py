@@ -48,6 +48,54 @@ def source_symbols(spark, folder):
     return s.select("path", "line", "scope", text("assigns"), text("calls"), "function_end")
 
 
+# One snippet for each code, and how often it fires; a document's own lines follow as comments.
+_CODE_SNIPPETS = [
+    ("heap-inflation", 1, "def load(cur):\n    return cur.fetchall()\n"),
+    ("pointer-chasing", 1, "frame = pd.read_csv('x', dtype={'a': object})\n"),
+    ("gc-cycle-risk", 1, "class Node:\n    def __init__(self, parent):\n        self.parent = parent\n\n    def __del__(self):\n        print(self)\n"),
+    ("ram-fragmentation.append", 1, "def rows(xs, out):\n    for x in xs:\n        out.append({'a': x})\n"),
+    ("text-inflation.concat", 1, "def join(xs):\n    s = ''\n    for x in xs:\n        s += x\n    return s\n"),
+    ("text-inflation.whole-file", 1, "def read(p):\n    with open(p) as h:\n        return h.readlines()\n"),
+    ("memory-swell.list-arg", 1, "def total(xs):\n    return sum([x for x in xs])\n"),
+    ("memory-swell.list-copy", 1, "def walk(xs):\n    for x in list(xs):\n        print(x)\n"),
+    ("memory-swell.list-once", 1, "def keep(xs):\n    items = [x for x in xs]\n    for i in items:\n        print(i)\n"),
+    ("memory-swell.deepcopy-loop", 1, "def clone(xs):\n    for x in xs:\n        copy.deepcopy(x)\n"),
+    ("memory-swell.recompile-loop", 1, "def match(xs):\n    for x in xs:\n        re.compile('a+').match(x)\n"),
+    ("memory-swell.setdefault-loop", 1, "def group(xs, out):\n    for x in xs:\n        out.setdefault(x, [])\n"),
+    ("memory-swell.list-extend-loop", 1, "def more(xs, out):\n    for x in xs:\n        out.extend([y for y in x])\n"),
+    ("memory-swell.concat-loop", 1, "def stack(xs, frame):\n    for x in xs:\n        frame = pd.concat([frame, x])\n    return frame\n"),
+    ("memory-swell.unbounded-queue", 1, "work = queue.Queue()\n"),
+    ("memory-swell.fork-start-method", 1, "mp.set_start_method('fork')\n"),
+    ("memory-swell.method-cache", 1, "class Service:\n    @functools.lru_cache(maxsize=None)\n    def get(self, k):\n        return k\n"),
+    ("memory-swell.unbounded-cache", 1, "@functools.cache\ndef cached(k):\n    return k\n"),
+    ("task-retention.asyncio-task", 1, "async def main():\n    asyncio.create_task(main())\n"),
+    ("frame-retention.stored-exception", 1, "def guard(log):\n    try:\n        print(1)\n    except ValueError as e:\n        log.append(e)\n"),
+    ("resource-leak.file-handle", 1, "def peek(p):\n    f = open(p)\n    return f.read(1)\n"),
+    ("single-thread-stall.async-blocking", 1, "async def wait():\n    time.sleep(1)\n"),
+    ("single-thread-stall.list-membership", 1, "def seen_before(xs):\n    seen = []\n    for x in xs:\n        if x in seen:\n            print(x)\n        seen.append(x)\n"),
+    ("single-thread-stall.cpu-thread", 1, "def cpu(xs):\n    for x in xs:\n        y = x * 2\n\nthreading.Thread(target=cpu)\n"),
+    ("cyclic-reference", 2, "class Leaf:\n    __slots__ = ('parent',)\n\n    def __init__(self, parent):\n        self.parent = parent\n\ndef tree(xs):\n    for x in xs:\n        Leaf(x)\n"),
+    ("ram-fragmentation.no-slots", 1, "class Point:\n    def __init__(self, x):\n        self.x = x\n\ndef points(xs):\n    for x in xs:\n        Point(x)\n"),
+    ("broken", 0, "def broken(:\n"),
+]
+_IMPORTS = "import asyncio\nimport copy\nimport functools\nimport multiprocessing as mp\nimport queue\nimport re\nimport threading\nimport time\nimport pandas as pd\n\n"
+
+
+def code_sources(spark, folder):
+    """One Python file per document: a snippet by its id, then the document's text, line by line, as comments."""
+    k = F.pmod("doc_id", F.lit(len(_CODE_SNIPPETS)))
+    code = F.element_at(F.array(*[F.lit(c) for _, _, c in _CODE_SNIPPETS]), (k + 1).cast("int"))
+    comments = F.concat(F.lit("# "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n\f\x0b\x00]+", "\n# "), F.lit("\n"))
+    return table(spark, folder, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit(_IMPORTS), code, comments).alias("text"))
+
+
+@query("rule_codes", " UNION ALL ".join(
+    f"SELECT '{code}' AS code, count(*) * {n} AS findings, count(*) AS files FROM documents WHERE doc_id % {len(_CODE_SNIPPETS)} = {i} HAVING count(*) > 0" for i, (code, n, _) in enumerate(_CODE_SNIPPETS) if n))
+def rule_codes(spark, folder):
+    """Every rule code, over files that carry whole documents."""
+    return rules.rule_counts(rules.scan_rules(code_sources(spark, folder))).select("code", "findings", "files")
+
+
 _HEAT = ad.SQL_FINDINGS + """,
 lines AS (SELECT 'src' || CAST(l_suppkey % 20 AS VARCHAR) AS file, l_partkey AS line, count(*) AS samples, sum(CAST(l_quantity AS BIGINT)) AS w FROM lineitem WHERE l_suppkey % 20 = l_partkey % 20 GROUP BY ALL),
 tot AS (SELECT sum(w) AS total FROM lines),
