@@ -154,4 +154,5 @@ def test_reading_files(spark, tmp_path):
     good, bad = validate_profiles(src.read_profiles(spark, str(tmp_path)))
     assert good.count() == 1 and bad.count() == 1
     src.write_tables(good, str(tmp_path / "tables"))
+    src.write_tables(good, str(tmp_path / "tables"))  # again: nothing doubles
     assert spark.read.parquet(str(tmp_path / "tables" / "lines")).where("run_date = '2026-01-02'").count() == 3

@@ -26,9 +26,9 @@ LOCAL = "<local>"
 
 
 def parse(sources: DataFrame) -> DataFrame:
-    """Syntax rows of (path, text). Files are spread by path hash, so work follows the files and not their arrival order."""
+    """Syntax rows of (path, text), parsed where the text is read: no source text is shuffled."""
     schema = T.StructType.fromDDL(SYNTAX)
-    return sources.select("path", "text").repartition("path").mapInArrow(parser(to_arrow_schema(schema)), schema)
+    return sources.select("path", "text").mapInArrow(parser(to_arrow_schema(schema)), schema)
 
 
 # ---- small expressions over a row's children
@@ -510,7 +510,7 @@ def scan_rules(sources: DataFrame, gil_disabled: bool = False, marker: str | Non
              *state_rules(s, text, events, bound), *cache_rules(s, calls, quals), concat_loops(s, calls), stored_exceptions(s), open_files(s, calls, quals), lists_used_once(s)]
     if not gil_disabled:
         parts.append(thread_targets(s, calls, quals, events, bound))
-    found = reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, [p.withColumn("rule", F.lit(i)) for i, p in enumerate(parts)])
     if marker:
         lines = sources.select("path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("i", "content")).where(F.col("content").contains(marker))
         found = found.join(lines.select("path", (F.col("i") + 1).alias("line")), ["path", "line"], "left_anti")
@@ -518,9 +518,10 @@ def scan_rules(sources: DataFrame, gil_disabled: bool = False, marker: str | Non
 
 
 def first_per_position(found: DataFrame) -> DataFrame:
-    """One finding per (path, line, col, code)."""
+    """One finding per (path, line, col, code): that of the first rule that found it, then the smallest subject."""
+    rule = F.col("rule") if "rule" in found.columns else F.lit(0)
     return found.groupBy("path", "line", "col", "code").agg(F.min_by(F.struct("scope", "subject", "args"), F.struct(
-        F.coalesce("subject", F.lit("")), F.to_json("args"))).alias("f")).select("path", "line", "col", "code", "f.*")
+        rule, F.coalesce("subject", F.lit("")), F.to_json("args"))).alias("f")).select("path", "line", "col", "code", "f.*")
 
 
 def with_severity(found: DataFrame) -> DataFrame:

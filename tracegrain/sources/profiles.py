@@ -158,11 +158,14 @@ def remap_profiles(profiles: DataFrame, mappings: list[tuple[str, str]]) -> Data
 
 
 def write_tables(profiles: DataFrame, folder: str) -> None:
-    """All tables as Parquet below ``folder``, partitioned by the day a run started."""
+    """All tables as Parquet below ``folder``, partitioned by the day a run started.
+
+    A day is written as a whole: writing the same runs again replaces them instead of doubling them.
+    """
     profiles = cut_lineage(profiles)  # parsed once, read by every table
     day = profiles.select("run_id", F.coalesce(F.to_date(F.try_to_timestamp(F.col("run.started_at"))), F.lit("1970-01-01").cast("date")).alias("run_date"))
     for name, build in TABLES.items():
         df = build(profiles)
         if name == "runs":
             df = df.drop("allocation_backend")
-        df.join(day, "run_id").write.mode("append").partitionBy("run_date").parquet(f"{folder}/{name}")
+        df.join(day, "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(f"{folder}/{name}")
