@@ -169,14 +169,14 @@ def top_functions(samples: DataFrame, view: str = "all", thread: str | None = No
     first_here = F.array_position("__keys", key) == F.col("pos") + 1
     leaf = F.col("pos") == F.size("__keys") - 1
     frame = F.col("fn.frame")
-    rows = d.groupBy("run_id", key.alias("key")).agg(
+    # One pass: sums by function and caller, then by function; a row of the first is a caller of the second.
+    per = d.groupBy("run_id", key.alias("key"), F.when(previous != key, previous).alias("caller")).agg(
         F.sum(F.when(leaf, F.col("weight")).otherwise(F.lit(0))).alias("self"),
         F.sum(F.when(first_here, F.col("weight")).otherwise(F.lit(0))).alias("total"),
         F.min(F.struct(shown_name(frame).alias("name"), frame["file"].alias("file"), frame["first_line"].alias("first_line"),
                        frame["user"].alias("user"))).alias("__f"))
-    edges = d.where((F.col("pos") > 0) & (previous != key)).select("run_id", key.alias("key"), previous.alias("caller")).distinct()
-    callers = edges.groupBy("run_id", "key").agg(F.count(F.lit(1)).alias("callers"))
-    out = rows.join(callers, ["run_id", "key"], "left").select("run_id", "key", "self", "total", F.coalesce("callers", F.lit(0)).alias("callers"), "__f.*")
+    rows = per.groupBy("run_id", "key").agg(F.sum("self").alias("self"), F.sum("total").alias("total"), F.count("caller").alias("callers"), F.min("__f").alias("__f"))
+    out = rows.select("run_id", "key", "self", "total", "callers", "__f.*")
     if functions is not None:
         held = functions.select("run_id", "file", "first_line", F.col("peak_mb").alias("memory_mb"))
         out = out.join(held, ["run_id", "file", "first_line"], "left").withColumn("memory_mb", F.when(F.col("user"), F.col("memory_mb")))
