@@ -20,6 +20,7 @@ from tracegrain.session import cut_lineage, rows_per_chunk
 CHUNK = "__chunk"
 MAX_SPLITS = 2048
 _FAN = 32
+BROADCAST_POINTS = 1_000_000  # cut points, 16 MB or less, up to which the table of splits is broadcast; past that it is joined like any other
 
 
 @dataclass(frozen=True)
@@ -33,13 +34,18 @@ class ScanPlan:
     order: tuple[str, ...]
     splits: DataFrame | None
     all_split: bool = False
+    small: bool = True
+
+    def table(self, *columns: str) -> DataFrame:
+        chosen = self.splits.select(*columns) if columns else self.splits
+        return F.broadcast(chosen) if self.small else chosen
 
 
 def parts(df: DataFrame, plan: ScanPlan) -> list[tuple[DataFrame, ScanPlan]]:
     """The rows of whole and of split groups with a plan for each, so a chain of scans separates them once."""
     if plan.splits is None:
         return [(df, plan)]
-    large = F.broadcast(plan.splits.select(*plan.keys))
+    large = plan.table(*plan.keys)
     return [(df.join(large, list(plan.keys), "left_anti"), replace(plan, splits=None)),
             (df.join(large, list(plan.keys), "left_semi"), replace(plan, all_split=True))]
 
@@ -47,7 +53,7 @@ def parts(df: DataFrame, plan: ScanPlan) -> list[tuple[DataFrame, ScanPlan]]:
 def plan_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> ScanPlan:
     """Find groups too large for one task. Runs one counting job, and a quantile job only when such groups exist.
 
-    The table of cut points has at most 2 * rows / rowsPerChunk entries in total, so broadcasting it is safe.
+    The table of cut points has at most 2 * rows / rowsPerChunk entries in total; it is broadcast where it is counted to be small.
     """
     keys, lead, limit = list(keys), order[0], rows_per_chunk(df.sparkSession)
     df = df.select(*keys, lead)
@@ -59,7 +65,7 @@ def plan_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> ScanP
     if not keys:
         keys, df, large = ["__all"], df.withColumn("__all", F.lit(0)), large.withColumn("__all", F.lit(0))
     quantiles = F.expr("array(" + ",".join(f"{i / MAX_SPLITS}D" for i in range(1, MAX_SPLITS)) + ")")
-    found = df.join(F.broadcast(large), keys).groupBy(*keys).agg(
+    found = df.join(large, keys).groupBy(*keys).agg(
         F.first("__n").alias("__n"), F.percentile_approx(lead, quantiles, F.lit(20000)).alias("__q"))
     pieces = F.least(F.lit(MAX_SPLITS), F.ceil(F.col("__n") / F.lit(limit)).cast("int"))
     cuts = F.array_distinct(F.transform(
@@ -67,7 +73,9 @@ def plan_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> ScanP
         lambda i: F.element_at("__q", F.greatest(F.lit(1), F.floor(i * MAX_SPLITS / pieces).cast("int")))))
     splits = found.select(*keys, cuts.alias("__cuts"))
     splits = splits.withColumn("__coarse", F.filter("__cuts", lambda x, i: (i + 1) % _FAN == 0))
-    return ScanPlan(tuple(keys), tuple(order), cut_lineage(splits))
+    splits = cut_lineage(splits)
+    points = splits.agg(F.sum(F.size("__cuts"))).first()[0] or 0
+    return ScanPlan(tuple(keys), tuple(order), splits, small=points <= BROADCAST_POINTS)
 
 
 def _range_of(value: Column) -> Column:
@@ -112,12 +120,12 @@ def scan(
         return out.select(*keep, *[F.col(f"__out_{n}").alias(n) for n in added])
     if "__all" in plan.keys:
         rows, keys = rows.withColumn("__all", F.lit(0)), ["__all", *keys]
-    large = rows.join(F.broadcast(plan.splits), list(plan.keys)).withColumn(CHUNK, _range_of(F.col(order[0]))).drop("__cuts", "__coarse")
+    large = rows.join(plan.table(), list(plan.keys)).withColumn(CHUNK, _range_of(F.col(order[0]))).drop("__cuts", "__coarse")
     large = _split(large, keys, order, wanted, row_number, total)
     columns = [*keep, *[F.col(f"__out_{n}").alias(n) for n in added]]
     if plan.all_split:
         return large.select(*columns)
-    small = _whole(rows.join(F.broadcast(plan.splits), list(plan.keys), "left_anti"), keys, order, wanted, row_number, total)
+    small = _whole(rows.join(plan.table(*plan.keys), list(plan.keys), "left_anti"), keys, order, wanted, row_number, total)
     return small.select(*columns).unionByName(large.select(*columns))
 
 
