@@ -277,7 +277,7 @@ def test_token_rows_round_trip(docs, corpus):
     for r in got:
         ids, positions = np.frombuffer(r.ids, "<u2"), np.frombuffer(r.positions, "<u2")
         assert len(ids) == len(positions) == 128 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == token_rows.PAD).all()
-        for a, z in zip(r.cu_seqlens, r.cu_seqlens[1:] + [128] if False else r.cu_seqlens[1:]):
+        for a, z in zip(r.cu_seqlens, r.cu_seqlens[1:]):
             assert positions[a:z].tolist() == list(range(z - a))
         assert positions[r.n_tokens :].tolist() == list(range(128 - r.n_tokens))
         seen.update(r.doc_ids)

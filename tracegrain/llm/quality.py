@@ -111,7 +111,7 @@ def rule_failures(m: str, min_words: int, max_repeat_percent: int) -> dict[str,
     }
 
 
-def host_verdicts(measured: DataFrame, host_col: str, m: str, min_words: int = 20, max_repeat_percent: int = 30, max_host_rate: float = 0.5) -> DataFrame:
+def host_verdicts(measured: DataFrame, host_col: str, m: str, min_words: int = 20, max_repeat_percent: int = 30, max_host_rate: float = 0.7) -> DataFrame:
     """One row per host: `host`, its documents, failures and shrunk rate by rule, and `host_failed`.
 
     The prior is fitted for each rule over all hosts: mean m = failures / documents; intraclass correlation r from the weighted
@@ -148,7 +148,7 @@ def beta_prior(hosts: int, n: int, nn: float, failures: int, q: float) -> tuple[
     return mean, (1 - r) / r
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, max_host_rate: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, max_host_rate: float = 0.7) -> DataFrame:
     """One row per document: id, the counts, base_failed, host_failed, and kept."""
     measured = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_measures(F.col(text_col)).alias("m")))
     verdicts = host_verdicts(measured, "host", "m", min_words, max_repeat_percent, max_host_rate).select(F.col("host").alias("of_host"), "host_failed")
@@ -158,7 +158,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         .select("doc_id", *[F.col(f"m.{c}") for c in MEASURES[:-1]], base.alias("base_failed"), (~base & ~F.col("host_failed")).alias("kept"), "host_failed", "host"))
 
 
-def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, max_host_rate: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30, max_host_rate: float = 0.7) -> DataFrame:
     """The documents that pass, with all their columns. Texts are measured a second time rather than joined by id, so repeated ids do no harm."""
     narrow = docs.select(F.col(host_col).cast("string").alias("_host"), text_measures(F.col(text_col)).alias("_m"))
     verdicts = host_verdicts(narrow, "_host", "_m", min_words, max_repeat_percent, max_host_rate)

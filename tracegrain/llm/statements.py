@@ -24,7 +24,7 @@ s AS (SELECT rule, count(*) AS hosts, sum(n)::DOUBLE AS n, sum(n::DOUBLE * n) AS
 p AS (SELECT rule, f / n AS mean, CASE WHEN f > 0 AND f < n THEN
     CASE WHEN n - nn / n - (hosts - 1) > 0 THEN ((q - f * f / n) / ((f / n) * (1 - f / n)) - (hosts - 1)) / (n - nn / n - (hosts - 1)) ELSE 0 END END AS r0 FROM s),
 pr AS (SELECT rule, mean, CASE WHEN r0 IS NULL THEN 1.0 ELSE (1 - least(greatest(r0, 1e-6), 0.5)) / least(greatest(r0, 1e-6), 0.5) END AS strength FROM p),
-h AS (SELECT source, bool_or((f.f + mean * strength) / (f.n + strength) > 0.5) AS host_failed FROM f JOIN pr USING (rule) GROUP BY source)
+h AS (SELECT source, bool_or((f.f + mean * strength) / (f.n + strength) > 0.7) AS host_failed FROM f JOIN pr USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, host_failed
 FROM j JOIN h ON j.source IS NOT DISTINCT FROM h.source
 """
