@@ -3,17 +3,20 @@
 Documents are sets of word shingles; two link when their Jaccard similarity reaches the threshold, exactly. Documents with equal sets are one
 class; the work is on classes.
 
-1. Similar classes form groups: classes with the same least hash (two hash functions) are verified against the first of them, and what
-   is linked so far is a group.
-2. The matrix holds, for each group, the union of its members' tokens in two forms. The sparse one is an index of (token, group) over the tokens that
-   can decide: of n tokens in one fixed order, two linked sets share one of the first n - ceil(t n) + 1. Tokens known to be in
-   one document come first in that order and need no row, so a document that is mostly its own has none. The dense one folds all
-   tokens into COLUMNS columns and keeps, for each, the most any member has: the sum over columns of the smaller of two such counts is
-   never less than the overlap of any two members.
-3. Groups that share a deciding token and have fitting sizes are compared by that bound. Only those that can still hold a linked
-   pair are opened: their first members are compared, and if that does not join them, each member that the bound lets through.
-
-Every pair of classes in different groups is thus either excluded by a bound or compared; pairs inside a group are connected anyway.
+1. Tokens stand in one order: first those known, from a count-min sketch, to be in one document, then those of few documents, then
+   frequent ones. Two linked sets of n tokens share one of the first n - ceil(t n) + 1. Tokens of one document decide nothing, so a document that is mostly its own has no
+   deciding token and is done; the others are active.
+2. Active classes are partitioned into groups of similar ones: those of like size whose least token of the most frequent kind is the same, in
+   parts of GROUP_CLASSES at most, so near copies of one text lie in few groups however many they are.
+3. The matrix holds, for each group, the union of its members' tokens in two forms. The sparse one has a row for each (token, group) over the
+   deciding tokens. The dense one folds all tokens into COLUMNS columns and keeps, for each, the most any member has: the sum over
+   columns of the smaller of two such counts is never less than the overlap of any two members.
+4. Groups that share a deciding token, have fitting sizes and pass that bound are opened, and every group with itself. In an opened pair the
+   members are compared by their own columns, in one task; pairs that the bound lets through are compared by their texts. This is done
+   twice: first a spanning forest of each opened pair's candidates, the most promising first; then, with what those links have
+   connected, all candidates that are still in different components. So large groups of copies are not expanded into all their pairs.
+
+Every pair of classes is thus excluded by a bound, compared, or connected already.
 
 Defined results: a null text or one without words has no shingles and is linked with nothing; one with fewer words than a shingle has one
 shingle, all its words. Rows without an id have no component and are linked with nothing. Equal texts are one component, repeated rows
@@ -31,15 +34,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracegrain.llm.components import components
-from tracegrain.llm.sketch import Filter, key_filter
+from tracegrain.llm.sketch import Filter, key_filter, key_filters
 from tracegrain.llm.words import Words, column_words, mix
 from tracegrain.session import cut_lineage
 
 SHINGLE = 4
 PERCENT = 85
-COLUMNS = 128
-RANK_SHARE = 4  # one token in so many is looked up for the order; the others stand behind
-_CLASS_SCHEMA = "doc_id long, n long, cls long, key_a long, key_b long, columns binary, prefix array<bigint>"
+COLUMNS = 256
+GROUP_CLASSES = 512
+HOT = 16  # documents from which a token counts as frequent
+SKETCH_BITS = 1 << 28  # cells of the token sketch at most: 32 MB on every executor
+_CLASS_SCHEMA = "doc_id long, n long, cls long, key long, columns binary, prefix array<bigint>"
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,44 +66,44 @@ def _digests(hashes: np.ndarray, heads: np.ndarray, n: np.ndarray) -> np.ndarray
     return mix(np.add.reduceat(mix(hashes ^ np.uint64(0x632BE59BD9B4E019)), heads) + n.astype(np.uint64))
 
 
-def _ranked(hashes: np.ndarray) -> np.ndarray:
-    """The tokens whose rarity the order looks up: a fixed share of the hash space."""
-    return mix(hashes ^ np.uint64(0xA24BAED4963EE407)) % np.uint64(RANK_SHARE) == 0
-
-
-def _rank_keys(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+def _token_keys(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     for w in column_words(column, fold=True):
-        _, hashes = shingle_sets(w, size)
-        yield hashes[_ranked(hashes)]
+        yield shingle_sets(w, size)[1]
 
 
-def _describe(batches: Iterator[pa.RecordBatch], size: int, percent: int, shared: Filter) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], size: int, percent: int, shared: Filter, hot: Filter) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for w in column_words(b.column(1), fold=True):
             row, hashes = shingle_sets(w, size)
             n = np.bincount(row, minlength=w.rows)
             start = np.concatenate([[0], np.cumsum(n)])
             full = n > 0
-            cls, key_a, key_b = (np.zeros(w.rows, np.uint64) for _ in range(3))
+            cls = np.zeros(w.rows, np.uint64)
             if len(row):
-                heads = start[:-1][full]
-                cls[full] = _digests(hashes, heads, n[full])
-                key_a[full] = np.minimum.reduceat(mix(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)), heads)
-                key_b[full] = np.minimum.reduceat(mix(hashes ^ np.uint64(0x165667B19E3779F9)), heads)
-            cells = np.bincount(row * COLUMNS + (hashes >> np.uint64(57)).astype(np.int64), minlength=w.rows * COLUMNS).astype("<i4").reshape(w.rows, COLUMNS)
-            # The order: tokens known to be in one document, then the rest by hash. The first n - ceil(t n) + 1 of a set decide.
-            late = np.ones(len(hashes), bool)
-            ranked = np.flatnonzero(_ranked(hashes))
-            late[ranked] = shared.mask(hashes[ranked])
-            order = np.lexsort((hashes, late, row))
+                cls[full] = _digests(hashes, start[:-1][full], n[full])
+            cells = np.bincount(row * COLUMNS + (hashes >> np.uint64(56)).astype(np.int64), minlength=w.rows * COLUMNS)
+            cells = np.minimum(cells, (1 << 31) - 1).astype("<i4").reshape(w.rows, COLUMNS)
+            # The order: tokens known to be in one document, then those of few, then frequent ones; by hash where equal.
+            rank = shared.mask(hashes).astype(np.int8)
+            rank += hot.mask(hashes) & (rank > 0)
+            order = np.lexsort((hashes, rank, row))
             place = np.arange(len(row)) - start[row]
-            decide = (place < (n - -(-percent * n // 100) + 1)[row]) & late[order]
+            decide = (place < (n - -(-percent * n // 100) + 1)[row]) & (rank[order] > 0)
             chosen, of = hashes[order][decide], row[decide]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=w.rows))]).astype(np.int32)
+            # Similar sets have their least frequent-or-shared token in common, most of the time, and a like size.
+            key, top = cls.copy(), np.zeros(w.rows, np.int8)
+            np.maximum.at(top, row, rank)
+            common = np.flatnonzero((rank > 0) & (rank == top[row]))
+            if len(common):
+                first = np.flatnonzero(np.append(True, row[common][1:] != row[common][:-1]))
+                band = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent)).astype(np.uint64)
+                rows = row[common][first]
+                key[rows] = mix(np.minimum.reduceat(mix(hashes[common] ^ np.uint64(0xC2B2AE3D27D4EB4F)), first) ^ mix(band[rows]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(w.row, w.rows), pa.array(n), pa.array(cls.view(np.int64)), pa.array(key_a.view(np.int64)), pa.array(key_b.view(np.int64)),
-                 pa.array([r.tobytes() for r in cells], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(chosen.view(np.int64)))],
-                ["doc_id", "n", "cls", "key_a", "key_b", "columns", "prefix"])
+                [b.column(0).slice(w.row, w.rows), pa.array(n), pa.array(cls.view(np.int64)), pa.array(key.view(np.int64)),
+                 pa.array([r.tobytes() if z > a else b"" for r, a, z in zip(cells, offsets, offsets[1:])], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(chosen.view(np.int64)))],
+                ["doc_id", "n", "cls", "key", "columns", "prefix"])
 
 
 def least_overlap(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -109,8 +114,7 @@ def least_overlap(n_a: Column, n_b: Column, percent: int) -> Column:
 @F.arrow_udf(T.LongType())
 def column_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     """The sum over columns of the smaller count: no less than the overlap."""
-    x, y = (np.frombuffer(c.buffers()[2], np.uint8)[c.offset * 4 * COLUMNS : (c.offset + len(c)) * 4 * COLUMNS].view("<i4").reshape(len(c), COLUMNS) if len(c) else np.zeros((0, COLUMNS), "<i4") for c in (a, b))
-    return pa.array(np.minimum(x, y).sum(1, dtype=np.int64))
+    return pa.array(np.minimum(_counts(a), _counts(b)).sum(1, dtype=np.int64))
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
@@ -123,26 +127,16 @@ class _Join:
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs, size, percent
-        shared = key_filter(docs.select("text"), lambda b: _rank_keys(b.column(0), size), 2, bits_per_key=8)
-        self.rows = cut_lineage(docs.mapInArrow(lambda b: _describe(b, size, percent, shared), _CLASS_SCHEMA))
+        shared, hot = key_filters(docs.select("text"), lambda b: _token_keys(b.column(0), size), 2, hot=HOT, bits_per_key=2, max_bits=SKETCH_BITS, lines=1)
+        self.rows = cut_lineage(docs.mapInArrow(lambda b: _describe(b, size, percent, shared, hot), _CLASS_SCHEMA))
         # One row for each distinct set. Which of the equal rows gives the columns and tokens does not matter.
         self.classes = cut_lineage(
             self.rows.where("n > 0 and doc_id is not null").groupBy("cls")
-            .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("key_a").alias("key_a"), F.first("key_b").alias("key_b"), F.first("columns").alias("columns"), F.first("prefix").alias("prefix")))
-
-    def narrow(self, *names: str) -> DataFrame:
-        return self.classes.select(*names)
-
-    def bounded(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that sizes and columns let through."""
-        a = self.classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("columns").alias("columns_a"), F.col("rep").alias("rep_a"))
-        b = self.classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("columns").alias("columns_b"), F.col("rep").alias("rep_b"))
-        both = pairs.select("a", "b").join(a, "a").where(F.col("n_a").isNotNull()).join(b, "b").where(_fits("n_a", "n_b", self.percent))
-        return both.withColumn("most", column_overlap("columns_a", "columns_b")).where(F.col("most") >= least_overlap(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b", "rep_a", "rep_b")
+            .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("key").alias("key"), F.first("columns").alias("columns"), F.first("prefix").alias("prefix")))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link: those that the bounds let through are compared by their texts."""
-        open_ = cut_lineage(self.bounded(pairs))
+        """The pairs (a, b, rep_a, rep_b) that link, by their texts."""
+        open_ = cut_lineage(pairs.distinct())
         ids = open_.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
         wanted = key_filter(ids, _long_keys, 1)
 
@@ -187,42 +181,32 @@ def _compare(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
 
-def _near_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Each class with the first class of the same least hash."""
-    keyed = classes.select("cls", "n", F.explode(F.array(F.struct(F.lit(0).alias("f"), F.col("key_a").alias("key")), F.struct(F.lit(1).alias("f"), F.col("key_b").alias("key")))).alias("k")).select("cls", "n", "k.f", "k.key")
-    heads = cut_lineage(keyed.groupBy("f", "key").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head != last").drop("last"))
-    return keyed.join(heads, ["f", "key"]).where("cls != head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-
-
-def _grouped(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cls, group) of the classes, by the links known."""
-    known = cut_lineage(components(edges))
-    return classes.join(known, classes["cls"] == known["node"], "left").withColumn("group", F.coalesce("component", "cls")).drop("node", "component")
-
-
+def _members(join: _Join) -> DataFrame:
+    """cls, rep, n, columns, prefix and group of the active classes."""
+    active = join.classes.where(F.size("prefix") > 0)
+    large = cut_lineage(active.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > GROUP_CLASSES).select("key", F.ceil(F.col("members") / GROUP_CLASSES).alias("parts")))
+    part = F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1)))
+    return cut_lineage(active.join(large, "key", "left").select("cls", "rep", "n", "columns", "prefix", F.xxhash64("key", part).alias("group")))
 
 
-def _group_pairs(join: _Join, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): cls and group of every class; the pairs of groups that share a deciding token, have fitting sizes and pass the bound."""
-    percent = join.percent
-    members = cut_lineage(_grouped(join.narrow("cls", "n"), edges))
-    matrix = members.select("cls", "n", "group").join(join.narrow("cls", F.col("prefix")), "cls").select("group", "n", F.explode("prefix").alias("token"))
-    matrix = cut_lineage(matrix.groupBy("token", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
-    shared = cut_lineage(matrix.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least != most").select("token"))
-    some = cut_lineage(matrix.join(shared, "token"))
-    left = some.select("token", F.col("group").alias("g"), F.col("lo").alias("g_lo"), F.col("hi").alias("g_hi"))
-    right = some.select("token", F.col("group").alias("h"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
+def _group_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(g, h), g < h: the pairs of groups that share a deciding token, have fitting sizes and pass the bound of their unions."""
+    matrix = cut_lineage(members.select("group", "n", F.explode("prefix").alias("token")).groupBy("token", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
+    left = matrix.select("token", F.col("group").alias("g"), F.col("lo").alias("g_lo"), F.col("hi").alias("g_hi"))
+    right = matrix.select("token", F.col("group").alias("h"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
     near = (F.col("g") < F.col("h")) & (100 * F.col("g_hi") >= percent * F.col("h_lo")) & (100 * F.col("h_hi") >= percent * F.col("g_lo"))
     pairs = cut_lineage(left.join(right, "token").where(near).select("g", "h").distinct())
-    return members, pairs
+    unions = _unions(members.join(pairs.select(F.explode(F.array("g", "h")).alias("group")).distinct(), "group", "left_semi"))
+    g = unions.select(F.col("group").alias("g"), F.col("lo").alias("g_lo"), F.col("columns").alias("g_columns"))
+    h = unions.select(F.col("group").alias("h"), F.col("lo").alias("h_lo"), F.col("columns").alias("h_columns"))
+    both = pairs.join(g, "g").join(h, "h").withColumn("most", column_overlap("g_columns", "h_columns"))
+    return cut_lineage(both.where(F.col("most") >= least_overlap(F.col("g_lo"), F.col("h_lo"), percent)).select("g", "h"))
 
 
-def _union_columns(join: _Join, members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(group, columns, lo) of the groups named: per column the most tokens that any member has."""
-    rows = members.join(groups, "group").select("cls", "group", "n").join(join.narrow("cls", "columns"), "cls")
-    # Summed by task first: a large group is folded where its rows are, then its folded rows meet.
-    folded = rows.repartition(F.col("group"), F.pmod(F.xxhash64("cls"), F.lit(16))).sortWithinPartitions("group").select("group", "n", "columns").mapInArrow(_fold_columns, "group long, lo long, columns binary")
-    return cut_lineage(folded.repartition("group").sortWithinPartitions("group").mapInArrow(_fold_columns, "group long, lo long, columns binary"))
+def _unions(members: DataFrame) -> DataFrame:
+    """(group, lo, columns): the least size, and per column the most tokens that any member has. A group is GROUP_CLASSES rows at most."""
+    # Dealt by a hash of its own: a deal by the column itself can be left out after a join on it, and that join's parts be split when they are skewed.
+    return cut_lineage(members.select("group", "n", "columns").repartition(F.xxhash64("group")).sortWithinPartitions("group").mapInArrow(_fold_columns, "group long, lo long, columns binary"))
 
 
 def _fold_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,35 +235,117 @@ def _fold_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
-def _qualifying(join: _Join, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of groups whose unions' overlap is enough for a link of their smallest members."""
-    groups = pairs.select(F.explode(F.array("g", "h")).alias("group")).distinct()
-    unions = _union_columns(join, members, groups)
-    g = unions.select(F.col("group").alias("g"), F.col("lo").alias("g_lo"), F.col("columns").alias("g_columns"))
-    h = unions.select(F.col("group").alias("h"), F.col("lo").alias("h_lo"), F.col("columns").alias("h_columns"))
-    both = pairs.join(g, "g").join(h, "h").withColumn("most", column_overlap("g_columns", "h_columns"))
-    return cut_lineage(both.where(F.col("most") >= least_overlap(F.col("g_lo"), F.col("h_lo"), join.percent)).select("g", "h"))
+def _candidates(opened: DataFrame, members: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b, rep_a, rep_b): pairs of members of opened pairs of groups that sizes and columns let through and that are in different components;
+    with `forest`, a spanning forest of them for each group. `opened` has a group (g) and what it is compared with (h), itself or a smaller one."""
+    carried = members.select("group", "cls", "rep", "n", "component", "columns")
+    homes = opened.select("g").distinct().withColumn("group", F.col("g")).join(carried, "group").withColumn("side", F.lit(0))
+    guests = opened.where("g != h").select("g", F.col("h").alias("group")).join(carried, "group").withColumn("side", F.lit(1))
+    rows = homes.unionByName(guests).select("g", "side", "cls", "rep", "n", "component", "columns")
+    return rows.repartition(F.xxhash64("g")).sortWithinPartitions("g", "side").mapInArrow(lambda b: _compare_members(b, percent, forest), "a long, b long, rep_a long, rep_b long")
+
+
+def _compare_members(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group, its own members (side 0, GROUP_CLASSES at most) before the others. Others are taken batch by batch."""
+    now, parts, home = None, [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = (*(b.column(i).to_numpy() for i in range(6)), _counts(b.column(6)))
+        cuts = [0, *(np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            mine = tuple(x[lo:hi] for x in rows)
+            if mine[0][0] != now:
+                if home is None and parts:
+                    yield from _pairs_of(_joined(parts), None, percent, forest)
+                now, parts, home = mine[0][0], [], None
+            if mine[1][0] == 0:
+                parts.append(mine)
+                continue
+            if home is None:
+                home = _joined(parts)
+                yield from _pairs_of(home, None, percent, forest)
+            yield from _pairs_of(home, mine, percent, forest)
+    if home is None and parts:
+        yield from _pairs_of(_joined(parts), None, percent, forest)
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix."""
+    if not len(column):
+        return np.zeros((0, COLUMNS), "<i4")
+    body = np.frombuffer(column.buffers()[2], np.uint8)
+    return body[column.offset * 4 * COLUMNS : (column.offset + len(column)) * 4 * COLUMNS].view("<i4").reshape(len(column), COLUMNS)
+
+
+def _pairs_of(home: tuple[np.ndarray, ...], guests: tuple[np.ndarray, ...] | None, percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Candidates among the home members, or of guests with them."""
+    all_rows = home if guests is None else _joined([home, guests])
+    _, _, cls, rep, n, component, counts = all_rows
+    own, pairs, ratios = len(home[0]), [], []
+    for i in range(own) if guests is None else range(own, len(cls)):
+        others = np.arange(i + 1, own) if guests is None else np.arange(own)
+        both = percent * (n[i] + n[others])
+        fits = (100 * n[i] >= percent * n[others]) & (100 * n[others] >= percent * n[i]) & (component[i] != component[others])
+        others, both = others[fits], both[fits]
+        if len(others):
+            most = np.minimum(counts[i], counts[others]).sum(1, dtype=np.int64)
+            good = (100 + percent) * most >= both
+            pairs.append(np.stack([np.full(int(good.sum()), i), others[good]], 1))
+            ratios.append(most[good] / both[good])
+    if pairs and sum(map(len, pairs)):
+        found = np.concatenate(pairs)
+        if forest:
+            found = _forest(found, np.concatenate(ratios))
+        for at in range(0, len(found), 8192):
+            yield _as_rows(found[at : at + 8192], cls, rep)
+
+
+def _as_rows(pairs: np.ndarray, cls: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+    swap = cls[pairs[:, 0]] > cls[pairs[:, 1]]
+    a, b = np.where(swap, pairs[:, 1], pairs[:, 0]), np.where(swap, pairs[:, 0], pairs[:, 1])
+    return pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b]), pa.array(rep[a]), pa.array(rep[b])], ["a", "b", "rep_a", "rep_b"])
+
+
+def _forest(pairs: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """A spanning forest of the pairs, taken by falling ratio."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    keep = []
+    for e in np.argsort(-ratios, kind="stable").tolist():
+        x, y = find(int(pairs[e, 0])), find(int(pairs[e, 1]))
+        if x != y:
+            root[x] = y
+            keep.append(e)
+    return pairs[keep]
 
 
 def link_table(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, edges): doc_id, n and cls of every row; links between classes that connect all that are connected."""
     join = _Join(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), size, percent)
-    edges = join.linked(_near_pairs(join.classes, percent))
-    members, pairs = _group_pairs(join, edges)
-    pairs = _qualifying(join, members, pairs)
-    # The groups' first members, which are named after them, are compared first.
-    first = join.linked(pairs.select(F.col("g").alias("a"), F.col("h").alias("b")))
-    edges = edges.unionByName(first)
-    joined = cut_lineage(components(edges))
-    g = joined.select(F.col("node").alias("g"), F.col("component").alias("of_g"))
-    h = joined.select(F.col("node").alias("h"), F.col("component").alias("of_h"))
-    apart = pairs.join(g, "g", "left").join(h, "h", "left").where(F.coalesce("of_g", "g") != F.coalesce("of_h", "h")).select("g", "h")
-    # What is still apart is opened: all members that the bounds let through, but for the pair that has been compared.
-    a = members.select(F.col("group").alias("g"), F.col("cls").alias("a"), F.col("n").alias("n_a"))
-    b = members.select(F.col("group").alias("h"), F.col("cls").alias("b"), F.col("n").alias("n_b"))
-    opened = apart.join(a, "g").join(b, "h").where(_fits("n_a", "n_b", percent)).where("not (a = g and b = h)").select("a", "b")
-    edges = edges.unionByName(join.linked(opened))
-    return join.rows.select("doc_id", "n", "cls"), edges
+    members = _members(join)
+    sizes = cut_lineage(members.groupBy("group").agg(F.count("*").alias("size")))
+    alone = sizes.where("size > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
+    # The smaller group of a pair goes to the larger.
+    pairs = _group_pairs(members, percent)
+    sized = pairs.join(sizes.select(F.col("group").alias("g"), F.col("size").alias("g_size")), "g").join(sizes.select(F.col("group").alias("h"), F.col("size").alias("h_size")), "h")
+    larger = F.col("g_size") >= F.col("h_size")
+    opened = cut_lineage(sized.select(F.when(larger, F.col("g")).otherwise(F.col("h")).alias("g"), F.when(larger, F.col("h")).otherwise(F.col("g")).alias("h")).unionByName(alone))
+    first = join.linked(_candidates(opened, members.withColumn("component", F.col("cls")), percent, forest=True))
+    known = cut_lineage(components(first))
+    placed = cut_lineage(members.join(known, members["cls"] == known["node"], "left").withColumn("component", F.coalesce("component", "cls")).drop("node"))
+    more = join.linked(_candidates(opened, placed, percent, forest=False))
+    return join.rows.select("doc_id", "n", "cls"), first.unionByName(more)
 
 
 def component_table(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
