@@ -109,7 +109,10 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, ca
     inside = [((F.col("old_shard") == i) & (F.col("start") >= a) & (F.col("start") + F.col("size") <= b), j) for i, a, b, j in _runs(flow)]
     whole = placed.withColumn("shard", _choose(inside, -1))
     # Loose documents even out what the cuts leave: those across a cut, one at most for each transfer, and the few smallest of each old shard.
-    small = whole.where("shard >= 0").withColumn("nth", F.row_number().over(W.partitionBy("old_shard").orderBy("size", "start"))).where(F.col("nth") <= loose_docs).drop("nth")
+    small = whole.where("shard >= 0").withColumn("slice", F.pmod(F.xxhash64("start"), F.lit(256)))
+    for part in (["old_shard", "slice"], ["old_shard"]):  # the smallest of each slice first, so that no task ranks a shard
+        small = small.withColumn("nth", F.row_number().over(W.partitionBy(*part).orderBy("size", "start"))).where(F.col("nth") <= loose_docs)
+    small = small.drop("nth", "slice")
     loose = whole.where("shard < 0").unionByName(small).select("old_shard", "start", "size", "shard").collect()  # old shards x (new shards + loose_docs) at most
     loads = {r["shard"]: r["size"] for r in whole.where("shard >= 0").groupBy("shard").agg(F.sum("size").alias("size")).collect()}
     room = [sum(f[j] for f in flow) - loads.get(j, 0) for j in range(len(flow[0]))]
