@@ -6,7 +6,8 @@ held as whole numbers (times SCALE), so sums are exact and the result does not d
 each position, from left to right, the longest piece that ends there wins.
 
 Texts up to `chunk` characters are encoded in one go. A longer one is split into chunks that any tasks may take:
-1. A chunk's transfer matrix says, for each cut position the path may have before the chunk and each it may have at its end, the best score between them.
+1. A chunk's transfer matrix says, for each cut position the path may have before the chunk and each it may have at its end, the best score between
+   them. Where no piece holds the mark but at its front, all paths pass all marks, and words between two are cut and scored once.
 2. Matrices combine by the max-plus product, which is associative: blocks of FANOUT are multiplied level by level, then the best scores at each
    chunk's start are handed down the same levels.
 3. With those scores a chunk finds, for each cut position at its end, the one at its start that the best path came through. These maps also
@@ -19,6 +20,7 @@ becomes a space. Repeated rows and null ids are encoded one by one. An empty tab
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,12 +36,32 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SCALE = 1 << 10
 NEVER = -(1 << 60)
-CHUNK = 1 << 14
+CHUNK = 1 << 15
 FANOUT = 64
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 450_000
 _UNUSED_SCORE = -1e8  # pieces with a score below are placeholders of the model, never the result of a merge
 
 
+_RUNS = re.compile(r"[^\W\d_²³¹]+|[\W\d_²³¹]+")  # letters, and what stands between them
+
+
+_NOTHING: tuple = (None, -1, {})  # no piece, and none that begins so
+
+
+class _Memo(dict):
+    """Results by argument, up to a number of them; the rest are computed again."""
+
+    def __init__(self, compute, most: int):
+        super().__init__()
+        self.compute, self.most = compute, most
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.compute(key)
+        if len(self) < self.most:
+            self[key] = found
+        return found
+
+
 class Model:
     """Pieces and scores of a SentencePiece model file, and best cuts by them."""
 
@@ -60,46 +82,65 @@ class Model:
         self.raw = [self.text[i].replace(MARK, " ").encode() for i in ids]
         for value, i in self.byte.items():
             self.raw[i] = bytes([value])
-        self.words: dict[str, bytes] = {}
+        # Where no piece holds letters next to other characters (but the mark), words can be cut there, and their parts be remembered.
+        self.runs = _RUNS if all(len(_RUNS.findall(p.lstrip(MARK))) <= 1 for p in self.score) else None
+        self.words = _Memo(self._word, _CACHE_WORDS)
+        self.parts = _Memo(self._part, _CACHE_WORDS)
+        self.word_scores: dict[str, int] = {}
+        # Pieces as a trie: a node is (score or None, id, nodes by the next character).
+        self.trie: dict[str, tuple] = {}
+        for piece, (score, i) in sorted(self.score.items()):  # beginnings come before what they begin
+            nodes = self.trie
+            for c in piece[:-1]:
+                nodes = nodes.setdefault(c, (None, -1, {}))[2]
+            nodes[piece[-1]] = (score, i, nodes.get(piece[-1], (None, -1, {}))[2])
+        self.packed = [i.to_bytes(2, "little") for i in ids]
 
     def edges(self, text: str, start: int) -> list[tuple[int, int, int]]:
         """(end, score, id) of the pieces that begin at start; id -1 for a character without a piece."""
-        out, score = [], self.score
-        for end in range(start + 1, min(len(text), start + self.reach) + 1):
-            found = score.get(text[start:end])
-            if found is not None:
-                out.append((end, *found))
-        if not out or out[0][0] != start + 1:
-            out.append((start + 1, self.unknown, -1))
+        node, end, out, n = self.trie.get(text[start]), start + 1, [], len(text)
+        if node is None or node[0] is None:
+            out.append((end, self.unknown, -1))
+        while node is not None:
+            if node[0] is not None:
+                out.append((end, node[0], node[1]))
+            if end == n:
+                break
+            node = node[2].get(text[end])
+            end += 1
         return out
 
     def ids_of(self, text: str, cuts: list[tuple[int, int, int]]) -> bytes:
         """Little-endian 16-bit ids of (start, end, id), in order."""
-        out = []
-        for start, end, i in cuts:
-            if i >= 0:
-                out.append(i)
-            else:
-                out.extend(self.byte[b] for b in text[start:end].encode())
-        return np.array(out, "<u2").tobytes()
+        packed = self.packed
+        return b"".join([packed[i] if i >= 0 else b"".join([packed[self.byte[b]] for b in text[start:end].encode()]) for start, end, i in cuts])
 
     def best(self, text: str, entry: list[int] | None = None, begin: int = 0) -> tuple[list[int], list[tuple[int, int] | None]]:
         """Best score of a path to each position, and the (start, id) of its last piece. With `entry`, scores of the positions 0 to begin are
         given, and only pieces that end after begin are added."""
-        n = len(text)
+        n, trie, unknown = len(text), self.trie, self.unknown
         score = [NEVER] * (n + 1)
         came: list[tuple[int, int] | None] = [None] * (n + 1)
         if entry is None:
             score[0] = 0
         else:
             score[: begin + 1] = entry
+        # As edges(), in place: this is the inner loop of everything here.
         for start in range(n):
             here = score[start]
             if here <= NEVER:
                 continue
-            for end, s, i in self.edges(text, start):
-                if end > begin and here + s > score[end]:
+            node, end = trie.get(text[start]), start + 1
+            if (node is None or node[0] is None) and end > begin and here + unknown > score[end]:
+                score[end], came[end] = here + unknown, (start, -1)
+            while node is not None:
+                s, i, nodes = node
+                if s is not None and here + s > score[end] and end > begin:
                     score[end], came[end] = here + s, (start, i)
+                if end == n:
+                    break
+                node = nodes.get(text[end])
+                end += 1
         return score, came
 
     def path(self, came: list[tuple[int, int] | None], end: int, begin: int = 0) -> tuple[list[tuple[int, int, int]], int]:
@@ -111,20 +152,41 @@ class Model:
             end = start
         return cuts[::-1], end
 
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            marked = MARK + word
-            _, came = self.best(marked)
-            ids = self.ids_of(marked, self.path(came, len(marked))[0])
-            if len(self.words) < _CACHE_WORDS:
-                self.words[word] = ids
-        return ids
+    def _part(self, text: str) -> bytes:
+        """Ids of a short text: best() and path() in one, as most of the time goes here."""
+        n, trie, unknown, packed = len(text), self.trie, self.unknown, self.packed
+        score, back, last = [0] + [NEVER] * n, [0] * (n + 1), [-1] * (n + 1)
+        for start in range(n):
+            here, end = score[start], start + 1
+            s, i, nodes = trie.get(text[start], _NOTHING)
+            if s is None and here + unknown > score[end]:
+                score[end], back[end], last[end] = here + unknown, start, -1
+            while True:
+                if s is not None and here + s > score[end]:
+                    score[end], back[end], last[end] = here + s, start, i
+                if end == n or not nodes:
+                    break
+                s, i, nodes = nodes.get(text[end], _NOTHING)
+                end += 1
+        out, end = [], n
+        while end:
+            start, i = back[end], last[end]
+            out.append(packed[i] if i >= 0 else b"".join([packed[self.byte[b]] for b in text[start:end].encode()]))
+            end = start
+        out.reverse()
+        return b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with the mark before it."""
+        cut = self.runs.findall(word) if self.runs else [word]
+        if len(cut) < 2:
+            return self.parts[MARK + word]
+        return self.parts[MARK + cut[0]] + b"".join([self.parts[c] for c in cut[1:]])
 
     def encode(self, text: str) -> bytes:
         """No piece holds the mark after another character, so the best path passes every mark: words can be cut one by one."""
         if self.cut_at_marks:
-            return b"".join(map(self.word, text.replace(MARK, " ").split(" "))) if text else b""
+            return b"".join(map(self.words.__getitem__, text.replace(MARK, " ").split(" "))) if text else b""
         marked = MARK + text.replace(" ", MARK) if text else ""
         _, came = self.best(marked)
         return self.ids_of(marked, self.path(came, len(marked))[0])
@@ -133,8 +195,45 @@ class Model:
         raw = self.raw
         return b"".join([raw[i] for i in ids]).decode("utf-8", "replace")[1:]
 
+    def marks(self, text: str, begin: int) -> tuple[int, int] | None:
+        """The first and the last mark from begin on, if every path is cut there."""
+        first = text.find(MARK, begin) if self.cut_at_marks else -1
+        return None if first < 0 else (first, text.rfind(MARK))
+
+    def between(self, text: str, first: int, last: int) -> list[str]:
+        """The words from one mark to another."""
+        return text[first + 1 : last].split(MARK) if last > first else []
+
+    def word_score(self, word: str) -> int:
+        score = self.word_scores.get(word)
+        if score is None:
+            score = self.best(MARK + word)[0][-1]
+            if len(self.word_scores) < _CACHE_WORDS // 8:
+                self.word_scores[word] = score
+        return score
+
     def transfer(self, text: str, begin: int) -> np.ndarray:
-        """M[i, j]: best score from `i` characters before begin to `j` before the end, by pieces that end after begin."""
+        """M[i, j]: best score from `i` characters before begin to `j` before the end, by pieces that end after begin.
+
+        Paths meet at marks: then M is the scores up to the first mark, plus those of the words between, plus those from the last mark on.
+        """
+        ends = self.marks(text, begin)
+        if ends is None:
+            return self.transfer_by_character(text, begin)
+        (first, last), k = ends, self.reach
+        into = np.full(k, NEVER, np.int64)
+        if first == begin:
+            into[0] = 0
+        else:
+            into = self.transfer_by_character(text[:first], begin)[:, 0]
+        tail = self.best(text[last:])[0]
+        out_of = np.full(k, NEVER, np.int64)
+        out_of[: len(tail)] = tail[::-1][:k]
+        middle = sum(map(self.word_score, self.between(text, first, last)))
+        out = into[:, None] + out_of[None, :] + middle
+        return np.where((into[:, None] <= NEVER) | (out_of[None, :] <= NEVER), NEVER, out)
+
+    def transfer_by_character(self, text: str, begin: int) -> np.ndarray:
         k = self.reach
         score = np.full((len(text) + 1, k), NEVER, np.int64)
         for i in range(min(k, begin + 1)):
@@ -317,10 +416,13 @@ def _origins(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     m = model(path)
     for b in batches:
         for r in b.to_pylist():
-            text, begin = r["text"], r["begin"]
-            score, came = m.best(text, _entry(m, r["state"], begin), begin)
+            text, begin, ends = r["text"], r["begin"], m.marks(r["text"], r["begin"])
+            head = text if ends is None else text[: ends[0]]
+            score, came = m.best(head, _entry(m, r["state"], begin), begin)
             out = np.zeros(m.reach, np.int64)
-            for j in range(min(m.reach, len(text) + 1)):
+            if ends is not None:  # all paths come through the first mark
+                out[:] = begin - m.path(came, ends[0], begin)[1]
+            for j in range(min(m.reach, len(text) + 1) if ends is None else 0):
                 end = len(text) - j
                 if score[end] > NEVER:
                     out[j] = begin - m.path(came, end, begin)[1]
@@ -331,10 +433,15 @@ def _trace(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     m = model(path)
     for b in batches:
         for r in b.to_pylist():
-            text, begin = r["text"], r["begin"]
-            _, came = m.best(text, _entry(m, r["entry"], begin), begin)
-            cuts, _ = m.path(came, len(text) - int(np.frombuffer(r["state"], np.int64)[0]), begin)
-            yield pa.RecordBatch.from_arrays([pa.array([r["rid"]]), pa.array([r["doc_id"]], pa.int64()), pa.array([r["chunks"]]), pa.array([r["k"]]), _ids_column([m.ids_of(text, cuts)])], ["rid", "doc_id", "chunks", "k", "ids"])
+            text, begin, ends = r["text"], r["begin"], m.marks(r["text"], r["begin"])
+            stop = len(text) - int(np.frombuffer(r["state"], np.int64)[0])
+            head, to = (text, stop) if ends is None else (text[: ends[0]], ends[0])
+            _, came = m.best(head, _entry(m, r["entry"], begin), begin)
+            ids = m.ids_of(text, m.path(came, to, begin)[0])
+            if ends is not None:
+                tail = text[ends[1] :]
+                ids += b"".join(map(m.words.__getitem__, m.between(text, *ends))) + m.ids_of(tail, m.path(m.best(tail)[1], stop - ends[1])[0])
+            yield pa.RecordBatch.from_arrays([pa.array([r["rid"]]), pa.array([r["doc_id"]], pa.int64()), pa.array([r["chunks"]]), pa.array([r["k"]]), _ids_column([ids])], ["rid", "doc_id", "chunks", "k", "ids"])
 
 
 def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
