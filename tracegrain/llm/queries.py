@@ -43,7 +43,8 @@ def op3_conflict_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_piece_scan")
 def op5_piece_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return pieces.encode(docs).select("doc_id", "n_chunks", F.size("ids").alias("n_ids"), "ids", pieces.decode_column(F.col("ids")).alias("decoded"))
+    encoded = pieces.encode(docs)
+    return encoded.select("doc_id", "n_chunks", F.size("ids").alias("n_ids"), "ids", F.crc32(pieces.decode_column(F.col("ids")).cast("binary")).alias("decoded_crc32"))
 
 
 @query("op6_ngram_join", statements.NGRAM_JOIN)
