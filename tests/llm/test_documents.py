@@ -240,6 +240,25 @@ def test_bins(docs, corpus):
         assert len(sources) == len(set(sources)) and len({r.cluster for r in rows}) == len(rows)
 
 
+def near_apart(rows):
+    """Pairs of rows (text, bin) that are near duplicates and share a bin."""
+    sets = [(shingles(t, 5), b) for t, b in rows if b is not None]
+    return [(x, y) for k, (x, a) in enumerate(sets) for y, b in sets[:k] if a == b and 100 * len(x & y) >= 80 * len(x | y)]
+
+
+def test_near_copies_do_not_share_a_bin(spark, tmp_path):
+    from tracegrain.llm import queries
+
+    base = [f"w{i}" for i in range(120)]
+    rows = [(None if i == 3 else i // 2, " ".join(base[:k] + ["other"] * (i > 0) + base[k + 1 :]), f"s{i}") for i, k in enumerate((0, 0, 119, 118, 1, 117))]
+    rows += [(100 + i, " ".join(f"x{i}_{j}" for j in range(200)), f"t{i}") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    by_source = {s: t for _, t, s in rows}
+    got = queries.QUERIES["op3_conflict_packing"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and len({r.cluster for r in got}) == 7
+    assert not near_apart([(by_source[r.source], r.bin) for r in got])
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     packed = {i: b for i, _, _, b, _ in binpack.pack_group([(0, 70, "a", 1), (1, 60, "b", 2), (2, 30, "a", 3), (3, 30, "c", 3), (4, 25, "d", 4)], 100)}
     # The first 30 cannot join source a; the second cannot join cluster 3, and fits the bin of 70 exactly.

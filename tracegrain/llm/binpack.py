@@ -93,11 +93,16 @@ def pack_group(rows: list[tuple[int, int, object, object]], capacity: int) -> li
     return out
 
 
-def pack(docs: DataFrame, cluster: Column, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each piece: doc_id, piece, n_words (of the piece), bin, position (in the bin), source, cluster."""
+def pack(docs: DataFrame, cluster: Column, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", merged: DataFrame | None = None) -> DataFrame:
+    """One row for each piece: doc_id, piece, n_words (of the piece), bin, position (in the bin), source, cluster.
+
+    merged (cluster, into) names the clusters that are part of another one; rows that carry such a cluster count as that one's.
+    """
     rows = cut_lineage(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), word_counts(F.col(text_col)).alias("n_words"),
         F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster")))
+    if merged is not None:  # met by the narrow rows, not by the texts
+        rows = cut_lineage(rows.join(merged, "cluster", "left").select("doc_id", "n_words", "source", F.coalesce("into", "cluster").alias("cluster")))
     groups = max(1, -(-rows.count() // group_docs))
 
     def run(table: pa.Table) -> pa.Table:

@@ -360,6 +360,16 @@ def component_table(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return rows.join(labels, own, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def near_clusters(docs: DataFrame, size: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
+    """(cluster, into): xxhash64 of each text that is a near duplicate, and what stands for its component, for texts where the two differ.
+
+    Texts are named by their hash, so rows without an id, or that share one, have a cluster like any other.
+    """
+    texts = docs.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = component_table(texts, size, percent).where("doc_id <> component_id")
+    return cut_lineage(found.groupBy(F.col("doc_id").alias("cluster")).agg(F.min("component_id").alias("into")))
+
+
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group, with all its columns; rows that repeat an id and text count as one. Rows without an id stay."""
     kept = component_table(docs, size, percent, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).groupBy("_kept").agg(F.count("*").alias("_rows"))

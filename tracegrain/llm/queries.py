@@ -36,8 +36,9 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_conflict_packing")
 def op3_conflict_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """Bins of 2,048 words; equal texts are a cluster."""
-    return binpack.pack(table(spark, folder, "documents"), F.xxhash64("text"))
+    """Bins of 2,048 words; near duplicates (five-word shingles, similarity 0.8) are a cluster, equal texts among them."""
+    docs = table(spark, folder, "documents")
+    return binpack.pack(docs, F.xxhash64("text"), merged=ngram_join.near_clusters(docs))
 
 
 @query("op5_piece_scan")
