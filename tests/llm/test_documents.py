@@ -440,6 +440,26 @@ def test_only_touched_shards_are_written(spark, tmp_path):
     assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in plan.collect()}
 
 
+def test_rewriting_keeps_null_and_repeated_ids(spark, tmp_path):
+    rows = [(i, "x" * (i % 9), "abc"[i % 3], i) for i in range(90)]
+    rows += [(None, "y" * (i % 4), "abc"[i % 3], i % 2) for i in range(12)] + [(7, "same", "abc"[i % 3], 0) for i in range(9)]
+    rows += [(8, None, s, None) for s in "aabbcc"] + [(9, f"text {i}", "abc"[i % 3], i) for i in range(6)] + [(10, "swap", "a", None), (10, "swap", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(3)
+    shard = F.when(F.col("source") == "a", 0).when(F.col("source") == "b", 1).otherwise(2)
+    folder = str(tmp_path / "shards")
+    docs.withColumn("shard", shard).write.partitionBy("shard").parquet(folder)
+    size = dict(docs.groupBy(shard.alias("s")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).collect())
+    plan = sharding.reshard(docs, shard, 3, 3, capacities=[size[0] - 60, size[1] + 60, size[2]], loose_docs=0)
+    before = {p.name for p in (tmp_path / "shards" / "shard=2").iterdir()}
+    with pytest.raises(ValueError):
+        sharding.rewrite(docs.where("doc_id is not null"), plan, folder)
+    assert sharding.rewrite(docs, plan, folder) == [0, 1]
+    assert {p.name for p in (tmp_path / "shards" / "shard=2").iterdir()} == before
+    back = spark.read.parquet(folder).select("doc_id", "text", "source", "extra", "shard").collect()
+    assert Counter(tuple(r)[:4] for r in back) == Counter(rows)
+    assert Counter((r.doc_id, r.shard) for r in back) == Counter((r.doc_id, r.shard) for r in plan.collect())
+
+
 def test_empty_tables(empty):
     assert quality.judge(empty).count() == 0 and quality.keep(empty).count() == 0
     assert substrings.digest(empty).count() == 0 and substrings.remove(empty).columns == empty.columns

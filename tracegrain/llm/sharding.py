@@ -8,7 +8,7 @@ block, and the table of blocks is the only thing that is ordered by shard.
 
 Defined results: a null text counts no bytes and has checksum 0; every row counts one byte besides its text. Documents
 that lie across a cut, and LOOSE_DOCS small ones of each old shard, are given, largest first, to the shard with most room left. Repeated rows are placed one by one; a null id has a
-place like any other. An empty table gives an empty table. Other columns of the input are not read.
+place like any other. An empty table gives an empty table. Of other columns only a hash is kept (`row_key`), by which rewrite() finds a place's row.
 """
 
 from __future__ import annotations
@@ -79,8 +79,15 @@ def _choose(pairs: list[tuple[Column, int]], otherwise: int) -> Column:
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
 
 
+def row_key(docs: DataFrame, id_col: str) -> Column:
+    """64 bits of all of a row but its shard. Maps are hashed as JSON; a null is told from a value by its flag."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields if f.name != "shard" or f.name == id_col}
+    parts = [F.to_json(F.struct(docs[c])) if "map<" in kind else docs[c] for c, kind in sorted(kinds.items())]
+    return F.xxhash64(*(x for p in parts for x in (p.isNull(), p)))
+
+
 def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, capacities: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, loose_docs: int = LOOSE_DOCS) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, old_shard, shard, slot (gapless from 0 in each shard).
+    """One row per document: doc_id, size, text_crc32, old_shard, shard, slot (gapless from 0 in each shard), row_key.
 
     old_shard gives each row's shard now, 0 to old_shards - 1. capacities are the bytes each new shard takes; near equal if not given.
     """
@@ -89,7 +96,8 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, ca
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard")))
+        F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
+        row_key(docs, id_col).alias("row_key")))
     sizes = {r["old_shard"]: r["size"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("size")).collect()}  # one row a shard
     supply = [sizes.get(i, 0) for i in range(old_shards)]
     flow = min_cost_flow(supply, capacities or even_capacities(sum(supply), shards))
@@ -104,7 +112,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, ca
     starts = sums.select("old_shard", "block", F.coalesce(F.sum("bytes").over(line), F.lit(0)).alias("block_start"))
     placed = cut_lineage(
         keyed.join(starts, ["old_shard", "block"])
-        .select("doc_id", "size", "text_crc32", "old_shard", "block", (F.col("block_start") + F.col("before")).alias("start")))
+        .select("doc_id", "size", "text_crc32", "row_key", "old_shard", "block", (F.col("block_start") + F.col("before")).alias("start")))
 
     inside = [((F.col("old_shard") == i) & (F.col("start") >= a) & (F.col("start") + F.col("size") <= b), j) for i, a, b, j in _runs(flow)]
     whole = placed.withColumn("shard", _choose(inside, -1))
@@ -125,7 +133,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, ca
     order = W.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(W.unboundedPreceding, -1)
     firsts = counts.select("shard", "old_shard", "block", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"))
     numbered = whole.withColumn("number", F.row_number().over(W.partitionBy("shard", "old_shard", "block").orderBy("start")) - 1)
-    return numbered.join(firsts, ["shard", "old_shard", "block"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("number")).cast("long").alias("slot"))
+    return numbered.join(firsts, ["shard", "old_shard", "block"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("number")).cast("long").alias("slot"), "row_key")
 
 
 def _runs(flow: list[list[int]]) -> list[tuple[int, int, int, int]]:
@@ -168,12 +176,20 @@ def even_out(room: list[int], loose: list[tuple[int, int, int, int]]) -> list[tu
 def rewrite(docs: DataFrame, plan: DataFrame, folder: str, id_col: str = "doc_id") -> list[int]:
     """Write again, under `folder`/shard=N, the shards that lost or gained documents, and only those. Returns their numbers.
 
-    `plan` is reshard()'s result for `docs`; ids must be unique and not null here. The other shards' files are left as they are.
+    `plan` is reshard()'s result for `docs`. The other shards' files are left as they are. Rows meet their places by id (null or not) and by a
+    hash of all they hold, so rows that share an id are told apart; rows alike in all columns are copies, and each place gets one. Nothing is
+    written unless docs has as many rows of each kind as the plan.
     """
+    keyed = docs.withColumns({"_id": F.col(id_col), "_key": row_key(docs, id_col)})
+    ours = keyed.select("_id", "_key", F.lit(1).alias("n"))
+    counts = ours.unionByName(plan.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.lit(-1).alias("n"))).groupBy("_id", "_key")
+    if counts.agg(F.sum("n").alias("n")).where("n <> 0").limit(1).count():
+        raise ValueError("the plan is not of these rows")
     moved = plan.where(F.col("shard") != F.col("old_shard"))
     touched = sorted({r[0] for r in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect()})  # shard numbers
-    places = plan.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    (docs.join(places, docs[id_col] == F.col("_id")).drop("_id", "shard").withColumnRenamed("_shard", "shard")
+    places = plan.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias("_place_id"), F.col("row_key").alias("_place_key"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    here = F.col("_id").eqNullSafe(F.col("_place_id")) & (F.col("_key") == F.col("_place_key"))
+    (keyed.dropDuplicates(["_id", "_key"]).join(places, here).drop("_id", "_key", "_place_id", "_place_key", "shard").withColumnRenamed("_shard", "shard")
      .repartition("shard", F.floor(F.col("_slot") / 100_000)).sortWithinPartitions("shard", "_slot").drop("_slot")
      .write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(folder))
     return touched
