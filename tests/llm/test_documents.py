@@ -223,6 +223,16 @@ def test_lines(docs, corpus):
     assert Counter(tuple(r) for r in lines.digest(docs).collect()) == want
 
 
+def test_short_lines_occur_once(spark, tmp_path):
+    from tracegrain.llm import queries
+
+    rows = [(1, "Read more\nfirst text of its own here\n--\nread, MORE"), (2, "x\n\nread more\nsecond body that is quite unlike it"), (3, "X!\n--"), (4, None), (None, "read more")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in queries.QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 1, sha("Read more\nfirst text of its own here\n--")), 2: (3, 1, sha("x\n\nsecond body that is quite unlike it")),
+                   3: (1, 1, sha("--")), 4: (0, 0, sha("")), None: (1, 0, sha("read more"))}
+
+
 # Packing
 
 
