@@ -233,6 +233,13 @@ def test_short_lines_occur_once(spark, tmp_path):
                    3: (1, 1, sha("--")), 4: (0, 0, sha("")), None: (1, 0, sha("read more"))}
 
 
+def test_one_id_on_two_texts(spark):
+    same, other, own = "one line that two documents have", "a second one for the later text", "this stands nowhere else at all today"
+    rows = [(1, same), (2, f"{same}\n{other}"), (2, f"{own}\n{same}"), (3, f"{other}\n{own}")]
+    got = Counter((r.doc_id, r.text) for r in lines.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(1, same): 1, (2, other): 1, (2, own): 1, (3, ""): 1})
+
+
 # Packing
 
 
