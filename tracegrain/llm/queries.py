@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tracegrain.llm import binpack, lines, neighbours, ngram_join, pieces, quality, sharding, statements, substrings, token_rows, toxicity
+from tracegrain.llm import binpack, divergence, lines, neighbours, ngram_join, pieces, quality, sharding, statements, substrings, token_rows, toxicity
 from tracegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -68,3 +68,8 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Fitted on a sample of the labelled documents; every document is scored."""
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op11_divergence_audit", statements.DIVERGENCE)
+def op11_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))

@@ -63,3 +63,28 @@ c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id
 """
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL),
+cl AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+ln AS (SELECT lang, sum(n)::HUGEINT AS total FROM cl GROUP BY lang),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (cl.n + 2) // (ln.total + 2 * v.v) AS q FROM cl JOIN ln USING (lang) JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(gn.total, 0) + 2 * v.v) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, coalesce(s.value, 0)::BIGINT FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
