@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tracegrain.llm import binpack, divergence, lines, neighbours, ngram_join, pieces, quality, sharding, statements, substrings, token_rows, toxicity
+from tracegrain.llm import binpack, divergence, lines, neighbours, ngram_join, pieces, quality, sharding, statements, substrings, token_rows, toxicity, turns
 from tracegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -73,3 +73,9 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_divergence_audit", statements.DIVERGENCE)
 def op11_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
+
+
+@query("op12_turn_repair", statements.TURNS)
+def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return turns.audit(turns.damage(conversations), conversations)

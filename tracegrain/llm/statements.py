@@ -88,3 +88,42 @@ r AS (
     LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source)
 SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 10
 """
+
+_FATE = """list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"""
+
+TURNS = rf"""
+WITH RECURSIVE f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({_FATE}, 4294967295) % 20 AS fate FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS time FROM f WHERE fate <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM x),
+m AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS late, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+r AS (SELECT *, blank OR again AS forced, (late AND NOT blank AND NOT again)::BIGINT AS extra, left(role, 1) AS e FROM m),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum((again AND NOT blank)::INT) AS duplicate,
+    sum(extra) AS truncated, sum((pair NOT IN ('su', 'ua', 'au'))::INT) AS illegal FROM r GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS b FROM n
+  UNION ALL
+  SELECT conv_id, i, q, min(b) FROM (
+    SELECT s.conv_id, s.i + 1 AS i, k.q,
+      {{'c': s.b.c + 2 * s.ins + k.cost, 'a': s.b.a || repeat('I', s.ins) || k.edit,
+       't': s.b.t || CASE WHEN s.ins = 0 THEN '' WHEN s.q0 = 2 THEN chr(10) || 'assistant:' ELSE chr(10) || 'user:' END
+            || CASE WHEN s.ins < 2 THEN '' WHEN s.q0 = 2 THEN chr(10) || 'user:' ELSE chr(10) || 'assistant:' END
+            || CASE k.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || r.role || ':' || r.text ELSE chr(10) || CASE s.q WHEN 2 THEN 'assistant:' ELSE 'user:' END || r.text END}} AS b
+    FROM (SELECT conv_id, i, b, dp.q AS q0, z.ins, CASE z.ins WHEN 0 THEN dp.q WHEN 1 THEN CASE dp.q WHEN 2 THEN 3 ELSE 2 END ELSE CASE dp.q WHEN 2 THEN 2 ELSE 3 END END AS q
+          FROM dp, (VALUES (0), (1), (2)) z(ins)) s
+    JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1,
+    LATERAL (SELECT unnest(['D', 'K', 'R']) AS edit, unnest([3, r.extra, 2 + r.extra]) AS cost,
+      unnest([s.q, CASE WHEN r.e = 's' AND s.q = 0 THEN 1 WHEN r.e = 'u' AND s.q <> 2 THEN 2 WHEN r.e = 'a' AND s.q = 2 THEN 3 END, CASE s.q WHEN 2 THEN 3 ELSE 2 END]) AS q) k
+    WHERE k.q IS NOT NULL AND (k.edit = 'D' OR NOT r.forced)) GROUP BY conv_id, i, q),
+fin AS (
+  SELECT conv_id, min(b) AS b FROM (
+    SELECT dp.conv_id, {{'c': dp.b.c + 2 * z.ins, 'a': dp.b.a || repeat('I', z.ins), 't': dp.b.t || CASE z.ins WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'assistant:' ELSE chr(10) || 'user:' || chr(10) || 'assistant:' END}} AS b
+    FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i, (VALUES (0), (1), (2)) z(ins)
+    WHERE z.ins = 0 AND dp.q IN (0, 3) OR z.ins = 1 AND dp.q = 2 OR z.ins = 2 AND dp.q IN (1, 3, 0)) GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0)::BIGINT AS blank, coalesce(n.duplicate, 0)::BIGINT AS duplicate, coalesce(n.truncated, 0)::BIGINT AS truncated,
+  coalesce(n.illegal, 0)::BIGINT AS illegal, coalesce(fin.b.c, 0)::BIGINT AS cost, coalesce(fin.b.a, '') AS audit, sha256(coalesce(fin.b.t[2:], '')) AS repaired_sha256
+FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
