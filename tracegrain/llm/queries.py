@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tracegrain.llm import binpack, divergence, lines, neighbours, ngram_join, pieces, quality, sharding, statements, substrings, token_rows, toxicity, turns
+from tracegrain.llm import binpack, divergence, lines, neighbours, ngram_join, pieces, quality, sharding, sketches, statements, substrings, token_rows, toxicity, turns
 from tracegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -79,3 +79,8 @@ def op11_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
 def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     conversations = table(spark, folder, "conversations")
     return turns.audit(turns.damage(conversations), conversations)
+
+
+@query("op13_fast_sketches", statements.SKETCHED)
+def op13_fast_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.near_duplicates(table(spark, folder, "documents"))

@@ -127,3 +127,7 @@ SELECT ids.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0)::B
   coalesce(n.illegal, 0)::BIGINT AS illegal, coalesce(fin.b.c, 0)::BIGINT AS cost, coalesce(fin.b.a, '') AS audit, sha256(coalesce(fin.b.t[2:], '')) AS repaired_sha256
 FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM ids.conv_id
 """
+
+# The same join over five-word shingles, and which document of a component stays.
+SKETCHED = NGRAM_JOIN.replace("words[i:i + 3]", "words[i:i + 4]").replace("len(words) - 2", "len(words) - 3").replace("len(words) >= 4", "len(words) >= 5").replace("BETWEEN 1 AND 3", "BETWEEN 1 AND 4").replace(
+    "AS component_id\nFROM w", "AS component_id, w.doc_id = coalesce(c.component_id, w.doc_id) AS kept\nFROM w")
