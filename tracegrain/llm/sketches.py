@@ -10,9 +10,11 @@
    classes that agree in eight coordinates stay together; a bucket that is still large is dealt in blocks of BLOCK classes, each pair of blocks to one
    task at a time: nothing is left out.
 5. In a block or a pair of blocks, pairs whose sizes fit and whose sketches agree in at least as many coordinates as all but one in 10**9 of the linked pairs
-   do become candidates: first, in the buckets of FIRST_BANDS bands, a spanning forest of them, the most alike first; then, in all buckets, those that would
-   connect what is still in different components.
-   Candidates are confirmed on their full sets. So a group of copies is not expanded into its pairs, and no link between different components is lost.
+   do are candidates. A spanning forest of them leaves the task: first from the buckets of FIRST_BANDS bands, then from all buckets that still hold
+   more than one component. What the candidates connect is a cluster; every link lies within one.
+6. A cluster is confirmed on the full sets, in blocks like the buckets: overlaps are counted exactly and a spanning forest of the links leaves the task. A
+   cluster of more than BANDS x BLOCK classes is confirmed bucket by bucket, which is less. So no group is expanded into its pairs and no link between different
+   components is lost.
 
 A sketch is 192 bytes a class; buckets carry ids, and sketches only where they have more than one class.
 
@@ -24,11 +26,11 @@ no rows; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.llm.components import components
@@ -46,6 +48,7 @@ SHIFTS = 6
 FIRST_BANDS = 6
 BLOCK = 512
 LOST = 1e-9
+BLOCK_TOKENS = 1_000_000
 _EMPTY = np.uint64((1 << 64) - 1)
 _ROUND = 0x9E3779B97F4A7C15
 _SCHEMA = "doc_id long, n long, high long, low long, sketch array<bigint>"
@@ -124,146 +127,172 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return plain.unionByName(finer.join(shared, "bucket", "left_semi").select("bucket", "band", "cls"))
 
 
-def _cells(members: DataFrame, sizes: DataFrame, pairs: bool) -> DataFrame:
-    """The rows of each block of each bucket, under the cell they are compared in: a block alone (side 0) and, with `pairs`, each two blocks of a
-    bucket (sides 1 and 2)."""
-    m = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    m = m.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int"))
+def _cells(members: DataFrame, sizes: DataFrame, group: str, pairs: bool) -> DataFrame:
+    """The rows of each block of each group, under the cell they are compared in: a block alone (side 0) and, with `pairs`, each two blocks of a
+    group (sides 1 and 2). `sizes` has the group and its blocks."""
+    m = members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int"))
     if not pairs:
-        return m.withColumn("cell", F.xxhash64("bucket", "block")).withColumn("side", F.lit(0))
+        return m.withColumn("cell", F.xxhash64(group, "block")).withColumn("side", F.lit(0))
     m = m.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    return m.withColumn("cell", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", side)
+    return m.withColumn("cell", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", side)
 
 
-def _candidates(cells: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(a, b), a < b: pairs of classes of a cell that sizes and sketches let through and that are in different components."""
+def _blocks(size: Column, tokens: Column | None = None) -> Column:
+    count = F.ceil(size / BLOCK)
+    return (count if tokens is None else F.greatest(count, F.ceil(tokens / BLOCK_TOKENS))).cast("int").alias("blocks")
+
+
+def _in_cells(cells: DataFrame, columns: list[str]) -> DataFrame:
+    return cells.select("cell", "side", *columns).repartition(F.xxhash64("cell")).sortWithinPartitions("cell", "side")
+
+
+def _candidates(cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of each cell's candidates that are in different components."""
     common = least_common(COORDINATES, percent, LOST)
-    rows = cells.select("cell", "side", "cls", "n", "component", "sketch").repartition(F.xxhash64("cell")).sortWithinPartitions("cell", "side")
-    return rows.mapInArrow(lambda b: _compare_cells(b, percent, common, forest), "a long, b long").distinct()
+    return _in_cells(cells, ["cls", "n", "component", "sketch"]).mapInArrow(lambda b: _by_cell(b, lambda c: _forest_of(c, percent, common)), "a long, b long")
 
 
-def _compare_cells(batches: Iterator[pa.RecordBatch], percent: int, common: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, ...]] = []
-    now = None
+def _confirmed(cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of each cell's links, by their full sets."""
+    common = least_common(COORDINATES, percent, LOST)
+    return _in_cells(cells, ["cls", "n", "sketch", "tokens"]).mapInArrow(lambda b: _by_cell(b, lambda c: _links_of(c, percent, common)), "a long, b long")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], compare: Callable[[pa.Table], Iterator[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell; a cell is two blocks at most, and is held whole."""
+    held: list[pa.RecordBatch] = []
+    now, out = None, []
     for b in batches:
         if not b.num_rows:
             continue
-        sketch = b.column(5)
-        values = sketch.values.to_numpy()[sketch.offset * BANDS : (sketch.offset + len(sketch)) * BANDS].reshape(-1, BANDS)
-        rows = (*(b.column(i).to_numpy() for i in range(5)), values)
-        cuts = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), b.num_rows]
+        cell = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
-            if rows[0][lo] != now:
-                yield from _pairs_of(held, percent, common, forest)
-                now, held = rows[0][lo], []
-            held.append(tuple(x[lo:hi] for x in rows))
-    yield from _pairs_of(held, percent, common, forest)
-
-
-def _pairs_of(held: list[tuple[np.ndarray, ...]], percent: int, common: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    """Two blocks at most, so 2 x BLOCK rows."""
-    if not held:
-        return
-    _, side, cls, n, component, sketch = held[0] if len(held) == 1 else (np.concatenate(x) for x in zip(*held))
-    coordinates = np.ascontiguousarray(sketch).view("<u2").reshape(len(cls), COORDINATES)
-    found, alike = [], []
-    for i in np.flatnonzero(side < 2).tolist():
-        others = np.flatnonzero(side == 2) if side[i] else np.arange(i + 1, len(cls))
-        others = others[(100 * n[i] >= percent * n[others]) & (100 * n[others] >= percent * n[i]) & (component[others] != component[i])]
-        if len(others):
-            same = (coordinates[others] == coordinates[i]).sum(1)
-            good = same >= common
-            if good.any():
-                found.append(np.stack([np.full(int(good.sum()), i), others[good]], 1))
-                alike.append(same[good])
-    if not found:
-        return
-    pairs = np.concatenate(found)
-    if forest:
-        pairs = pairs[_spanning(pairs, np.concatenate(alike))]
-    a, b = cls[pairs[:, 0]], cls[pairs[:, 1]]
-    for at in range(0, len(pairs), 16_384):
-        x, y = a[at : at + 16_384], b[at : at + 16_384]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-
-def _spanning(pairs: np.ndarray, alike: np.ndarray) -> list[int]:
-    """A spanning forest, the most alike first."""
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    keep = []
-    for e in np.argsort(-alike, kind="stable").tolist():
-        x, y = find(int(pairs[e, 0])), find(int(pairs[e, 1]))
-        if x != y:
-            up[x] = y
-            keep.append(e)
-    return keep
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by the full sets of the texts (cls, high, text)."""
-    sides = [texts.select(F.col("cls").alias(x), F.col("high").alias(f"high_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "high_a", "high_b", "text_a", "text_b")
-    return cut_lineage(both.mapInArrow(lambda x: _verify(x, size, percent), "a long, b long"))
-
-
-def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    zero = np.zeros(1, np.int64)
-    for big in batches:
-        for at in range(0, big.num_rows, 128):
-            b = big.slice(at, 128)
-            sets = []
-            for c in (4, 5):
-                mine: list[np.ndarray] = []
-                for w in column_words(b.column(c), fold=True):
-                    row, hashes = shingle_sets(w, size)
-                    mine += np.split(hashes, np.cumsum(np.bincount(row, minlength=w.rows))[:-1])
-                sets.append(mine)
-            names = [b.column(c).to_numpy().view(np.uint64) for c in (2, 3)]
-            good = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(*sets)):
-                # Rows that share an id may differ in text; a class is meant by its name.
-                if len(x) and len(y) and all(_names(s, zero, np.array([len(s)]))[0][0] == names[k][i] for k, s in enumerate((x, y))):
-                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    good[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            keep = pa.array(good)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+            if cell[lo] != now:
+                if held:
+                    out += compare(pa.Table.from_batches(held).combine_chunks())
+                now, held = cell[lo], []
+            held.append(b.slice(lo, hi - lo))
+        if len(out) > 10_000:
+            yield _edges(out)
+            out = []
+    if held:
+        out += compare(pa.Table.from_batches(held).combine_chunks())
+    if out:
+        yield _edges(out)
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(pairs, np.int64).T
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+class _Cell:
+    """The rows of a cell, and which of them a row is compared with."""
+
+    def __init__(self, t: pa.Table, percent: int, common: int):
+        self.side, self.cls, self.n = (t.column(c).to_numpy() for c in ("side", "cls", "n"))
+        self.coordinates = t.column("sketch").combine_chunks().flatten().to_numpy().view("<u2").reshape(t.num_rows, COORDINATES)
+        self.percent, self.common = percent, common
+
+    def rows(self) -> list[int]:
+        return np.flatnonzero(self.side < 2).tolist()
+
+    def others(self, i: int, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows not yet connected with row i that may link with it, and in how many coordinates they agree."""
+        others = np.flatnonzero(self.side == 2) if self.side[i] else np.arange(i + 1, len(self.cls))
+        n, mine = self.n[others], self.n[i]
+        others = others[(100 * mine >= self.percent * n) & (100 * n >= self.percent * mine) & (tree[others] != tree[i])]
+        same = (self.coordinates[others] == self.coordinates[i]).sum(1)
+        good = same >= self.common
+        return others[good], same[good]
+
+
+def _forest_of(t: pa.Table, percent: int, common: int) -> Iterator[tuple[int, int]]:
+    cell = _Cell(t, percent, common)
+    tree = t.column("component").to_numpy().copy()
+    for i in cell.rows():
+        others, same = cell.others(i, tree)
+        for j in others[np.argsort(-same, kind="stable")].tolist():
+            if tree[j] != tree[i]:
+                tree[tree == tree[j]] = tree[i]
+                yield int(cell.cls[i]), int(cell.cls[j])
+
+
+def _links_of(t: pa.Table, percent: int, common: int) -> Iterator[tuple[int, int]]:
+    cell = _Cell(t, percent, common)
+    tokens = t.column("tokens").combine_chunks()
+    starts, sizes = tokens.offsets.to_numpy()[:-1].astype(np.int64) - tokens.offsets[0].as_py(), cell.n
+    _, codes = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+    tree, mark = np.arange(len(cell.cls)), np.zeros(int(codes.max()) + 1, bool)
+    for i in cell.rows():
+        others, _ = cell.others(i, tree)
+        if not len(others):
+            continue
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        theirs = np.concatenate([codes[starts[j] : starts[j] + sizes[j]] for j in others.tolist()])
+        both = np.add.reduceat(mark[theirs].astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+        mark[own] = False
+        for j in others[100 * both >= percent * (sizes[i] + sizes[others] - both)].tolist():
+            if tree[j] != tree[i]:
+                tree[tree == tree[j]] = tree[i]
+                yield int(cell.cls[i]), int(cell.cls[j])
+
+
+def _token_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cls, high, text) in, (cls, tokens) out. Rows that share an id may differ in text; a class is meant by its name."""
+    for b in batches:
+        for w in column_words(b.column(2), fold=True):
+            row, hashes = shingle_sets(w, size)
+            n = np.bincount(row, minlength=w.rows)
+            starts = np.concatenate([[0], np.cumsum(n)])
+            good = n > 0
+            if len(row):
+                high = b.column(1).slice(w.row, w.rows).to_numpy().view(np.uint64)
+                good[good] = _names(hashes, starts[:-1][good], n[good])[0] == high[good]
+            sets = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(hashes.view(np.int64))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(w.row, w.rows), sets], ["cls", "tokens"]).filter(pa.array(good))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; one document of each component is kept, that with the smallest id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut_lineage(docs.mapInArrow(lambda b: _describe(b, size), _SCHEMA))
-    sets = rows.where("n > 0 and doc_id is not null").groupBy("high", "low").agg(
+    named = rows.where("n > 0 and doc_id is not null").groupBy("high", "low").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = cut_lineage(sets.withColumn("cls", F.monotonically_increasing_id()))  # numbered once: the table is written
+    classes = cut_lineage(named.withColumn("cls", F.monotonically_increasing_id()))  # numbered once: the table is written
     buckets = cut_lineage(_buckets(classes))
-    active = classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "sketch", "least", "high")
-    active = cut_lineage(active)
-    texts = cut_lineage(docs.join(active.select("cls", "high", "least"), F.col("doc_id") == F.col("least")).select("cls", "high", "text"))
-    members = active.select("cls", "n", "sketch")
+    members = cut_lineage(classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "sketch", "least", "high"))
+    sketched = members.select("cls", "n", "sketch")
 
-    # Most links show in the first bands; a spanning forest of each block connects what can be connected there.
+    # Most candidates show in the first bands; after that, all buckets that still hold more than one component.
     early = buckets.where(F.col("band") < FIRST_BANDS)
-    sizes = early.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    cells = _cells(early.join(members, "cls").withColumn("component", F.col("cls")), sizes, False)
-    first = _confirmed(_candidates(cells, percent, True), texts, size, percent)
-
-    # All buckets that still hold more than one component.
+    sizes = early.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket", _blocks(F.col("size")))
+    first = cut_lineage(_candidates(_cells(early.join(sketched, "cls").withColumn("component", F.col("cls")), sizes, "bucket", False), percent))
     known = cut_lineage(components(first))
     placed = cut_lineage(buckets.join(known, F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("component")))
-    split = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "size")
-    cells = _cells(placed.join(members, "cls"), split, True)
-    more = _confirmed(_candidates(cells, percent, False), texts, size, percent)
-
-    known = cut_lineage(components(first.unionByName(more)))
+    split = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", _blocks(F.col("size")))
+    more = cut_lineage(_candidates(_cells(placed.join(sketched, "cls"), split, "bucket", True), percent))
+
+    # Clusters of candidates, confirmed on full sets.
+    clustered = members.join(components(first.unionByName(more)), F.col("cls") == F.col("node")).select("cls", "n", "sketch", "least", "high", F.col("component").alias("cluster"))
+    clustered = cut_lineage(clustered)
+    texts = docs.join(clustered.select("cls", "high", "least"), F.col("doc_id") == F.col("least")).select("cls", "high", "text")
+    sets = texts.mapInArrow(lambda b: _token_sets(b, size), "cls long, tokens array<bigint>").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    full = cut_lineage(clustered.select("cls", "n", "sketch", "cluster").join(sets, "cls"))
+    sizes = cut_lineage(clustered.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")))
+    usual = sizes.where(F.col("size") <= BANDS * BLOCK).select("cluster", _blocks(F.col("size"), F.col("tokens")))
+    links = _confirmed(_cells(full, usual, "cluster", True), percent)
+    large = sizes.where(F.col("size") > BANDS * BLOCK).select("cluster")
+    if large.limit(1).count():
+        of_large = full.join(large, "cluster", "left_semi")
+        shared = cut_lineage(buckets.join(of_large.select("cls"), "cls", "left_semi"))
+        sizes = shared.join(of_large.select("cls", "n"), "cls").groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
+        by_bucket = _cells(shared.join(of_large, "cls"), sizes.select("bucket", _blocks(F.col("size"), F.col("tokens"))), "bucket", True)
+        links = links.unionByName(_confirmed(by_bucket, percent))
+    known = cut_lineage(components(cut_lineage(links)))
     of = classes.join(known, F.col("cls") == F.col("node"), "left").where("copies > 1 or node is not null").select("high", "low", F.coalesce("component", "cls").alias("root"), "least")
     roots = of.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = cut_lineage(of.join(roots, "root").select("high", "low", "component_id"))
