@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.llm.components import components
+from tracegrain.llm.components import _fold, components
 from tracegrain.llm.ngram_join import shingle_sets
 from tracegrain.llm.words import column_words, mix
 from tracegrain.session import cut_lineage
@@ -49,6 +49,7 @@ FIRST_BANDS = 6
 BLOCK = 512
 LOST = 1e-9
 BLOCK_TOKENS = 1_000_000
+EDGES_PER_TASK = 20_000
 _EMPTY = np.uint64((1 << 64) - 1)
 _ROUND = 0x9E3779B97F4A7C15
 _SCHEMA = "doc_id long, n long, high long, low long, sketch array<bigint>"
@@ -256,6 +257,17 @@ def _token_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([b.column(0).slice(w.row, w.rows), sets], ["cls", "tokens"]).filter(pa.array(good))
 
 
+def _connected(edges: DataFrame) -> DataFrame:
+    """(node, component) of the edges (a, b). They are first folded by as many tasks as there are EDGES_PER_TASK edges: what one task holds is done with,
+    and more tasks leave stars for the rounds."""
+    edges = cut_lineage(edges)
+    tasks = -(-edges.count() // EDGES_PER_TASK)
+    stars = cut_lineage(edges.coalesce(max(tasks, 1)).mapInArrow(_fold, "a long, b long"))
+    if tasks > 1:
+        return components(stars)
+    return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; one document of each component is kept, that with the smallest id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -271,13 +283,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     early = buckets.where(F.col("band") < FIRST_BANDS)
     sizes = early.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket", _blocks(F.col("size")))
     first = cut_lineage(_candidates(_cells(early.join(sketched, "cls").withColumn("component", F.col("cls")), sizes, "bucket", False), percent))
-    known = cut_lineage(components(first))
+    known = _connected(first)
     placed = cut_lineage(buckets.join(known, F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("component")))
     split = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", _blocks(F.col("size")))
     more = cut_lineage(_candidates(_cells(placed.join(sketched, "cls"), split, "bucket", True), percent))
 
     # Clusters of candidates, confirmed on full sets.
-    clustered = members.join(components(first.unionByName(more)), F.col("cls") == F.col("node")).select("cls", "n", "sketch", "least", "high", F.col("component").alias("cluster"))
+    clustered = members.join(_connected(first.unionByName(more)), F.col("cls") == F.col("node")).select("cls", "n", "sketch", "least", "high", F.col("component").alias("cluster"))
     clustered = cut_lineage(clustered)
     texts = docs.join(clustered.select("cls", "high", "least"), F.col("doc_id") == F.col("least")).select("cls", "high", "text")
     sets = texts.mapInArrow(lambda b: _token_sets(b, size), "cls long, tokens array<bigint>").groupBy("cls").agg(F.first("tokens").alias("tokens"))
@@ -292,7 +304,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         sizes = shared.join(of_large.select("cls", "n"), "cls").groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
         by_bucket = _cells(shared.join(of_large, "cls"), sizes.select("bucket", _blocks(F.col("size"), F.col("tokens"))), "bucket", True)
         links = links.unionByName(_confirmed(by_bucket, percent))
-    known = cut_lineage(components(cut_lineage(links)))
+    known = _connected(links)
     of = classes.join(known, F.col("cls") == F.col("node"), "left").where("copies > 1 or node is not null").select("high", "low", F.coalesce("component", "cls").alias("root"), "least")
     roots = of.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = cut_lineage(of.join(roots, "root").select("high", "low", "component_id"))
