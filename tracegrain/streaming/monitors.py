@@ -1,219 +1,334 @@
-"""Online detectors as keyed state. Each has a batch twin in ``operators``; state is a few values per key."""
+"""Online detectors over streams, in event order. Each has a batch twin in ``operators``.
+
+Rows arrive in any order. They wait in their key's queue, by buckets of event time, until the watermark has passed the bucket; then the key's
+rows are stepped through in order. A row is written once and read once, and a key has one timer, at the end of its first waiting bucket. What a
+detector remembers is a few values per key, and nothing of a key that has nothing to remember. A row whose bucket the watermark had passed when it
+arrived is late: it takes no part, and comes out with ``late`` set, its time and its number, so a sink can put it aside and count it
+(``streaming.run.drain_in_order``). The last rows of a stream that ends wait for rows after them.
+"""
 
 from __future__ import annotations
 
+import bisect
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracegrain.operators.events import LEAST_BYTES
 
+BUCKET_MS = 3_600_000
+LATE = "late boolean, late_t bigint, late_seq bigint"
 
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
-    """A micro-batch's rows of one key in event order. Source rate limits bound how many there are."""
-    frames = list(rows)
-    if frames:
-        yield from pd.concat(frames).sort_values(by, kind="stable").itertuples(index=False)
 
+def watermarked(rows: DataFrame, delay: str, event_time: str = "at") -> DataFrame:
+    """``rows`` with the watermark set over all of them. The event time is kept as a plain column, so late rows reach the detectors
+    instead of being dropped."""
+    marked = rows.withWatermark(event_time, delay)
+    return marked.withColumn(event_time, F.timestamp_micros(F.unix_micros(event_time)))
 
-class _Pressure(StatefulProcessor):
-    """First breach of a memory budget or reserve, with the peaks up to it."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "stopped boolean, peak_root bigint, peak_group bigint")
+def only(rows: DataFrame, wanted: Column, event_time: str = "at") -> DataFrame:
+    """The wanted rows of a watermarked stream. Put so that the filter stays above the watermark: rows that a detector does not use move it too."""
+    return rows.where(F.when(F.col(event_time).isNotNull(), wanted).otherwise(F.lit(False)))
 
-    def handleInputRows(self, key, rows, timerValues):
-        stopped, root, group = self.seen.get() if self.seen.exists() else (False, 0, 0)
-        out = []
-        for r in _in_order(rows, ["t", "seq"]):
-            if stopped:
-                break
-            root, group = max(root, int(r.root_rss)), max(group, int(r.group_rss))
-            reason = "rss_budget" if r.group_rss >= r.budget else "system_reserve" if r.available <= r.reserve else None
-            if reason:
-                stopped = True
-                out.append((key[0], int(r.t), reason, root, group, int(r.available), int(r.group_rss)))
-        self.seen.update((stopped, root, group))
-        yield pd.DataFrame(out, columns=["process", "t", "stop_reason", "peak_root", "peak_group", "last_available", "last_group"])
 
-    def close(self) -> None:
-        pass
+class InOrder(StatefulProcessor):
+    """Queues rows by event time and steps through them in order. ``fields`` begin with the time in microseconds and a number that orders rows of one time."""
+
+    fields: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()
 
+    def __init__(self, bucket_ms: int = BUCKET_MS):
+        self.bucket_ms = bucket_ms
 
-def pressure(points: DataFrame) -> DataFrame:
-    """``points``: process, t, seq, root_rss, group_rss, available, budget, reserve. One row per process that must be stopped."""
-    return points.groupBy("process").transformWithStateInPandas(
-        _Pressure(), "process bigint, t bigint, stop_reason string, peak_root bigint, peak_group bigint, last_available bigint, last_group bigint", "Append", "None")
+    def start(self):
+        """What is remembered of a key before its first row: any JSON value."""
+        return None
 
+    def step(self, key: tuple, state, row: list, out: list[tuple]):
+        """Take the next row: append output rows, return what is remembered."""
+        raise NotImplementedError
 
-class _Growth(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "id bigint, footprint bigint")
+        self.handle = handle
+        self.queue = handle.getMapState("queue", "bucket bigint, part bigint", "rows string")
+        self.facts = handle.getValueState("facts", "waiting string, state string")
+
+    def _end(self, bucket: int) -> int:
+        return (bucket + 1) * self.bucket_ms
+
+    def _load(self) -> tuple[dict[int, int], object]:
+        if not self.facts.exists():
+            return {}, self.start()
+        waiting, state = self.facts.get()
+        return dict(json.loads(waiting)), json.loads(state)
+
+    def _store(self, waiting: dict[int, int], state: object) -> None:
+        if waiting or state != self.start():
+            self.facts.update((json.dumps(sorted(waiting.items())), json.dumps(state)))
+        else:
+            self.facts.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed, late, fresh = timerValues.getCurrentWatermarkInMs(), [], {}
+        for frame in rows:
+            for row in frame[list(self.fields)].astype(object).values.tolist():
+                bucket = row[0] // 1000 // self.bucket_ms
+                if self._end(bucket) <= passed:
+                    late.append((*key, *[None] * len(self.columns), True, row[0], row[1]))
+                else:
+                    fresh.setdefault(bucket, []).append(row)
+        if fresh:
+            waiting, state = self._load()
+            before = min(waiting, default=None)
+            for bucket, new in fresh.items():
+                part = waiting.get(bucket, 0)
+                self.queue.updateValue((bucket, part), (json.dumps(new),))
+                waiting[bucket] = part + 1
+            first = min(waiting)
+            if first != before:
+                if before is not None:
+                    self.handle.deleteTimer(self._end(before))
+                self.handle.registerTimer(self._end(first))
+            self._store(waiting, state)
+        if late:
+            yield self._frame(key, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, out = timerValues.getCurrentWatermarkInMs(), []
+        waiting, state = self._load()
+        for bucket in sorted(b for b in waiting if self._end(b) <= passed):
+            rows = []
+            for part in range(waiting.pop(bucket)):
+                rows += json.loads(self.queue.getValue((bucket, part))[0])
+                self.queue.removeKey((bucket, part))
+            for row in sorted(rows, key=lambda r: (r[0], r[1])):
+                state = self.step(key, state, row, out)
+        if waiting:
+            self.handle.registerTimer(self._end(min(waiting)))
+        self._store(waiting, self.rest(state))
+        if out:
+            yield self._frame(key, [(*key, *r, False, None, None) for r in out])
 
-    def handleInputRows(self, key, rows, timerValues):
-        before = self.last.get() if self.last.exists() else None
-        out = []
-        for r in _in_order(rows, ["t", "id"]):
-            if before and r.footprint - before[1] >= LEAST_BYTES:
-                out.append((*key, int(r.id), before[0], before[1], int(r.footprint), int(r.footprint) - before[1]))
-            before = (int(r.id), int(r.footprint))
-        if before:
-            self.last.update(before)
-        yield pd.DataFrame(out, columns=["run_id", "label", "id", "previous_id", "before_bytes", "after_bytes", "growth_bytes"])
+    def rest(self, state):
+        """What still has to be remembered when all released rows are done with."""
+        return state
+
+    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        # Objects, so that whole numbers beside nulls stay whole.
+        return pd.DataFrame(rows, dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def checkpoint_growth(checkpoints: DataFrame) -> DataFrame:
-    """``checkpoints``: run_id, label, t, id, footprint. Growth of 64 KiB or more since the label's previous checkpoint."""
-    return checkpoints.groupBy("run_id", "label").transformWithStateInPandas(
-        _Growth(), "run_id string, label string, id bigint, previous_id bigint, before_bytes bigint, after_bytes bigint, growth_bytes bigint", "Append", "None")
+def _run(rows: DataFrame, keys: list[str], processor: InOrder, key_types: str, types: str) -> DataFrame:
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, f"{key_types}, {types}, {LATE}", "Append", "EventTime")
 
 
-class _Pairs(StatefulProcessor):
-    """Open starts per generation; a start that never stops is forgotten after the time to live."""
+class _Pressure(InOrder):
+    """First breach of a memory budget or reserve, with the peaks up to it."""
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    fields = ("t", "seq", "root_rss", "group_rss", "budget", "available", "reserve")
+    columns = ("t", "stop_reason", "peak_root", "peak_group", "last_available", "last_group")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getMapState("open", "generation bigint", "t bigint", self.ttl_ms)
+    def start(self):
+        return [False, 0, 0]
 
-    def handleInputRows(self, key, rows, timerValues):
-        out = []
-        for r in _in_order(rows, ["t", "seq"]):
-            g = (int(r.generation),)
-            if r.phase == "start":
-                self.open.updateValue(g, (int(r.t),))
-            elif self.open.containsKey(g):
-                start = self.open.getValue(g)[0]
-                self.open.removeKey(g)
-                out.append((key[0], key[1], g[0], int(r.seq), int(r.t), int(r.t) - start, int(r.collected), int(r.uncollectable)))
-        yield pd.DataFrame(out, columns=["run_id", "thread", "generation", "seq", "t", "duration", "collected", "uncollectable"])
+    def step(self, key, state, row, out):
+        stopped, root, group = state
+        t, _, root_rss, group_rss, budget, available, reserve = row
+        if stopped:
+            return state
+        root, group = max(root, root_rss), max(group, group_rss)
+        reason = "rss_budget" if group_rss >= budget else "system_reserve" if available <= reserve else None
+        if reason:
+            out.append((t, reason, root, group, available, group_rss))
+        return [reason is not None, root, group]
 
-    def close(self) -> None:
-        pass
 
+def pressure(points: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """``points``: process, t, seq, root_rss, group_rss, budget, available, reserve. One row per process that crossed its budget or reserve."""
+    return _run(points, ["process"], _Pressure(bucket_ms), "process bigint", "t bigint, stop_reason string, peak_root bigint, peak_group bigint, last_available bigint, last_group bigint")
 
-def gc_pairs(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """``events``: run_id, thread, generation, phase, t, seq, collected, uncollectable. Unmatched stops are ignored."""
-    return events.groupBy("run_id", "thread").transformWithStateInPandas(
-        _Pairs(ttl_ms), "run_id bigint, thread bigint, generation bigint, seq bigint, t bigint, duration bigint, collected bigint, uncollectable bigint",
-        "Append", "ProcessingTime" if ttl_ms else "None")
 
+class _Growth(InOrder):
+    fields = ("t", "id", "footprint")
+    columns = ("id", "previous_id", "before_bytes", "after_bytes", "growth_bytes")
 
-class _LostUpdates(StatefulProcessor):
-    """Events wait until the watermark has passed them, so they are compared in event order however they arrived.
+    def step(self, key, state, row, out):
+        _, number, footprint = row
+        if state and footprint - state[1] >= LEAST_BYTES:
+            out.append((number, state[0], state[1], footprint, footprint - state[1]))
+        return [number, footprint]
 
-    A write is kept only while a read from before it is open: later reads cannot overlap it, so nothing is lost when it is let go.
-    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        event = "id bigint, t bigint, at_ms bigint, actor bigint, category string, kind string, value string, locks string"
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", event)
-        self.reads = handle.getMapState("reads", "actor bigint", event)
-        self.writes = handle.getListState("writes", "actor bigint, read_id bigint, read_t bigint, read_value string, write_id bigint, write_t bigint, write_value string, locks string, literal boolean")
+def checkpoint_growth(checkpoints: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """``checkpoints``: run_id, label, t, id, footprint. Growth of 64 KiB or more since the label's previous checkpoint."""
+    return _run(checkpoints, ["run_id", "label"], _Growth(bucket_ms), "run_id string, label string", "id bigint, previous_id bigint, before_bytes bigint, after_bytes bigint, growth_bytes bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
-        for frame in rows:
-            events = [(int(r.id), int(r.t), int(r.at_ms), int(r.actor), r.category, r.kind, r.value, r.locks) for r in frame.itertuples(index=False)]
-            self.waiting.appendList(events)
-            for at in {e[2] for e in events}:
-                self.handle.registerTimer(at)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = expiredTimerInfo.getExpiryTimeInMs()
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted((e for e in waiting if e[2] <= passed), key=lambda e: (e[1], e[0]))
-        if not ready:
-            return
-        rest = [e for e in waiting if e[2] > passed]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        kept = list(self.writes.get()) if self.writes.exists() else []
-        out = []
-        for e in ready:
-            kept = self._step(key, e, kept, out)
-        self.writes.put(kept) if kept else self.writes.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["key", "actor", "other_actor", "read_id", "write_id", "other_read_id", "other_write_id"])
-
-    def _step(self, key, e, kept: list, out: list) -> list:
-        actor = (e[3],)
-        if e[4] == "shared_read":
-            self.reads.updateValue(actor, e)
-            return kept
-        if not self.reads.containsKey(actor):
-            return kept
-        read = self.reads.getValue(actor)
-        self.reads.removeKey(actor)
-        covered = {x.split("#")[0] for x in set(filter(None, read[7].split(","))) & set(filter(None, e[7].split(",")))}
-        mine = (e[3], read[0], read[1], read[6], e[0], e[1], e[6], ",".join(sorted(covered)), read[5] == "literal" and e[5] == "literal")
-        for o in kept:
-            overlap = read[1] < o[5] and o[2] < e[1]
-            if (o[0] != e[3] and overlap and mine[8] and o[8] and o[3] == read[6] and o[6] == e[6] and e[6] != read[6]
-                    and not covered & set(filter(None, o[7].split(",")))):
-                out.append((key[0], e[3], o[0], read[0], e[0], o[1], o[4]))
-        open_since = min((int(r[1]) for r in self.reads.values()), default=None)
-        return [] if open_since is None else [w for w in (*kept, mine) if w[5] > open_since]
 
-    def close(self) -> None:
-        pass
+class _Pairs(InOrder):
+    """Open starts per generation; a start that never stops is forgotten after the time to live, where one is given."""
 
+    fields = ("t", "seq", "generation", "phase", "collected", "uncollectable")
+    columns = ("generation", "seq", "t", "duration", "collected", "uncollectable")
 
-def lost_updates(events: DataFrame, delay: str, event_time: str = "at") -> DataFrame:
-    """Conflicting pairs of paired writes. ``events``: key, id, t, at (timestamp), actor, category, kind, value, locks.
+    def __init__(self, bucket_ms: int, ttl_us: int | None):
+        super().__init__(bucket_ms)
+        self.ttl_us = ttl_us
 
-    ``locks`` lists ``lock#acquisition`` joined by commas. Rows that arrive more than
-    ``delay`` behind the latest event are dropped by Spark.
-    """
-    from pyspark.sql import functions as F
+    def start(self):
+        return {}
 
-    e = events.where(F.col("category").isin("shared_read", "shared_write")).withWatermark(event_time, delay)
-    e = e.withColumn("at_ms", F.unix_millis(F.col(event_time)))
-    return e.groupBy("key").transformWithStateInPandas(
-        _LostUpdates(), "key string, actor bigint, other_actor bigint, read_id bigint, write_id bigint, other_read_id bigint, other_write_id bigint", "Append", "EventTime")
+    def step(self, key, state, row, out):
+        t, seq, generation, phase, collected, uncollectable = row
+        if phase == "start":
+            state[str(generation)] = t
+        else:
+            begun = state.pop(str(generation), None)
+            if begun is not None and (self.ttl_us is None or t - begun <= self.ttl_us):
+                out.append((generation, seq, t, t - begun, collected, uncollectable))
+        if self.ttl_us is not None:
+            state = {g: begun for g, begun in state.items() if t - begun <= self.ttl_us}
+        return state
 
 
-class _Spikes(StatefulProcessor):
-    def __init__(self, jump: int, high: int):
-        self.jump, self.high = jump, high
+def gc_pairs(events: DataFrame, ttl_ms: int | None = None, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """``events``: run_id, thread, generation, phase, t, seq, collected, uncollectable. Unmatched stops are ignored."""
+    processor = _Pairs(bucket_ms, None if ttl_ms is None else ttl_ms * 1000)
+    return _run(events, ["run_id", "thread"], processor, "run_id bigint, thread bigint", "generation bigint, seq bigint, t bigint, duration bigint, collected bigint, uncollectable bigint")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "prev bigint, high bigint, stalled bigint")
+
+class _Spikes(InOrder):
+    fields = ("t", "seq", "value")
+    columns = ("t", "seq", "value", "spike", "plateau", "doubling")
+
+    def __init__(self, bucket_ms: int, jump: int, high: int):
+        super().__init__(bucket_ms)
+        self.jump, self.high = jump, high
 
     def _level(self, x: int) -> int:
         return (x // self.high).bit_length() - 1 if x >= self.high else -1
 
+    def step(self, key, state, row, out):
+        t, seq, v = row
+        prev, before, stalled = state or (None, None, 0)
+        stalled = 0 if before is None or v > before * 1.01 else stalled + 1
+        top = v if before is None else max(v, before)
+        spike = prev is not None and v - prev > max(prev * 0.5, self.jump)
+        plateau = stalled == 5 and top > self.high and v >= 0.9 * top
+        doubling = self._level(top) > self._level(before or 0)
+        if spike or plateau or doubling:
+            out.append((t, seq, v, spike, plateau, doubling))
+        return [v, top, stalled]
+
+
+def spikes(points: DataFrame, jump: int = 10 << 20, high: int = 5 << 20, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """``points``: run_id, t, seq, value. Alert rows as in ``operators.series.spikes``."""
+    return _run(points, ["run_id"], _Spikes(bucket_ms, jump, high), "run_id bigint", "t bigint, seq bigint, value bigint, spike boolean, plateau boolean, doubling boolean")
+
+
+class _Accesses(InOrder):
+    """Pairs each write with its actor's read before it. Every read opens, and is closed by the actor's next access."""
+
+    fields = ("t", "id", "category", "kind", "value", "locks")
+    columns = ("read_value", "mark", "t", "id", "read_id", "read_t", "write_value", "locks", "literal")
+
+    def step(self, key, state, row, out):
+        t, number, category, kind, value, locks = row
+        if category not in ("shared_read", "shared_write"):
+            return state
+        if category == "shared_read":
+            if state:
+                out.append((state[4], "close", t, number, state[1], state[0], None, None, None))
+            out.append((value, "open", t, number, number, t, None, None, None))
+            return row
+        if state:
+            held = {x.split("#")[0] for x in set(filter(None, state[5].split(","))) & set(filter(None, locks.split(",")))}
+            out.append((state[4], "write", t, number, state[1], state[0], value, ",".join(sorted(held)), state[3] == "literal" and kind == "literal"))
+        return None
+
+
+class _Overlaps(StatefulProcessor):
+    """Marks of one key and read value; the marks of a micro-batch are later than all before them.
+
+    A write is kept only while a read from before it is open: later reads cannot overlap it.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.facts = handle.getValueState("facts", "open string, kept string")
+
     def handleInputRows(self, key, rows, timerValues):
-        prev, top, stalled = self.state.get() if self.state.exists() else (None, None, 0)
-        out = []
-        for r in _in_order(rows, ["t", "seq"]):
-            v, before = int(r.value), top
-            stalled = 0 if before is None or v > before * 1.01 else stalled + 1
-            top = v if before is None else max(v, before)
-            spike = prev is not None and v - prev > max(prev * 0.5, self.jump)
-            plateau = stalled == 5 and top > self.high and v >= 0.9 * top
-            doubling = self._level(top) > self._level(before or 0)
-            if spike or plateau or doubling:
-                out.append((key[0], int(r.t), int(r.seq), v, spike, plateau, doubling))
-            prev = v
-        if prev is not None:
-            self.state.update((prev, top, stalled))
-        yield pd.DataFrame(out, columns=["run_id", "t", "seq", "value", "spike", "plateau", "doubling"])
+        reads, kept = map(json.loads, self.facts.get()) if self.facts.exists() else ({}, {})
+        marks, out = [], []
+        for frame in rows:
+            for row in frame[["t", "id", "mark", "actor", "read_id", "read_t", "write_value", "locks", "literal", "late", "late_t", "late_seq"]].astype(object).values.tolist():
+                if row[9]:
+                    out.append((key[0], row[3], None, None, None, None, None, True, row[10], row[11]))
+                else:
+                    marks.append(row[:9])
+        for n, row in enumerate(sorted(marks, key=lambda m: (m[0], m[1], m[2] != "close"))):
+            self._take(key[0], key[1], row, reads, kept, out)
+            if n % 1024 == 1023:
+                self._forget(reads, kept)
+        self._forget(reads, kept)
+        if reads or kept:
+            self.facts.update((json.dumps(reads), json.dumps(kept)))
+        else:
+            self.facts.clear()
+        if out:
+            yield pd.DataFrame(out, dtype=object)
+
+    @staticmethod
+    def _take(key, value, mark: list, reads: dict, kept: dict, out: list) -> None:
+        t, number, what, actor, read_id, read_t, write_value, locks, literal = mark
+        if what == "open":
+            reads[str(actor)] = t
+            return
+        reads.pop(str(actor), None)
+        if what == "close" or not literal or write_value == value:
+            return
+        mine = set(filter(None, locks.split(",")))
+        others = kept.setdefault(write_value, [])  # in the order of their times
+        for o in others[bisect.bisect_right(others, int(read_t), key=lambda o: o[0]):]:
+            if o[2] != actor and o[4] < t and not mine & set(filter(None, o[5].split(","))):
+                out.append((key, actor, o[2], int(read_id), number, o[3], o[1], False, None, None))
+        others.append([t, number, actor, int(read_id), int(read_t), locks])
+
+    @staticmethod
+    def _forget(reads: dict, kept: dict) -> None:
+        since = min(reads.values(), default=None)
+        for value in list(kept):
+            left = [] if since is None else kept[value][bisect.bisect_right(kept[value], since, key=lambda o: o[0]):]
+            if left:
+                kept[value] = left
+            else:
+                del kept[value]
 
     def close(self) -> None:
         pass
 
 
-def spikes(points: DataFrame, jump: int = 10 << 20, high: int = 5 << 20) -> DataFrame:
-    """``points``: run_id, t, seq, value. Alert rows as in ``operators.series.spikes``."""
-    return points.groupBy("run_id").transformWithStateInPandas(
-        _Spikes(jump, high), "run_id bigint, t bigint, seq bigint, value bigint, spike boolean, plateau boolean, doubling boolean", "Append", "None")
+def lost_updates(events: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Conflicting pairs of paired writes. ``events``: key, actor, id, t, category, kind, value, locks (``lock#acquisition`` joined by commas).
+
+    Other categories are passed over. Accesses are put in order and paired by key and actor; pairs meet by key and value read, so a hot key spreads over its actors and values.
+    """
+    paired = _run(events, ["key", "actor"], _Accesses(bucket_ms), "key string, actor bigint",
+                  "read_value string, mark string, t bigint, id bigint, read_id bigint, read_t bigint, write_value string, locks string, literal boolean")
+    return paired.groupBy("key", "read_value").transformWithStateInPandas(
+        _Overlaps(), f"key string, actor bigint, other_actor bigint, read_id bigint, write_id bigint, other_read_id bigint, other_write_id bigint, {LATE}", "Append", "None")
+
+
+def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
+    """A micro-batch's rows of one key in event order. Source rate limits bound how many there are."""
+    frames = list(rows)
+    if frames:
+        yield from pd.concat(frames).sort_values(by, kind="stable").itertuples(index=False)
 
 
 class _Capped(StatefulProcessor):
