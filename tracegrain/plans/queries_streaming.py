@@ -1,4 +1,4 @@
-"""Catalogue: the streaming detectors over the event table, which arrives in seven files.
+"""Catalogue: the streaming detectors over the event table, which arrives in five files.
 
 A row of one time slice comes with its own file, one file later (every seventh), or two (every 101st). With DELAY the first are only out of order;
 most of the second are late. The SQL says which rows are late and takes the batch result of the others.
@@ -15,11 +15,11 @@ from tracegrain.plans.registry import query, table
 from tracegrain.streaming import monitors
 from tracegrain.streaming.run import drain, drain_in_order, job_folder, read_files_stream, read_table_stream, use_rocksdb
 
-SLICES = 5
+SLICES = 3
 FIRST_US = 1_704_067_200_000_000  # the first day of the table
-SLICE_US = 6 * 86_400_000_000
-DELAY_MS = 622_080_000  # 1.2 slices
-BUCKET_MS = 6 * 3_600_000
+SLICE_US = 10 * 86_400_000_000
+DELAY_MS = 1_036_800_000  # 1.2 slices
+BUCKET_MS = 86_400_000
 
 ARRIVED = f"""placed AS (SELECT *, least({SLICES - 1}, (epoch_us(ts) - {FIRST_US}) // {SLICE_US}) + CASE WHEN event_id % 101 = 0 THEN 2 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS file FROM events),
 mark AS (SELECT file, max(max(epoch_us(ts))) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 - {DELAY_MS} AS passed FROM placed GROUP BY file),
