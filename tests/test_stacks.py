@@ -23,8 +23,8 @@ IMP1, IMP2 = f("_find", 1, False, "<frozen importlib._bootstrap>"), f("_load", 2
 
 def tree(df):
     out = {}
-    for r in df.collect():
-        out[tuple(r["node"])] = r
+    for r in ops.with_paths(df).collect():
+        out[tuple(r["path"])] = r
     return out
 
 
@@ -92,6 +92,16 @@ def test_hottest_path(spark):
     assert names == ["main", "left", "leaf"]
 
 
+def test_deep_chain(spark):
+    """A stack of 300 frames: paths and the hottest path come whole, in rounds that grow with the logarithm."""
+    chain = [f(f"n{i}", i + 1) for i in range(300)]
+    s = samples(spark, [("1", chain, 90), ("1", chain[:150] + [f("side", 999)], 10), ("1", chain[:40], 1)])
+    full = ops.call_tree(s)
+    t = tree(full)
+    assert len(t) == 302 and max(len(k) for k in t) == 300 and all(k[:-1] in t for k in t if k)
+    assert [r["name"] for r in ops.hottest_path(full).orderBy("depth").collect()] == [f"n{i}" for i in range(300)]
+
+
 def test_stack_cap(spark):
     s = samples(spark, [("1", [f(f"n{i}")], 1) for i in range(10)]).withColumns({"thread_name": F.lit("T"), "seq": F.monotonically_increasing_id()})
     kept = ops.stack_totals(s, ["seq"], cap=4).collect()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracegrain.functions.paths import frame_origin, function_key, shown_name
 from tracegrain.operators.scan import top_k, top_k_with_rest
+from tracegrain.session import cut_lineage
 
 
 def sample_weight(metric: str) -> Column:
@@ -84,32 +85,66 @@ def display_path(path: Column, view: str = "all", inverted: bool = False) -> Col
     return F.reverse(steps) if inverted else steps
 
 
+_ROOT = (0, 0)
+
+
+def _root() -> Column:
+    return F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip("hl", _ROOT)])
+
+
+def _nodes(keys: Column) -> Column:
+    """The tree nodes a stack passes, the root first: a node is named by 128 bits of its parent's name and its own step key."""
+    def child(parent: Column, key: Column) -> Column:
+        return F.struct(F.xxhash64(parent["h"], parent["l"], key).alias("h"), F.xxhash64(F.lit("step"), key, parent["l"], parent["h"]).alias("l"))
+
+    return F.aggregate(keys, F.array(_root()), lambda done, key: F.concat(done, F.array(child(F.element_at(done, -1), key))))
+
+
 def call_tree(samples: DataFrame, view: str = "all", inverted: bool = False, thread: str | None = None,
               focus: Column | None = None) -> DataFrame:
-    """One row per tree node: node (array of step keys), parent, name, value, self.
+    """One row per tree node: node and parent (names of 128 bits; the root has no parent), depth, key, name and kind of its step, value, self.
 
-    The root has an empty node. value = self + the children's values.
+    A row holds its own step only, so what is shuffled grows with the depth of the stacks, not with its square; ``with_paths`` puts whole paths
+    to the nodes that are shown. value = self + the children's values.
     """
     s = select_stacks(samples, thread, focus)
     s = s.withColumn("__steps", display_path(F.col("path"), view, inverted))
-    s = s.withColumn("__keys", F.transform("__steps", lambda x: x["key"]))
-    s = s.groupBy("run_id", "__keys").agg(F.sum("weight").alias("weight"), F.first("__steps").alias("__steps"))
-    d = s.select("run_id", "weight", "__keys", "__steps", F.explode(F.sequence(F.lit(0), F.size("__keys"))).alias("depth"))
-    step = F.get("__steps", F.col("depth") - 1)
-    out = d.groupBy("run_id", F.slice("__keys", F.lit(1), F.col("depth")).alias("node")).agg(
-        F.sum("weight").alias("value"),
-        F.sum(F.when(F.size("__keys") == F.col("depth"), F.col("weight")).otherwise(F.lit(0))).alias("self"),
-        F.first("depth").alias("depth"), F.min(step["name"]).alias("name"), F.min(step["kind"]).alias("kind"))
-    return out.withColumn("parent", F.when(F.col("depth") > 0, F.slice("node", F.lit(1), F.col("depth") - 1)))
+    s = s.withColumn("__nodes", _nodes(F.transform("__steps", lambda x: x["key"])))
+    n = F.size("__steps")
+
+    def at(i: Column) -> Column:
+        step = F.get("__steps", i - 1)
+        return F.struct(F.get("__nodes", i).alias("node"), F.get("__nodes", i - 1).alias("parent"), i.alias("depth"), step["key"].alias("key"), step["name"].alias("name"),
+                        step["kind"].alias("kind"), (i == n).alias("leaf"))
+
+    d = s.select("run_id", "weight", F.explode(F.transform(F.sequence(F.lit(0), n), at)).alias("n")).select("run_id", "weight", "n.*")
+    return d.groupBy("run_id", "node").agg(
+        F.sum("weight").alias("value"), F.sum(F.when(F.col("leaf"), F.col("weight")).otherwise(F.lit(0))).alias("self"),
+        F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("key").alias("key"), F.min("name").alias("name"), F.min("kind").alias("kind"))
+
+
+def with_paths(tree: DataFrame) -> DataFrame:
+    """The tree with the step keys and names from the root to each node (``path``, ``names``). Each round doubles the stretch a node knows, so
+    rounds grow with the logarithm of the depth."""
+    tree = cut_lineage(tree)
+    one = F.when(F.col("depth") > 0, F.array(F.struct("key", "name"))).otherwise(F.expr("cast(array() as array<struct<key:string,name:string>>)"))
+    known = tree.select("run_id", "node", F.col("parent").alias("up"), one.alias("steps"))
+    reach, deepest = 1, tree.agg(F.max("depth")).first()[0] or 0
+    while reach <= deepest:
+        above = known.select("run_id", F.col("node").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"))
+        known = cut_lineage(known.join(above, ["run_id", "up"], "left").select(
+            "run_id", "node", F.col("__up").alias("up"), F.when(F.col("__steps").isNull(), F.col("steps")).otherwise(F.concat("__steps", "steps")).alias("steps")))
+        reach *= 2
+    paths = known.select("run_id", "node", F.transform("steps", lambda x: x["key"]).alias("path"), F.transform("steps", lambda x: x["name"]).alias("names"))
+    return tree.join(paths, ["run_id", "node"])
 
 
 def group_members(samples: DataFrame, view: str = "grouped", thread: str | None = None, shown: int | None = None) -> DataFrame:
-    """Frames each merged step stands for: their count and names, the first ``shown`` where that is given."""
+    """Frames each merged step stands for, by tree node: their count and names, the first ``shown`` where that is given."""
     s = select_stacks(samples, thread).withColumn("__steps", display_path(F.col("path"), view))
-    s = s.withColumn("__keys", F.transform("__steps", lambda x: x["key"]))
-    d = s.select("run_id", "__keys", F.posexplode("__steps").alias("depth", "step"))
-    d = d.where(F.col("step.key").startswith("group:")).select(
-        "run_id", F.slice("__keys", F.lit(1), F.col("depth") + 1).alias("node"), F.explode("step.frames").alias("frame")).distinct()
+    s = s.withColumn("__nodes", _nodes(F.transform("__steps", lambda x: x["key"])))
+    merged = F.filter(F.transform("__steps", lambda x, i: F.struct(F.get("__nodes", i + 1).alias("node"), x["key"].alias("key"), x["frames"].alias("frames"))), lambda x: x["key"].startswith("group:"))
+    d = s.select("run_id", F.explode(merged).alias("m")).select("run_id", "m.node", F.explode("m.frames").alias("frame")).distinct()
     named = d.withColumn("member", F.coalesce(F.get_json_object("frame", "$.name"), F.lit("")))
     counts = named.groupBy("run_id", "node").agg(F.count(F.lit(1)).alias("members"))
     first = top_k(named.select("run_id", "node", "member").distinct(), ["run_id", "node"], [F.col("member").asc()], shown)
@@ -124,10 +159,10 @@ def limit_tree(tree: DataFrame, limit: int | None = None) -> DataFrame:
     """
     if limit is None:
         return tree.withColumn("omitted", F.lit(0).cast("long"))
-    node_text = F.array_join("node", "\x1f")
-    kept = top_k(tree.withColumn("__text", node_text), ["run_id"], [F.col("value").desc(), F.col("depth").asc(), F.col("__text").asc()], limit).drop("__text", "rank")
-    keys = kept.select("run_id", "node")
-    cut = tree.join(keys, ["run_id", "node"], "left_anti").groupBy("run_id", F.col("parent").alias("node")).agg(F.sum("value").alias("omitted"))
+    tree = cut_lineage(tree)
+    kept = top_k(tree, ["run_id"], [F.col("value").desc(), F.col("depth").asc(), F.col("key").asc(), F.col("node").asc()], limit).drop("rank")
+    kept = cut_lineage(kept)
+    cut = tree.join(kept.select("run_id", "node"), ["run_id", "node"], "left_anti").groupBy("run_id", F.col("parent").alias("node")).agg(F.sum("value").alias("omitted"))
     out = kept.join(cut, ["run_id", "node"], "left")
     return out.withColumn("omitted", F.coalesce("omitted", F.lit(0)))
 
@@ -135,19 +170,24 @@ def limit_tree(tree: DataFrame, limit: int | None = None) -> DataFrame:
 def hottest_path(tree: DataFrame) -> DataFrame:
     """Nodes reached by following the biggest child while it carries at least 5% of the root and beats its parent's self.
 
-    A node is on the path when every one of its prefixes is its parent's choice, so no level-by-level loop is needed.
+    Every parent's choice is one row with a reference to that parent; references are doubled until they reach the root or a node that
+    was not chosen, so rounds grow with the logarithm of the path.
     """
+    tree = cut_lineage(tree.select("run_id", "node", "parent", "depth", "key", "name", "value", "self"))
     start = tree.where(F.col("depth") == 0).select("run_id", F.col("value").alias("__start"))
     best = tree.where(F.col("depth") > 0).groupBy("run_id", "parent").agg(
-        F.min_by(F.struct("node", "value", "name", "depth", "self"), F.struct((-F.col("value")).alias("v"), F.col("node"))).alias("b"))
+        F.min_by(F.struct("node", "value", "key", "name", "depth", "self"), F.struct((-F.col("value")).alias("v"), F.col("key"), F.col("node"))).alias("b"))
     parents = tree.select("run_id", F.col("node").alias("parent"), F.col("self").alias("__parent_self"))
     chosen = best.join(parents, ["run_id", "parent"]).join(start, "run_id").where(
-        (F.col("b.value") >= 0.05 * F.col("__start")) & (F.col("__parent_self") < F.col("b.value"))).select("run_id", "b.*")
-    prefixes = chosen.select("run_id", "node", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")),
-                                                                     lambda i: F.slice("node", F.lit(1), i))).alias("__prefix"))
-    hits = prefixes.join(chosen.select("run_id", F.col("node").alias("__prefix")), ["run_id", "__prefix"], "left_semi")
-    full = hits.groupBy("run_id", "node").agg(F.count(F.lit(1)).alias("__hits"))
-    return chosen.join(full, ["run_id", "node"]).where(F.col("__hits") == F.col("depth")).drop("__hits")
+        (F.col("b.value") >= 0.05 * F.col("__start")) & (F.col("__parent_self") < F.col("b.value"))).select("run_id", "parent", "b.*")
+    chosen = cut_lineage(chosen)
+    links = chosen.select("run_id", "node", F.col("parent").alias("up"))
+    at_root = F.col("up") == _root()
+    while not links.where(~at_root).isEmpty():
+        above = links.select("run_id", F.col("node").alias("up"), F.col("up").alias("__up"))
+        further = links.where(~at_root).join(above, ["run_id", "up"]).select("run_id", "node", F.col("__up").alias("up"))
+        links = cut_lineage(links.where(at_root).unionByName(further))  # a node whose reference was not chosen is gone
+    return chosen.join(links.select("run_id", "node"), ["run_id", "node"], "left_semi")
 
 
 def _function_paths(samples: DataFrame, thread: str | None, view: str, focus: Column | None) -> DataFrame:

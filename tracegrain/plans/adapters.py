@@ -70,6 +70,15 @@ def stacks(spark: SparkSession, folder: str) -> DataFrame:
                          cents("o_totalprice").alias("weight"), F.col("o_orderkey").alias("seq"))
 
 
+def deep_stacks(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as stacks of six frames, each mostly one of its choices."""
+    l = table(spark, folder, "lineitem")
+    names = [F.col("l_returnflag"), F.col("l_linestatus"), F.when(F.col("l_quantity") > 10, "many").otherwise("few"), F.when(F.col("l_discount") < 0.08, "plain").otherwise("cut"),
+             F.when(F.col("l_tax") < 0.07, "low").otherwise("high"), F.concat(F.lit("line"), F.col("l_linenumber").cast("string"))]
+    frames = [F.struct(F.lit("/app/items.py").alias("file"), F.lit(i + 1).alias("line"), n.alias("name"), F.lit(i + 1).alias("first_line"), F.lit(True).alias("user")) for i, n in enumerate(names)]
+    return l.select(F.lit("all").alias("run_id"), F.lit("1").alias("thread"), F.array(*frames).alias("path"), cents("l_extendedprice").alias("weight"))
+
+
 # ---- D3: one series per user
 SQL_SERIES = """series AS (
   SELECT user_id AS run_id, epoch_us(ts) AS t, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS traced,

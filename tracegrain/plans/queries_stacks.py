@@ -16,9 +16,8 @@ d AS (SELECT path, CAST(sum(weight) AS BIGINT) AS w FROM stacks GROUP BY path)""
 
 def _tree(df: DataFrame) -> DataFrame:
     """Trees with readable node text: step names from the root."""
-    names = F.transform("node", lambda k: F.coalesce(F.get_json_object(k, "$.name"), F.substring_index(k, "|", -1)))
-    return df.select(F.array_join(names, ">").alias("node"), F.col("depth").cast("int").alias("depth"),
-                     F.col("value").cast("long").alias("value"), F.col("self").cast("long").alias("self_value"))
+    return ops.with_paths(df).select(F.array_join("names", ">").alias("node"), F.col("depth").cast("int").alias("depth"),
+                                     F.col("value").cast("long").alias("value"), F.col("self").cast("long").alias("self_value"))
 
 
 _TREE_SQL = """
@@ -78,9 +77,10 @@ m AS (SELECT DISTINCT path[1] AS region, unnest([path[2], path[3]]) AS member FR
 SELECT region || '>geo (installed package)' AS node, count(*) AS members,
        array_to_string(list_sort(list(member)), ',') AS names FROM m GROUP BY region""")
 def group_members(spark, folder):
-    out = ops.group_members(ad.stacks(spark, folder))
-    names = F.transform("node", lambda k: F.coalesce(F.get_json_object(k, "$.name"), F.substring_index(k, "|", -1)))
-    return out.select(F.array_join(names, ">").alias("node"), "members", F.array_join("names", ",").alias("names"))
+    stacks = ad.stacks(spark, folder)
+    shown = ops.with_paths(ops.call_tree(stacks, view="grouped")).select("run_id", "node", F.array_join("names", ">").alias("text"))
+    out = ops.group_members(stacks).join(shown, ["run_id", "node"])
+    return out.select(F.col("text").alias("node"), "members", F.array_join("names", ",").alias("names"))
 
 
 @query("call_tree_limited", f"""WITH {_DISTINCT}, v AS (SELECT path AS p, w FROM d),
@@ -91,23 +91,40 @@ c AS (SELECT CASE WHEN contains(node, '>') THEN regexp_replace(node, '>[^>]*$',
 SELECT k.node, k.depth, k.value, k.self_value, CAST(coalesce(c.omitted, 0) AS BIGINT) AS omitted
 FROM k LEFT JOIN c ON c.parent = k.node""")
 def call_tree_limited(spark, folder):
-    tree = ops.call_tree(ad.stacks(spark, folder))
-    names = F.transform("node", lambda k: F.get_json_object(k, "$.name"))
-    out = ops.limit_tree(tree, 60)
-    return out.select(F.array_join(names, ">").alias("node"), F.col("depth").cast("int").alias("depth"), "value",
+    out = ops.with_paths(ops.limit_tree(ops.call_tree(ad.stacks(spark, folder)), 60))
+    return out.select(F.array_join("names", ">").alias("node"), F.col("depth").cast("int").alias("depth"), "value",
                       F.col("self").alias("self_value"), F.col("omitted").cast("long").alias("omitted"))
 
 
-@query("hottest_path", f"""WITH RECURSIVE {_DISTINCT}, v AS (SELECT path AS p, w FROM d),
-t AS ({_TREE_SQL}),
+_HOTTEST = """
+t AS ({tree}),
 n AS (SELECT *, CASE WHEN depth = 1 THEN '' ELSE regexp_replace(node, '>[^>]*$', '') END AS parent FROM t WHERE depth > 0),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY value DESC, node) AS rk FROM n) WHERE rk = 1),
 h AS (SELECT node, depth, value, self_value FROM t WHERE depth = 0
       UNION ALL SELECT b.node, b.depth, b.value, b.self_value FROM h JOIN b ON b.parent = h.node
       WHERE b.value >= 0.05 * (SELECT value FROM t WHERE depth = 0) AND h.self_value < b.value)
-SELECT node, depth, value, self_value FROM h WHERE depth > 0""")
+SELECT node, depth, value, self_value FROM h WHERE depth > 0""".format(tree=_TREE_SQL)
+
+
+def _hottest(samples: DataFrame) -> DataFrame:
+    tree = ops.call_tree(samples)
+    on_path = ops.hottest_path(tree)
+    parts = F.collect_list(F.struct("depth", "name"))
+    names = F.transform(F.array_sort(parts), lambda x: x["name"])  # one path for each run
+    whole = on_path.groupBy("run_id").agg(names.alias("names"))
+    return on_path.join(whole, "run_id").select(F.array_join(F.slice("names", F.lit(1), F.col("depth")), ">").alias("node"), F.col("depth").cast("int").alias("depth"),
+                                                F.col("value").cast("long").alias("value"), F.col("self").cast("long").alias("self_value"))
+
+
+@query("hottest_path", f"""WITH RECURSIVE {_DISTINCT}, v AS (SELECT path AS p, w FROM d), {_HOTTEST}""")
 def hottest_path(spark, folder):
-    return _tree(ops.hottest_path(ops.call_tree(ad.stacks(spark, folder))))
+    return _hottest(ad.stacks(spark, folder))
+
+
+@query("hottest_path_deep", f"""WITH RECURSIVE v AS (SELECT [l_returnflag, l_linestatus, CASE WHEN l_quantity > 10 THEN 'many' ELSE 'few' END, CASE WHEN l_discount < 0.08 THEN 'plain' ELSE 'cut' END,
+  CASE WHEN l_tax < 0.07 THEN 'low' ELSE 'high' END, 'line' || CAST(l_linenumber AS VARCHAR)] AS p, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS w FROM lineitem GROUP BY 1), {_HOTTEST}""")
+def hottest_path_deep(spark, folder):
+    return _hottest(ad.deep_stacks(spark, folder))
 
 
 _FUNCTIONS = """

@@ -78,7 +78,7 @@ def build_report(profiles: DataFrame, metric: str = "elapsed", view: str = "all"
     counts = found.groupBy("run_id").agg(F.count(F.lit(1)).alias("diagnosis_count"), F.count_if(F.col("status") == "growing").alias("growing_count"))
     s = cut_lineage(weighted(profiles, metric))
     full = stacks.call_tree(s, view, inverted, thread, focus)
-    tree = listed(stacks.limit_tree(full, nodes), "tree", [F.col("depth"), -F.col("value"), F.array_join("node", ">")], "node", "parent", "depth", "name", "kind", "value", "self", "omitted")
+    tree = listed(stacks.limit_tree(full, nodes), "tree", [F.col("depth"), -F.col("value"), F.col("key"), F.col("node")], "node", "parent", "depth", "name", "kind", "value", "self", "omitted")
     memory = src.functions(profiles).select("run_id", "file", "first_line", "peak_mb").join(runs.where("precise").select("run_id"), "run_id", "left_semi")
     fns = stacks.top_functions(s, "mine" if view == "mine" else "all", thread, focus, limit=rows, functions=memory)
     functions = listed(fns, "functions", [F.col("rank")], *[c for c in fns.columns if c not in ("run_id", "rank")])
