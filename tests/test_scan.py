@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracegrain.operators.scan import plan_scan, scan, top_k, top_k_with_rest
+from tracegrain.operators import scan as scan_module
+from tracegrain.operators.scan import plan_scan, prefix_within, scan, top_k, top_k_with_rest
 
 
 def rows(seed, n=400):
@@ -73,3 +74,23 @@ def test_top_k_prunes_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
     plan = top_k(df, ["g"], [F.col("v").desc()], 10)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("limit", [0, 7, 60, 333, 10**9])
+def test_prefix_within_a_sum(spark, monkeypatch, limit):
+    """Skewed values, one value in half of the rows, ties cut by the next column, a group below the limit: the prefix of a plain sort."""
+    monkeypatch.setattr(scan_module, "LAST_ROWS", 3)
+    monkeypatch.setattr(scan_module, "BINS", 4)
+    rng = random.Random(limit)
+    rows = [(g, 5 if rng.random() < 0.5 else rng.randint(-10**12, 10**12), rng.choice([rng.randint(-9, 9), rng.randint(-2**62, 2**62)]), f"n{i}", rng.randint(1, 4))
+            for g, n in (("a", 150), ("b", 40), ("c", 3)) for i in range(n)]
+    got = prefix_within(spark.createDataFrame(rows, "g string, v long, u long, s string, w long"), ["g"], ["v", "u", "s"], "w", limit).collect()
+    want = []
+    for g in "abc":
+        used = 0
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: r[1:4]):
+            used += r[4]
+            if used > limit:
+                break
+            want.append(r)
+    assert sorted(map(tuple, got)) == sorted(want)

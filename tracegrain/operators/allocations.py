@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracegrain.functions.paths import allocator_domain, enclosing_name, shown_name, site_source
-from tracegrain.operators.scan import scan, top_k, top_k_with_rest
+from tracegrain.operators.scan import prefix_within, top_k, top_k_with_rest
+from tracegrain.session import cut_lineage
 
 SITE = ("run_id", "thread_id", "allocator", "stack_id", "native_stack_id", "native_segment_generation")
 
@@ -53,18 +54,19 @@ def within_budget(all_sites: DataFrame, ties: Sequence[str], budget: int | None
                   row_bytes: Column | None = None) -> DataFrame:
     """The largest sites whose JSON fits the byte budget (all without one), stopping at the first that does not; the rest as omitted totals.
 
-    Row sizes are positive, so the kept prefix is exactly the rows whose running size is within the budget.
+    Row sizes are positive, so the kept prefix is exactly the rows whose running size is within the budget. The totals left out are those of
+    the group minus those of the kept rows. ``ties`` that are whole numbers help to find the cut among sites of equal size.
     """
     if budget is None:
         return all_sites.withColumns({"omitted_bytes": F.lit(0).cast("long"), "omitted_allocations": F.lit(0).cast("long")})
+    group = list(group)
     size = row_bytes if row_bytes is not None else F.octet_length(F.to_json(F.struct(*[F.col(c) for c in all_sites.columns]))) + 2
-    s = all_sites.withColumns({"__down": -F.col("requested_bytes"), "__size": size})
-    s = scan(s, group, ["__down", *ties], run_sum={"__used": F.col("__size")})
-    fits = F.col("__used") <= budget
-    left_out = s.groupBy(*group).agg(
-        F.coalesce(F.sum(F.when(~fits, F.col("requested_bytes"))), F.lit(0)).alias("omitted_bytes"),
-        F.coalesce(F.sum(F.when(~fits, F.col("allocation_count"))), F.lit(0)).alias("omitted_allocations"))
-    return s.where(fits).join(left_out, list(group)).drop("__down", "__size", "__used")
+    s = cut_lineage(all_sites.withColumns({"__down": -F.col("requested_bytes"), "__size": size.cast("long")}))
+    kept = cut_lineage(prefix_within(s, group, ["__down", *ties], "__size", budget).drop("__down", "__size"))
+    sums = [F.sum("requested_bytes").alias("__b"), F.sum("allocation_count").alias("__a")]
+    parts = s.groupBy(*group).agg(*sums).unionByName(kept.groupBy(*group).agg(*sums).withColumns({"__b": -F.col("__b"), "__a": -F.col("__a")}))
+    left_out = parts.groupBy(*group).agg(F.sum("__b").alias("omitted_bytes"), F.sum("__a").alias("omitted_allocations"))
+    return kept.join(left_out, group)
 
 
 def innermost_sites(stacks: DataFrame, keys: Sequence[str] = ("run_id", "which"), file: Column | None = None) -> DataFrame:

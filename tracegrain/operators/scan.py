@@ -252,3 +252,63 @@ def top_k_with_rest(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         "omitted_rows": F.col("__rows") - F.col("__kept"),
         **{name: F.col(f"__t_{name}") - F.col(f"__k_{name}") for name in measures}})
     return out.drop("__rows", "__kept", *[f"__t_{n}" for n in measures], *[f"__k_{n}" for n in measures])
+
+
+BINS = 256
+LAST_ROWS = 10_000  # rows around the cut that one task puts in order
+
+
+def prefix_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, limit: int) -> DataFrame:
+    """The rows of each group, in ascending order, whose running sum of ``weight`` stays within ``limit``.
+
+    ``order`` starts with one or more whole-number columns and may end with others. Nothing is sorted to find the cut: a histogram of the
+    first column over each group's range says in which of BINS bins the sum passes the limit, and that bin is cut up again, then the next
+    number column where all its rows have one value, until it has LAST_ROWS rows or fewer, or no number column is left. Only those rows are put in order. A
+    round is one aggregate over the rows of the open bins; rounds grow with the logarithm of the range. Weights must be positive.
+    """
+    keys, order = list(keys), list(order)
+    types = dict(df.dtypes)
+    numbers = []
+    for c in order:
+        if types[c] not in ("tinyint", "smallint", "int", "bigint"):
+            break
+        numbers.append(c)
+    rows = df.withColumn("__code", F.array(*[F.col(c).cast("long") for c in numbers]))
+    rows = cut_lineage(rows)  # every round reads it
+    last = len(numbers) - 1
+    none = F.expr("cast(array() as array<bigint>)")
+
+    # The open bin of a group: codes equal to `fixed` up to a level, and between lo and hi there; `base` is the weight before it.
+    cuts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(weight).alias("__all"), F.min(F.col("__code")[0]).alias("__lo"), F.max(F.col("__code")[0]).alias("__hi"))
+    cuts = cuts.select(*keys, "__n", "__lo", "__hi", none.alias("__fixed"), F.lit(0).cast("long").alias("__base"), (F.col("__all") <= limit).alias("__whole"))
+    cuts = cut_lineage(cuts)
+
+    def inside(level: Column) -> Column:
+        value = F.get("__code", level)
+        return (F.slice("__code", F.lit(1), level) == F.col("__fixed")) & (value >= F.col("__lo")) & (value <= F.col("__hi"))
+
+    finished = (F.col("__n") <= LAST_ROWS) | F.col("__whole") | ((F.col("__lo") == F.col("__hi")) & (F.size("__fixed") >= last))
+    while not cuts.where(~finished).isEmpty():
+        # A bin of one value goes on with the next column.
+        deeper = F.col("__lo") == F.col("__hi")
+        open_ = cuts.where(~finished).withColumn("__fixed", F.when(deeper, F.concat("__fixed", F.array("__lo"))).otherwise(F.col("__fixed"))).withColumn("__deeper", deeper)
+        here = rows.join(open_.withColumn("__lo", F.when(F.col("__deeper"), F.lit(None)).otherwise(F.col("__lo"))), keys)
+        value = F.get("__code", F.size("__fixed"))
+        same = F.slice("__code", F.lit(1), F.size("__fixed")) == F.col("__fixed")
+        here = here.where(same & (F.col("__lo").isNull() | ((value >= F.col("__lo")) & (value <= F.col("__hi"))))).withColumn("__v", value)
+        # Bins by the width of the known range; at a new column, by its leading bits until the range is known.
+        width = F.greatest(F.ceil((F.col("__hi") - F.col("__lo") + 1) / F.lit(BINS)).cast("long"), F.lit(1))
+        bin_ = F.when(F.col("__lo").isNull(), F.shiftright(F.col("__v"), 56)).otherwise(F.floor((F.col("__v") - F.col("__lo")) / width).cast("long"))
+        bins = here.groupBy(*keys, "__fixed", "__base", bin_.alias("__bin")).agg(
+            F.count(F.lit(1)).alias("__n"), F.sum(weight).alias("__w"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        ahead = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # BINS rows of a group at most
+        placed = bins.withColumn("__upto", F.col("__base") + F.sum("__w").over(ahead))
+        crossing = placed.where((F.col("__upto") > limit) & (F.col("__upto") - F.col("__w") <= limit))
+        crossing = crossing.select(*keys, "__n", "__lo", "__hi", "__fixed", (F.col("__upto") - F.col("__w")).alias("__base"), F.lit(False).alias("__whole"))
+        cuts = cut_lineage(cuts.where(finished).unionByName(crossing))
+
+    known = rows.join(cuts, keys)
+    before = known.where(F.col("__whole") | (F.col("__code") < F.concat("__fixed", F.array("__lo")))).select(*df.columns)
+    at_cut = known.where(~F.col("__whole") & inside(F.size("__fixed")))
+    running = F.sum(weight).over(Window.partitionBy(*keys, "__lo").orderBy(*[F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return before.unionByName(at_cut.withColumn("__used", F.col("__base") + running).where(F.col("__used") <= limit).select(*df.columns))

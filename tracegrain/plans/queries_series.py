@@ -100,13 +100,13 @@ def inside_function(spark, folder):
 
 
 _SCOPES = """scopes AS (SELECT event_type AS file, k - k % 20 AS first_line, k - k % 20 + 5 + k % 30 AS last_line, 's' || CAST(k AS VARCHAR) AS name, k AS position
-  FROM (SELECT DISTINCT event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events) WHERE k % 3 = 0),
+  FROM (SELECT DISTINCT event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)),
 p AS (SELECT DISTINCT file, line FROM samples)"""
 
 
 def _scopes(spark, folder):
     k = F.col("line")
-    s = ad.samples(spark, folder).select("file", "line").distinct().where(k % 3 == 0)
+    s = ad.samples(spark, folder).select("file", "line").distinct()
     return s.select("file", (k - k % 20).alias("first_line"), (k - k % 20 + 5 + k % 30).alias("last_line"), F.concat(F.lit("s"), k.cast("string")).alias("name"),
                     k.alias("position"), (k % 2 == 0).alias("is_function"), F.lit(False).alias("inline"))
 
