@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_hazards import access, brute
 from tracegrain.streaming import monitors
-from tracegrain.streaming.run import drain_in_order, job_folder, read_files_stream, use_rocksdb
+from tracegrain.streaming.run import drain, drain_in_order, job_folder, read_files_stream, use_rocksdb
 
 MINUTE = 60_000_000
 SCHEMA = "key string, actor long, id long, t long, category string, kind string, value string, locks string"
@@ -89,3 +89,14 @@ def test_state_is_released():
     (out,) = p.handleExpiredTimer((1, 2), Times(500_000), None)
     assert out.values.tolist() == [[1, 2, 0, 1, 6 * MINUTE, 4 * MINUTE, 3, 0, False, None, None]]
     assert not h.maps["queue"] and not h.values
+
+
+def test_first_events_of_spread_runs(spark):
+    """Two files, a cap inside the second: the first in order of file and number, the rest counted."""
+    use_rocksdb(spark)
+    out = job_folder(spark)
+    for n, numbers in enumerate([range(0, 60, 2), range(1, 200)]):
+        spark.createDataFrame([("r", i) for i in numbers], "run_id string, seq long").coalesce(1).write.parquet(f"{out}/{n}")
+    got = drain(monitors.first_events(read_files_stream(spark, out), 50, parts=3)).collect()
+    assert sorted(r["seq"] for r in got if not r["counter"]) == sorted([*range(0, 60, 2), *range(1, 21)])
+    assert max(r["dropped_events"] for r in got) == 30 + 199 - 50

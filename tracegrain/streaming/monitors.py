@@ -331,7 +331,9 @@ def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
         yield from pd.concat(frames).sort_values(by, kind="stable").itertuples(index=False)
 
 
-class _Capped(StatefulProcessor):
+class _FirstOfPart(StatefulProcessor):
+    """The first ``cap`` events of one part of a run pass; the others are counted."""
+
     def __init__(self, cap: int):
         self.cap = cap
 
@@ -340,20 +342,56 @@ class _Capped(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         n = self.count.get()[0] if self.count.exists() else 0
-        out = []
+        passed, dropped = [], 0
         for r in _in_order(rows, ["seq"]):
-            n += 1
-            if n <= self.cap:
-                out.append((key[0], int(r.seq), False, 0))
+            if n < self.cap:
+                passed.append((key[0], int(r.seq), 0))
+                n += 1
+            else:
+                dropped += 1
         self.count.update((n,))
-        if n > self.cap:
-            out.append((key[0], None, True, n - self.cap))
+        if dropped:
+            passed.append((key[0], None, dropped))
+        yield pd.DataFrame(passed, columns=["run_id", "seq", "dropped"]).astype({"seq": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+class _Capped(StatefulProcessor):
+    """The first ``cap`` of the events that the parts of a run have let pass."""
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "kept bigint, dropped bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        kept, dropped = self.count.get() if self.count.exists() else (0, 0)
+        numbers = []
+        for frame in rows:
+            dropped += int(frame["dropped"].sum())
+            numbers += frame["seq"].dropna().astype("int64").tolist()
+        numbers.sort()
+        room = max(self.cap - kept, 0)
+        out = [(key[0], n, False, 0) for n in numbers[:room]]
+        kept += len(out)
+        dropped += len(numbers) - len(out)
+        self.count.update((kept, dropped))
+        if dropped:
+            out.append((key[0], None, True, dropped))
         yield pd.DataFrame(out, columns=["run_id", "seq", "counter", "dropped_events"]).astype({"seq": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def first_events(events: DataFrame, cap: int) -> DataFrame:
-    """``events``: run_id, seq. The first ``cap`` events of a run, and counter rows with the number dropped so far."""
-    return events.groupBy("run_id").transformWithStateInPandas(_Capped(cap), "run_id string, seq bigint, counter boolean, dropped_events bigint", "Append", "None")
+def first_events(events: DataFrame, cap: int, parts: int = 64) -> DataFrame:
+    """``events``: run_id, seq. The first ``cap`` events of a run, and counter rows with the number dropped so far.
+
+    A run is spread over ``parts``, each of which lets ``cap`` events pass at most, so what comes together for a run is bounded whatever its length.
+    """
+    spread = events.select("run_id", "seq", F.pmod(F.xxhash64("seq"), F.lit(parts)).alias("part"))
+    passed = spread.groupBy("run_id", "part").transformWithStateInPandas(_FirstOfPart(cap), "run_id string, seq bigint, dropped bigint", "Append", "None")
+    return passed.groupBy("run_id").transformWithStateInPandas(_Capped(cap), "run_id string, seq bigint, counter boolean, dropped_events bigint", "Append", "None")
