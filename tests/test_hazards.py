@@ -36,8 +36,19 @@ def test_shared_state_without_a_finding(spark):
     rows = [access(1, 1, 1, "shared_read", "0", key="a"), access(2, 2, 2, "shared_write", "5", key="a"), access(3, 3, 1, "shared_read", "0", key="b"),
             access(4, 4, 1, "shared_write", "0", key="b")]
     a = frame(spark, rows)
-    got = hazards.shared_hazards(a, hazards.lost_updates(a)).collect()
-    assert [(r["key"], r["event_ids"]) for r in got] == [("a", [1, 2])]
+    found = hazards.shared_hazards(a, hazards.lost_updates(a))
+    assert [(r["key"], r["open_accesses"], r["first_event_id"], r["last_event_id"]) for r in found.collect()] == [("a", 2, 1, 2)]
+    assert [(r["key"], r["position"], r["event_id"]) for r in hazards.open_accesses(a, found).orderBy("position").collect()] == [("a", 1, 1), ("a", 2, 2)]
+    assert [r["event_id"] for r in hazards.open_accesses(a, found, shown=1).collect()] == [1]
+
+
+def test_open_accesses_of_a_hot_key_stay_rows(spark, small_chunks):
+    """More accesses than one task may order: positions run on over the ranges."""
+    rows = [access(i, i // 3, i % 2, "shared_write" if i % 5 == 0 else "shared_read", str(i), key="hot") for i in range(120)]
+    a = frame(spark, rows)
+    found = hazards.shared_hazards(a, hazards.lost_updates(a))
+    got = hazards.open_accesses(a, found).orderBy("position").collect()
+    assert [(r["position"], r["event_id"]) for r in got] == [(i + 1, i) for i in range(120)] and found.first()["open_accesses"] == 120
 
 
 def brute(rows):

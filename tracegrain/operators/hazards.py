@@ -70,14 +70,24 @@ def lost_updates(accesses: DataFrame, block: int = BLOCK) -> DataFrame:
         F.when(wrong, F.concat(ids, F.array(F.col("outcome")["id"]))).otherwise(ids).alias("event_ids"))
 
 
-def shared_hazards(accesses: DataFrame, found: DataFrame, shown: int | None = None) -> DataFrame:
-    """Keys with two or more actors and a write, no lost update found, and an access outside any critical section."""
+def shared_hazards(accesses: DataFrame, found: DataFrame) -> DataFrame:
+    """Keys with two or more actors and a write, no lost update found, and an access outside any critical section: how many such accesses,
+    the first and the last. ``open_accesses`` has them one by one."""
     used = accesses.where(F.col("category").isin("shared_read", "shared_write"))
-    shared = used.groupBy("run_id", "key").agg(
-        F.min("actor").alias("__a"), F.max("actor").alias("__b"), F.max((F.col("category") == "shared_write").cast("int")).alias("__w")
-    ).where((F.col("__a") != F.col("__b")) & (F.col("__w") == 1)).select("run_id", "key")
-    open_keys = shared.join(found.select("run_id", "key").distinct(), ["run_id", "key"], "left_anti")
-    unprotected = used.where(F.size("synchronization") == 0).select("run_id", "key", "t", "id")
-    first = top_k(unprotected, ["run_id", "key"], [F.col("t").asc(), F.col("id").asc()], shown)
-    events = first.groupBy("run_id", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "id"))), lambda x: x["id"]).alias("event_ids"))
-    return events.join(open_keys, ["run_id", "key"], "left_semi").withColumn("status", F.lit("potential"))
+    free = F.size("synchronization") == 0
+    at = F.when(free, F.struct("t", "id"))
+    keys = used.groupBy("run_id", "key").agg(
+        F.min("actor").alias("__a"), F.max("actor").alias("__b"), F.max((F.col("category") == "shared_write").cast("int")).alias("__w"),
+        F.count_if(free).alias("open_accesses"), F.min(at)["id"].alias("first_event_id"), F.max(at)["id"].alias("last_event_id"))
+    shared = keys.where((F.col("__a") != F.col("__b")) & (F.col("__w") == 1) & (F.col("open_accesses") > 0)).drop("__a", "__b", "__w")
+    return shared.join(found.select("run_id", "key").distinct(), ["run_id", "key"], "left_anti").withColumn("status", F.lit("potential"))
+
+
+def open_accesses(accesses: DataFrame, hazards: DataFrame, shown: int | None = None) -> DataFrame:
+    """One row for each access outside any critical section of the keys of ``shared_hazards``, with its position (from 1) in event order; the first
+    ``shown`` of a key where that is given. A key with any number of accesses stays rows, in as many tasks as it needs."""
+    used = accesses.where(F.col("category").isin("shared_read", "shared_write") & (F.size("synchronization") == 0))
+    rows = used.join(hazards.select("run_id", "key"), ["run_id", "key"], "left_semi").select("run_id", "key", "t", F.col("id").alias("event_id"))
+    if shown is not None:
+        return top_k(rows, ["run_id", "key"], [F.col("t").asc(), F.col("event_id").asc()], shown, "position")
+    return scan(cut_lineage(rows), ["run_id", "key"], ["t", "event_id"], row_number="position")

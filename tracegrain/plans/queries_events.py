@@ -35,11 +35,12 @@ _WIDE = """wide AS (SELECT event_id AS id, epoch_us(ts) AS t, 'u' || CAST(user_i
   event_type = 'click' AS w, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) >= 80 AS locked FROM events WHERE event_type IN ('view', 'click'))"""
 
 
-@query("shared_hazards", f"""WITH {_WIDE},
-k AS (SELECT key FROM wide GROUP BY key HAVING count(DISTINCT actor) >= 2 AND bool_or(w)),
-u AS (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY t, id) AS rn FROM wide WHERE NOT locked)
-SELECT key, 'potential' AS status, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) AS events FROM u JOIN k USING (key) GROUP BY key""")
-def shared_hazards(spark, folder):
+_OPEN = _WIDE + """,
+h AS (SELECT key FROM wide GROUP BY key HAVING count(DISTINCT actor) >= 2 AND bool_or(w)),
+u AS (SELECT key, id, t, row_number() OVER (PARTITION BY key ORDER BY t, id) AS position FROM wide JOIN h USING (key) WHERE NOT locked)"""
+
+
+def _shared(spark, folder):
     e = table(spark, folder, "events").where(F.col("event_type").isin("view", "click"))
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     lock = F.when(k >= 80, F.array(F.struct(F.lit("L").alias("lock_id"), F.col("event_id").alias("acquisition_id")))).otherwise(
@@ -47,8 +48,18 @@ def shared_hazards(spark, folder):
     a = e.select(F.lit("all").alias("run_id"), F.col("event_id").alias("id"), ad.micros("ts").alias("t"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"),
                  (k % 3).alias("actor"), F.when(F.col("event_type") == "view", "shared_read").otherwise("shared_write").alias("category"), F.lit("identity").alias("kind"),
                  F.col("event_id").cast("string").alias("value"), lock.alias("synchronization"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("observed"))
-    out = hazards.shared_hazards(a, hazards.lost_updates(a))
-    return out.select("key", "status", F.array_join("event_ids", ",").alias("events"))
+    return a, hazards.shared_hazards(a, hazards.lost_updates(a))
+
+
+@query("shared_hazards", f"""WITH {_OPEN}
+SELECT key, 'potential' AS status, count(*) AS open_accesses, max(id) FILTER (WHERE position = 1) AS first_event_id, arg_max(id, position) AS last_event_id FROM u GROUP BY key""")
+def shared_hazards(spark, folder):
+    return _shared(spark, folder)[1].drop("run_id")
+
+
+@query("open_accesses", f"""WITH {_OPEN} SELECT key, t, id AS event_id, position FROM u""")
+def open_accesses(spark, folder):
+    return hazards.open_accesses(*_shared(spark, folder)).drop("run_id")
 
 
 @query("unsupported_confirmations", f"""WITH {_PAIRS},
