@@ -8,7 +8,8 @@ def test_reach_cycles_and_paths(spark):
     edges = spark.createDataFrame([("r", "a", "b", "x"), ("r", "b", "c", "y"), ("r", "c", "a", "back"), ("r", "a", "c", "z"), ("r", "q", "s", "w")], "run_id string, src string, dst string, label string")
     roots = spark.createDataFrame([("r", "a", "a")], "run_id string, node string, label string")
     r = graph.reach(roots, edges)
-    assert {(x["node"], x["depth"], x["path"]) for x in r.nodes.collect()} == {("a", 0, "a"), ("b", 1, "a.x"), ("c", 1, "a.z")}
+    assert {(x["node"], x["depth"], x["parent"], x["label"]) for x in r.nodes.collect()} == {("a", 0, None, "a"), ("b", 1, "a", "x"), ("c", 1, "a", "z")}
+    assert {(x["node"], x["path"]) for x in graph.paths(r.nodes, r.nodes).collect()} == {("a", "a"), ("b", "a.x"), ("c", "a.z")}
     assert r.complete.first()["complete"] and r.complete.first()["object_count"] == 3
     assert [(x["object"], x["path"]) for x in graph.cycles(r.nodes, edges).collect()] == [("a", "a.z.back")]
     sizes = spark.createDataFrame([("r", n, "dict", 10) for n in "abcs"], "run_id string, node string, type string, bytes long")
@@ -17,6 +18,18 @@ def test_reach_cycles_and_paths(spark):
     assert {x["node"]: x["path"] for x in graph.owner_paths(r.nodes, targets).collect()} == {"c": "a.z", "s": None}
 
 
+def test_paths_and_cycles_by_jumps(spark):
+    """A given tree of 3,000 levels: paths and back edges need as many rounds as its depth has binary digits."""
+    n = 3000
+    nodes = spark.createDataFrame([("r", str(i), i, str(i - 1) if i else None, f"l{i}", 1) for i in range(n)] + [("r", "side", 5, "4", "side", 2)],
+                                  "run_id string, node string, depth int, parent string, label string, rank long")
+    got = {r["node"]: r["path"] for r in graph.owner_paths(nodes, spark.createDataFrame([("r", str(n - 1)), ("r", "side"), ("r", "gone")], "run_id string, node string")).collect()}
+    assert got == {str(n - 1): ".".join(f"l{i}" for i in range(n)), "side": "l0.l1.l2.l3.l4.side", "gone": None}
+    edges = spark.createDataFrame([("r", "2990", "7", "b"), ("r", "side", "3", "b"), ("r", "side", "5", "b"), ("r", "9", "9", "b"), ("r", "6", "side", "b"), ("r", "1", "2", "b")],
+                                  "run_id string, src string, dst string, label string")
+    assert sorted((r["object"], r["depth"], r["cycles"]) for r in graph.cycles(nodes, edges).collect()) == [("3", 6, 3), ("7", 2991, 3), ("9", 10, 3)]
+
+
 def test_limits_clear_complete(spark):
     edges = spark.createDataFrame([("r", str(i), str(i + 1), str(i + 1)) for i in range(6)], "run_id string, src string, dst string, label string")
     roots = spark.createDataFrame([("r", "0", "0")], "run_id string, node string, label string")

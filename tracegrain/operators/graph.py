@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
-from tracegrain.operators.scan import top_k
+from tracegrain.operators.scan import scan, top_k
 from tracegrain.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class Reach:
-    """``nodes``: run_id, node, depth, path (labels joined), ancestors. ``complete``: run_id, complete, object_count."""
+    """``nodes``: run_id, node, depth, parent (null at a root), label of the step, rank among the run's nodes of that depth. ``complete``: run_id, complete, object_count."""
 
     nodes: DataFrame
     complete: DataFrame
@@ -22,21 +23,25 @@ class Reach:
 def reach(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_nodes: int | None = None) -> Reach:
     """Nodes reachable from the roots, each once with the first path that finds it, level by level.
 
-    A level is one join of the frontier with the edges, one reduction to the first path per new node and one anti-join with
+    A level is one join of the frontier with the edges, one reduction to the first step per new node and one anti-join with
     the nodes seen; each level is checkpointed, so lineage does not grow and the loop ends when a level is empty.
-    First means: fewest steps, then smallest path. All levels are walked unless ``max_depth`` is
-    given. A run is complete when nothing lay beyond it, nor past ``max_nodes`` nodes in that order (dropped only when that is given).
+    First means: fewest steps, then the path that comes first, label by label. A node keeps its parent only, and its rank among the nodes of its
+    level stands for its path in that order, so a row does not grow with the depth; ``paths`` rebuilds whole paths where they are shown. All levels
+    are walked unless ``max_depth`` is given. A run is complete when nothing lay beyond it, nor past ``max_nodes`` nodes in that order (dropped only when that
+    is given).
     """
-    first = F.min(F.struct("path", "ancestors")).alias("best")
-    frontier = roots.select("run_id", "node", F.col("label").alias("path"), F.array().cast("array<string>").alias("ancestors"))
-    frontier = frontier.groupBy("run_id", "node").agg(first).select("run_id", "node", F.lit(0).alias("depth"), "best.*")
-    frontier = cut_lineage(frontier)
+    def ranked(level: DataFrame, depth: int) -> DataFrame:
+        placed = scan(cut_lineage(level), ["run_id"], ["__above", "label", "node"], row_number="rank")
+        return cut_lineage(placed.select("run_id", "node", F.lit(depth).alias("depth"), "parent", "label", "rank"))
+
+    first = roots.groupBy("run_id", "node").agg(F.min("label").alias("label"))
+    frontier = ranked(first.select("run_id", "node", F.lit(0).cast("long").alias("__above"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent"), "label"), 0)
     seen, levels = frontier.select("run_id", "node"), [frontier]
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        steps = frontier.select("run_id", F.col("node").alias("src"), "path", F.array_append("ancestors", F.col("node")).alias("ancestors"))
-        found = steps.join(edges, ["run_id", "src"]).select("run_id", F.col("dst").alias("node"), F.concat_ws(".", "path", "label").alias("path"), "ancestors")
-        fresh = found.groupBy("run_id", "node").agg(first).join(seen, ["run_id", "node"], "left_anti")
-        frontier = cut_lineage(fresh.select("run_id", "node", F.lit(depth).alias("depth"), "best.*"))
+        steps = frontier.select("run_id", F.col("node").alias("src"), F.col("rank").alias("__above"))
+        found = steps.join(edges, ["run_id", "src"]).groupBy("run_id", F.col("dst").alias("node")).agg(F.min(F.struct("__above", "label", F.col("src").alias("parent"))).alias("best"))
+        fresh = found.join(seen, ["run_id", "node"], "left_anti").select("run_id", "node", "best.*")
+        frontier = ranked(fresh, depth)
         if frontier.isEmpty():
             break
         levels.append(frontier)
@@ -50,18 +55,49 @@ def reach(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_
     fits = F.col("object_count") <= max_nodes if max_nodes is not None else F.lit(True)
     complete = counts.select("run_id", (F.col("__cut").isNull() & fits).alias("complete"), "object_count")
     if max_nodes is not None:
-        nodes = top_k(nodes, ["run_id"], [F.col("depth").asc(), F.col("path").asc(), F.col("node").asc()], max_nodes).drop("rank")
+        nodes = top_k(nodes.withColumnRenamed("rank", "__rank"), ["run_id"], [F.col("depth").asc(), F.col("__rank").asc()], max_nodes).drop("rank").withColumnRenamed("__rank", "rank")
     return Reach(nodes, complete)
 
 
+def _jumps(nodes: DataFrame) -> Iterator[DataFrame]:
+    """(run_id, at, up): the ancestor 1, 2, 4, ... steps above each node that has one, up to the deepest node."""
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    jump, length = cut_lineage(nodes.where(F.col("parent").isNotNull()).select("run_id", F.col("node").alias("at"), F.col("parent").alias("up"))), 1
+    while length <= deepest:
+        yield jump
+        length *= 2
+        if length <= deepest:
+            jump = cut_lineage(jump.join(jump.select("run_id", F.col("at").alias("up"), F.col("up").alias("__up")), ["run_id", "up"]).select("run_id", "at", F.col("__up").alias("up")))
+
+
+def paths(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(run_id, node, path): the labels from the root to each target that was reached. Each round doubles the stretch above the targets that is
+    known; nothing is built for other nodes."""
+    on_path = targets.select("run_id", "node").distinct().join(nodes.select("run_id", "node"), ["run_id", "node"]).withColumn("at", F.col("node"))
+    for jump in _jumps(nodes):
+        on_path = cut_lineage(on_path.unionByName(on_path.join(jump, ["run_id", "at"]).select("run_id", "node", F.col("up").alias("at"))))
+    steps = on_path.join(nodes.select("run_id", F.col("node").alias("at"), "depth", "label"), ["run_id", "at"])
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("depth", "label"))), lambda x: x["label"])  # as long as the path that is asked for
+    return steps.groupBy("run_id", "node").agg(F.array_join(whole, ".").alias("path"))
+
+
 def cycles(nodes: DataFrame, edges: DataFrame, shown: int | None = None) -> DataFrame:
     """Edges that lead back to an ancestor of their source (or to itself): the first ``shown`` of each run (all without one) with the total.
 
-    A cycle is informational; it is not a leak.
+    The ancestor of the source at the depth of the edge's end is found by jumps of 1, 2, 4, ... steps; the edge closes a cycle when it is that end. A cycle
+    is informational; it is not a leak.
     """
-    back = nodes.join(edges.withColumnRenamed("src", "node"), ["run_id", "node"]).where(
-        F.array_contains("ancestors", F.col("dst")) | (F.col("dst") == F.col("node")))
-    found = back.select("run_id", F.col("dst").alias("object"), F.concat_ws(".", "path", "label").alias("path"), (F.col("depth") + 1).alias("depth"))
+    at = nodes.select("run_id", F.col("node").alias("src"), F.col("depth").alias("__from"))
+    to = nodes.select("run_id", F.col("node").alias("dst"), F.col("depth").alias("__to"))
+    up = edges.join(at, ["run_id", "src"]).join(to, ["run_id", "dst"]).where(F.col("__to") <= F.col("__from"))
+    up = cut_lineage(up.select("run_id", "src", "dst", "label", F.col("__from").alias("depth"), (F.col("__from") - F.col("__to")).alias("__gap"), F.col("src").alias("at")))
+    for bit, jump in enumerate(_jumps(nodes)):
+        due = F.col("__gap").bitwiseAND(1 << bit) != 0
+        moved = up.where(due).join(jump, ["run_id", "at"]).withColumn("at", F.col("up")).drop("up")
+        up = cut_lineage(up.where(~due).unionByName(moved))
+    back = cut_lineage(up.where(F.col("at") == F.col("dst")))
+    known = paths(nodes, back.select("run_id", F.col("src").alias("node"))).withColumnRenamed("node", "src")
+    found = back.join(known, ["run_id", "src"]).select("run_id", F.col("dst").alias("object"), F.concat_ws(".", "path", "label").alias("path"), (F.col("depth") + 1).alias("depth"))
     totals = found.groupBy("run_id").agg(F.count(F.lit(1)).alias("cycles"))
     first = top_k(found, ["run_id"], [F.col("depth").asc(), F.col("path").asc()], shown)
     return first.join(totals, "run_id")
@@ -69,7 +105,8 @@ def cycles(nodes: DataFrame, edges: DataFrame, shown: int | None = None) -> Data
 
 def owner_paths(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """The path that owns each target node; null when it is not reachable."""
-    return targets.join(nodes.select("run_id", "node", "path", "depth"), ["run_id", "node"], "left")
+    known = paths(nodes, targets).join(nodes.select("run_id", "node", "depth"), ["run_id", "node"])
+    return targets.join(known, ["run_id", "node"], "left")
 
 
 def footprint(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
