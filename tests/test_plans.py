@@ -47,6 +47,6 @@ def test_no_cartesian_products(spark):
 
 def test_trees_and_budgets_are_read_once(spark):
     """Trees, paths and budgets are written before they meet themselves; no plan above has a product, a nested loop or a single partition."""
-    for name in ("hottest_path", "hottest_path_deep", "call_tree_limited", "alloc_budget", "open_accesses", "owner_paths", "cycles"):
+    for name in ("hottest_path", "hottest_path_deep", "call_tree_limited", "alloc_budget", "unprotected_accesses", "owner_paths", "cycles"):
         p = plan(QUERIES[name](spark, FOLDER))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p and "SinglePartition" not in p and p.count("FileScan") <= 3, name

@@ -57,8 +57,8 @@ def shared_hazards(spark, folder):
     return _shared(spark, folder)[1].drop("run_id")
 
 
-@query("open_accesses", f"""WITH {_OPEN} SELECT key, t, id AS event_id, position FROM u""")
-def open_accesses(spark, folder):
+@query("unprotected_accesses", f"""WITH {_OPEN} SELECT key, t, id AS event_id, position FROM u""")
+def unprotected_accesses(spark, folder):
     return hazards.open_accesses(*_shared(spark, folder)).drop("run_id")
 
 
