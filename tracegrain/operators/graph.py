@@ -31,19 +31,21 @@ def reach(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_
     is given).
     """
     def ranked(level: DataFrame, depth: int) -> DataFrame:
-        placed = scan(cut_lineage(level), ["run_id"], ["__above", "label", "node"], row_number="rank")
-        return cut_lineage(placed.select("run_id", "node", F.lit(depth).alias("depth"), "parent", "label", "rank"))
+        """The rank is left to those who read it: it is one scan of a level that is written."""
+        placed = scan(level, ["run_id"], ["__above", "label", "node"], row_number="rank")
+        return placed.select("run_id", "node", F.lit(depth).alias("depth"), "parent", "label", "rank")
 
     first = roots.groupBy("run_id", "node").agg(F.min("label").alias("label"))
-    frontier = ranked(first.select("run_id", "node", F.lit(0).cast("long").alias("__above"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent"), "label"), 0)
+    first = cut_lineage(first.select("run_id", "node", F.lit(0).cast("long").alias("__above"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent"), "label"))
+    frontier = ranked(first, 0)
     seen, levels = frontier.select("run_id", "node"), [frontier]
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         steps = frontier.select("run_id", F.col("node").alias("src"), F.col("rank").alias("__above"))
         found = steps.join(edges, ["run_id", "src"]).groupBy("run_id", F.col("dst").alias("node")).agg(F.min(F.struct("__above", "label", F.col("src").alias("parent"))).alias("best"))
-        fresh = found.join(seen, ["run_id", "node"], "left_anti").select("run_id", "node", "best.*")
-        frontier = ranked(fresh, depth)
-        if frontier.isEmpty():
+        fresh = cut_lineage(found.join(seen, ["run_id", "node"], "left_anti").select("run_id", "node", "best.*"))
+        if fresh.isEmpty():
             break
+        frontier = ranked(fresh, depth)
         levels.append(frontier)
         seen = seen.unionByName(frontier.select("run_id", "node"))
     nodes = levels[0]
@@ -59,23 +61,26 @@ def reach(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_
     return Reach(nodes, complete)
 
 
-def _jumps(nodes: DataFrame) -> Iterator[DataFrame]:
-    """(run_id, at, up): the ancestor 1, 2, 4, ... steps above each node that has one, up to the deepest node."""
+def _jumps(nodes: DataFrame) -> Iterator[tuple[DataFrame, bool]]:
+    """(run_id, at, up): the ancestor 1, 2, 4, ... steps above each node that has one, up to the deepest node; with each, whether it is the last."""
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    jump, length = cut_lineage(nodes.where(F.col("parent").isNotNull()).select("run_id", F.col("node").alias("at"), F.col("parent").alias("up"))), 1
+    jump, length = nodes.where(F.col("parent").isNotNull()).select("run_id", F.col("node").alias("at"), F.col("parent").alias("up")), 1
     while length <= deepest:
-        yield jump
+        last = 2 * length > deepest
+        yield jump, last
+        if not last:
+            jump = jump.join(jump.select("run_id", F.col("at").alias("up"), F.col("up").alias("__up")), ["run_id", "up"]).select("run_id", "at", F.col("__up").alias("up"))
+            jump = jump if 4 * length > deepest else cut_lineage(jump)  # the last is read once
         length *= 2
-        if length <= deepest:
-            jump = cut_lineage(jump.join(jump.select("run_id", F.col("at").alias("up"), F.col("up").alias("__up")), ["run_id", "up"]).select("run_id", "at", F.col("__up").alias("up")))
 
 
 def paths(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """(run_id, node, path): the labels from the root to each target that was reached. Each round doubles the stretch above the targets that is
     known; nothing is built for other nodes."""
     on_path = targets.select("run_id", "node").distinct().join(nodes.select("run_id", "node"), ["run_id", "node"]).withColumn("at", F.col("node"))
-    for jump in _jumps(nodes):
-        on_path = cut_lineage(on_path.unionByName(on_path.join(jump, ["run_id", "at"]).select("run_id", "node", F.col("up").alias("at"))))
+    for jump, last in _jumps(nodes):
+        on_path = on_path.unionByName(on_path.join(jump, ["run_id", "at"]).select("run_id", "node", F.col("up").alias("at")))
+        on_path = on_path if last else cut_lineage(on_path)
     steps = on_path.join(nodes.select("run_id", F.col("node").alias("at"), "depth", "label"), ["run_id", "at"])
     whole = F.transform(F.array_sort(F.collect_list(F.struct("depth", "label"))), lambda x: x["label"])  # as long as the path that is asked for
     return steps.groupBy("run_id", "node").agg(F.array_join(whole, ".").alias("path"))
@@ -91,7 +96,7 @@ def cycles(nodes: DataFrame, edges: DataFrame, shown: int | None = None) -> Data
     to = nodes.select("run_id", F.col("node").alias("dst"), F.col("depth").alias("__to"))
     up = edges.join(at, ["run_id", "src"]).join(to, ["run_id", "dst"]).where(F.col("__to") <= F.col("__from"))
     up = cut_lineage(up.select("run_id", "src", "dst", "label", F.col("__from").alias("depth"), (F.col("__from") - F.col("__to")).alias("__gap"), F.col("src").alias("at")))
-    for bit, jump in enumerate(_jumps(nodes)):
+    for bit, (jump, _) in enumerate(_jumps(nodes)):
         due = F.col("__gap").bitwiseAND(1 << bit) != 0
         moved = up.where(due).join(jump, ["run_id", "at"]).withColumn("at", F.col("up")).drop("up")
         up = cut_lineage(up.where(~due).unionByName(moved))
