@@ -113,7 +113,7 @@ SELECT file, name, base_line, line, {_OUT}, shifted, {_SIG} AS significant FROM
 def compare_lines(spark, folder):
     runs, lines, functions, sources = _inputs(spark, folder)
     named = ops.named_lines(lines, functions, runs)
-    out = ops.compare_lines(_facts(runs), named, sources, runs)
+    out = ops.compare_lines(_facts(runs), named, sources)
     return _flat(out.withColumn("shifted", F.array_join("shifted", ",")), "base_line", "line", "shifted", "significant")
 
 
@@ -121,7 +121,7 @@ def compare_lines(spark, folder):
 FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.run_id <> k.run_id AND o.file = k.file AND o.mk = k.mk)""")
 def compare_unmatched(spark, folder):
     runs, lines, functions, sources = _inputs(spark, folder)
-    return ops.unmatched_lines(_facts(runs), ops.named_lines(lines, functions, runs), sources, runs).select("baseline", "current")
+    return ops.unmatched_lines(_facts(runs), ops.named_lines(lines, functions, runs), sources).select("baseline", "current")
 
 
 _SITES = ad.SQL_SAMPLES + """,
