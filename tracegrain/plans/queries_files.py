@@ -79,6 +79,23 @@ def file_digests(spark, folder):
     return files.file_digest(spark, _text_files(spark, folder), "*.txt").select(_source(), "bytes", "sha256")
 
 
+_LEAF, _FAN = 256, 32  # small ones, so that files of the test tables have a tree
+
+
+def _tree_sql(levels: int = 5) -> str:
+    steps = "".join(f""",
+n{i + 1} AS (SELECT source, bytes, k // {_FAN} AS k, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY k)) END AS h FROM n{i} GROUP BY source, bytes, k // {_FAN})""" for i in range(levels))
+    return _TEXT_FILES + f""", x AS (SELECT source, octet_length(encode(text)) AS bytes, hex(encode(text)) AS x FROM f),
+l AS (SELECT *, unnest(range((bytes + {_LEAF - 1}) // {_LEAF})) AS k FROM x),
+n0 AS (SELECT source, bytes, k, sha256(unhex(substr(x, {2 * _LEAF} * k + 1, {2 * _LEAF}))) AS h FROM l){steps}
+SELECT source, bytes, h AS sha256 FROM n{levels}"""
+
+
+@query("file_digest_trees", _tree_sql())
+def file_digest_trees(spark, folder):
+    return files.file_digest(spark, _text_files(spark, folder), "*.txt", _LEAF, _FAN, 1 << 14).select(_source(), "bytes", "sha256")
+
+
 _TRACE = """SELECT CAST(user_id % 3 + 1 AS VARCHAR) || ':' || CAST(event_id AS VARCHAR) AS id, CAST(user_id % 3 + 1 AS BIGINT) AS pid, CAST(event_id // 7 AS DOUBLE) AS timestamp_s,
   event_type AS category, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events"""
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tracegrain.functions.paths import text_hash
+from tracegrain.sources.ranges import ByteRangeSource
+
+LEAF = 8 << 20
+FAN = 1024
+PARTITION_BYTES = 128 << 20
 
 
 def scan_sources(spark: SparkSession, root: str, pattern: str = "*.{py,pyw}") -> DataFrame:
@@ -16,10 +21,30 @@ def scan_sources(spark: SparkSession, root: str, pattern: str = "*.{py,pyw}") ->
     return files.where(~hidden).withColumn("sha1", text_hash(F.col("text")))
 
 
-def file_digest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every file of a dataset."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def file_digest(spark: SparkSession, folder: str, pattern: str = "*", leaf: int = LEAF, fan: int = FAN, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """Path, size and tree digest of every file below a folder, of any size.
+
+    A file is read in byte ranges by as many tasks as it takes, ``leaf`` bytes in memory at a time. The digest of a leaf is its SHA-256; ``fan`` neighbours
+    become one node, the SHA-256 of their hex digests in order, level by level; a node alone goes up unchanged, so a file of one leaf has its plain SHA-256.
+    ``leaf`` and ``fan`` are part of the digest; ``partition_bytes``, how ranges are dealt to tasks, is not.
+    """
+    spark.dataSource.register(ByteRangeSource)
+    uri = folder if ":" in folder.split("/")[0] else spark.conf.get("spark.hadoop.fs.defaultFS", "file://").rstrip("/") + folder
+    nodes = (spark.read.format(ByteRangeSource.name()).option("pattern", pattern).option("leaf", str(leaf)).option("partitionBytes", str(partition_bytes)).load(uri))
+    children = F.array_sort(F.collect_list(F.struct("node", "sha256")))  # at most ``fan``
+    for _ in range(tree_levels(leaf, fan)):
+        joined = F.array_join(F.transform(children, lambda c: c["sha256"]), "")
+        nodes = nodes.groupBy("path", "bytes", F.floor(F.col("node") / fan).cast("long").alias("node")).agg(
+            F.when(F.count(F.lit(1)) == 1, F.first("sha256")).otherwise(F.sha2(joined, 256)).alias("sha256"))
+    return nodes.select("path", "bytes", "sha256")
+
+
+def tree_levels(leaf: int, fan: int) -> int:
+    """Levels after which a file of any 64-bit length has one node."""
+    levels, covered = 0, leaf
+    while covered < 1 << 63:
+        levels, covered = levels + 1, covered * fan
+    return levels
 
 
 def row_digest(df: DataFrame) -> DataFrame:
