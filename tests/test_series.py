@@ -73,6 +73,24 @@ def test_phases_against_brute_force(spark, small_chunks, seed):
         assert phase_rows(ops.phases(df, d)) == [tuple(p) for p in brute_phases(pts, d)]
 
 
+def test_all_depths_in_small_blocks(spark, small_chunks):
+    rng = random.Random(9)
+    names = [["m", "a", "x", "p"], ["m", "a", "x", "q"], ["m", "a"], ["m"], [], ["m", "b", "x", "p"], ["n", "a", "x", "p"]]
+    pts = [(float(i), float(rng.randrange(50)), float(rng.randrange(50)), rng.choice(names) if rng.random() < 0.5 else names[0]) for i in range(150)]
+    df = points(spark, [p[3] for p in pts], [p[:3] for p in pts], keys=2)
+    got = ops.phases_all_depths(df).where("run_id = 'r1'")
+    rows = {d: phase_rows(got.where(F.col("depth") == d)) for d in range(4)}
+    assert rows == {d: [tuple(p) for p in brute_phases(pts, d)] for d in range(4)}
+
+
+def test_phases_of_unmeasured_points(spark):
+    rows = [("r", 1, 1.0, None, 5, ["m"]), ("r", 2, 2.0, None, None, None), ("r", 3, 3.0, None, 9, ["m"]), ("r", 4, 4.0, 3, None, ["k", None]), ("s", 1, 1.0, 2**52 + 1, 1, [])]
+    df = spark.createDataFrame(rows, "run_id string, seq int, t double, traced bigint, rss bigint, path array<string>")
+    got = ops.phases(df, [0, 1]).orderBy("depth", "phase").select("run_id", "depth", "path", "from", "to", "peak_traced", "peak_rss", "points").collect()
+    assert [tuple(r) for r in got] == [("r", 0, ["m"], 1.0, 4.0, None, 9, 3), ("r", 0, ["k"], 4.0, 4.0, 3, None, 1), ("r", 1, ["k", None], 4.0, 4.0, 3, None, 1)]
+    assert ops.phases(df.where("seq > 9"), None).count() == 0
+
+
 def test_auto_depth(spark):
     stacks = [["main", "measure", f"part{i // 10}"] for i in range(40)]
     tl = [(i, 1, 1) for i in range(40)]

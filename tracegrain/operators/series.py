@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracegrain.operators.scan import ScanPlan, parts, plan_scan, scan
+from tracegrain.session import cut_lineage, rows_per_chunk
 
-BRIDGE = 2  # points without a path at the depth that do not end a phase
+PIECE = 1 << 16  # consecutive points of a run whose stretches one task finds at a time
 MIB = 1 << 20
 
 
@@ -30,55 +31,130 @@ def observation_deltas(points: DataFrame, keys: Sequence[str], order: Sequence[s
     return out.drop("__t", "__r", "__i")
 
 
-def phases(points: DataFrame, depth: int | Sequence[int], keys: Sequence[str] = ("run_id",), order: Sequence[str] = ("t", "seq"),
+def phases(points: DataFrame, depth: int | Sequence[int] | None, keys: Sequence[str] = ("run_id",), order: Sequence[str] = ("t", "seq"),
            traced: str = "traced", rss: str = "rss", start_rss: str | None = None) -> DataFrame:
     """Stretches of the run in one function at a depth of the main thread's path.
 
     ``path`` is an array of function keys, outermost first. A stretch continues over up to two points whose
     path is too short, and those points count for its peaks. new_rss is the memory above everything earlier.
-    ``depth`` may name several depths; each point is then scanned once per depth in the same job.
+    ``depth`` may name several depths, or all that occur (None).
+
+    A point needs only the three before it to know at which depths it goes on with a stretch: the lengths they share with its path. So one ordered scan
+    serves every depth, rows are not multiplied by depth, and what is shuffled after it are pieces of stretches.
     """
-    depths = [depth] if isinstance(depth, int) else list(depth)
+    depths = depth if depth is None else [depth] if isinstance(depth, int) else sorted(set(depth))
     plan = plan_scan(points, keys, order)
-    p = points.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths])))
-    return _in_parts(p, plan, lambda rows, part: _islands(rows, [*keys, "depth"], order, traced, rss, start_rss, part))
+    return _in_parts(points, plan, lambda rows, part: _joined_pieces(_pieces(rows, list(keys), order, depths, traced, rss, start_rss, part), [*keys, "depth"], part))
 
 
-def phases_all_depths(points: DataFrame, keys: Sequence[str] = ("run_id",), order: Sequence[str] = ("t", "seq"), traced: str = "traced",
-                      rss: str = "rss", start_rss: str | None = None) -> DataFrame:
+def phases_all_depths(points: DataFrame, keys: Sequence[str] = ("run_id",), **columns) -> DataFrame:
     """Phases at every depth that occurs in the run."""
-    plan = plan_scan(points, keys, order)
-    deepest = points.groupBy(*keys).agg(F.greatest(F.lit(0), F.max(F.size("path")) - 1).alias("__max"))
-    p = points.join(deepest, list(keys)).withColumn("depth", F.explode(F.sequence(F.lit(0), F.col("__max")))).drop("__max")
-    return _in_parts(p, plan, lambda rows, part: _islands(rows, [*keys, "depth"], order, traced, rss, start_rss, part))
+    return phases(points, None, keys, **columns)
 
 
 def _in_parts(df: DataFrame, plan: ScanPlan, run) -> DataFrame:
     return reduce(DataFrame.unionByName, [run(rows, part) for rows, part in parts(df, plan)])
 
 
-def _islands(p: DataFrame, keys: list[str], order: Sequence[str], traced: str, rss: str, start_rss: str | None, plan: ScanPlan) -> DataFrame:
+def _shared(a: Column, b: Column) -> Column:
+    """How many leading elements two arrays share."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.coalesce(F.when(differs == 0, F.size(a)).otherwise(differs - 1), F.lit(0)).cast("int")
+
+
+def _pieces(p: DataFrame, keys: list[str], order: Sequence[str], depths: list[int] | None, traced: str, rss: str, start_rss: str | None, plan: ScanPlan) -> DataFrame:
+    """Stretches of every depth within blocks of consecutive points; ``opens`` is 0 where one goes on from an earlier block."""
     lead = order[0]
-    p = p.withColumn("__prefix", F.when(F.size("path") > F.col("depth"), F.slice("path", F.lit(1), F.col("depth") + 1)))
-    p = scan(p, keys, order, plan=plan, row_number="__i", next={"__next_t": F.col(lead)}, before_max={"__seen_rss": F.col(rss)})
-    here = F.when(F.col("__prefix").isNotNull(), F.struct(F.col("__prefix").alias("prefix"), F.col("__i").alias("i")))
-    p = scan(p, keys, order, plan=plan, fill={"__before": here})
-    deep = F.col("__prefix").isNotNull()
-    last = F.col("__before")
-    starts = deep & (last.isNull() | (last["prefix"] != F.col("__prefix")) | (F.col("__i") - last["i"] > BRIDGE + 1))
-    p = p.withColumn("__starts", F.when(deep, starts.cast("int")))
-    p = scan(p, keys, order, plan=plan, run_sum={"__island": F.coalesce("__starts", F.lit(0))}, backfill={"__resumes": F.col("__starts")})
-    inside = deep | ((F.col("__island") > 0) & (F.col("__resumes") == 0))
-    resident = F.coalesce("__seen_rss", *([F.col(start_rss)] if start_rss else []), F.col(rss))
+    s = scan(p, keys, order, plan=plan, row_number="__i", next={"__next": F.col(lead)}, before_max={"__seen": F.col(rss)},
+             prev={"__p1": F.col("path"), "__t1": F.col(traced), "__r1": F.col(rss)})
+    s = scan(s, keys, order, plan=plan, prev={"__p2": F.col("__p1"), "__t2": F.col("__t1"), "__r2": F.col("__r1")})
+    s = scan(s, keys, order, plan=plan, prev={"__p3": F.col("__p2")})
+    resident = F.coalesce("__seen", *([F.col(start_rss)] if start_rss else []), F.col(rss))
     if start_rss:
         resident = F.greatest(resident, F.col(start_rss))
-    first = F.struct("__i")
-    out = p.where(inside).groupBy(*keys, "__island").agg(
-        F.min_by("__prefix", F.when(deep, F.col("__i"))).alias("path"),
-        F.min(lead).alias("from"), F.max_by(F.coalesce("__next_t", F.col(lead)), first).alias("to"),
-        F.max(traced).alias("peak_traced"), F.max(rss).alias("peak_rss"), F.min_by(resident, first).alias("__resident"),
-        F.count(F.lit(1)).alias("points"))
-    return out.select(*keys, F.col("__island").alias("phase"), "path", "from", "to", (F.col("to") - F.col("from")).alias("seconds"),
+    size = min(PIECE, rows_per_chunk(p.sparkSession))
+    length = {n: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).alias(n) for n, c in (("l0", "path"), ("l1", "__p1"), ("l2", "__p2"))}
+    shared = [_shared(F.col("path"), F.col(f"__p{j}")).alias(f"c{j}") for j in (1, 2, 3)]
+    rows = s.select(*keys, F.floor((F.col("__i") - 1) / size).cast("long").alias("block"), F.col("__i").alias("i"), F.col(lead).alias("from"),
+                    F.coalesce("__next", lead).alias("to"), F.col(traced).alias("t0"), F.col("__t1").alias("t1"), F.col("__t2").alias("t2"),
+                    F.col(rss).alias("r0"), F.col("__r1").alias("r1"), F.col("__r2").alias("r2"), resident.alias("resident"), *length.values(), *shared, "path")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "depth int", "opens int", "first bigint", "last bigint", f"`from` {types['from']}", f"`to` {types['to']}",
+                        f"path {types['path']}", f"resident {types['resident']}", f"peak_traced {types['t0']}", f"peak_rss {types['r0']}"])
+    found = rows.groupBy(*keys, "block").applyInArrow(lambda table: block_pieces(table, keys, depths), schema)
+    return found.withColumn("path", F.slice("path", F.lit(1), F.col("depth") + 1))
+
+
+def block_pieces(table, keys: Sequence[str], depths: Sequence[int] | None):
+    """The pieces of one block of consecutive points: at each depth the points whose path reaches it, cut where one does not go on with an earlier one."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = table.sort_by("i")
+    number = {c: table[c].to_numpy() for c in ("i", "l0", "l1", "l2", "c1", "c2", "c3")}
+    values, lagged = {}, {}
+    for v in ("t", "r"):
+        values[v], lagged[v] = _measured(table[f"{v}0"]), [_measured(table[f"{v}{j}"]) for j in (1, 2)]
+    reach = np.arange(table.num_rows)
+    out = {"depth": [], "opens": [], "first": [], "last": [], "t": [], "r": []}
+    deepest = int(number["l0"].max(initial=0))
+    for d in range(deepest) if depths is None else [d for d in depths if d < deepest]:
+        reach = reach[number["l0"][reach] > d]
+        l1, l2, c1, c2, c3 = (number[c][reach] for c in ("l1", "l2", "c1", "c2", "c3"))
+        near = [d < c1, (d >= l1) & (d < c2), (d >= l1) & (d >= l2) & (d < c3)]  # goes on with the point 1, 2 or 3 before
+        fresh = ~(near[0] | near[1] | near[2])
+        begins = fresh.copy()
+        begins[0] = True
+        at = np.flatnonzero(begins)
+        first, last = reach[at], reach[np.append(at[1:], len(reach)) - 1]
+        for v in ("t", "r"):
+            ends = np.stack([first, last + 1], 1).ravel()
+            peak = np.maximum.reduceat(np.append(values[v], values[v][:1]), ends)[::2]
+            if not fresh[0]:  # too short paths between the earlier block's piece and this one's first point
+                for gap in (1, 2):
+                    if near[gap][0]:
+                        peak[0] = max([peak[0], *[lagged[v][j][first[0]] for j in range(gap)]])
+            out[v].append(peak)
+        out["depth"].append(np.full(len(at), d, np.int32))
+        out["opens"].append(fresh[at].astype(np.int32))
+        out["first"].append(first)
+        out["last"].append(last)
+    merged = {c: np.concatenate(x) if x else np.empty(0, np.int64) for c, x in out.items()}
+    first, last = table.take(pa.array(merged["first"], pa.int64())), table.take(pa.array(merged["last"], pa.int64()))
+    columns = {**{k: first[k] for k in keys}, "depth": pa.array(merged["depth"], pa.int32()), "opens": pa.array(merged["opens"], pa.int32()), "first": first["i"],
+               "last": last["i"], "from": first["from"], "to": last["to"], "path": first["path"], "resident": first["resident"],
+               "peak_traced": _column(merged["t"], table["t0"].type), "peak_rss": _column(merged["r"], table["r0"].type)}
+    return pa.table(columns)
+
+
+def _measured(column):
+    """Numbers of a column with the lowest value for null."""
+    import numpy as np
+    import pyarrow as pa
+
+    whole = pa.types.is_integer(column.type)
+    lowest = np.iinfo(np.int64).min if whole else -np.inf
+    return column.cast(pa.int64() if whole else pa.float64()).fill_null(lowest).to_numpy()
+
+
+def _column(numbers, kind):
+    import numpy as np
+    import pyarrow as pa
+
+    if pa.types.is_integer(kind):
+        return pa.array(numbers, pa.int64(), mask=numbers == np.iinfo(np.int64).min).cast(kind)
+    return pa.array(numbers, pa.float64(), mask=numbers == -np.inf).cast(kind)
+
+
+def _joined_pieces(pieces: DataFrame, keys: list[str], part: ScanPlan) -> DataFrame:
+    if part.splits is None:  # a run that is no longer than a chunk has no more pieces of a depth than that
+        s = scan(pieces, keys, ["first"], plan=ScanPlan(tuple(keys), ("first",), None), run_sum={"phase": F.col("opens")})
+    else:
+        s = scan(cut_lineage(pieces), keys, ["first"], run_sum={"phase": F.col("opens")})
+    out = s.groupBy(*keys, "phase").agg(
+        F.min_by("path", "first").alias("path"), F.min_by("from", "first").alias("from"), F.max_by("to", "last").alias("to"), F.max("peak_traced").alias("peak_traced"),
+        F.max("peak_rss").alias("peak_rss"), F.min_by("resident", "first").alias("__resident"), (F.max("last") - F.min("first") + 1).alias("points"))
+    return out.select(*keys, "phase", "path", "from", "to", (F.col("to") - F.col("from")).alias("seconds"),
                       "peak_traced", "peak_rss", F.greatest(F.lit(0), F.col("peak_rss") - F.col("__resident")).alias("new_rss"), "points")
 
 
@@ -99,7 +175,7 @@ def choose_depth(found: DataFrame, wall: DataFrame, keys: Sequence[str] = ("run_
 
 def phases_auto(points: DataFrame, wall: DataFrame, keys: Sequence[str] = ("run_id",), **columns) -> DataFrame:
     """Phases at the automatically chosen depth. ``wall``: (keys, wall) with the run's duration."""
-    found = phases_all_depths(points, keys, **columns)
+    found = cut_lineage(phases_all_depths(points, keys, **columns))  # read by the choice and its result
     return found.join(choose_depth(found, wall, keys), [*keys, "depth"])
 
 
