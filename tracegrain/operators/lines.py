@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracegrain.operators.scan import scan, top_k, top_k_with_rest
 
@@ -39,10 +39,10 @@ def line_totals(samples: DataFrame, measures: Sequence[str], keys: Sequence[str]
 
 
 def with_share(df: DataFrame, value: str, keys: Sequence[str] = ("run_id",), name: str = "share") -> DataFrame:
-    """value / group total; a total of zero counts as one."""
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("__total"))
-    total = F.when(F.col("__total") == 0, F.lit(1)).otherwise(F.col("__total"))
-    return df.join(totals, list(keys)).withColumn(name, F.col(value) / total).drop("__total")
+    """value / group total; a total of zero counts as one. ``df`` holds summed rows, of which a group has no more than its sources have lines: they
+    are summed once and read once."""
+    total = F.sum(value).over(Window.partitionBy(*keys))
+    return df.withColumn("__total", total).withColumn(name, F.col(value) / F.when(F.col("__total") == 0, F.lit(1)).otherwise(F.col("__total"))).drop("__total")
 
 
 def function_totals(lines: DataFrame, measures: Sequence[str], maxima: Sequence[str] = (),

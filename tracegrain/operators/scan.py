@@ -245,13 +245,13 @@ def top_k_with_rest(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     kept = top_k(df, keys, order, k)
     totals = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__rows"), *[F.sum(src).alias(f"__t_{name}") for name, src in measures.items()])
+    # The row of totals joins the kept rows of its group as one more row of the window, whatever the keys are.
+    both = kept.withColumn("__keep", F.lit(True)).unionByName(totals.withColumn("__keep", F.lit(False)), allowMissingColumns=True)
     inside = Window.partitionBy(*keys)
-    kept = kept.withColumns({"__kept": F.count(F.lit(1)).over(inside),
-                             **{f"__k_{name}": F.sum(src).over(inside) for name, src in measures.items()}})
-    out = kept.join(totals, keys).withColumns({
-        "omitted_rows": F.col("__rows") - F.col("__kept"),
-        **{name: F.col(f"__t_{name}") - F.col(f"__k_{name}") for name in measures}})
-    return out.drop("__rows", "__kept", *[f"__t_{n}" for n in measures], *[f"__k_{n}" for n in measures])
+    both = both.withColumns({
+        "omitted_rows": F.max("__rows").over(inside) - F.count_if("__keep").over(inside),
+        **{name: F.max(f"__t_{name}").over(inside) - F.sum(F.when(F.col("__keep"), F.col(src))).over(inside) for name, src in measures.items()}})
+    return both.where("__keep").drop("__keep", "__rows", *[f"__t_{n}" for n in measures])
 
 
 BINS = 256
