@@ -48,3 +48,27 @@ def test_watched_folder(spark, tmp_path):
     watch_profiles(spark, str(inbox), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out" / "summaries")).select(F.col("totals.run_duration_s.value").alias("v")).orderBy("v").collect() == [(5.0,), (9.0,)]
     assert spark.read.json(str(tmp_path / "out" / "rejected")).count() == 1
+
+
+def test_summary_tables_hold_what_the_document_leaves_out(spark):
+    main = profile()["files"]
+    p = frame_of(spark, [("/app/p.json", profile(files={**main, "/app/z.py": next(iter(main.values()))}, file_hashes={"/app/main.py": "x", "/app/z.py": "y"}))])
+    run = p.select("run_id").first()[0]
+    fresh = spark.createDataFrame([(run, "/app/main.py", "fresh"), (run, "/app/z.py", "stale")], "run_id string, file string, freshness string")
+    static = spark.createDataFrame([(run, "/app/main.py", line, code, 1, "m") for line, code in [(3, "b.x"), (3, "a.x"), (99, "a.y"), (14, "a.x")]]
+                                   + [(run, "/app/z.py", 3, "a.x", 1, "m")], "run_id string, file string, line int, code string, severity int, message string")
+    s = summary.build_summary(p, "/app", "now", fresh=fresh, static=static, shown=1).first()["summary"].asDict(True)
+    assert [f["file"] for f in s["source"]["files"]] == ["main.py"] and [(f["line"], f["code"]) for f in s["static_diagnostics"]["findings"]] == [(3, "a.x")]
+    assert (s["omitted"]["files"], s["omitted"]["static_findings"]) == (1, 4)
+    hot = [step for step in s["next_steps"] if "is hot" in step]
+    assert [step.split()[0] for step in hot] == ["main.py:3", "main.py:3", "main.py:14"] and any("z.py" in step and "anew" in step for step in s["next_steps"])
+
+    t = summary.summary_tables(p, fresh, static)
+    assert {(r["file"], r["freshness"]) for r in t["files"].collect()} == {("/app/main.py", "fresh"), ("/app/z.py", "stale")} and {r["position"] for r in t["files"].collect()} == {0, 1}
+    places = {(r["file"], r["position"]): (r["line"], r["code"], r["measured"]) for r in t["static_findings"].collect()}
+    assert {k: v[:2] for k, v in places.items()} == {("/app/main.py", 1): (3, "a.x"), ("/app/main.py", 2): (3, "b.x"), ("/app/main.py", 3): (14, "a.x"), ("/app/main.py", 4): (99, "a.y"), ("/app/z.py", 1): (3, "a.x")}
+    assert places["/app/z.py", 1][2] == "source changed" and places["/app/main.py", 1][2] == "hot"
+    assert t["phases"].where("phase < 1").count() == 0
+    whole = summary.build_summary(p, "/app", "now", fresh=fresh, static=static).first()["summary"].asDict(True)
+    assert len(whole["source"]["files"]) == 2 and set(whole["omitted"].values()) == {0}
+    assert t["phases"].count() >= len(whole["phases"] or [])
