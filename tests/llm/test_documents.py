@@ -1,6 +1,7 @@
 """The operators on documents, against plain code."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -180,40 +181,67 @@ def test_edit_distance():
         assert lines.edit_distance(a, b, 20) == d and lines.edit_distance(a, b, 2) == min(d, 3)
 
 
-def test_pigeonhole_keys_miss_nothing():
+def line_words(text):
+    import pyarrow as pa
+
+    from tracegrain.llm.words import PUNCTUATION, column_words
+
+    (w,) = column_words(pa.array([text]), fold=True, breaks=PUNCTUATION)
+    return w
+
+
+def test_blocks_are_the_least_runs():
     rng = np.random.default_rng(2)
-    for blocks in (4, 5, 6, 8):
-        masks = lines.block_masks(blocks, 3)
-        x = rng.integers(0, 1 << 63, 200, dtype=np.int64).view(np.uint64)
-        for v in x:
-            w = v
-            for bit in rng.choice(64, 3, replace=False):
-                w ^= np.uint64(1) << np.uint64(bit)
-            assert any(v & m == w & m for m in masks)
+    ws = [f"w{k}" for k in range(30)]
+    for n in (5, 7, 10, 11, 40):
+        w = line_words("\n".join(" ".join(rng.choice(ws, n)) for _ in range(5)))
+        _, _, first, last = lines.line_spans(w, 5)
+        got = lines.blocks(w, first, last)
+        for f, e, found in zip(first, last, got):
+            runs = {int(h) for size in ((2, 3) if n <= 10 else (3,)) for h in w.span_hashes(np.arange(f, e - size + 1), np.arange(f, e - size + 1) + size)}
+            assert [int(x) for x in found] == (sorted(runs) + [2**64 - 1] * 5)[:5]
 
 
-def test_lines(docs, corpus):
+def test_buckets_meet_in_any_batches():
     import pyarrow as pa
 
-    from tracegrain.llm.words import PUNCTUATION, column_words
-
-    found = {}  # normalised line -> SimHash and occurrences, in the document as the operator sees it
-    for i, t, _ in corpus:
-        for n, line in enumerate((t or "").split("\n")):
-            x = norm(line)
-            if i is not None and len(x.split()) >= 5:
-                if x not in found:
-                    (w,) = column_words(pa.array([x]), fold=True, breaks=PUNCTUATION)
-                    found[x] = [int(lines.simhashes(w, np.array([0]), np.array([len(w.starts)]))[0]), set()]
-                found[x][1].add((i, n))
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 1, 3, 700, 1, 1300, 2, 1]
+    keys = np.repeat(np.arange(len(sizes)) * 5 - 20, sizes)
+    bits = np.where(rng.random(len(keys)) < 0.5, 7, -8) ^ (1 << rng.integers(0, 60, len(keys)))
+    for step in (1, 300, 512, 513, 5000):
+        parts = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + step]), pa.array(np.arange(len(keys))[i : i + step]), pa.array(bits[i : i + step])], ["key", "line", "simhash"]) for i in range(0, len(keys), step)]
+        rows = [tuple(r.values()) for b in lines._meet(iter(parts), 64) for r in b.to_pylist()]
+        many = [i for i in range(len(keys)) if sizes[(keys[i] + 20) // 5] > 1]
+        assert [(k, n, s) for k, n, s, other in rows if other is None] == [(keys[i], i, bits[i]) for i in many]
+        root = roots(range(len(keys)), [(a, b) for _, a, _, b in rows if b is not None])
+        assert len(set(root.values())) == len(sizes) and all((root[i] == root[i - 1]) == (keys[i] == keys[i - 1]) for i in range(1, len(keys)))
+
+
+def within(a, b, bound):
+    """Edit distance within that share of the longer one; test_edit_distance holds the distance against the plain table."""
+    limit = int(bound * max(len(a), len(b)) + 1e-9)
+    return lines.edit_distance(a, b, limit) <= limit
+
+
+def kept_by_edit_similarity(found, bound):
+    """The occurrences that stay, where found has those of each normalised line: all pairs by edit similarity alone."""
     names = sorted(found)
-    edges = [(a, b) for a in names for b in names if a < b and bin(found[a][0] ^ found[b][0]).count("1") <= 3 and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and brute_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
+    edges = [(a, b) for a in names for b in names if a < b and within(a, b, bound)]
     assert edges
-    root = roots(names, edges)
-    kept = defaultdict(list)
+    root, kept = roots(names, edges), defaultdict(list)
     for x in names:
-        kept[root[x]] += found[x][1]
-    keep = {min(v) for v in kept.values()}
+        kept[root[x]] += found[x]
+    return {min(v) for v in kept.values()}
+
+
+def test_lines(docs, corpus):
+    found = defaultdict(set)  # normalised line -> occurrences, in the document as the operator sees it
+    for i, t, _ in corpus:
+        for n, line in enumerate((t or "").split("\n")):
+            if i is not None and len(norm(line).split()) >= 5:
+                found[norm(line)].add((i, n))
+    keep = kept_by_edit_similarity(found, 0.2)
     want = Counter()
     for i, t, _ in corpus:
         ls = (t or "").split("\n")
@@ -223,6 +251,24 @@ def test_lines(docs, corpus):
     assert Counter(tuple(r) for r in lines.digest(docs).collect()) == want
 
 
+def test_edited_lines_are_found(spark):
+    """Lines of 5 to 60 words with a fifth of their words, or less, replaced: at least 0.95 of those of edit similarity 0.8 or more go."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    rows, similar = [], set()
+    for i in range(0, 1200, 2):
+        ws = rng.choices(vocabulary, k=rng.randint(5, 60))
+        new = list(ws)
+        for k in rng.sample(range(len(ws)), rng.randint(1, max(1, len(ws) // 5))):
+            new[k] = rng.choice(vocabulary)
+        a, b = " ".join(ws), " ".join(new)
+        rows += [(i, a), (i + 1, b)]
+        if a != b and within(a, b, 0.2):
+            similar.add(i + 1)
+    got = {r.doc_id for r in lines.digest(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert got <= similar and len(got) >= 0.95 * len(similar) and len(similar) > 300
+
+
 def test_short_lines_occur_once(spark, tmp_path):
     from tracegrain.llm import queries
 
