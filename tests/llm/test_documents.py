@@ -210,11 +210,11 @@ def test_buckets_meet_in_any_batches():
     keys = np.repeat(np.arange(len(sizes)) * 5 - 20, sizes)
     bits = np.where(rng.random(len(keys)) < 0.5, 7, -8) ^ (1 << rng.integers(0, 60, len(keys)))
     for step in (1, 300, 512, 513, 5000):
-        parts = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + step]), pa.array(np.arange(len(keys))[i : i + step]), pa.array(bits[i : i + step])], ["key", "line", "simhash"]) for i in range(0, len(keys), step)]
-        rows = [tuple(r.values()) for b in lines._meet(iter(parts), 64) for r in b.to_pylist()]
+        parts = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + step]), pa.array(np.arange(len(keys))[i : i + step]), pa.array(bits[i : i + step]), pa.array(np.full(len(keys), 50)[i : i + step])], ["key", "line", "simhash", "size"]) for i in range(0, len(keys), step)]
+        rows = [tuple(r.values()) for b in lines._meet(iter(parts), 64, 0.8) for r in b.to_pylist()]
         many = [i for i in range(len(keys)) if sizes[(keys[i] + 20) // 5] > 1]
-        assert [(k, n, s) for k, n, s, other in rows if other is None] == [(keys[i], i, bits[i]) for i in many]
-        root = roots(range(len(keys)), [(a, b) for _, a, _, b in rows if b is not None])
+        assert [(k, n, s) for k, n, s, _, other in rows if other is None] == [(keys[i], i, bits[i]) for i in many]
+        root = roots(range(len(keys)), [(a, b) for _, a, _, _, b in rows if b is not None])
         assert len(set(root.values())) == len(sizes) and all((root[i] == root[i - 1]) == (keys[i] == keys[i - 1]) for i in range(1, len(keys)))
 
 
