@@ -96,3 +96,11 @@ def test_cleanup_counts_restart_with_a_new_watch(spark, small_chunks):
     cleanups = spark.createDataFrame([("r", "x", t, t, alive) for t, alive in [(1, True), (2, False), (3, True), (11, True)]], "run_id string, label string, t int, id int, alive boolean")
     got = [(r["t"], r["object_id"], r["retention_observations"]) for r in ev.retained_after_cleanup(watches, cleanups).orderBy("t").collect()]
     assert got == [(1, 7, 1), (3, 7, 2), (11, 8, 1)]
+
+
+def test_every_open_access_is_listed_in_event_order(spark):
+    rows = [access(i, (7 * i) % 40, i % 2, "shared_write" if i % 5 == 0 else "shared_read", str(i), key="k", locks=[("L", i)] if i % 4 == 0 else ()) for i in range(40)]
+    a = frame(spark, rows)
+    got = hazards.with_events(a, hazards.shared_hazards(a, hazards.lost_updates(a))).collect()
+    assert [r["event_ids"] for r in got] == [[i for i, _ in sorted(((r[1], r[2]) for r in rows if not r[8]), key=lambda x: (x[1], x[0]))]]
+    assert got[0]["open_accesses"] == len(got[0]["event_ids"]) == 30

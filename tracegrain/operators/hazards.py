@@ -83,6 +83,14 @@ def shared_hazards(accesses: DataFrame, found: DataFrame) -> DataFrame:
     return shared.join(found.select("run_id", "key").distinct(), ["run_id", "key"], "left_anti").withColumn("status", F.lit("potential"))
 
 
+def with_events(accesses: DataFrame, hazards: DataFrame) -> DataFrame:
+    """The keys of ``shared_hazards`` with ``event_ids``, all their accesses outside any critical section in event order. Such a list is one value; ``open_accesses``
+    has the same as rows."""
+    used = accesses.where(F.col("category").isin("shared_read", "shared_write") & (F.size("synchronization") == 0))
+    listed = used.groupBy("run_id", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "id"))), lambda x: x["id"]).alias("event_ids"))
+    return hazards.join(listed, ["run_id", "key"], "left")
+
+
 def open_accesses(accesses: DataFrame, hazards: DataFrame, shown: int | None = None) -> DataFrame:
     """One row for each access outside any critical section of the keys of ``shared_hazards``, with its position (from 1) in event order; the first
     ``shown`` of a key where that is given. A key with any number of accesses stays rows, in as many tasks as it needs."""

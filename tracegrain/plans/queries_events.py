@@ -52,9 +52,11 @@ def _shared(spark, folder):
 
 
 @query("shared_hazards", f"""WITH {_OPEN}
-SELECT key, 'potential' AS status, count(*) AS open_accesses, max(id) FILTER (WHERE position = 1) AS first_event_id, arg_max(id, position) AS last_event_id FROM u GROUP BY key""")
+SELECT key, 'potential' AS status, count(*) AS open_accesses, max(id) FILTER (WHERE position = 1) AS first_event_id, arg_max(id, position) AS last_event_id,
+string_agg(CAST(id AS VARCHAR), ',' ORDER BY position) AS events FROM u GROUP BY key""")
 def shared_hazards(spark, folder):
-    return _shared(spark, folder)[1].drop("run_id")
+    a, found = _shared(spark, folder)
+    return hazards.with_events(a, found).drop("run_id").withColumn("events", F.array_join("event_ids", ",")).drop("event_ids")
 
 
 @query("unprotected_accesses", f"""WITH {_OPEN} SELECT key, t, id AS event_id, position FROM u""")
