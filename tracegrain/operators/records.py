@@ -61,21 +61,30 @@ def normalize_nested(raw: DataFrame, strict: bool = False) -> DataFrame:
 
     Cancelled rows are dropped after validation. Rows with violations keep null fields in lenient mode.
     """
-    v = F.try_parse_json("value")
-    doc = raw.withColumn("__v", v)
+    # One-element explodes keep the optimizer from repeating a step in every expression that reads its result: text, fields, rules.
+    once = lambda c: F.explode(F.array(c))
+    doc = raw.select(once(F.struct(F.try_parse_json("value").alias("v"), F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")).alias("keys"))).alias("__p"))
+    read: dict[str, Column] = {"keys": F.col("__p.keys")}
+
+    def field(kind: str, name: str, c: Column) -> Column:
+        read[f"{kind}_{name}"] = c
+        return F.col("__f")[f"{kind}_{name}"]
 
     def get(name: str, kind: str) -> Column:
-        return F.try_variant_get("__v", f"$.{name}", kind)
+        return field(kind.strip("<>").replace("<", "_"), name, F.try_variant_get("__p.v", f"$.{name}", kind))
 
     def kind_of(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get("__v", f"$.{name}", "variant"))
+        return field("kind", name, F.schema_of_variant(F.try_variant_get("__p.v", f"$.{name}", "variant")))
+
+    def cast(name: str, kind: str) -> Column:
+        return field("cast", name, F.try_variant_get("__p.v", f"$.{name}", "string").try_cast(kind))
 
-    keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
+    keys = F.col("__f.keys")
     has = {f: F.array_contains(keys, f) for f in NESTED_FIELDS}
     present = {f: has[f] & (kind_of(f) != "VOID") for f in NESTED_FIELDS}
-    amount = F.expr("try_cast(try_variant_get(__v, '$.amount', 'string') as decimal(38,10))")
+    amount = cast("amount", "decimal(38,10)")
     cents_exact = amount * 100
-    number = {n: F.expr(f"try_cast(try_variant_get(__v, '$.{n}', 'string') as bigint)") for n in ("id", "quantity", "user_id")}
+    number = {n: cast(n, "bigint") for n in ("id", "quantity", "user_id")}
     stamp_text = get("created_at", "string")
     zoned = stamp_text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     stamp = F.try_to_timestamp(stamp_text)
@@ -84,7 +93,7 @@ def normalize_nested(raw: DataFrame, strict: bool = False) -> DataFrame:
     tags_ok = kind_of("tags").isin("ARRAY<STRING>", "ARRAY<VOID>") | F.coalesce(F.to_json(get("tags", "variant")) == "[]", F.lit(False))
     meta_ok = kind_of("metadata").startswith("OBJECT")
     checks = {
-        "not an object": ~F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False)),
+        "not an object": ~F.coalesce(field("kind", "document", F.schema_of_variant("__p.v")).startswith("OBJECT"), F.lit(False)),
         "missing id or amount": ~(has["id"] & has["amount"]),
         "unknown fields": F.size(F.array_except(keys, F.array(*[F.lit(f) for f in NESTED_FIELDS]))) > 0,
         "amount is not a nonnegative number of cents": has["amount"] & ~F.coalesce((amount >= 0) & (cents_exact == F.floor(cents_exact)), F.lit(False)),
@@ -98,28 +107,21 @@ def normalize_nested(raw: DataFrame, strict: bool = False) -> DataFrame:
         "metadata is not an object": has["metadata"] & ~F.coalesce(meta_ok, F.lit(False)),
         **{f"{f} is not a string": has[f] & ~F.coalesce(kind_of(f) == "STRING", F.lit(False)) for f in ("product", "country", "currency")},
     }
+    values = {
+        "id": number["id"], "amount_cents": cents_exact.cast("long"), "user_id": number["user_id"],
+        "created_at": F.when(present["created_at"], F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")), "status": status,
+        "currency": F.upper(F.coalesce(get("currency", "string"), F.lit("USD"))), "quantity": F.coalesce(number["quantity"], F.lit(1)), "product": get("product", "string"),
+        "country": F.upper(get("country", "string")), "active": F.coalesce(active_text == "true", F.lit(True)),
+        "tags": F.coalesce(get("tags", "array<string>"), F.array().cast("array<string>")), "metadata": F.coalesce(F.to_json(get("metadata", "variant")), F.lit("{}"))}
     violations = F.array_compact(F.array(*[F.when(c, F.lit(m)) for m, c in checks.items()]))
-    out = doc.withColumn("violations", violations)
     if strict:
-        out = out.withColumn("violations", F.when(F.size("violations") > 0, F.raise_error(
-            F.concat(F.lit("bad record: "), F.array_join("violations", "; "))).cast("array<string>")).otherwise(F.col("violations")))
+        violations = F.transform(F.array(violations), lambda v: F.when(F.size(v) > 0, F.raise_error(
+            F.concat(F.lit("bad record: "), F.array_join(v, "; "))).cast("array<string>")).otherwise(v))[0]
+    fields = doc.select(once(F.struct(*[c.alias(n) for n, c in read.items()])).alias("__f"))
+    out = fields.select("__f", once(violations).alias("violations"))
     good = F.size("violations") == 0
-
-    def when_good(c: Column) -> Column:
-        return F.when(good, c)
-
     out = out.where(~(good & (status == "cancelled")))
-    return out.select(
-        when_good(number["id"]).alias("id"), when_good(cents_exact.cast("long")).alias("amount_cents"),
-        when_good(number["user_id"]).alias("user_id"),
-        when_good(F.when(present["created_at"], F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))).alias("created_at"),
-        when_good(status).alias("status"), when_good(F.upper(F.coalesce(get("currency", "string"), F.lit("USD")))).alias("currency"),
-        when_good(F.coalesce(number["quantity"], F.lit(1))).alias("quantity"), when_good(get("product", "string")).alias("product"),
-        when_good(F.upper(get("country", "string"))).alias("country"),
-        when_good(F.coalesce(active_text == "true", F.lit(True))).alias("active"),
-        when_good(F.coalesce(get("tags", "array<string>"), F.array().cast("array<string>"))).alias("tags"),
-        when_good(F.coalesce(F.to_json(get("metadata", "variant")), F.lit("{}"))).alias("metadata"),
-        "violations")
+    return out.select(*[F.when(good, c).alias(n) for n, c in values.items()], "violations")
 
 
 def rollup_by_region(records: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from tracegrain.operators import records as ops
 from tracegrain.operators.series import increasing_violations
 from tracegrain.plans import adapters as ad
 from tracegrain.plans.registry import query, table
+from tracegrain.session import spread
 
 _RECORDS = ad.SQL_RAW + """,
 records AS (
@@ -98,7 +99,7 @@ CASE WHEN w >= 9 THEN ['CA', 'NP', 'US'][i % 3 + 1] END AS country, CASE WHEN w
 CASE WHEN w >= 11 THEN 'api,cohort-' || CAST(i % 10 AS VARCHAR) ELSE '' END AS tags, CAST(0 AS INTEGER) AS violations
 FROM s WHERE NOT (w >= 5 AND i % 7 = 0)""")
 def nested_records(spark, folder):
-    ids = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
+    ids = spread(table(spark, folder, "orders").select(F.col("o_orderkey").alias("id")))
     out = ops.normalize_nested(ops.with_nested_fields(ids))
     return out.withColumns({"tags": F.array_join("tags", ","), "violations": F.size("violations")}).drop("metadata")
 
@@ -119,7 +120,7 @@ def nested_violations(spark, folder):
         F.when(p % 7 == 0, "2026-01-01T00:00:00").otherwise("2026-01-01T00:00:00+02:00").alias("created_at"),
         F.when(p % 11 == 0, "maybe").otherwise("true").alias("active")))
     tags = F.when(p % 13 == 0, F.lit(',"tags":[1,2]}')).otherwise(F.lit(',"tags":["a"]}'))
-    raw = table(spark, folder, "lineitem").select(F.concat(F.regexp_replace(doc, "}$", ""), tags).alias("value"))
+    raw = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")).select(F.concat(F.regexp_replace(doc, "}$", ""), tags).alias("value"))
     return ops.normalize_nested(raw).select(F.explode("violations").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
