@@ -25,3 +25,12 @@ def test_a_nested_record_is_parsed_once(spark):
     assert {r["reason"]: r["count"] for r in rules.collect()}["missing id or amount"] == 3
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
+def test_run_documents_are_dealt_to_all_cores_and_parsed_once(spark):
+    from tracegrain.plans import queries_documents as qd
+
+    assert qd.documents(spark, FOLDER).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    for name in ("profile_lines", "profile_annotations"):
+        assert "from_json" not in plan(getattr(qd, name)(spark, FOLDER))
+
+
