@@ -34,3 +34,15 @@ def test_run_documents_are_dealt_to_all_cores_and_parsed_once(spark):
         assert "from_json" not in plan(getattr(qd, name)(spark, FOLDER))
 
 
+def test_packed_documents_keep_a_path_each_in_few_files(spark, tmp_path):
+    from tracegrain.sources import profiles
+
+    at = str(tmp_path / "packed")
+    raws = ['{"schema": 3}', '{"schema": 3}', "cut off {", "two\\nlines", None] * 20
+    profiles.pack_profiles(spark.createDataFrame([(r,) for r in raws], "raw string").coalesce(2), at)
+    got = profiles.read_profiles(spark, at, packed=True)
+    assert sorted(r["raw"] or "" for r in got.collect()) == sorted(r or "" for r in raws)
+    assert got.select("run_id").distinct().count() == got.select("path").distinct().count() == len(raws)
+    assert len([f for f in os.listdir(at) if f.endswith(".parquet")]) <= 2
+
+

@@ -10,10 +10,19 @@ from tracegrain.session import cut_lineage
 CORRUPT = "_corrupt"
 
 
-def read_profiles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per run document, version 2 or 3, with ``run_id`` from its path and the raw text kept for checks."""
-    texts = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+def pack_profiles(documents: DataFrame, folder: str) -> None:
+    """The documents of a column ``raw``, many to a file, each with a path of its own below the folder: files then grow with bytes, not with runs."""
+    name = F.concat(F.lit(folder.rstrip("/") + "/"), F.monotonically_increasing_id().cast("string"), F.lit(".json"))
+    documents.select(name.alias("path"), "raw").write.parquet(folder)
+
+
+def read_profiles(spark: SparkSession, paths: str | list[str], packed: bool = False) -> DataFrame:
+    """One row per run document, version 2 or 3, with ``run_id`` from its path and the raw text kept for checks. A document is a file, or a row
+    that ``pack_profiles`` wrote."""
+    if packed:
+        texts = spark.read.parquet(*([paths] if isinstance(paths, str) else paths)).select("path", "raw")
+    else:
+        texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     return parse_profiles(texts)
 
 
