@@ -137,3 +137,9 @@ def test_event_traces(spark, tmp_path):
     merged = traces.merge_traces(spark, str(tmp_path))
     assert [r["id"] for r in merged.collect()] == ["1:1", "1:2", "1:3", "1:4", "1:5"]
     assert [r["status"] for r in lost_updates(traces.accesses(merged)).collect()] == ["confirmed"]
+
+
+def test_even_squares_beyond_64_bits(spark):
+    numbers = spark.createDataFrame([(4_000_000_000,), (-4_000_000_002,), (3_000_000_001,), (None,)], "id long")
+    assert ops.even_square_total(numbers, "id").first()["total"] == 4_000_000_000**2 + 4_000_000_002**2
+    assert ops.even_square_total(numbers.where("id is null"), "id").first()["total"] is None

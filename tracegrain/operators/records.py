@@ -145,8 +145,9 @@ def filtered_sum(df: DataFrame, key: str, value: str, above: float) -> DataFrame
 
 
 def even_square_total(df: DataFrame, col: str) -> DataFrame:
-    square = F.col(col) * F.col(col)
-    return df.select(square.alias("x")).where(F.col("x") % 2 == 0).agg(F.sum("x").alias("total"))
+    """Sum of the even squares of a whole-number column, exact to 38 digits: neither a square nor the sum need fit 64 bits."""
+    number = F.col(col).cast("decimal(19,0)")
+    return df.select((number * number).alias("x")).where(F.col("x") % 2 == 0).agg(F.sum("x").cast("decimal(38,0)").alias("total"))
 
 
 def report_length(df: DataFrame, col: str) -> DataFrame:
