@@ -46,3 +46,19 @@ def test_packed_documents_keep_a_path_each_in_few_files(spark, tmp_path):
     assert len([f for f in os.listdir(at) if f.endswith(".parquet")]) <= 2
 
 
+def test_a_group_over_its_budget_is_not_joined_in_one_task(spark, monkeypatch):
+    from tracegrain.operators import scan
+
+    monkeypatch.setattr(scan, "LAST_ROWS", 10)
+    rows = [("hot", i % 97, i, 1 + i % 3) for i in range(500)] + [("cold", i, i, 5) for i in range(8)]
+    kept = scan.prefix_within(spark.createDataFrame(rows, "g string, o long, i long, w long"), ["g"], ["o", "i"], "w", 300)
+    want, used = set(), {}
+    for g, o, i, w in sorted(rows):
+        used[g] = used.get(g, 0) + w
+        if used[g] <= 300:
+            want.add((g, i))
+    assert {(r["g"], r["i"]) for r in kept.collect()} == want
+    text = plan(kept)
+    assert text.count("BroadcastHashJoin") >= 2 and "LeftAnti" in text  # rows of open groups stay where they are
+
+

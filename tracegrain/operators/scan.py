@@ -280,7 +280,8 @@ def prefix_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
 
     # The open bin of a group: codes equal to `fixed` up to a level, and between lo and hi there; `base` is the weight before it.
     cuts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(weight).alias("__all"), F.min(F.col("__code")[0]).alias("__lo"), F.max(F.col("__code")[0]).alias("__hi"))
-    cuts = cuts.select(*keys, "__n", "__lo", "__hi", none.alias("__fixed"), F.lit(0).cast("long").alias("__base"), (F.col("__all") <= limit).alias("__whole"))
+    cuts = cuts.select(*keys, "__n", "__lo", "__hi", none.alias("__fixed"), F.lit(0).cast("long").alias("__base"), (F.col("__all") <= limit).alias("__whole"),
+                       (F.col("__n") > LAST_ROWS).alias("__many"))
     cuts = cut_lineage(cuts)
 
     def inside(level: Column) -> Column:
@@ -292,7 +293,8 @@ def prefix_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
         # A bin of one value goes on with the next column.
         deeper = F.col("__lo") == F.col("__hi")
         open_ = cuts.where(~finished).withColumn("__fixed", F.when(deeper, F.concat("__fixed", F.array("__lo"))).otherwise(F.col("__fixed"))).withColumn("__deeper", deeper)
-        here = rows.join(open_.withColumn("__lo", F.when(F.col("__deeper"), F.lit(None)).otherwise(F.col("__lo"))), keys)
+        # A group that is still open had more than LAST_ROWS rows, so there are few of them; a join by key would put each whole group into one task.
+        here = rows.join(F.broadcast(open_.withColumn("__lo", F.when(F.col("__deeper"), F.lit(None)).otherwise(F.col("__lo")))), keys)
         value = F.get("__code", F.size("__fixed"))
         same = F.slice("__code", F.lit(1), F.size("__fixed")) == F.col("__fixed")
         here = here.where(same & (F.col("__lo").isNull() | ((value >= F.col("__lo")) & (value <= F.col("__hi"))))).withColumn("__v", value)
@@ -304,10 +306,13 @@ def prefix_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
         ahead = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # BINS rows of a group at most
         placed = bins.withColumn("__upto", F.col("__base") + F.sum("__w").over(ahead))
         crossing = placed.where((F.col("__upto") > limit) & (F.col("__upto") - F.col("__w") <= limit))
-        crossing = crossing.select(*keys, "__n", "__lo", "__hi", "__fixed", (F.col("__upto") - F.col("__w")).alias("__base"), F.lit(False).alias("__whole"))
+        crossing = crossing.select(*keys, "__n", "__lo", "__hi", "__fixed", (F.col("__upto") - F.col("__w")).alias("__base"), F.lit(False).alias("__whole"), F.lit(True).alias("__many"))
         cuts = cut_lineage(cuts.where(finished).unionByName(crossing))
 
-    known = rows.join(cuts, keys)
+    # Groups of up to LAST_ROWS rows meet their cut by key; the few larger ones, which one task need not hold, have theirs sent to the rows.
+    many = F.broadcast(cut_lineage(cuts.where("__many")))
+    few = cuts.where(~F.col("__many"))
+    known = rows.join(many, keys).unionByName(rows.join(many.select(*keys), keys, "left_anti").join(few, keys)).drop("__many")
     before = known.where(F.col("__whole") | (F.col("__code") < F.concat("__fixed", F.array("__lo")))).select(*df.columns)
     at_cut = known.where(~F.col("__whole") & inside(F.size("__fixed")))
     running = F.sum(weight).over(Window.partitionBy(*keys, "__lo").orderBy(*[F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
