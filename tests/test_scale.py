@@ -62,3 +62,12 @@ def test_a_group_over_its_budget_is_not_joined_in_one_task(spark, monkeypatch):
     assert text.count("BroadcastHashJoin") >= 2 and "LeftAnti" in text  # rows of open groups stay where they are
 
 
+def test_shares_of_one_run_are_not_a_window(spark):
+    from tracegrain.operators import lines
+
+    rows = spark.createDataFrame([("a", 1, 2), ("a", 2, 6), ("b", 1, 0), (None, 1, 5), ("c", 1, None)], "run_id string, line long, w long")
+    got = lines.with_share(rows, "w")
+    assert "Window" not in plan(got) and got.columns == ["run_id", "line", "w", "share"]
+    assert sorted(got.collect(), key=str) == sorted([("a", 1, 2, 0.25), ("a", 2, 6, 0.75), ("b", 1, 0, 0.0), (None, 1, 5, 1.0), ("c", 1, None, None)], key=str)
+
+

@@ -39,10 +39,12 @@ def line_totals(samples: DataFrame, measures: Sequence[str], keys: Sequence[str]
 
 
 def with_share(df: DataFrame, value: str, keys: Sequence[str] = ("run_id",), name: str = "share") -> DataFrame:
-    """value / group total; a total of zero counts as one. ``df`` holds summed rows, of which a group has no more than its sources have lines: they
-    are summed once and read once."""
-    total = F.sum(value).over(Window.partitionBy(*keys))
-    return df.withColumn("__total", total).withColumn(name, F.col(value) / F.when(F.col("__total") == 0, F.lit(1)).otherwise(F.col("__total"))).drop("__total")
+    """value / group total; a total of zero counts as one. The totals are joined, not windowed: a group of any size stays in as many tasks as it came in."""
+    total = F.sum(value)
+    totals = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.when(total == 0, F.lit(1)).otherwise(total).alias("__total"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    joined = df.join(totals, same, "left")
+    return joined.withColumn(name, F.col(value) / F.col("__total")).select(*df.columns, name)
 
 
 def function_totals(lines: DataFrame, measures: Sequence[str], maxima: Sequence[str] = (),
