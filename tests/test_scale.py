@@ -71,3 +71,13 @@ def test_shares_of_one_run_are_not_a_window(spark):
     assert sorted(got.collect(), key=str) == sorted([("a", 1, 2, 0.25), ("a", 2, 6, 0.75), ("b", 1, 0, 0.0), (None, 1, 5, 1.0), ("c", 1, None, None)], key=str)
 
 
+def test_small_ranges_do_not_make_a_task_each():
+    from tracegrain.sources.ranges import deal
+
+    files = [("/a", 10_000_000), ("/b", 0), ("/c", 3_000_001)]
+    whole = lambda parts: {(r.path, k) for part in parts for r in part for k in range(r.first, r.first + r.count)}
+    small, bounded = deal(files, 256, 1 << 14), deal(files, 256, 1 << 14, parts_wanted=16)
+    assert len(small) > 700 and len(bounded) <= 17 and whole(small) == whole(bounded)
+    assert len(deal([("/a", 1 << 40)], 1 << 20, 1 << 20, parts_wanted=16)) == 1 << 13  # never more than 128 MiB a task
+
+

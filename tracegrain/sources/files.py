@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tracegrain.functions.paths import text_hash
-from tracegrain.sources.ranges import ByteRangeSource
+from tracegrain.sources.ranges import PARTITION_BYTES, ByteRangeSource
 
 LEAF = 8 << 20
 FAN = 1024
-PARTITION_BYTES = 128 << 20
+PARTS_A_CORE = 8
 
 
 def scan_sources(spark: SparkSession, root: str, pattern: str = "*.{py,pyw}") -> DataFrame:
@@ -26,11 +26,13 @@ def file_digest(spark: SparkSession, folder: str, pattern: str = "*", leaf: int
 
     A file is read in byte ranges by as many tasks as it takes, ``leaf`` bytes in memory at a time. The digest of a leaf is its SHA-256; ``fan`` neighbours
     become one node, the SHA-256 of their hex digests in order, level by level; a node alone goes up unchanged, so a file of one leaf has its plain SHA-256.
-    ``leaf`` and ``fan`` are part of the digest; ``partition_bytes``, how ranges are dealt to tasks, is not.
+    ``leaf`` and ``fan`` are part of the digest; ``partition_bytes``, how ranges are dealt to tasks, is not:
+    tasks read more where there would be over PARTS_A_CORE of them for each core.
     """
     spark.dataSource.register(ByteRangeSource)
     uri = folder if ":" in folder.split("/")[0] else spark.conf.get("spark.hadoop.fs.defaultFS", "file://").rstrip("/") + folder
-    nodes = (spark.read.format(ByteRangeSource.name()).option("pattern", pattern).option("leaf", str(leaf)).option("partitionBytes", str(partition_bytes)).load(uri))
+    nodes = (spark.read.format(ByteRangeSource.name()).option("pattern", pattern).option("leaf", str(leaf)).option("partitionBytes", str(partition_bytes))
+             .option("partsWanted", str(PARTS_A_CORE * spark.sparkContext.defaultParallelism)).load(uri))
     children = F.array_sort(F.collect_list(F.struct("node", "sha256")))  # at most ``fan``
     for _ in range(tree_levels(leaf, fan)):
         joined = F.array_join(F.transform(children, lambda c: c["sha256"]), "")

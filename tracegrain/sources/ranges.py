@@ -24,8 +24,16 @@ class Runs(InputPartition):
     runs: list[Run]
 
 
-def deal(files: list[tuple[str, int]], leaf: int, partition_bytes: int) -> list[list[Run]]:
-    """The leaves of all files in order, cut into parts of about ``partition_bytes``: a large file spreads over many, small ones share one."""
+PARTITION_BYTES = 128 << 20  # what a task reads where there is work for all
+
+
+def deal(files: list[tuple[str, int]], leaf: int, partition_bytes: int, parts_wanted: int | None = None) -> list[list[Run]]:
+    """The leaves of all files in order, cut into parts of about ``partition_bytes``: a large file spreads over many, small ones share one.
+
+    Parts beyond ``parts_wanted`` only cost the start of a task each, so parts grow, up to PARTITION_BYTES, where there would be more of them.
+    """
+    if parts_wanted is not None:
+        partition_bytes = max(partition_bytes, min(PARTITION_BYTES, -(-sum(size for _, size in files) // parts_wanted)))
     most = max(1, partition_bytes // leaf)
     parts: list[list[Run]] = [[]]
     room = most
@@ -43,7 +51,7 @@ def deal(files: list[tuple[str, int]], leaf: int, partition_bytes: int) -> list[
 
 
 class ByteRangeSource(DataSource):
-    """Options: path (a URI), pattern of file names, leaf (bytes of a range), partitionBytes (bytes a task reads).
+    """Options: path (a URI), pattern of file names, leaf (bytes of a range), partitionBytes (bytes a task reads), partsWanted (parts above which tasks read more).
 
     Files and folders whose names begin with a dot or an underscore are left out, as in Spark's own file sources; ``key=value`` folders stay.
     """
@@ -63,6 +71,8 @@ class ByteRangeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.uri, self.pattern = options["path"], options.get("pattern", "*")
         self.leaf, self.partition_bytes = int(options["leaf"]), int(options.get("partitionbytes") or options["partitionBytes"])
+        wanted = options.get("partswanted") or options.get("partsWanted")
+        self.parts_wanted = int(wanted) if wanted else None
 
     def _open(self):
         """The file system, the folder in it, and what stands before its paths in a URI."""
@@ -90,7 +100,7 @@ class ByteRangeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         # Without files there is still a partition, as Spark asks a source for one.
-        return [Runs(runs) for runs in deal(self._listed(), self.leaf, self.partition_bytes)] or [Runs([])]
+        return [Runs(runs) for runs in deal(self._listed(), self.leaf, self.partition_bytes, self.parts_wanted)] or [Runs([])]
 
     def read(self, partition: Runs):
         import pyarrow as pa
