@@ -1,6 +1,7 @@
 """Work that grows with the rows only: steps done once, in as many tasks as there are cores, no group in one task."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,14 @@ def test_small_ranges_do_not_make_a_task_each():
     assert len(deal([("/a", 1 << 40)], 1 << 20, 1 << 20, parts_wanted=16)) == 1 << 13  # never more than 128 MiB a task
 
 
+def test_stored_tables_are_read_by_column_and_not_sent_through_the_driver(spark):
+    from tracegrain.operators import rules
+    from tracegrain.session import stored
+
+    wide = stored(spark.range(100).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("text"), F.expr("map('a', id)").alias("m")))
+    both = wide.select("k").join(wide.groupBy("k").count(), "k", "left")
+    assert "SortMergeJoin" in plan(both) and "text" not in plan(both) and both.count() == 100
+    found = rules.scan_rules(spark.createDataFrame([("a.py", "def load(cur):\n    return cur.fetchall()\n")], "path string, text string"))
+    assert "Scan parquet" in plan(found) and [r["code"] for r in found.collect()] == ["heap-inflation"]
+
+

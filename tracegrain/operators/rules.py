@@ -17,7 +17,7 @@ from tracegrain.functions import rule_tables as rt
 from tracegrain.functions.syntax import SYNTAX, parser
 from tracegrain.functions.text import render_message, subject_prefix
 from tracegrain.operators.scan import scan, top_k
-from tracegrain.session import cut_lineage
+from tracegrain.session import cut_lineage, stored
 
 AT = ("path", "node")
 SCOPE_KINDS = ("Module", "FunctionDef", "AsyncFunctionDef", "Lambda", "ClassDef")
@@ -497,16 +497,16 @@ def scan_rules(sources: DataFrame, gil_disabled: bool = False, marker: str | Non
 
     One finding per position and code. Lines that contain ``marker`` are left out. Files that do not parse have none.
     """
-    s = cut_lineage(parse(sources))
-    bound = cut_lineage(bindings(s))
+    s = stored(parse(sources))
+    bound = stored(bindings(s))
     chained = F.col("dotted").isNotNull() & (F.col("ctx") == "Load") & ~((F.col("parent_kind") == "Attribute") & (F.col("field") == "value"))
-    quals = cut_lineage(resolve(s.where(chained), bound))
+    quals = stored(resolve(s.where(chained), bound))
     of_call = quals.select("path", F.col("node").alias("__f"), "qual", "func", "cls")
     calls = s.where(_is("Call") & F.col("live")).withColumn("__f", _kid("func")["node"]).join(of_call, ["path", "__f"], "left").drop("__f")
-    calls = cut_lineage(calls.withColumn("qual", F.coalesce("qual", F.lit(""))))
+    calls = stored(calls.withColumn("qual", F.coalesce("qual", F.lit(""))))
     text = text_like(s)
     events = assignment_events(s, calls, text)
-    parts = [*call_rules(calls), whole_file_split(s), object_dtype(s, calls, quals), *class_rules(calls, cut_lineage(class_facts(s, quals))), loop_copies(s),
+    parts = [*call_rules(calls), whole_file_split(s), object_dtype(s, calls, quals), *class_rules(calls, stored(class_facts(s, quals))), loop_copies(s),
              *state_rules(s, text, events, bound), *cache_rules(s, calls, quals), concat_loops(s, calls), stored_exceptions(s), open_files(s, calls, quals), lists_used_once(s)]
     if not gil_disabled:
         parts.append(thread_targets(s, calls, quals, events, bound))
@@ -548,7 +548,7 @@ def rule_counts(found: DataFrame) -> DataFrame:
 
 def symbols(sources: DataFrame, most_calls: int | None = None) -> DataFrame:
     """Per line: enclosing scope, assigned names, called names (the first ``most_calls`` where that is given), and the end line of a function that starts there."""
-    s = cut_lineage(parse(sources)) if "kids" not in sources.columns else sources
+    s = stored(parse(sources)) if "kids" not in sources.columns else sources
     on_line = s.where(F.col("line").isNotNull())
     scope = on_line.groupBy("path", "line").agg(F.max_by("label", "node").alias("scope"))
     held = (_is("Name") | _is("Attribute")) & F.col("ctx").isin("Store", "Comp")

@@ -8,6 +8,7 @@ from tracegrain.functions import measures as me, paths as pa, text as tx
 from tracegrain.operators import checks, findings as ops, lines as line_ops, rules
 from tracegrain.plans import adapters as ad
 from tracegrain.plans.registry import query, table
+from tracegrain.session import spread
 
 _SNIPPETS = [
     (2, "def load(cur):\n    return cur.fetchall()\n"),
@@ -24,7 +25,7 @@ def sources(spark, folder):
     """One Python file per customer, put together from snippets by the divisors of its key."""
     k = F.col("c_custkey")
     parts = [F.when(k % n == 0, F.lit(code)) for n, code in _SNIPPETS]
-    return table(spark, folder, "customer").select(
+    return spread(table(spark, folder, "customer").select("c_custkey")).select(
         F.concat(F.lit("c"), k.cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("import copy\nimport pandas as pd\n"), F.concat_ws("", *parts)).alias("text"))
 
 
@@ -86,7 +87,7 @@ def code_sources(spark, folder):
     k = F.pmod("doc_id", F.lit(len(_CODE_SNIPPETS)))
     code = F.element_at(F.array(*[F.lit(c) for _, _, c in _CODE_SNIPPETS]), (k + 1).cast("int"))
     comments = F.concat(F.lit("# "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n\f\x0b\x00]+", "\n# "), F.lit("\n"))
-    return table(spark, folder, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit(_IMPORTS), code, comments).alias("text"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit(_IMPORTS), code, comments).alias("text"))
 
 
 @query("rule_codes", " UNION ALL ".join(
