@@ -93,3 +93,11 @@ def test_stored_tables_are_read_by_column_and_not_sent_through_the_driver(spark)
     assert "Scan parquet" in plan(found) and [r["code"] for r in found.collect()] == ["heap-inflation"]
 
 
+def test_report_and_summary_sections_are_not_broadcast(spark):
+    from tracegrain.plans import report, summary
+    from tracegrain.sources import profiles
+
+    doc = '{"schema": 3, "script": "/app/a.py", "python": "3.13", "gil_split": true, "wall_s": 1.0, "memory_mode": "fast", "files": {"/app/a.py": {"1": {"time_s": 1.0, "samples": 3}}}}'
+    good = profiles.parse_profiles(spark.createDataFrame([("/runs/a.json", doc)], "path string, raw string"))
+    for df in (summary.build_summary(good, "/app", "now"), report.build_report(good)):
+        assert not re.search(r"BroadcastHashJoin \[run_id#\d+\], \[run_id#\d+\], LeftOuter", plan(df))

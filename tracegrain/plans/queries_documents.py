@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracegrain.operators.checks import validate_profiles
 from tracegrain.plans import report, summary
 from tracegrain.plans.registry import query, table
-from tracegrain.session import cut_lineage, spread
+from tracegrain.session import spread, stored
 from tracegrain.sources import profiles as src
 
 
@@ -72,7 +72,7 @@ def _good(spark, folder):
 @query("profile_lines", f"""WITH {_K} SELECT run, 5 AS line, busy AS time_s, held AS peak_mb, CAST(20 AS BIGINT) AS samples FROM k
 UNION ALL SELECT run, 9, 0.05, 0.5, CAST(1 AS BIGINT) FROM k""")
 def profile_lines(spark, folder):
-    good = cut_lineage(_good(spark, folder))  # parsed and checked once
+    good = stored(_good(spark, folder))  # parsed and checked once
     lines = src.lines(good).join(_key(good.select("run_id", "path")), "run_id")
     return lines.select("run", "line", "time_s", "peak_mb", "samples")
 
@@ -82,7 +82,7 @@ def profile_lines(spark, folder):
   UNION ALL SELECT run, 'line', busy / 10 >= 0.05 OR (precise AND held >= 10) OR growing FROM k WHERE busy / 10 >= 0.01 OR (precise AND held >= 1) OR growing
   UNION ALL SELECT run, 'leak', true FROM k WHERE growing) GROUP BY run, kind""")
 def profile_annotations(spark, folder):
-    good = cut_lineage(_good(spark, folder))
+    good = stored(_good(spark, folder))
     rows = report.annotations(good).join(_key(good.select("run_id", "path")), "run_id")
     return rows.groupBy("run", "kind").agg(F.count(F.lit(1)).alias("rows"), F.count_if("hot").alias("hot"))
 
@@ -103,7 +103,7 @@ def run_summaries(spark, folder):
 @query("run_reports", f"""WITH {_K} SELECT run, round(busy + 0.5, 6) AS root, CAST(4 AS INTEGER) AS nodes, CASE WHEN busy >= 0.5 THEN 'json' ELSE 'helper' END AS first_function,
   CASE WHEN growing AND held >= 1 THEN 1 WHEN precise AND held >= 1 THEN 0 END AS growing, CAST(4 AS INTEGER) AS points FROM k""")
 def run_reports(spark, folder):
-    good = cut_lineage(_good(spark, folder))
+    good = stored(_good(spark, folder))
     doc = report.build_report(good).join(_key(good.select("run_id", "path")), "run_id")
     r = F.col("report")
     return doc.select("run", F.round(F.filter(r["tree"], lambda n: n["depth"] == 0)[0]["value"], 6).alias("root"), F.size(r["tree"]).alias("nodes"),

@@ -13,7 +13,7 @@ from tracegrain.operators.lines import threads, top_lines
 from tracegrain.operators.scan import top_k
 from tracegrain.operators.series import thin
 from tracegrain.plans.evidence import line_facts, listed, run_facts, run_notes, run_phases, run_struct
-from tracegrain.session import cut_lineage
+from tracegrain.session import stored
 from tracegrain.sources import profiles as src
 
 HOT_SHARE, HOT_MB = 0.05, 10.0
@@ -60,15 +60,15 @@ def overview(profiles: DataFrame, runs: DataFrame, lines: DataFrame) -> DataFram
     points = listed(thin(src.timeline(profiles).select("run_id", "t", "i", "traced_mb", "rss_mb"), ["run_id"], ["t", "i"]), "timeline", [F.col("t"), F.col("i")], "t", "traced_mb", "rss_mb")
     r = run_struct(runs)
     values = runs.select("run_id", "cpu_s", "samples", process_residual_mb(r).alias("residual_mb"), "rss_kind", "rss_start_mb", "rss_end_mb", "rss_peak_mb", F.col("peak_traced_mb").alias("traced_peak_mb"))
-    return values.join(points, "run_id", "left").join(tops, "run_id", "left").select("run_id", F.struct(*[c for c in values.columns if c != "run_id"], "timeline", "top_lines").alias("overview"))
+    return values.join(points.hint("merge"), "run_id", "left").join(tops.hint("merge"), "run_id", "left").select("run_id", F.struct(*[c for c in values.columns if c != "run_id"], "timeline", "top_lines").alias("overview"))
 
 
 def build_report(profiles: DataFrame, metric: str = "elapsed", view: str = "all", inverted: bool = False, thread: str | None = None, focus: Column | None = None,
                  window: tuple[float, float] | None = None, depth: int | None = None, comparison: DataFrame | None = None, rows: int = 200, nodes: int | None = None) -> DataFrame:
     """(run_id, report): what the report shows. Its tables are top lists of `rows` functions, diagnoses and phases of a run; the tree is whole unless `nodes` is given."""
-    profiles = cut_lineage(profiles)  # every section reads the parsed documents
-    runs = cut_lineage(run_facts(profiles))
-    lines = cut_lineage(line_facts(profiles, runs))
+    profiles = stored(profiles)  # every section reads the parsed documents
+    runs = stored(run_facts(profiles))
+    lines = stored(line_facts(profiles, runs))
     points, holders = src.retention_points(profiles), src.held_by(profiles)
     if window:
         found = retention.diagnose_window(points, *window, holders, limit=rows).select("run_id", "file", "line", "status", "end", "peak", "holders", "rank")
@@ -76,7 +76,7 @@ def build_report(profiles: DataFrame, metric: str = "elapsed", view: str = "all"
         found = retention.diagnose(lines, runs, points, holders, limit=rows).select("run_id", "file", "line", "status", "end", "peak", "holders", "rank", "evidence", "recommendations")
     diagnoses = listed(found, "diagnoses", [F.col("rank")], *[c for c in found.columns if c not in ("run_id", "rank")])
     counts = found.groupBy("run_id").agg(F.count(F.lit(1)).alias("diagnosis_count"), F.count_if(F.col("status") == "growing").alias("growing_count"))
-    s = cut_lineage(weighted(profiles, metric))
+    s = stored(weighted(profiles, metric))
     full = stacks.call_tree(s, view, inverted, thread, focus)
     tree = listed(stacks.limit_tree(full, nodes), "tree", [F.col("depth"), -F.col("value"), F.col("key"), F.col("node")], "node", "parent", "depth", "name", "kind", "value", "self", "omitted")
     memory = src.functions(profiles).select("run_id", "file", "first_line", "peak_mb").join(runs.where("precise").select("run_id"), "run_id", "left_semi")
@@ -91,5 +91,5 @@ def build_report(profiles: DataFrame, metric: str = "elapsed", view: str = "all"
     r = run_struct(runs)
     whole = runs.select("run_id", "script", "wall_s", F.col("memory_mode").alias("mode"), run_notes(r).alias("notes"), F.col("exit_snapshot").alias("snapshot_at_exit"), "trace_function")
     whole = whole.withColumn("unit", F.lit("bytes" if metric.startswith("mem_") else "seconds"))
-    doc = reduce(lambda a, b: a.join(b, "run_id", "left"), parts, whole)
+    doc = reduce(lambda a, b: a.join(b.hint("merge"), "run_id", "left"), parts, whole)
     return doc.select("run_id", F.struct(*[c for c in doc.columns if c != "run_id"]).alias("report"))
