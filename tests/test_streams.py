@@ -100,3 +100,65 @@ def test_first_events_of_spread_runs(spark):
     got = drain(monitors.first_events(read_files_stream(spark, out), 50, parts=3)).collect()
     assert sorted(r["seq"] for r in got if not r["counter"]) == sorted([*range(0, 60, 2), *range(1, 21)])
     assert max(r["dropped_events"] for r in got) == 30 + 199 - 50
+
+
+class Store:
+    """A handle that keeps state in memory and counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, set(), {}
+
+    def _of(self, name):
+        outer = self
+
+        def called(result=None):
+            outer.calls += 1
+            return result
+
+        class Of:
+            def exists(self): return called(name in outer.values)
+            def get(self): return called(outer.values[name])
+            def update(self, v): called(outer.values.__setitem__(name, v))
+            def clear(self): called(outer.values.pop(name, None))
+            def getValue(self, k): return called(outer.values[name, k])
+            def updateValue(self, k, v): called(outer.values.__setitem__((name, k), v))
+            def removeKey(self, k): called(outer.values.pop((name, k)))
+        return Of()
+
+    def getMapState(self, name, *_): return self._of(name)
+    def getValueState(self, name, *_): return self._of(name)
+    def registerTimer(self, at): self.calls += 1; self.timers.add(at)
+    def deleteTimer(self, at): self.calls += 1; self.timers.remove(at)
+    def getCurrentWatermarkInMs(self): return self.now
+
+
+def test_keys_of_a_part_share_its_calls():
+    """As many calls of the state store for 200 keys as for one; each key has its own state, from release to release."""
+    import pandas as pd
+
+    calls = {}
+    for n in (1, 200):
+        p, h, out = monitors._Spikes(60_000, 50, 10**6), Store(), []
+        p.owner = ("run_id",)
+        p.init(h)
+        for turn in (0, 1):
+            rows = [(k, (2 * turn + i) * MINUTE, i, 10 * k + 100 * (2 * turn + i)) for k in range(n) for i in (1, 0)]
+            h.now = 2 * turn * 60_000
+            assert list(p.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["run_id", *p.fields])]), h)) == []
+            assert len(h.timers) == 1
+            h.now += 120_000
+            h.timers.clear()
+            out += [tuple(r[:4]) for f in p.handleExpiredTimer((7,), h, None) for r in f.values.tolist()]
+        values = lambda k: [10 * k + 100 * i for i in range(4)]
+        assert sorted(out) == [(k, i * MINUTE, i % 2, v) for k in range(n) for i, (u, v) in enumerate(zip([None, *values(k)], values(k))) if u is not None and v - u > max(u * 0.5, 50)]
+        calls[n] = h.calls
+    assert calls[1] == calls[200]
+
+
+def test_null_keys_and_values_in_one_part(spark):
+    """A null key is one key; a null value beside others leaves numbers over 2^53 exact."""
+    big = 2**60 + 1
+    rows = [(None, 0, big, 100), (None, MINUTE, big + 2, 300), (1, 0, 5, None), (1, 2 * MINUTE, 6, 100), (1, 3 * MINUTE, 7, 400), (None, 3 * MINUTE, None, 900)]
+    found, aside = drain_in_order(monitors.spikes(arrive(spark, [rows], "run_id long, t long, seq long, value long"), jump=50, high=10**6, bucket_ms=120_000))
+    assert aside.count() == 0
+    assert {(r["run_id"], r["seq"], r["value"]) for r in found.collect()} == {(None, big + 2, 300), (1, 7, 400), (None, None, 900)}

@@ -1,8 +1,8 @@
 """Online detectors over streams, in event order. Each has a batch twin in ``operators``.
 
-Rows arrive in any order. They wait in their key's queue, by buckets of event time, until the watermark has passed the bucket; then the key's
-rows are stepped through in order. A row is written once and read once, and a key has one timer, at the end of its first waiting bucket. What a
-detector remembers is a few values per key, and nothing of a key that has nothing to remember. A row whose bucket the watermark had passed when it
+Rows arrive in any order. Keys are dealt over parts. Rows wait in their part's queue, by buckets of event time, until the watermark has passed the
+bucket; then they are stepped through in order, each with the state of its key. A row is written once and read once, and a part has one timer, at the
+end of its first waiting bucket. What a detector remembers is a few values per key, and nothing of a key that has nothing to remember. A row whose bucket the watermark had passed when it
 arrived is late: it takes no part, and comes out with ``late`` set, its time and its number, so a sink can put it aside and count it
 (``streaming.run.drain_in_order``). The last rows of a stream that ends wait for rows after them.
 """
@@ -11,15 +11,20 @@ from __future__ import annotations
 
 import bisect
 import json
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracegrain.operators.events import LEAST_BYTES
 
 BUCKET_MS = 3_600_000
+PARTS = 256
+FRAME_ROWS = 10_000
+ABSENT = "absent_bits"
 LATE = "late boolean, late_t bigint, late_seq bigint"
 
 
@@ -36,10 +41,15 @@ def only(rows: DataFrame, wanted: Column, event_time: str = "at") -> DataFrame:
 
 
 class InOrder(StatefulProcessor):
-    """Queues rows by event time and steps through them in order. ``fields`` begin with the time in microseconds and a number that orders rows of one time."""
+    """Queues rows by event time and steps through them in order. ``fields`` begin with the time in microseconds and a number that orders rows of one time.
+
+    A group of the stream is one key, or a part of all keys where ``owner`` names the key's columns: then its keys share their queue, their timer and their calls.
+    """
 
     fields: tuple[str, ...] = ()
     columns: tuple[str, ...] = ()
+    owner: tuple[str, ...] = ()
+    numbers: frozenset[str] = frozenset()
 
     def __init__(self, bucket_ms: int = BUCKET_MS):
         self.bucket_ms = bucket_ms
@@ -55,34 +65,43 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.queue = handle.getMapState("queue", "bucket bigint, part bigint", "rows string")
-        self.facts = handle.getValueState("facts", "waiting string, state string")
+        self.waiting = handle.getValueState("waiting", "waiting string")
+        self.states = handle.getValueState("states", "states string")
 
     def _end(self, bucket: int) -> int:
         return (bucket + 1) * self.bucket_ms
 
-    def _load(self) -> tuple[dict[int, int], object]:
-        if not self.facts.exists():
-            return {}, self.start()
-        waiting, state = self.facts.get()
-        return dict(json.loads(waiting)), json.loads(state)
+    def _load(self) -> dict[int, int]:
+        return dict(json.loads(self.waiting.get()[0])) if self.waiting.exists() else {}
 
-    def _store(self, waiting: dict[int, int], state: object) -> None:
-        if waiting or state != self.start():
-            self.facts.update((json.dumps(sorted(waiting.items())), json.dumps(state)))
+    def _store(self, waiting: dict[int, int]) -> None:
+        if waiting:
+            self.waiting.update((json.dumps(sorted(waiting.items())),))
         else:
-            self.facts.clear()
+            self.waiting.clear()
+
+    def _rows(self, key: tuple, frame: pd.DataFrame) -> Iterator[list]:
+        """The key's values and the fields of each row. A number that is null is NaN, as it is in a frame."""
+        names = [*self.owner, *self.fields]
+        absent = frame[ABSENT].tolist() if ABSENT in frame else [0] * len(frame)
+        for row, nulls in zip(map(list, zip(*(frame[c].astype(object).tolist() for c in names))), absent):
+            if nulls:
+                for i, c in enumerate(names):
+                    if nulls >> i & 1:
+                        row[i] = math.nan if c in self.numbers else None
+            yield row if self.owner else [*key, *row]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed, late, fresh = timerValues.getCurrentWatermarkInMs(), [], {}
+        passed, late, fresh, at = timerValues.getCurrentWatermarkInMs(), [], {}, len(self.owner or key)
         for frame in rows:
-            for row in frame[list(self.fields)].astype(object).values.tolist():
-                bucket = row[0] // 1000 // self.bucket_ms
+            for row in self._rows(key, frame):
+                bucket = row[at] // 1000 // self.bucket_ms
                 if self._end(bucket) <= passed:
-                    late.append((*key, *[None] * len(self.columns), True, row[0], row[1]))
+                    late.append((*row[:at], *[None] * len(self.columns), True, row[at], row[at + 1]))
                 else:
                     fresh.setdefault(bucket, []).append(row)
         if fresh:
-            waiting, state = self._load()
+            waiting = self._load()
             before = min(waiting, default=None)
             for bucket, new in fresh.items():
                 part = waiting.get(bucket, 0)
@@ -93,31 +112,47 @@ class InOrder(StatefulProcessor):
                 if before is not None:
                     self.handle.deleteTimer(self._end(before))
                 self.handle.registerTimer(self._end(first))
-            self._store(waiting, state)
+            self._store(waiting)
         if late:
-            yield self._frame(key, late)
+            yield self._frame(late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed, out = timerValues.getCurrentWatermarkInMs(), []
-        waiting, state = self._load()
+        passed, done, at = timerValues.getCurrentWatermarkInMs(), [], len(self.owner or key)
+        waiting = self._load()
+        states = {tuple(who): state for who, state in json.loads(self.states.get()[0])} if self.states.exists() else {}
+        touched = set()
         for bucket in sorted(b for b in waiting if self._end(b) <= passed):
             rows = []
             for part in range(waiting.pop(bucket)):
                 rows += json.loads(self.queue.getValue((bucket, part))[0])
                 self.queue.removeKey((bucket, part))
-            for row in sorted(rows, key=lambda r: (r[0], r[1])):
-                state = self.step(key, state, row, out)
+            for row in sorted(rows, key=lambda r: (r[at], r[at + 1])):
+                who, out = tuple(row[:at]), []
+                touched.add(who)
+                states[who] = self.step(who, states[who] if who in states else self.start(), row[at:], out)
+                done += [(*who, *r, False, None, None) for r in out]
+            if len(done) >= FRAME_ROWS:
+                yield self._frame(done)
+                done = []
         if waiting:
             self.handle.registerTimer(self._end(min(waiting)))
-        self._store(waiting, self.rest(state))
-        if out:
-            yield self._frame(key, [(*key, *r, False, None, None) for r in out])
+        self._store(waiting)
+        for who in touched:
+            states[who] = self.rest(states[who])
+            if states[who] == self.start():
+                del states[who]
+        if states:
+            self.states.update((json.dumps([*states.items()]),))
+        else:
+            self.states.clear()
+        if done:
+            yield self._frame(done)
 
     def rest(self, state):
         """What still has to be remembered when all released rows are done with."""
         return state
 
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         # Objects, so that whole numbers beside nulls stay whole.
         return pd.DataFrame(rows, dtype=object)
 
@@ -125,8 +160,18 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def _run(rows: DataFrame, keys: list[str], processor: InOrder, key_types: str, types: str) -> DataFrame:
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, f"{key_types}, {types}, {LATE}", "Append", "EventTime")
+def _run(rows: DataFrame, keys: list[str], processor: InOrder, key_types: str, types: str, parts: int = PARTS) -> DataFrame:
+    """Keys are dealt over ``parts`` parts, each with one state: a call, a timer or a write of the store serves all keys of a part, so their number does
+    not set the price. A part holds its keys' small states in one value; ``parts`` bounds how many those are.
+    """
+    names = [*keys, *processor.fields]
+    processor.owner = tuple(keys)
+    processor.numbers = frozenset(c for c in processor.fields if isinstance(rows.schema[c].dataType, T.NumericType))
+    # Nulls come as bits of their own, as a frame would make all whole numbers beside one into floats.
+    absent = reduce(Column.bitwiseOR, (F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(names)))
+    filled = [F.coalesce(c, F.lit(0).cast(rows.schema[c].dataType)).alias(c) if isinstance(rows.schema[c].dataType, T.NumericType) else F.col(c) for c in names]
+    packed = rows.select(F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("state_part"), absent.alias(ABSENT), *filled)
+    return packed.groupBy("state_part").transformWithStateInPandas(processor, f"{key_types}, {types}, {LATE}", "Append", "EventTime")
 
 
 class _Pressure(InOrder):
