@@ -269,6 +269,71 @@ def test_edited_lines_are_found(spark):
     assert got <= similar and len(got) >= 0.95 * len(similar) and len(similar) > 300
 
 
+def lines_edited_everywhere(rng):
+    """Pairs of lines that share hardly a word: an edit every fifth letter, or so many letters put before as are taken off at the end."""
+    vocabulary = ["".join(rng.choices("abcdeé", k=rng.randint(3, 9))) for _ in range(60)]
+    texts = []
+    for k in range(60):
+        a = " ".join(rng.choices(vocabulary, k=rng.randint(5, 90)))
+        limit, b = int((1 - 0.8) * len(a) + 1e-9), list(a)
+        if k % 3 == 0:
+            for at in range(0, 5 * limit, 5):
+                if b[at] != " ":
+                    b[at] = "x"
+        elif k % 3 == 1:
+            b = ["y"] * (limit // 2) + b[: len(b) - limit // 2]
+        else:
+            for _ in range(limit):
+                at = rng.randrange(1, len(b))
+                b[at : at + 1] = rng.choice([[], ["z"], [b[at], "z"]])
+        texts += [a, norm("".join(b))]
+    return [t for t in texts if len(t.split()) >= 5]
+
+
+def test_lines_with_an_edit_in_every_word(spark):
+    rows = list(enumerate(lines_edited_everywhere(random.Random(9))))
+    found = defaultdict(set)
+    for i, t in rows:
+        found[t].add((i, 0))
+    keep = kept_by_edit_similarity(found, 0.2)
+    assert len(keep) < 0.7 * len(rows)
+    got = {r.doc_id for r in lines.digest(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 0").collect()}
+    assert got == {i for i, _ in keep}
+
+
+def test_packs_link_what_is_similar():
+    """Any cut into packs links the groups that all pairs link, and nothing of one group."""
+    rng = random.Random(10)
+    texts = sorted({t for _ in range(3) for t in lines_edited_everywhere(rng)}, key=lambda t: (len(t), t))
+    want = roots(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if within(texts[a], texts[b], 0.2)])
+
+    def pack(members):
+        names = np.array(members, np.int64)
+        return lines._Pack(names.tobytes(), (names + 7).tobytes(), "\n".join(texts[i] for i in members))
+
+    for size in (len(texts), 50):
+        packs, edges = [pack(range(at, min(at + size, len(texts)))) for at in range(0, len(texts), size)], []
+        for k, x in enumerate(packs):
+            for y in packs[k:]:
+                edges += lines._links(x, y, 0.8, x is y)
+        assert all(within(texts[a], texts[b], 0.2) for a, b in edges)
+        got = roots(range(len(texts)), edges)
+        assert len(set(want.values())) == len(set(got.values())) < len(texts) and len({(want[i], got[i]) for i in want}) == len(set(want.values()))
+    one = lines._Pack(np.arange(2).tobytes(), np.zeros(2, np.int64).tobytes(), "a line of five words\na line of five wordy")
+    assert lines._links(one, one, 0.8, True) == []
+
+
+def test_packs_are_bounded():
+    import pyarrow as pa
+
+    sizes = sorted([10] * 5000 + list(range(10, 400)) + [lines.PACK_LETTERS + 1] * 2)
+    rows = pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(range(len(sizes))), pa.array(range(len(sizes))), pa.array(["x" * n for n in sizes])], ["size", "line", "group", "text"])
+    packs = [r for at in range(0, len(sizes), 700) for r in lines._packs(iter([rows.slice(at, 700)]))] + list(lines._packs(iter([rows.slice(at, 700) for at in range(0, len(sizes), 700)])))
+    bodies = [p.column(5)[0].as_py().split("\n") for p in packs]
+    assert sum(map(len, bodies)) == 2 * len(sizes) and max(map(len, bodies)) == lines.PACK_LINES
+    assert all(len(b) == 1 or len(b[-1]) <= lines.PACK_RATIO * len(b[0]) and sum(map(len, b)) <= lines.PACK_LETTERS for b in bodies)
+
+
 def test_short_lines_occur_once(spark, tmp_path):
     from tracegrain.llm import queries
 
