@@ -157,6 +157,21 @@ def test_components_of_chains_and_stars(spark):
     assert got == roots(nodes, [e for e in edges if e[0] != e[1]])
 
 
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    """A chain dealt over many tasks is folded by one; where more edges are left than that, rounds give the same."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50 + i, 100) for i in range(9)], "a long, b long").repartition(7)
+    want = {i: 0 for i in range(41)} | {i: 50 for i in [*range(50, 59), 100]}
+    rounds, large = [], components._large
+    monkeypatch.setattr(components, "_large", lambda e: rounds.append(1) or large(e))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the tasks stay as many as they are
+    try:
+        assert {r.node: r.component for r in components.components(edges).collect()} == want and not rounds
+        monkeypatch.setattr(components, "FOLD_EDGES", 5)
+        assert {r.node: r.component for r in components.components(edges).collect()} == want and rounds
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 # Line dedup
 
 
