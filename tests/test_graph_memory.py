@@ -30,6 +30,19 @@ def test_paths_and_cycles_by_jumps(spark):
     assert sorted((r["object"], r["depth"], r["cycles"]) for r in graph.cycles(nodes, edges).collect()) == [("3", 6, 3), ("7", 2991, 3), ("9", 10, 3)]
 
 
+def test_owned_nodes_share_what_is_above_them(spark, monkeypatch):
+    """Fifty nodes of one owner: the labels above them are built once. Labels may be null or empty, targets repeated."""
+    edges = spark.createDataFrame([("r", "a", "b", ""), ("r", "b", "c", None)] + [("r", "c", f"n{i}", f"l{i}") for i in range(50)], "run_id string, src string, dst string, label string")
+    reached = graph.reach(spark.createDataFrame([("r", "a", None)], "run_id string, node string, label string"), edges, ranks=False)
+    assert "rank" not in reached.nodes.columns and reached.complete.first()["object_count"] == 53
+    built, stems = [], graph._stems
+    monkeypatch.setattr(graph, "_stems", lambda nodes, wanted: built.append((nodes.count(), wanted.count())) or stems(nodes, wanted))
+    targets = spark.createDataFrame([("r", f"n{i}") for i in range(50)] + [("r", "n0"), ("r", "b"), ("r", "a"), ("r", "gone")], "run_id string, node string")
+    got = sorted((x["node"], x["path"], x["depth"]) for x in graph.owner_paths(reached.nodes, targets).collect() if x["path"] is not None)
+    assert got == sorted([(f"n{i}", f".l{i}", 3) for i in [*range(50), 0]] + [("b", "", 1), ("a", "", 0)])
+    assert built == [(3, 2)]
+
+
 def test_limits_clear_complete(spark):
     edges = spark.createDataFrame([("r", str(i), str(i + 1), str(i + 1)) for i in range(6)], "run_id string, src string, dst string, label string")
     roots = spark.createDataFrame([("r", "0", "0")], "run_id string, node string, label string")

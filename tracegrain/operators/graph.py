@@ -20,11 +20,15 @@ class Reach:
     complete: DataFrame
 
 
-def reach(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_nodes: int | None = None) -> Reach:
+SMALL_LEVEL = 100_000  # nodes of a level up to which it is sent to the edges; past that both are dealt by their keys
+
+
+def reach(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, ranks: bool = True) -> Reach:
     """Nodes reachable from the roots, each once with the first path that finds it, level by level.
 
-    A level is one join of the frontier with the edges, one reduction to the first step per new node and one anti-join with
-    the nodes seen; each level is checkpointed, so lineage does not grow and the loop ends when a level is empty.
+    A level is one join of the frontier with the edges, one anti-join with the nodes seen and one reduction to the first step per new
+    node; each is checkpointed, so lineage does not grow, and the loop ends when no edge leads to a new node, before the last level is ranked. The nodes
+    come without their ranks, which cost an order of the last level, where ``ranks`` is not set.
     First means: fewest steps, then the path that comes first, label by label. A node keeps its parent only, and its rank among the nodes of its
     level stands for its path in that order, so a row does not grow with the depth; ``paths`` rebuilds whole paths where they are shown. All levels
     are walked unless ``max_depth`` is given. A run is complete when nothing lay beyond it, nor past ``max_nodes`` nodes in that order (dropped only when that
@@ -37,17 +41,28 @@ def reach(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, max_
 
     first = roots.groupBy("run_id", "node").agg(F.min("label").alias("label"))
     first = cut_lineage(first.select("run_id", "node", F.lit(0).cast("long").alias("__above"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent"), "label"))
-    frontier = ranked(first, 0)
-    seen, levels = frontier.select("run_id", "node"), [frontier]
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        steps = frontier.select("run_id", F.col("node").alias("src"), F.col("rank").alias("__above"))
-        found = steps.join(edges, ["run_id", "src"]).groupBy("run_id", F.col("dst").alias("node")).agg(F.min(F.struct("__above", "label", F.col("src").alias("parent"))).alias("best"))
-        fresh = cut_lineage(found.join(seen, ["run_id", "node"], "left_anti").select("run_id", "node", "best.*"))
-        if fresh.isEmpty():
+    columns = ["run_id", "node", "depth", "parent", "label"]
+    fresh, size, seen, levels = first, first.count(), first.select("run_id", "node"), []
+    for depth in count(1):
+        plain = fresh.withColumn("depth", F.lit(depth - 1)).select(*columns)
+        if max_depth is None or depth <= max_depth:
+            ends = plain.select("run_id", F.col("node").alias("src"))
+            steps = edges.join(F.broadcast(ends) if size <= SMALL_LEVEL else ends, ["run_id", "src"]).select("run_id", F.col("dst").alias("node"), "label", "src")
+            steps = cut_lineage(steps.join(seen, ["run_id", "node"], "left_anti"))
+            done = steps.isEmpty()
+        else:
+            done = True
+        if done and not ranks and max_nodes is None:
+            levels.append(plain)
+            break
+        frontier = ranked(fresh, depth - 1)
+        levels.append(frontier if ranks or max_nodes is not None else frontier.select(*columns))
+        if done:
             break
-        frontier = ranked(fresh, depth)
-        levels.append(frontier)
-        seen = seen.unionByName(frontier.select("run_id", "node"))
+        above = frontier.select("run_id", F.col("node").alias("src"), F.col("rank").alias("__above"))
+        found = steps.join(above, ["run_id", "src"]).groupBy("run_id", "node").agg(F.min(F.struct("__above", "label", F.col("src").alias("parent"))).alias("best"))
+        fresh = cut_lineage(found.select("run_id", "node", "best.*"))
+        size, seen = fresh.count(), seen.unionByName(fresh.select("run_id", "node"))
     nodes = levels[0]
     for level in levels[1:]:
         nodes = nodes.unionByName(level)
@@ -74,16 +89,33 @@ def _jumps(nodes: DataFrame) -> Iterator[tuple[DataFrame, bool]]:
         length *= 2
 
 
-def paths(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(run_id, node, path): the labels from the root to each target that was reached. Each round doubles the stretch above the targets that is
-    known; nothing is built for other nodes."""
-    on_path = targets.select("run_id", "node").distinct().join(nodes.select("run_id", "node"), ["run_id", "node"]).withColumn("at", F.col("node"))
+def _stems(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(run_id, node, stem): the labels from the root to each wanted node, as an array. Each round doubles the stretch above them that is known;
+    nothing is built for other nodes."""
+    on_path = wanted.join(nodes.select("run_id", "node"), ["run_id", "node"]).withColumn("at", F.col("node"))
     for jump, last in _jumps(nodes):
         on_path = on_path.unionByName(on_path.join(jump, ["run_id", "at"]).select("run_id", "node", F.col("up").alias("at")))
         on_path = on_path if last else cut_lineage(on_path)
     steps = on_path.join(nodes.select("run_id", F.col("node").alias("at"), "depth", "label"), ["run_id", "at"])
     whole = F.transform(F.array_sort(F.collect_list(F.struct("depth", "label"))), lambda x: x["label"])  # as long as the path that is asked for
-    return steps.groupBy("run_id", "node").agg(F.array_join(whole, ".").alias("path"))
+    return steps.groupBy("run_id", "node").agg(whole.alias("stem"))
+
+
+def _with_paths(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (run_id, node, others) with path and depth of their nodes, null where these are not reached. Nodes that one node owns share what is above
+    it, so that is built once for each owner, from the nodes above the deepest ones only."""
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    found = cut_lineage(rows.join(nodes.select("run_id", "node", "depth", "parent", "label"), ["run_id", "node"], "left"))
+    owners = found.where(F.col("parent").isNotNull()).select("run_id", F.col("parent").alias("node")).distinct()
+    stems = _stems(nodes.where(F.col("depth") < deepest), owners).withColumnRenamed("node", "parent")
+    whole = F.concat(F.coalesce("stem", F.array().cast("array<string>")), F.array(F.col("label").cast("string")))
+    path = F.when(F.col("depth").isNotNull(), F.array_join(whole, ".")).alias("path")
+    return found.join(stems, ["run_id", "parent"], "left").select(*rows.columns, path, "depth")
+
+
+def paths(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(run_id, node, path): the labels from the root to each target that was reached."""
+    return _with_paths(nodes, targets.select("run_id", "node").distinct()).where(F.col("depth").isNotNull()).drop("depth")
 
 
 def cycles(nodes: DataFrame, edges: DataFrame, shown: int | None = None) -> DataFrame:
@@ -110,8 +142,7 @@ def cycles(nodes: DataFrame, edges: DataFrame, shown: int | None = None) -> Data
 
 def owner_paths(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """The path that owns each target node; null when it is not reachable."""
-    known = paths(nodes, targets).join(nodes.select("run_id", "node", "depth"), ["run_id", "node"])
-    return targets.join(known, ["run_id", "node"], "left")
+    return _with_paths(nodes, targets)
 
 
 def footprint(nodes: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -247,7 +247,7 @@ first AS (SELECT node, min(depth) AS depth, arg_min(path, depth) AS path FROM bf
 
 def _reach(spark, folder):
     roots, nodes, edges = ad.graph(spark, folder)
-    return graph_ops.reach(roots, edges), nodes, edges
+    return graph_ops.reach(roots, edges, ranks=False), nodes, edges
 
 
 @query("owner_paths", _BFS + " SELECT node, path, CAST(depth AS INTEGER) AS depth FROM first WHERE node LIKE 'o%' OR node LIKE 'c%'")
