@@ -338,6 +338,27 @@ def test_packs_link_what_is_similar():
     assert lines._links(one, one, 0.8, True) == []
 
 
+def test_pieces_rule_out_long_lines():
+    """Hardly a pair of unlike lines is left to be searched, at any length, though all are of one small vocabulary; no similar pair is ruled out."""
+    rng = random.Random(11)
+    parts = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 4))) for _ in range(60)]
+    for size in (45, 130, 400, 900):
+        texts = []
+        while len(texts) < 80:
+            text = " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(size))[:size - len(texts) % 7].strip()
+            at = rng.randrange(len(text))
+            texts += [text, text[:at] + "x" * rng.randint(1, size // 6) + text[at:]]
+        texts = sorted(texts, key=len)
+        packs = [lines._Pack(np.array(r, np.int64).tobytes(), np.array(r, np.int64).tobytes(), "\n".join(texts[i] for i in r)) for r in (range(40), range(40, 80))]
+        found = set()
+        for k, x in enumerate(packs):
+            for y in packs[k:]:
+                i, j = lines._by_pieces(x, y, 0.8)
+                found |= {(a, b) for a, b in zip(x.names[i].tolist(), y.names[j].tolist()) if a < b}
+        similar = {(a, b) for b in range(80) for a in range(b) if within(texts[a], texts[b], 0.2)}
+        assert similar <= found and len(similar) >= 40 and len(found - similar) < 0.1 * 80 * 79 / 2, (size, len(similar), len(found - similar))
+
+
 def test_packs_are_bounded():
     import pyarrow as pa
 
